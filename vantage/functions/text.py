@@ -8,6 +8,8 @@ builders restate the reference's behaviour explicitly.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -123,7 +125,7 @@ def company_key_suffix(c) -> Column:
     """Dashboard flavour: lower, strip common legal suffixes, keep letters/digits/spaces."""
     s = F.lower(js_trim(col(c)))
     for suffix in COMPANY_SUFFIXES:
-        s = F.when(s.endswith(suffix), F.substring(s, F.lit(1), F.length(s) - F.lit(len(suffix)))).otherwise(s)
+        s = F.regexp_replace(s, re.escape(suffix) + "$", "")
     return js_trim(s)
 
 
@@ -146,3 +148,24 @@ def js_number(c) -> Column:
     """Number#toString for ordinary doubles: integral values print without ``.0``."""
     c = col(c).cast("double")
     return F.when(c == F.floor(c), F.floor(c).cast("long").cast("string")).otherwise(c.cast("string"))
+
+
+def file_slug(c, max_len: int = 60) -> Column:
+    """File-name slug: path-hostile characters to ``-``, runs collapsed, first ``max_len`` chars."""
+    s = F.regexp_replace(F.regexp_replace(col(c), r'[\s/\\:*?"<>|]', "-"), "-+", "-")
+    return F.substring(s, 1, max_len)
+
+
+EMAIL_RE = r"[A-Za-z0-9_.-]+@[A-Za-z0-9_.-]+\.[A-Za-z0-9_]+"
+CONTACT_NAME_RE = r"(?i)(?:Emailed|emailed|contact[:\s]+|to\s+)([A-Z][a-z]+ ?[A-Z]?[a-z]*)\s*(?:at|@|$)"
+
+
+def contacts(df, notes: str):
+    """txt_contacts: one row per e-mail in ``notes`` with the name written before it."""
+    from pyspark.sql import functions as F2  # local alias keeps the builder self-contained
+
+    emails = F2.regexp_extract_all(col(notes), F2.lit(EMAIL_RE), 0)
+    out = df.select("*", F2.posexplode(emails).alias("contact_idx", "email"))
+    before = F2.expr(f"substring_index(`{notes}`, email, 1)")
+    name = F2.regexp_extract(before, CONTACT_NAME_RE, 1)
+    return out.withColumn("name", F2.when(name != "", name))

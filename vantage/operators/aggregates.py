@@ -121,7 +121,7 @@ def iso_week(d: Column) -> Column:
 
 def weekly_activity(apps: DataFrame, date: str = "date", last_n: int = 8) -> DataFrame:
     """agg_weekly_activity: count per ISO week, the last ``last_n`` weeks that have data."""
-    d = F.when(F.col(date).rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.try_to_date(F.col(date), F.lit("yyyy-MM-dd")))
+    d = F.when(F.col(date).rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.try_to_date(F.col(date), "yyyy-MM-dd"))
     weeks = apps.select(iso_week(d).alias("week")).where(F.col("week").isNotNull()).groupBy("week").count()
     # A top-k report: the number of distinct weeks is small, the limit is the feature.
     return weeks.orderBy(F.col("week").desc()).limit(last_n).select("week", F.col("count"))

@@ -35,13 +35,14 @@ def running(
     within ``partition_cols`` for a deterministic result.
     """
     part = list(partition_cols or [])
-    keys = part + list(order_cols)
+    order_cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
+    keys = [F.col(c) for c in part] + order_cols
     ranged = df.repartitionByRange(_num_partitions(df, n), *keys).withColumn(_PID, F.spark_partition_id())
     local_w = (Window.partitionBy(_PID, *part).orderBy(*order_cols)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     cols = []
     summary_aggs = []
-    order_struct = F.struct(*[F.col(c) for c in order_cols])
+    order_struct = F.struct(*order_cols)  # ``last`` needs ascending order columns
     for name, value, kind in outputs:
         v = f"_vx_v_{name}"
         ranged = ranged.withColumn(v, value)

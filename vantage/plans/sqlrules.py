@@ -73,3 +73,22 @@ def score_loose(x: str) -> str:
     m = f"regexp_extract(replace({x}, '**', ''), '([0-9.]+)', 1)"
     return (f"coalesce(TRY_CAST(nullif(regexp_extract({m}, '^([0-9]+\\.?[0-9]*|\\.[0-9]+)', 1), '') "
             f"AS DOUBLE), 0.0)")
+
+
+def company_key_suffix(x: str) -> str:
+    from ..functions.text import COMPANY_SUFFIXES
+
+    s = f"lower(trim({x}))"
+    for suf in COMPANY_SUFFIXES:
+        s = f"regexp_replace({s}, {q(suf.replace('.', chr(92) + '.') + '$')}, '')"
+    return f"trim({s})"
+
+
+def status_strict(x: str) -> str:
+    from ..functions import status as S
+
+    lower = f"lower(trim(regexp_replace(replace({x}, '**', ''), '\\s+[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}.*$', '')))"
+    canon = " ".join(f"WHEN {q(c.lower())} THEN {q(c)}" for c in S.CANONICAL)
+    alias = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in S.STRICT_ALIASES.items())
+    return (f"coalesce(CASE {lower} {canon} END, CASE {lower} {alias} END, "
+            f"CASE WHEN regexp_matches({lower}, '^(duplicado|dup|repost)') THEN 'Discarded' END, 'Evaluated')")

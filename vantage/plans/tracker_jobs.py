@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import dates as D
 from ..functions import status as S
 from ..functions import text as T
 from ..operators import aggregates as A
 from ..sources import tracker as TR
-from ..sources.bindings import view
+from ..sources.bindings import AS_OF_TRACKER, view
 from . import sqlrules as Q
 from .registry import register
 
@@ -99,3 +100,132 @@ UNION ALL SELECT 5, 'Offer', offer, CASE WHEN applied = 0 THEN 0.0 ELSE offer::D
 """)
 def agg_cumulative_funnel(spark, sf):
     return A.cumulative_funnel(dashboard_apps(spark, sf))
+
+
+@register("cls_status_strict", ("trk",), f"""
+SELECT pos, status_raw, {Q.status_strict('status_raw')} AS status,
+  {Q.status_strict('status_raw')} <> 'Evaluated' OR lower(trim(regexp_replace(replace(status_raw, '**', ''), '\\s+[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}.*$', ''))) IN ('evaluated', 'evaluada', 'condicional', 'hold', 'evaluar', 'verificar') AS known
+FROM trk
+""")
+def cls_status_strict(spark, sf):
+    apps = script_apps(spark, sf)
+    return apps.select("pos", "status_raw", S.status_strict("status_raw").alias("status"),
+                       S.status_strict_known("status_raw").alias("known"))
+
+
+@register("cls_status_repair", ("trk",), """
+WITH s AS (SELECT pos, status_raw, trim(replace(status_raw, '**', '')) AS s FROM trk)
+SELECT pos, status_raw,
+  CASE WHEN regexp_matches(s, '(?i)^duplicado') OR regexp_matches(s, '(?i)^dup\\b') THEN 'Discarded'
+       WHEN regexp_matches(s, '(?i)^cerrada$') THEN 'Discarded'
+       WHEN regexp_matches(s, '(?i)^cancelada') THEN 'Discarded'
+       WHEN regexp_matches(s, '(?i)^descartad[ao]$') THEN 'Discarded'
+       WHEN regexp_matches(s, '(?i)^rechazada?$') THEN 'Rejected'
+       WHEN regexp_matches(s, '(?i)^rechazado\\s+[0-9]{4}') THEN 'Rejected'
+       WHEN regexp_matches(s, '(?i)^aplicado\\s+[0-9]{4}') THEN 'Applied'
+       WHEN regexp_matches(s, '(?i)^(condicional|hold|evaluar|verificar)$') THEN 'Evaluated'
+       WHEN regexp_matches(s, '(?i)^monitor$') THEN 'SKIP'
+       WHEN regexp_matches(s, '(?i)geo.?blocker') THEN 'SKIP'
+       WHEN regexp_matches(s, '(?i)^repost') THEN 'Discarded'
+       WHEN s IN ('—', '-', '') THEN 'Discarded'
+       WHEN lower(s) = 'evaluated' THEN 'Evaluated' WHEN lower(s) = 'applied' THEN 'Applied'
+       WHEN lower(s) = 'responded' THEN 'Responded' WHEN lower(s) = 'interview' THEN 'Interview'
+       WHEN lower(s) = 'offer' THEN 'Offer' WHEN lower(s) = 'rejected' THEN 'Rejected'
+       WHEN lower(s) = 'discarded' THEN 'Discarded' WHEN lower(s) = 'skip' THEN 'SKIP'
+       WHEN lower(s) = 'evaluada' THEN 'Evaluated'
+       WHEN lower(s) IN ('aplicado', 'enviada', 'aplicada', 'applied', 'sent') THEN 'Applied'
+       WHEN lower(s) = 'respondido' THEN 'Responded' WHEN lower(s) = 'entrevista' THEN 'Interview'
+       WHEN lower(s) = 'oferta' THEN 'Offer' WHEN lower(s) IN ('cerrada', 'descartada') THEN 'Discarded'
+       WHEN lower(s) IN ('no aplicar', 'no_aplicar', 'skip') THEN 'SKIP' END AS status,
+  CASE WHEN regexp_matches(s, '(?i)^duplicado') OR regexp_matches(s, '(?i)^dup\\b') OR regexp_matches(s, '(?i)^repost')
+       THEN trim(status_raw) END AS note
+FROM s
+""")
+def cls_status_repair(spark, sf):
+    apps = script_apps(spark, sf)
+    return apps.select("pos", "status_raw", S.status_repair("status_raw").alias("status"),
+                       S.status_repair_note("status_raw").alias("note"))
+
+
+# --- text rules ---------------------------------------------------------------
+
+@register("txt_parse_score", ("trk",), f"""
+SELECT pos, score_raw, {Q.score_js('score_raw')} AS score_js, {Q.score_loose('score_raw')} AS score_loose,
+  {Q.score_strict('score_raw')} AS score_strict FROM trk
+""")
+def txt_parse_score(spark, sf):
+    apps = script_apps(spark, sf)
+    return apps.select("pos", "score_raw", T.score_js("score_raw").alias("score_js"),
+                       T.score_loose("score_raw").alias("score_loose"),
+                       T.score_strict("score_raw").alias("score_strict"))
+
+
+@register("txt_report_ref", ("trk",), """
+SELECT pos, TRY_CAST(nullif(regexp_extract(report, '\\[([0-9]+)\\]', 1), '') AS INTEGER) AS report_num,
+  nullif(regexp_extract(report, '\\]\\(([^)]+)\\)', 1), '') AS report_path FROM trk
+""")
+def txt_report_ref(spark, sf):
+    apps = script_apps(spark, sf)
+    return apps.select("pos", T.report_number("report").alias("report_num"), T.report_path("report").alias("report_path"))
+
+
+@register("txt_company_key", ("trk",), f"""
+SELECT pos, regexp_replace(lower(company), '[^a-z0-9]', '', 'g') AS key_alnum,
+  trim(regexp_replace(regexp_replace(regexp_replace(lower(company), '[()]', '', 'g'), '\\s+', ' ', 'g'), '[^a-z0-9 ]', '', 'g')) AS key_spaced,
+  {Q.company_key_suffix('company')} AS key_suffix,
+  lower(trim(regexp_replace(company, '\\s+', ' ', 'g'))) AS key_ws
+FROM trk
+""")
+def txt_company_key(spark, sf):
+    apps = script_apps(spark, sf)
+    return apps.select("pos", T.company_key_alnum("company").alias("key_alnum"),
+                       T.company_key_spaced("company").alias("key_spaced"),
+                       T.company_key_suffix("company").alias("key_suffix"),
+                       T.company_key_ws("company").alias("key_ws"))
+
+
+@register("txt_slug", ("trk",), """
+SELECT pos,
+  regexp_replace(regexp_replace(lower(company), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug,
+  substr(regexp_replace(regexp_replace(company, '[\\s/\\\\:*?"<>|]', '-', 'g'), '-+', '-', 'g'), 1, 60) AS file_slug
+FROM trk
+""")
+def txt_slug(spark, sf):
+    apps = script_apps(spark, sf)
+    return apps.select("pos", T.slug("company").alias("slug"), T.file_slug("company").alias("file_slug"))
+
+
+@register("txt_truncate", ("trk",), """
+SELECT pos, CASE WHEN length(role) > 20 THEN substr(role, 1, 17) || '...' ELSE role END AS role_short FROM trk
+""")
+def txt_truncate(spark, sf):
+    return dashboard_apps(spark, sf).select("pos", T.truncate_chars("role", 20).alias("role_short"))
+
+
+@register("txt_contacts", ("trk",), """
+WITH e AS (SELECT pos, notes, unnest(regexp_extract_all(notes, '[A-Za-z0-9_.-]+@[A-Za-z0-9_.-]+\\.[A-Za-z0-9_]+')) AS email FROM trk)
+SELECT pos, email,
+  nullif(regexp_extract(split_part(notes, email, 1),
+    '(?i)(?:Emailed|emailed|contact[:\\s]+|to\\s+)([A-Z][a-z]+ ?[A-Z]?[a-z]*)\\s*(?:at|@|$)', 1), '') AS name
+FROM e
+""")
+def txt_contacts(spark, sf):
+    apps = script_apps(spark, sf)
+    return T.contacts(apps, "notes").select("pos", "email", "name")
+
+
+# --- date rules ---------------------------------------------------------------
+
+@register("dat_parse", ("trk",), """
+SELECT pos, CASE WHEN regexp_matches(trim(date), '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') THEN TRY_CAST(trim(date) AS DATE) END AS date_d FROM trk
+""")
+def dat_parse(spark, sf):
+    return script_apps(spark, sf).select("pos", D.parse_strict("date").alias("date_d"))
+
+
+@register("dat_days_between", ("trk",), f"""
+SELECT pos, date_diff('day', TRY_CAST(date AS DATE), DATE '{AS_OF_TRACKER}') AS days FROM trk
+""")
+def dat_days_between(spark, sf):
+    apps = script_apps(spark, sf)
+    return apps.select("pos", D.days_between(D.parse_strict("date"), F.lit(AS_OF_TRACKER).cast("date")).alias("days"))
