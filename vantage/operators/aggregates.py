@@ -228,3 +228,16 @@ def analysis_meta(apps: DataFrame, date: str = "date", outcome: str = "outcome")
         F.max(d).alias("date_to"),
         *[F.count_if(o == name).alias(name) for name in OUTCOMES],
     )
+
+
+def tracker_summary(apps: DataFrame, score: str = "score", has_pdf: str = "has_pdf",
+                    report_num: str = "report_num") -> DataFrame:
+    """agg_tracker_summary: total, avg score, % with pdf, % with a report link."""
+    sc = F.col(score)
+    c = apps.agg(F.count(F.lit(1)).alias("total"),
+                 F.coalesce(F.avg(F.when(sc > 0, sc)), F.lit(0.0)).alias("avg_score"),
+                 F.count_if(F.col(has_pdf)).alias("pdf_n"),
+                 F.count_if(F.col(report_num).isNotNull()).alias("report_n"))
+    return c.select("total", F.round("avg_score", 9).alias("avg_score"),
+                    safe_pct(F.col("pdf_n"), F.col("total")).alias("pdf_pct"),
+                    safe_pct(F.col("report_n"), F.col("total")).alias("report_pct"))

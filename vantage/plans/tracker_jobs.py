@@ -13,15 +13,18 @@ from ..functions import dates as D
 from ..functions import status as S
 from ..functions import text as T
 from ..operators import aggregates as A
+from ..operators import cadence as C
+from ..operators import filters as F_
+from ..operators import views as V
 from ..sources import tracker as TR
 from ..sources.bindings import AS_OF_TRACKER, view
 from . import sqlrules as Q
 from .registry import register
 
 
-def dashboard_apps(spark: SparkSession, sf: str) -> DataFrame:
+def dashboard_apps(spark: SparkSession, sf: str, auto_number: bool = False) -> DataFrame:
     """Dashboard view of the tracker: mixed reader + ``contains`` status policy."""
-    apps = TR.src_pipe_table_mixed(TR.render_tracker(view(spark, sf, "trk")))
+    apps = TR.src_pipe_table_mixed(TR.render_tracker(view(spark, sf, "trk")), auto_number)
     return apps.withColumn("status", S.status_contains("status_raw"))
 
 
@@ -229,3 +232,226 @@ SELECT pos, date_diff('day', TRY_CAST(date AS DATE), DATE '{AS_OF_TRACKER}') AS
 def dat_days_between(spark, sf):
     apps = script_apps(spark, sf)
     return apps.select("pos", D.days_between(D.parse_strict("date"), F.lit(AS_OF_TRACKER).cast("date")).alias("days"))
+
+
+# --- analysis / dashboard aggregates --------------------------------------------
+
+@register("agg_status_funnel", ("trk",), f"""
+WITH a AS (SELECT {ALIAS_STATUS} AS status FROM trk), t AS (SELECT count(*) AS total FROM a)
+SELECT status, count(*) AS count, CAST(floor(count(*)::DOUBLE / any_value(t.total) * 100 + 0.5) AS BIGINT) AS pct
+FROM a, t GROUP BY status
+""")
+def agg_status_funnel(spark, sf):
+    return A.status_funnel(script_apps(spark, sf))
+
+
+def _score_by_outcome_sql():
+    parts = []
+    for o in A.OUTCOMES:
+        parts.append(f"""SELECT '{o}' AS outcome,
+  coalesce(floor(avg(score) FILTER (WHERE outcome = '{o}' AND score > 0) * 100 + 0.5) / 100, 0.0) AS avg,
+  coalesce(min(score) FILTER (WHERE outcome = '{o}' AND score > 0), 0.0) AS min,
+  coalesce(max(score) FILTER (WHERE outcome = '{o}' AND score > 0), 0.0) AS max,
+  count(*) FILTER (WHERE outcome = '{o}' AND score > 0) AS count FROM a""")
+    return (f"WITH a AS (SELECT {Q.outcome(ALIAS_STATUS)} AS outcome, {Q.score_js('score_raw')} AS score FROM trk)\n"
+            + "\nUNION ALL ".join(parts))
+
+
+@register("agg_score_by_outcome", ("trk",), _score_by_outcome_sql())
+def agg_score_by_outcome(spark, sf):
+    return A.score_by_outcome(script_apps(spark, sf))
+
+
+@register("agg_analysis_meta", ("trk",), f"""
+WITH a AS (SELECT date, {Q.outcome(ALIAS_STATUS)} AS outcome FROM trk)
+SELECT count(*) AS total, min(nullif(date, '')) AS date_from, max(nullif(date, '')) AS date_to,
+  count(*) FILTER (WHERE outcome = 'positive') AS positive, count(*) FILTER (WHERE outcome = 'negative') AS negative,
+  count(*) FILTER (WHERE outcome = 'self_filtered') AS self_filtered, count(*) FILTER (WHERE outcome = 'pending') AS pending
+FROM a
+""")
+def agg_analysis_meta(spark, sf):
+    return A.analysis_meta(script_apps(spark, sf))
+
+
+@register("agg_score_threshold", ("trk",), f"""
+WITH a AS (SELECT {Q.outcome(ALIAS_STATUS)} AS outcome, {Q.score_js('score_raw')} AS score FROM trk),
+m AS (SELECT min(score) FILTER (WHERE outcome = 'positive' AND score > 0) AS lo,
+             max(score) FILTER (WHERE outcome = 'positive' AND score > 0) AS hi FROM a)
+SELECT CASE WHEN lo > 0 THEN floor(lo * 10.0) / 10.0 ELSE 3.5 END AS recommended,
+  coalesce(lo, 0.0) AS min_positive,
+  CASE WHEN lo IS NOT NULL THEN
+    (CASE WHEN lo = floor(lo) THEN CAST(CAST(lo AS BIGINT) AS VARCHAR) ELSE CAST(lo AS VARCHAR) END) || ' - ' ||
+    (CASE WHEN hi = floor(hi) THEN CAST(CAST(hi AS BIGINT) AS VARCHAR) ELSE CAST(hi AS VARCHAR) END)
+  ELSE 'N/A' END AS positive_range
+FROM m
+""")
+def agg_score_threshold(spark, sf):
+    return A.score_threshold(script_apps(spark, sf))
+
+
+@register("agg_pipeline_metrics", ("trk",), f"""
+WITH a AS (SELECT {DASH_STATUS} AS s, {Q.score_strict('score_raw')} AS score, pdf = 'yes' AS has_pdf FROM trk)
+SELECT count(*) AS total, round(coalesce(avg(score) FILTER (WHERE score > 0), 0.0), 9) AS avg_score,
+  coalesce(max(score) FILTER (WHERE score > 0), 0.0) AS top_score,
+  count(*) FILTER (WHERE has_pdf) AS with_pdf,
+  count(*) FILTER (WHERE s NOT IN ('skip', 'rejected', 'discarded')) AS actionable
+FROM a
+""")
+def agg_pipeline_metrics(spark, sf):
+    m = A.pipeline_metrics(dashboard_apps(spark, sf))
+    return m.withColumn("avg_score", F.round("avg_score", 9))
+
+
+@register("agg_rates", ("trk",), f"""
+WITH a AS (SELECT {DASH_STATUS} AS s, {Q.score_strict('score_raw')} AS score FROM trk),
+c AS (SELECT count(*) FILTER (WHERE s IN ('applied','responded','interview','offer','rejected')) AS applied,
+  count(*) FILTER (WHERE s IN ('responded','interview','offer')) AS responded,
+  count(*) FILTER (WHERE s IN ('interview','offer')) AS interview,
+  count(*) FILTER (WHERE s = 'offer') AS total_offers,
+  count(*) FILTER (WHERE s NOT IN ('skip','rejected','discarded')) AS active_apps,
+  avg(score) FILTER (WHERE score > 0) AS avg_score, max(score) FILTER (WHERE score > 0) AS top_score FROM a)
+SELECT CASE WHEN applied > 0 THEN responded::DOUBLE / applied::DOUBLE * 100.0 ELSE 0.0 END AS response_rate,
+  CASE WHEN applied > 0 THEN interview::DOUBLE / applied::DOUBLE * 100.0 ELSE 0.0 END AS interview_rate,
+  CASE WHEN applied > 0 THEN total_offers::DOUBLE / applied::DOUBLE * 100.0 ELSE 0.0 END AS offer_rate,
+  total_offers, active_apps, round(coalesce(avg_score, 0.0), 9) AS avg_score, coalesce(top_score, 0.0) AS top_score
+FROM c
+""")
+def agg_rates(spark, sf):
+    return A.rates(dashboard_apps(spark, sf)).withColumn("avg_score", F.round("avg_score", 9))
+
+
+@register("agg_score_buckets", ("trk",), f"""
+WITH a AS (SELECT {Q.score_strict('score_raw')} AS score FROM trk)
+SELECT 1 AS band_order, '4.5-5.0' AS band, count(*) FILTER (WHERE score >= 4.5) AS count FROM a
+UNION ALL SELECT 2, '4.0-4.4', count(*) FILTER (WHERE score >= 4.0 AND score < 4.5) FROM a
+UNION ALL SELECT 3, '3.5-3.9', count(*) FILTER (WHERE score >= 3.5 AND score < 4.0) FROM a
+UNION ALL SELECT 4, '3.0-3.4', count(*) FILTER (WHERE score >= 3.0 AND score < 3.5) FROM a
+UNION ALL SELECT 5, '  <3.0', count(*) FILTER (WHERE score > 0 AND score < 3.0) FROM a
+""")
+def agg_score_buckets(spark, sf):
+    return A.score_buckets(dashboard_apps(spark, sf))
+
+
+@register("agg_weekly_activity", ("trk",), """
+WITH w AS (SELECT CAST(isoyear(TRY_CAST(date AS DATE)) AS VARCHAR) || '-W' || lpad(CAST(week(TRY_CAST(date AS DATE)) AS VARCHAR), 2, '0') AS week
+           FROM trk WHERE regexp_matches(date, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') AND TRY_CAST(date AS DATE) IS NOT NULL)
+SELECT week, count(*) AS count FROM w GROUP BY week ORDER BY week DESC LIMIT 8
+""")
+def agg_weekly_activity(spark, sf):
+    return A.weekly_activity(dashboard_apps(spark, sf))
+
+
+@register("agg_tracker_summary", ("trk",), f"""
+WITH a AS (SELECT {Q.score_strict('score_raw')} AS score, pdf = 'yes' AS has_pdf,
+  regexp_extract(report, '\\[([0-9]+)\\]\\(([^)]+)\\)', 1) <> '' AS has_report FROM trk)
+SELECT count(*) AS total, round(coalesce(avg(score) FILTER (WHERE score > 0), 0.0), 9) AS avg_score,
+  CASE WHEN count(*) = 0 THEN 0.0 ELSE (count(*) FILTER (WHERE has_pdf))::DOUBLE / count(*)::DOUBLE * 100.0 END AS pdf_pct,
+  CASE WHEN count(*) = 0 THEN 0.0 ELSE (count(*) FILTER (WHERE has_report))::DOUBLE / count(*)::DOUBLE * 100.0 END AS report_pct
+FROM a
+""")
+def agg_tracker_summary(spark, sf):
+    return A.tracker_summary(dashboard_apps(spark, sf))
+
+
+@register("agg_tab_counts", ("trk",), f"""
+WITH a AS (SELECT {DASH_STATUS} AS s, {Q.score_strict('score_raw')} AS score FROM trk)
+SELECT 0 AS tab_order, 'all' AS tab, 'ALL' AS label, count(*) AS count FROM a
+UNION ALL SELECT 1, 'evaluated', 'EVALUATED', count(*) FILTER (WHERE s = 'evaluated') FROM a
+UNION ALL SELECT 2, 'applied', 'APPLIED', count(*) FILTER (WHERE s = 'applied') FROM a
+UNION ALL SELECT 3, 'interview', 'INTERVIEW', count(*) FILTER (WHERE s = 'interview') FROM a
+UNION ALL SELECT 4, 'top', 'TOP ≥4', count(*) FILTER (WHERE score >= 4.0 AND s <> 'skip') FROM a
+UNION ALL SELECT 5, 'skip', 'SKIP', count(*) FILTER (WHERE s = 'skip') FROM a
+UNION ALL SELECT 6, 'rejected', 'REJECTED', count(*) FILTER (WHERE s = 'rejected') FROM a
+UNION ALL SELECT 7, 'discarded', 'DISCARDED', count(*) FILTER (WHERE s = 'discarded') FROM a
+""")
+def agg_tab_counts(spark, sf):
+    return V.tab_counts(dashboard_apps(spark, sf))
+
+
+# --- filters, sorts, ranking ------------------------------------------------------
+
+def _tab_sql():
+    parts = []
+    for t in V.TABS:
+        cond = "TRUE" if t == "all" else ("score >= 4.0 AND s <> 'skip'" if t == "top" else f"s = '{t}'")
+        parts.append(f"SELECT '{t}' AS tab, pos FROM a WHERE {cond}")
+    return (f"WITH a AS (SELECT pos, {DASH_STATUS} AS s, {Q.score_strict('score_raw')} AS score FROM trk)\n"
+            + "\nUNION ALL ".join(parts))
+
+
+@register("flt_view_tab", ("trk",), _tab_sql())
+def flt_view_tab(spark, sf):
+    apps = dashboard_apps(spark, sf)
+    out = None
+    for t in V.TABS:
+        part = V.flt_view_tab(apps, t).select(F.lit(t).alias("tab"), "pos")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("flt_actionable", ("trk",), f"""
+SELECT pos, num, {ALIAS_STATUS} AS status FROM trk
+WHERE {ALIAS_STATUS} IN ('applied', 'responded', 'interview')
+  AND regexp_matches(trim(date), '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') AND TRY_CAST(trim(date) AS DATE) IS NOT NULL
+""")
+def flt_actionable(spark, sf):
+    apps = script_apps(spark, sf)
+    return apps.where(F.col("status").isin(*C.ACTIONABLE) & D.parse_strict("date").isNotNull()) \
+        .select("pos", "num", "status")
+
+
+@register("flt_min_evidence", ("trk",), f"""
+SELECT count(*) FILTER (WHERE {ALIAS_STATUS} <> 'evaluated') AS current, 5 AS threshold,
+  count(*) FILTER (WHERE {ALIAS_STATUS} <> 'evaluated') >= 5 AS enough FROM trk
+""")
+def flt_min_evidence(spark, sf):
+    return F_.min_evidence(script_apps(spark, sf), threshold=5)
+
+
+def _sort_sql():
+    pri = Q.status_priority("status_raw")
+    modes = {
+        "score": "score DESC", "date": "date DESC", "company": "lower(company) ASC", "status": f"{pri} ASC",
+    }
+    parts = []
+    for mode, key in modes.items():
+        parts.append(f"SELECT '{mode}' AS mode, FALSE AS grouped, pos, row_number() OVER (ORDER BY {key}, pos) AS rank FROM a")
+        inner = key if mode != "status" else "score DESC"
+        parts.append(f"SELECT '{mode}' AS mode, TRUE AS grouped, pos, row_number() OVER (ORDER BY {pri} ASC, {inner}, pos) AS rank FROM a")
+    return (f"WITH a AS (SELECT pos, date, company, status_raw, {Q.score_strict('score_raw')} AS score FROM trk)\n"
+            + "\nUNION ALL ".join(parts))
+
+
+@register("srt_view", ("trk",), _sort_sql())
+def srt_view(spark, sf):
+    apps = dashboard_apps(spark, sf).select("pos", "date", "company", "status_raw", "score")
+    out = None
+    for mode in ["score", "date", "company", "status"]:
+        for grouped in (False, True):
+            part = V.srt_view(apps, mode, grouped).select(
+                F.lit(mode).alias("mode"), F.lit(grouped).alias("grouped"), "pos", F.col("rank").cast("long"))
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+# Offer dimensions (1-5) derived from the order row, one per scoring-matrix dimension.
+_DIMS_SQL = ",\n  ".join(
+    f"CAST(1 + (o_orderkey * {p} + o_custkey) % 5 AS INT) AS {d}"
+    for d, p in zip(["target", "match", "level", "pay", "growth", "remote", "reputation", "stack", "speed", "culture"],
+                    [3, 7, 11, 13, 17, 19, 23, 29, 31, 37])
+)
+
+
+@register("top_weighted_rank", ("orders",), f"""
+WITH d AS (SELECT o_orderkey AS pos, {_DIMS_SQL} FROM orders),
+w AS (SELECT pos, round((target * 25.0 + match * 15.0 + level * 15.0 + pay * 10.0 + growth * 10.0 + remote * 5.0
+   + reputation * 5.0 + stack * 5.0 + speed * 5.0 + culture * 5.0) / 100.0, 2) AS weighted FROM d)
+SELECT pos, weighted, row_number() OVER (ORDER BY weighted DESC, pos) AS rank FROM w
+""")
+def top_weighted_rank(spark, sf):
+    o = view(spark, sf, "orders")
+    dims = o.select(F.col("o_orderkey").alias("pos"), *[
+        (1 + (F.col("o_orderkey") * p + F.col("o_custkey")) % 5).cast("int").alias(d)
+        for d, p in zip(V.OFFER_WEIGHTS, [3, 7, 11, 13, 17, 19, 23, 29, 31, 37])
+    ])
+    return V.top_weighted_rank(dims, V.OFFER_WEIGHTS).select("pos", "weighted", F.col("rank").cast("long"))

@@ -60,8 +60,12 @@ def src_pipe_table(lines: DataFrame, num_policy: str = "any", min_parts: int = 9
     )
 
 
-def src_pipe_table_mixed(lines: DataFrame) -> DataFrame:
-    """Dashboard reader: pipe or tab rows, ≥8 fields, auto-number, ✅, ``[n](path)``, ``x/5``."""
+def src_pipe_table_mixed(lines: DataFrame, auto_number: bool = True) -> DataFrame:
+    """Dashboard reader: pipe or tab rows, ≥8 fields, auto-number, ✅, ``[n](path)``, ``x/5``.
+
+    The auto-number (position among accepted rows) needs a global running
+    count; jobs that never read ``num`` pass ``auto_number=False`` and skip it.
+    """
     line = T.js_trim(F.col("line"))
     is_tab = F.instr(line, "\t") > 0
     tab_fields = F.transform(
@@ -75,7 +79,8 @@ def src_pipe_table_mixed(lines: DataFrame) -> DataFrame:
         | ~line.startswith("|")
     )
     rows = lines.select("pos", fields.alias("f"), skip.alias("skip")).where(~F.col("skip") & (F.size("f") >= 8))
-    rows = row_number_global(rows.drop("skip"), ["pos"], "seq")
+    rows = rows.drop("skip")
+    rows = row_number_global(rows, ["pos"], "seq") if auto_number else rows.withColumn("seq", F.lit(None))
     f = F.col("f")
     link_num = F.regexp_extract(F.get(f, 7), r"\[([0-9]+)\]\(([^)]+)\)", 1)
     link_path = F.regexp_extract(F.get(f, 7), r"\[([0-9]+)\]\(([^)]+)\)", 2)
