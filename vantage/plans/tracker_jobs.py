@@ -15,7 +15,9 @@ from ..functions import text as T
 from ..operators import aggregates as A
 from ..operators import cadence as C
 from ..operators import filters as F_
+from ..operators import quality as DQ
 from ..operators import views as V
+from ..operators.prefix import row_number_global
 from ..sources import tracker as TR
 from ..sources.bindings import AS_OF_TRACKER, view
 from . import sqlrules as Q
@@ -455,3 +457,187 @@ def top_weighted_rank(spark, sf):
         for d, p in zip(V.OFFER_WEIGHTS, [3, 7, 11, 13, 17, 19, 23, 29, 31, 37])
     ])
     return V.top_weighted_rank(dims, V.OFFER_WEIGHTS).select("pos", "weighted", F.col("rank").cast("long"))
+
+
+# --- data-quality checks -----------------------------------------------------------
+
+_DQ_STATUS_SQL = f"""
+SELECT 'status' AS "check", 'error' AS severity, CAST(num AS VARCHAR) AS key, flag || ': ' || status_raw AS detail FROM (
+  SELECT num, status_raw, 'non_canonical' AS flag FROM trk
+   WHERE {Q.status_clean('status_raw')} NOT IN ('evaluated','applied','responded','interview','offer','rejected','discarded','skip')
+     AND {Q.status_clean('status_raw')} NOT IN {Q.in_list(S.ALIASES.keys())}
+  UNION ALL SELECT num, status_raw, 'bold' FROM trk WHERE strpos(status_raw, '**') > 0
+  UNION ALL SELECT num, status_raw, 'date' FROM trk WHERE regexp_matches(status_raw, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}')
+) f"""
+
+_DUP_KEYS = """(SELECT num, regexp_replace(lower(company), '[^a-z0-9]', '', 'g') || '::' || regexp_replace(lower(role), '[^a-z0-9 ]', '', 'g') AS dup_key FROM trk)"""
+_DQ_DUP_SQL = f"""
+SELECT 'duplicates' AS "check", 'warning' AS severity, dup_key AS key, '#' || CAST(num AS VARCHAR) AS detail
+FROM {_DUP_KEYS} k WHERE dup_key IN (SELECT dup_key FROM {_DUP_KEYS} k2 GROUP BY dup_key HAVING count(*) > 1)"""
+
+_DQ_SCORE_SQL = """
+SELECT 'score_format' AS "check", 'error' AS severity, CAST(num AS VARCHAR) AS key, score_raw AS detail FROM trk
+WHERE NOT regexp_matches(trim(replace(score_raw, '**', '')), '^[0-9]+\\.?[0-9]*/5$')
+  AND trim(replace(score_raw, '**', '')) NOT IN ('N/A', 'DUP')"""
+
+_DQ_BOLD_SQL = """
+SELECT 'bold_score' AS "check", 'warning' AS severity, CAST(num AS VARCHAR) AS key, score_raw AS detail FROM trk
+WHERE strpos(score_raw, '**') > 0"""
+
+_DQ_LINKS_SQL = """
+SELECT 'report_links' AS "check", 'error' AS severity, CAST(num AS VARCHAR) AS key, p AS detail FROM (
+  SELECT num, nullif(regexp_extract(report, '\\]\\(([^)]+)\\)', 1), '') AS p FROM trk) t
+WHERE p IS NOT NULL AND p NOT IN (SELECT path FROM rep)"""
+
+
+@register("dq_status", ("trk",), _DQ_STATUS_SQL)
+def dq_status(spark, sf):
+    return DQ.dq_status(script_apps(spark, sf))
+
+
+@register("dq_duplicates", ("trk",), _DQ_DUP_SQL)
+def dq_duplicates(spark, sf):
+    return DQ.dq_duplicates(script_apps(spark, sf))
+
+
+@register("dq_score_format", ("trk",), _DQ_SCORE_SQL)
+def dq_score_format(spark, sf):
+    return DQ.dq_score_format(script_apps(spark, sf))
+
+
+@register("dq_bold_score", ("trk",), _DQ_BOLD_SQL)
+def dq_bold_score(spark, sf):
+    return DQ.dq_bold_score(script_apps(spark, sf))
+
+
+@register("dq_report_links", ("trk", "rep"), _DQ_LINKS_SQL)
+def dq_report_links(spark, sf):
+    return DQ.dq_report_links(script_apps(spark, sf), view(spark, sf, "rep"))
+
+
+@register("dq_row_format", ("trk",), """
+WITH l AS (SELECT pos, '| ' || CAST(num AS VARCHAR) || ' | ' || date || ' | ' || company || ' | ' || role || ' |' AS line FROM trk WHERE pos % 10 = 3
+           UNION ALL SELECT pos, '| ' || CAST(num AS VARCHAR) || ' | ' || date || ' | ' || company || ' | ' || role || ' | ' || score_raw || ' | ' || status_raw || ' | x | ' || report || ' | ' || notes || ' |' FROM trk WHERE pos % 10 <> 3)
+SELECT 'row_format' AS "check", 'error' AS severity, CAST(pos AS VARCHAR) AS key, substr(line, 1, 80) AS detail FROM l
+WHERE line LIKE '|%' AND strpos(line, '---') = 0 AND strpos(line, 'Empresa') = 0
+  AND len(string_split(line, '|')) < 9
+""")
+def dq_row_format(spark, sf):
+    return DQ.dq_row_format(_damaged_lines(spark, sf))
+
+
+def _damaged_lines(spark, sf):
+    """Tracker text where every tenth row lost its trailing cells (the malformed-row case)."""
+    trk = view(spark, sf, "trk")
+    short = F.concat(F.lit("| "), F.concat_ws(" | ", F.col("num").cast("string"), "date", "company", "role"), F.lit(" |"))
+    full = F.concat(F.lit("| "), F.concat_ws(" | ", F.col("num").cast("string"), "date", "company", "role", "score_raw",
+                                             "status_raw", F.lit("x"), "report", "notes"), F.lit(" |"))
+    return trk.select("pos", F.when(F.col("pos") % 10 == 3, short).otherwise(full).alias("line"))
+
+
+@register("dq_pending_files", ("adds",), """
+SELECT 'pending_files' AS "check", 'warning' AS severity, 'tracker-additions' AS key,
+  CAST(count(*) AS VARCHAR) || ' pending TSVs' AS detail FROM adds WHERE suffix(file, '.tsv') HAVING count(*) > 0
+""")
+def dq_pending_files(spark, sf):
+    return DQ.dq_pending_files(view(spark, sf, "adds"))
+
+
+@register("dq_summary", ("trk", "rep", "adds"), f"""
+WITH f AS ({_DQ_STATUS_SQL} UNION ALL {_DQ_DUP_SQL} UNION ALL {_DQ_SCORE_SQL} UNION ALL {_DQ_BOLD_SQL} UNION ALL {_DQ_LINKS_SQL}
+  UNION ALL SELECT 'pending_files', 'warning', 'x', 'y' FROM (SELECT count(*) AS n FROM adds) WHERE n > 0)
+SELECT count(*) FILTER (WHERE severity = 'error') AS errors, count(*) FILTER (WHERE severity = 'warning') AS warnings,
+  CASE WHEN count(*) FILTER (WHERE severity = 'error') > 0 THEN 'error'
+       WHEN count(*) FILTER (WHERE severity = 'warning') > 0 THEN 'warn' ELSE 'clean' END AS verdict
+FROM f
+""")
+def dq_summary(spark, sf):
+    apps = script_apps(spark, sf)
+    findings = (DQ.dq_status(apps).unionByName(DQ.dq_duplicates(apps)).unionByName(DQ.dq_score_format(apps))
+                .unionByName(DQ.dq_bold_score(apps)).unionByName(DQ.dq_report_links(apps, view(spark, sf, "rep")))
+                .unionByName(DQ.dq_pending_files(view(spark, sf, "adds"))))
+    return DQ.dq_summary(findings)
+
+
+# --- follow-up cadence ----------------------------------------------------------------
+
+def followups(spark, sf):
+    return TR.src_followups(TR.render_followups(view(spark, sf, "fol")))
+
+
+_CADENCE_SQL = f"""
+a AS (SELECT pos, num, date, company, role, {ALIAS_STATUS} AS status, TRY_CAST(date AS DATE) AS app_date FROM trk),
+act AS (SELECT * FROM a WHERE status IN ('applied', 'responded', 'interview') AND app_date IS NOT NULL
+        AND regexp_matches(date, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$')),
+fs AS (SELECT app_num, count(*) AS n, max(date) AS last_fu FROM fol GROUP BY app_num),
+j AS (SELECT act.*, CAST(coalesce(fs.n, 0) AS INTEGER) AS followup_count, TRY_CAST(fs.last_fu AS DATE) AS last_d
+      FROM act LEFT JOIN fs ON fs.app_num = act.num),
+k AS (SELECT *, date_diff('day', app_date, DATE '{AS_OF_TRACKER}') AS days_app,
+             date_diff('day', last_d, DATE '{AS_OF_TRACKER}') AS days_fu,
+  CASE WHEN status = 'applied' THEN (CASE WHEN followup_count >= 2 THEN NULL
+                                          WHEN followup_count = 0 THEN app_date + INTERVAL 7 DAY
+                                          WHEN last_d IS NOT NULL THEN last_d + INTERVAL 7 DAY
+                                          ELSE app_date + INTERVAL 7 DAY END)
+       WHEN status = 'responded' THEN coalesce(last_d + INTERVAL 3 DAY, app_date + INTERVAL 3 DAY)
+       WHEN status = 'interview' THEN app_date + INTERVAL 1 DAY END AS nxt FROM j),
+c AS (SELECT pos, num, date, company, role, status, days_app AS days_since_application,
+  days_fu AS days_since_last_followup, followup_count,
+  CASE WHEN status = 'applied' THEN (CASE WHEN followup_count >= 2 THEN 'cold'
+         WHEN followup_count = 0 AND days_app >= 7 THEN 'overdue'
+         WHEN followup_count > 0 AND days_fu IS NOT NULL AND days_fu >= 7 THEN 'overdue' ELSE 'waiting' END)
+       WHEN status = 'responded' THEN (CASE WHEN days_app < 1 THEN 'urgent' WHEN days_app >= 3 THEN 'overdue' ELSE 'waiting' END)
+       WHEN status = 'interview' THEN (CASE WHEN days_app >= 1 THEN 'overdue' ELSE 'waiting' END)
+       ELSE 'waiting' END AS urgency,
+  CAST(nxt AS DATE) AS next_followup_date, date_diff('day', DATE '{AS_OF_TRACKER}', CAST(nxt AS DATE)) AS days_until_next FROM k)"""
+
+
+def cadence_rows(spark, sf):
+    return C.cadence(script_apps(spark, sf), followups(spark, sf), AS_OF_TRACKER)
+
+
+@register("cls_urgency", ("trk", "fol"), f"WITH {_CADENCE_SQL} SELECT pos, status, followup_count, urgency FROM c")
+def cls_urgency(spark, sf):
+    return cadence_rows(spark, sf).select("pos", "status", "followup_count", "urgency")
+
+
+@register("dat_next_followup", ("trk", "fol"), f"WITH {_CADENCE_SQL} SELECT pos, next_followup_date, days_until_next FROM c")
+def dat_next_followup(spark, sf):
+    return cadence_rows(spark, sf).select("pos", "next_followup_date", "days_until_next")
+
+
+@register("join_followups", ("trk", "fol"), f"""
+WITH {_CADENCE_SQL} SELECT pos, num, followup_count, days_since_last_followup FROM c""")
+def join_followups(spark, sf):
+    return cadence_rows(spark, sf).select("pos", "num", "followup_count", "days_since_last_followup")
+
+
+@register("agg_cadence_meta", ("trk", "fol"), f"""
+WITH {_CADENCE_SQL}
+SELECT (SELECT count(*) FROM trk) AS tracked, count(*) AS actionable,
+  count(*) FILTER (WHERE urgency = 'overdue') AS overdue, count(*) FILTER (WHERE urgency = 'urgent') AS urgent,
+  count(*) FILTER (WHERE urgency = 'cold') AS cold, count(*) FILTER (WHERE urgency = 'waiting') AS waiting FROM c
+""")
+def agg_cadence_meta(spark, sf):
+    apps = script_apps(spark, sf)
+    rows = C.cadence(apps, followups(spark, sf), AS_OF_TRACKER)
+    u = F.col("urgency")
+    meta = rows.agg(F.count(F.lit(1)).alias("actionable"),
+                    *[F.count_if(u == k).alias(k) for k in ["overdue", "urgent", "cold", "waiting"]])
+    return A.with_scalars(meta, apps.agg(F.count(F.lit(1)).alias("tracked"))).select(
+        "tracked", "actionable", "overdue", "urgent", "cold", "waiting")
+
+
+@register("srt_urgency", ("trk", "fol"), f"""
+WITH {_CADENCE_SQL}
+SELECT pos, urgency, row_number() OVER (ORDER BY CASE urgency WHEN 'urgent' THEN 0 WHEN 'overdue' THEN 1
+  WHEN 'waiting' THEN 2 WHEN 'cold' THEN 3 ELSE 9 END, pos) AS rank FROM c
+""")
+def srt_urgency(spark, sf):
+    rows = cadence_rows(spark, sf).select("pos", "urgency")
+    return row_number_global(rows, [C.urgency_rank(F.col("urgency")), F.col("pos")], "rank") \
+        .select("pos", "urgency", F.col("rank").cast("long"))
+
+
+@register("flt_overdue_only", ("trk", "fol"), f"WITH {_CADENCE_SQL} SELECT pos, urgency FROM c WHERE urgency IN ('overdue', 'urgent')")
+def flt_overdue_only(spark, sf):
+    return cadence_rows(spark, sf).where(F.col("urgency").isin("overdue", "urgent")).select("pos", "urgency")
