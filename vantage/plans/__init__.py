@@ -3,5 +3,6 @@
 from . import registry  # noqa: F401
 from . import tracker_jobs  # noqa: F401
 from . import report_jobs  # noqa: F401
+from . import merge_jobs  # noqa: F401
 
 from .registry import ORACLES, QUERIES  # noqa: F401
