@@ -5,5 +5,6 @@ from . import tracker_jobs  # noqa: F401
 from . import report_jobs  # noqa: F401
 from . import merge_jobs  # noqa: F401
 from . import dedup_jobs  # noqa: F401
+from . import scan_jobs  # noqa: F401
 
 from .registry import ORACLES, QUERIES  # noqa: F401

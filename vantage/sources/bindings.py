@@ -143,14 +143,16 @@ SELECT event_id AS pos, concat('Company ', CAST(user_id % 40 AS STRING)) AS comp
 FROM events
 """)
 
-# --- pipeline inbox: one markdown checklist file built from offers ----------
+# --- pipeline inbox: one markdown checklist file built from the seen offers --
 _view("inbox", ("off",), """
 SELECT 'data/pipeline.md' AS file, line_no, line FROM (
   SELECT CAST(0 AS BIGINT) AS line_no, '# Pipeline Inbox' AS line
   UNION ALL SELECT CAST(1 AS BIGINT), '## Pending'
-  UNION ALL SELECT 2 + pos, concat('- [ ] ', url, ' | ', company, ' | ', title) FROM off WHERE pos % 2 = 0
+  UNION ALL SELECT 2 + pos, concat('- [ ] ', url, ' | ', company, ' | ', title) FROM off
+    WHERE pos % 2 = 0 AND ts < TIMESTAMP '2024-01-11 00:00:00'
   UNION ALL SELECT CAST(1000000000 AS BIGINT), '## Processed'
-  UNION ALL SELECT 1000000001 + pos, concat('- [x] ', url, ' | ', company, ' | ', title) FROM off WHERE pos % 2 = 1
+  UNION ALL SELECT 1000000001 + pos, concat('- [x] ', url, ' | ', company, ' | ', title) FROM off
+    WHERE pos % 2 = 1 AND ts < TIMESTAMP '2024-01-11 00:00:00'
 ) t
 """)
 
@@ -178,6 +180,8 @@ def sql_with(names: list[str] | tuple[str, ...], body: str) -> str:
         return body.strip()
     ctes = ",\n".join(f"{n} AS (\n{VIEWS[n][1]}\n)" for n in order)
     body = body.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
