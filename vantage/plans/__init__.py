@@ -7,5 +7,6 @@ from . import merge_jobs  # noqa: F401
 from . import dedup_jobs  # noqa: F401
 from . import scan_jobs  # noqa: F401
 from . import posting_jobs  # noqa: F401
+from . import queue_jobs  # noqa: F401
 
 from .registry import ORACLES, QUERIES  # noqa: F401
