@@ -92,3 +92,44 @@ def status_strict(x: str) -> str:
     alias = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in S.STRICT_ALIASES.items())
     return (f"coalesce(CASE {lower} {canon} END, CASE {lower} {alias} END, "
             f"CASE WHEN regexp_matches({lower}, '^(duplicado|dup|repost)') THEN 'Discarded' END, 'Evaluated')")
+
+
+# JavaScript whitespace set in RE2 syntax (DuckDB's \s is ASCII only).
+WS_RE2 = "[\\s\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]"
+
+
+def decode_entities(x: str) -> str:
+    s = x
+    for ent, ch in [("&amp;", "&"), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">")]:
+        s = f"replace({s}, {q(ent)}, {q(ch)})"
+    return s
+
+
+def strip_tags(x: str) -> str:
+    d = decode_entities(f"regexp_replace({x}, '<[^>]+>', ' ', 'g')")
+    return f"regexp_replace(regexp_replace({d}, '{WS_RE2}+', ' ', 'g'), '^{WS_RE2}+|{WS_RE2}+$', '', 'g')"
+
+
+def absolute_url(base: str, href: str) -> str:
+    origin = f"regexp_extract({base}, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)"
+    scheme = f"regexp_extract({base}, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)"
+    bdir = f"regexp_extract({base}, '^([A-Za-z][A-Za-z0-9+.-]*://[^?#]*/)', 1)"
+    bdir = f"(CASE WHEN {bdir} <> '' THEN {bdir} ELSE {origin} || '/' END)"
+    res = (f"(CASE WHEN regexp_matches({href}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN {href} "
+           f"WHEN starts_with({href}, '//') THEN {scheme} || ':' || {href} "
+           f"WHEN starts_with({href}, '/') THEN {origin} || {href} ELSE {bdir} || {href} END)")
+    host = f"regexp_extract({res}, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)"
+    path = f"substr({res}, length({host}) + 1)"
+    path = f"(CASE WHEN {path} = '' THEN '/' ELSE {path} END)"
+    enc = (f"array_to_string(list_transform(string_split({path}, ''), lambda ch: CASE WHEN regexp_matches(ch, "
+           f"'^[\\x21\\x23-\\x3B\\x3D\\x3F-\\x5F\\x61-\\x7A\\x7C\\x7E]$') THEN ch "
+           f"ELSE regexp_replace(hex(encode(ch)), '(..)', '%\\1', 'g') END), '')")
+    return f"(CASE WHEN {origin} = '' THEN '' ELSE lower({host}) || {enc} END)"
+
+
+def company_from_url(u: str) -> str:
+    path = f"regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
+    seg = f"regexp_extract({path}, '^(?:/+[^/]+)*?/+(?:companies|company)/+([^/]+)', 1)"
+    host = (f"regexp_replace(lower(regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^@/?#]*@)?([^:/?#]*)', 1)), "
+            f"'^www\\.', '')")
+    return f"(CASE WHEN {seg} <> '' THEN {seg} ELSE {host} END)"
