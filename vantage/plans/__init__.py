@@ -9,5 +9,6 @@ from . import scan_jobs  # noqa: F401
 from . import posting_jobs  # noqa: F401
 from . import queue_jobs  # noqa: F401
 from . import page_jobs  # noqa: F401
+from . import doc_jobs  # noqa: F401
 
 from .registry import ORACLES, QUERIES  # noqa: F401
