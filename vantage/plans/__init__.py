@@ -11,5 +11,6 @@ from . import queue_jobs  # noqa: F401
 from . import page_jobs  # noqa: F401
 from . import doc_jobs  # noqa: F401
 from . import payload_jobs  # noqa: F401
+from . import misc_jobs  # noqa: F401
 
 from .registry import ORACLES, QUERIES  # noqa: F401
