@@ -13,5 +13,6 @@ from . import doc_jobs  # noqa: F401
 from . import payload_jobs  # noqa: F401
 from . import misc_jobs  # noqa: F401
 from . import stream_sink_jobs  # noqa: F401
+from . import extra_jobs  # noqa: F401
 
 from .registry import ORACLES, QUERIES  # noqa: F401
