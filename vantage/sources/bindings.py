@@ -188,7 +188,14 @@ def sql_with(names: list[str] | tuple[str, ...], body: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """A base table.  Row-group-less single files come back as one split; the jobs on
+    them are CPU-heavy text work, so such scans are spread over the shuffle partitions
+    (a no-op for real inputs, which arrive in many splits)."""
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    want = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if df.rdd.getNumPartitions() < want:
+        df = df.repartition(want)
+    return df
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

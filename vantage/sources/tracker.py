@@ -36,15 +36,20 @@ def src_pipe_table(lines: DataFrame, num_policy: str = "any", min_parts: int = 9
 
     ``num_policy``: ``any`` (analysis), ``nonzero`` (merge), ``positive`` (dedup).
     """
-    parts = _pipe_parts(F.col("line"))
-    num = T.parse_int_prefix(F.get(parts, 1))
-    keep = F.col("line").startswith("|") & (F.size(parts) >= min_parts) & num.isNotNull()
+    # Guards read the raw split (parseInt skips leading blanks, trimming keeps the count),
+    # so the filter does not repeat the per-cell trimming the projection does.
+    raw = F.split(F.col("line"), r"\|", -1)
+    num0 = T.parse_int_prefix(F.get(raw, 1))
+    keep = F.col("line").startswith("|") & (F.size(raw) >= min_parts) & num0.isNotNull()
     if num_policy == "nonzero":
-        keep = keep & (num != 0)
+        keep = keep & (num0 != 0)
     elif num_policy == "positive":
-        keep = keep & (num > 0)
+        keep = keep & (num0 > 0)
+    split = lines.where(keep).select("pos", _pipe_parts(F.col("line")).alias("_p"))
+    parts = F.col("_p")
+    num = T.parse_int_prefix(F.get(parts, 1))
     return (
-        lines.where(keep)
+        split
         .select(
             "pos",
             num.alias("num"),
@@ -103,10 +108,11 @@ def src_pipe_table_mixed(lines: DataFrame, auto_number: bool = True) -> DataFram
 
 def src_followups(lines: DataFrame) -> DataFrame:
     """Follow-up table reader (``# App# Date Company Role Channel Contact Notes``), ≥8 parts."""
-    parts = _pipe_parts(F.col("line"))
+    split = lines.where(F.col("line").startswith("|")).select("pos", _pipe_parts(F.col("line")).alias("_p"))
+    parts = F.col("_p")
     num = T.parse_int_prefix(F.get(parts, 1))
-    keep = F.col("line").startswith("|") & (F.size(parts) >= 8) & num.isNotNull()
-    return lines.where(keep).select(
+    keep = (F.size(parts) >= 8) & num.isNotNull()
+    return split.where(keep).select(
         "pos",
         num.alias("num"),
         T.parse_int_prefix(F.get(parts, 2)).alias("app_num"),
