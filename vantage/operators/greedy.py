@@ -20,8 +20,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+import logging
+
 from ..session import cut_lineage
 
+log = logging.getLogger(__name__)
+
 
 class RoundLimitExceeded(RuntimeError):
     pass
@@ -48,6 +52,7 @@ def two_key_accept(df: DataFrame, order: str, key1: str, key2: str, max_rounds:
         rest = (undecided.join(acc.select(key1).distinct(), key1, "left_anti")
                 .join(acc.select(key2).distinct(), key2, "left_anti"))
         undecided = cut_lineage(rest)
+    log.info("two_key_accept: %d rounds", rounds)
     acc_all = None
     for p in accepted_parts:
         acc_all = p if acc_all is None else acc_all.unionByName(p)
@@ -87,6 +92,7 @@ def leader_clusters(nodes: DataFrame, edges: DataFrame, node: str = "pos", max_r
         s2 = (s1.join(new_leaders.withColumn("_l", F.lit(True)), "id", "left")
               .select("id", F.when(F.col("_l"), F.lit("L")).otherwise(F.col("st")).alias("st")))
         state = cut_lineage(s2)
+    log.info("leader_clusters: %d rounds", rounds)
     leaders = state.where(F.col("st") == "L").select(F.col("id").alias("a"))
     member_of = (e.join(leaders, "a").join(state.where(F.col("st") == "M").select(F.col("id").alias("b")), "b")
                  .groupBy("b").agg(F.min("a").alias("leader")).withColumnRenamed("b", "id"))

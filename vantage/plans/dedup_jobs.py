@@ -9,6 +9,7 @@ from ..functions import status as S
 from ..functions import text as T
 from ..operators import fuzzy as FZ
 from ..operators import greedy as G
+from ..session import cut_lineage
 from ..sources import tracker as TR
 from ..sources.bindings import view
 from .merge_jobs import DEDUP_TOKENS_SQL, _match_sql
@@ -16,9 +17,10 @@ from .registry import register
 
 
 def dedup_tracker(spark, sf) -> DataFrame:
+    """Parsed tracker with block key and tokens, materialised once: every later step reads it several times."""
     t = TR.src_pipe_table(TR.render_tracker(view(spark, sf, "trk")), "positive")
-    return t.select("pos", "num", "company", "role", "score_raw", "status_raw",
-                    T.company_key_spaced("company").alias("ckey"), FZ.dedup_tokens("role").alias("tokens"))
+    return cut_lineage(t.select("pos", "num", "company", "role", "score_raw", "status_raw",
+                                T.company_key_spaced("company").alias("ckey"), FZ.dedup_tokens("role").alias("tokens")))
 
 
 def dedup_edges(rows: DataFrame) -> DataFrame:
@@ -41,7 +43,7 @@ def join_role_fuzzy_dedup(spark, sf):
 
 def clusters(spark, sf) -> DataFrame:
     rows = dedup_tracker(spark, sf)
-    edges = dedup_edges(rows)
+    edges = cut_lineage(dedup_edges(rows))
     # Only rows with at least one edge can join a cluster; the rest lead themselves.
     nodes = edges.select(F.col("a").alias("pos")).unionByName(edges.select(F.col("b").alias("pos"))).distinct()
     return G.leader_clusters(nodes, edges, "pos")
@@ -78,6 +80,6 @@ def keep_plan(rows: DataFrame, assign: DataFrame) -> DataFrame:
 @register("ddp_tracker_keep")
 def ddp_tracker_keep(spark, sf):
     rows = dedup_tracker(spark, sf)
-    edges = dedup_edges(rows)
+    edges = cut_lineage(dedup_edges(rows))
     nodes = edges.select(F.col("a").alias("pos")).unionByName(edges.select(F.col("b").alias("pos"))).distinct()
     return keep_plan(rows, G.leader_clusters(nodes, edges, "pos"))

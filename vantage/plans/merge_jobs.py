@@ -11,6 +11,7 @@ from ..operators import fuzzy as FZ
 from ..operators import upsert as U
 from ..operators.prefix import row_number_global
 from ..sources import additions as AD
+from ..session import cut_lineage
 from ..sources import tracker as TR
 from ..sources.bindings import view
 from . import sqlrules as Q
@@ -24,8 +25,9 @@ def additions(spark, sf) -> DataFrame:
 
 
 def merge_tracker(spark, sf) -> DataFrame:
+    """The tracker as the merge sees it, materialised once (matched three ways, then joined back)."""
     lines = U.merge_view(TR.render_tracker(view(spark, sf, "trk")))
-    return TR.src_pipe_table(lines, "nonzero")
+    return cut_lineage(TR.src_pipe_table(lines, "nonzero"))
 
 
 def _stop_sql(words):

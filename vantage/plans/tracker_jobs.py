@@ -18,6 +18,7 @@ from ..operators import filters as F_
 from ..operators import quality as DQ
 from ..operators import views as V
 from ..operators.prefix import row_number_global
+from ..session import cut_lineage
 from ..sources import tracker as TR
 from ..sources.bindings import AS_OF_TRACKER, view
 from . import sqlrules as Q
@@ -426,7 +427,8 @@ def _sort_sql():
 
 @register("srt_view", ("trk",), _sort_sql())
 def srt_view(spark, sf):
-    apps = dashboard_apps(spark, sf).select("pos", "date", "company", "status_raw", "score")
+    # Eight orderings of the same rows: parse once, then rank from the materialised copy.
+    apps = cut_lineage(dashboard_apps(spark, sf).select("pos", "date", "company", "status_raw", "score"))
     out = None
     for mode in ["score", "date", "company", "status"]:
         for grouped in (False, True):
