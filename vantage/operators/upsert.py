@@ -33,7 +33,9 @@ def dup_priority(adds: DataFrame, existing: DataFrame) -> DataFrame:
           .join(e.where(F.col("rnum").isNotNull()).select("rnum", "pos"), "rnum")
           .select("add_id", "pos", F.lit(1).alias("tier")))
     t2 = a.select("add_id", "num").join(e.select("num", "pos"), "num").select("add_id", "pos", F.lit(2).alias("tier"))
-    t3 = FZ.fuzzy_join(a.select("add_id", "ckey", "tokens"), e.select(F.col("pos"), "ckey", "tokens"),
+    # Only company blocks that receive an addition can match: prune the tracker side to them first.
+    e_blocks = e.join(a.select("ckey").distinct(), "ckey", "left_semi")
+    t3 = FZ.fuzzy_join(a.select("add_id", "ckey", "tokens"), e_blocks.select(F.col("pos"), "ckey", "tokens"),
                        "ckey", "tokens", "add_id", "pos").select("add_id", "pos", F.lit(3).alias("tier"))
     cands = t1.unionByName(t2).unionByName(t3)
     best = cands.groupBy("add_id").agg(F.min(F.struct("tier", "pos")).alias("b"))

@@ -126,6 +126,7 @@ def join_role_fuzzy(spark, sf):
                                     FZ.merge_tokens("role").alias("tokens"))
     e = merge_tracker(spark, sf).select("pos", T.company_key_alnum("company").alias("ckey"),
                                         FZ.merge_tokens("role").alias("tokens"))
+    e = e.join(a.select("ckey").distinct(), "ckey", "left_semi")  # blocks with an addition only
     return FZ.fuzzy_join(a, e, "ckey", "tokens", "add_id", "pos").select("add_id", "pos")
 
 

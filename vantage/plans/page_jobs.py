@@ -164,7 +164,9 @@ def liveness(df: DataFrame) -> DataFrame:
     st = F.col("status")
 
     def first(patterns, text):
-        out = F.when(F.lit(False), F.lit(None).cast("string"))
+        # One scan for "any pattern" first; only matching texts test the patterns in order.
+        any_re = "(?iu)(?:" + "|".join(K.jsre(p) for p in patterns) + ")"
+        out = F.when(~text.rlike(any_re), F.lit(None).cast("string"))
         for p in patterns:
             out = out.when(text.rlike("(?iu)" + K.jsre(p)), F.lit(p))
         return out
