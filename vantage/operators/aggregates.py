@@ -153,7 +153,7 @@ def with_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
 def status_funnel(apps: DataFrame, status: str = "status") -> DataFrame:
     """agg_status_funnel: count per normalised status and its rounded share of all rows."""
     counts = status_counts(apps, status)
-    total = apps.agg(F.count(F.lit(1)).alias("_total"))
+    total = counts.agg(F.sum("count").alias("_total"))  # from the grouped rows: no second pass over the input
     return with_scalars(counts, total).select(
         "status", "count", T.js_round(F.col("count") / F.col("_total") * 100).cast("long").alias("pct"))
 
