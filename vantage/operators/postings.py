@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import status as S
@@ -101,8 +101,7 @@ def dedup_postings(posts: DataFrame, title_ok: Column, p: PostingFilter, as_of:
     id_dup = F.col("first_pass_pos").isNotNull() & (F.col("first_pass_pos") < F.col("pos"))
     leaders = r.where(~id_dup & F.col("title_ok") & (F.col("reason") == "pass")).select("pos", "url")
     fresh = leaders.join(seen_urls, "url", "left_anti")
-    w = Window.partitionBy("url").orderBy("pos")
-    accepted = fresh.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select("pos", F.lit(True).alias("_acc"))
+    accepted = fresh.groupBy("url").agg(F.min("pos").alias("pos")).select("pos", F.lit(True).alias("_acc"))
     r = r.join(accepted, "pos", "left")
     outcome = (F.when(id_dup, "duplicate").when(~F.col("title_ok"), "title")
                .when(F.col("reason") != "pass", F.col("reason"))

@@ -67,10 +67,14 @@ def dispositions(offers: DataFrame, positive: list[str], negative: list[str],
 
 
 def first_by_key(df: DataFrame, key: str, order: str = "pos") -> DataFrame:
-    """ddp_first_by_key: first row per non-empty key in order."""
-    w = Window.partitionBy(key).orderBy(order)
-    return (df.where(F.col(key).isNotNull() & (F.col(key) != ""))
-            .withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn"))
+    """ddp_first_by_key: first row per non-empty key in order.
+
+    The first position per key is a map-side-combined ``min``; rows are kept by a
+    semi join on (key, position), so a hot key never lands in one window task.
+    """
+    keyed = df.where(F.col(key).isNotNull() & (F.col(key) != ""))
+    firsts = keyed.groupBy(key).agg(F.min(order).alias(order))
+    return keyed.join(firsts, [key, order], "left_semi")
 
 
 def repost_counts(offers: DataFrame, day_col: str = "seen_date", days: int = 90) -> DataFrame:
