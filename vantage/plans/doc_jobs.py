@@ -7,7 +7,6 @@ import os
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import classify as K
 from ..operators import documents as DO
 from ..sources.bindings import AS_OF_EVENTS, _view, view
 from . import sqlrules as Q
@@ -198,5 +197,3 @@ def dat_stale_docs(spark, sf):
     age = F.datediff(F.lit(AS_OF_EVENTS).cast("date"), F.to_date("modificationTime"))
     return files.select("path", age.alias("age_days"), (age > 30).alias("stale"))
 
-
-assert K is not None

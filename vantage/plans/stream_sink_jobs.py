@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import functions as F
 
 from ..operators import sinks as SK
-from ..sources import tracker as TR
 from ..sources.bindings import VIEWS, view
 from ..streaming import ingest as ST
 from .queue_jobs import QU, _LATEST, _QUEUE_SQL, inputs, queue_candidates
+from . import sqlrules as Q
 from .registry import register
 from .scan_jobs import NEGATIVE, POSITIVE, SPLIT_TS, _with_seen, dispositions, history
 from .tracker_jobs import script_apps
@@ -82,9 +80,8 @@ def snk_queue_file(spark, sf):
     return back.select("id", "url", "source", "notes")
 
 
-@register("snk_json_result", ("trk",), """
-SELECT status, CAST(count(*) AS BIGINT) AS count FROM (SELECT """ + "{}".format(
-    __import__("vantage.plans.sqlrules", fromlist=["status_alias"]).status_alias("status_raw")) + """ AS status FROM trk) GROUP BY status""")
+@register("snk_json_result", ("trk",), f"""
+SELECT status, CAST(count(*) AS BIGINT) AS count FROM (SELECT {Q.status_alias('status_raw')} AS status FROM trk) GROUP BY status""")
 def snk_json_result(spark, sf):
     funnel = script_apps(spark, sf).groupBy("status").agg(F.count(F.lit(1)).alias("count"))
     path = SK.scratch_dir(spark, "json")
@@ -127,5 +124,3 @@ def stm_queue_state(spark, sf):
     t = ST.latest_version(spark, out)
     return t.select("id", "s.status", "s.report_num", "s.score", "s.retries")
 
-
-assert TR and os
