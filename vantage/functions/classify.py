@@ -63,7 +63,8 @@ def company_size(c, policy: str = "parity") -> Column:
     tokens = F.regexp_extract_all(lower, F.lit("[0-9,]+"), 0)
     if policy == "safe":
         tokens = F.filter(tokens, lambda t: t.rlike("[0-9]"))
-    values = F.transform(tokens, lambda t: F.regexp_replace(t, ",", "").try_cast("double"))
+    values = F.transform(tokens, lambda t: F.when(F.regexp_replace(t, ",", "") != "",
+                                                  F.regexp_replace(t, ",", "").cast("double")))
     has_nan = F.exists(values, lambda v: v.isNull())
     mx = F.array_max(values)
     by_number = (F.when(has_nan, "enterprise").when(mx <= 50, "startup").when(mx <= 500, "scaleup")

@@ -48,15 +48,23 @@ def strip_bold(c) -> Column:
 
 
 def parse_int_prefix(c) -> Column:
-    """parseInt: leading whitespace, optional sign, digits; else null."""
-    digits = F.regexp_extract(col(c), rf"^{WS_CLASS}*([+-]?[0-9]+)", 1)
-    return F.when(digits != "", digits.try_cast("int"))
+    """parseInt: leading whitespace, optional sign, digits; else null.
+
+    Written so the regex runs once per row: an empty extract casts to null
+    (``try_cast``), so no separate emptiness test repeats the extraction.
+    """
+    return F.regexp_extract(col(c), rf"^{WS_CLASS}*([+-]?[0-9]+)", 1).try_cast("int")
+
+
+def int_of_digits(digits: Column) -> Column:
+    """A validated ``[+-]?[0-9]+`` string (or empty) as INT; null when empty or out of range."""
+    return digits.try_cast("int")
 
 
 def parse_float_prefix(c) -> Column:
     """parseFloat: leading decimal literal (``"4.2/5"`` -> 4.2, ``"**4/5**"`` -> null)."""
     num = F.regexp_extract(col(c), rf"^{WS_CLASS}*([+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?)", 1)
-    return F.when(num != "", num.try_cast("double"))
+    return num.try_cast("double")
 
 
 def js_round(c) -> Column:
@@ -87,8 +95,7 @@ def any_contains(c, terms: list[str]) -> Column:
 
 def report_number(c) -> Column:
     """``[n]`` in a report cell -> n (merge flavour), else null."""
-    d = F.regexp_extract(col(c), r"\[([0-9]+)\]", 1)
-    return F.when(d != "", d.try_cast("int"))
+    return F.regexp_extract(col(c), r"\[([0-9]+)\]", 1).try_cast("int")
 
 
 def report_path(c) -> Column:
@@ -110,8 +117,7 @@ def score_js(c) -> Column:
 
 def score_strict(c) -> Column:
     """Dashboard parser: first ``(\\d+\\.?\\d*)/5``, else 0."""
-    m = F.regexp_extract(col(c), r"([0-9]+\.?[0-9]*)/5", 1)
-    return F.coalesce(F.when(m != "", m.try_cast("double")), F.lit(0.0))
+    return F.coalesce(F.regexp_extract(col(c), r"([0-9]+\.?[0-9]*)/5", 1).try_cast("double"), F.lit(0.0))
 
 
 def company_key_alnum(c) -> Column:

@@ -49,4 +49,4 @@ def src_additions(files: DataFrame) -> DataFrame:
 def file_order_key(file_col: str = "file"):
     """srt_additions: the digits of the file name as a number, 0 when there are none."""
     digits = F.regexp_replace(F.col(file_col), r"[^0-9]", "")
-    return F.coalesce(F.when(digits != "", digits.try_cast("long")), F.lit(0))
+    return F.coalesce(F.when((digits != "") & (F.length(digits) <= 18), digits.cast("long")), F.lit(0))

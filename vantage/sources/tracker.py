@@ -89,7 +89,7 @@ def src_pipe_table_mixed(lines: DataFrame, auto_number: bool = True) -> DataFram
     f = F.col("f")
     link_num = F.regexp_extract(F.get(f, 7), r"\[([0-9]+)\]\(([^)]+)\)", 1)
     link_path = F.regexp_extract(F.get(f, 7), r"\[([0-9]+)\]\(([^)]+)\)", 2)
-    explicit = F.when(F.get(f, 0).rlike(r"^[+-]?[0-9]+$"), F.get(f, 0).try_cast("int"))
+    explicit = F.when(F.get(f, 0).rlike(r"^[+-]?[0-9]+$"), T.int_of_digits(F.get(f, 0)))
     return rows.select(
         "pos",
         F.coalesce(explicit, F.col("seq").cast("int")).alias("num"),
