@@ -62,7 +62,9 @@ def report_fields(reports: DataFrame) -> DataFrame:
 def report_scores(reports: DataFrame) -> DataFrame:
     """src_report_scores: the six numeric scores (signed red flags)."""
     p = plain(F.col("text"))
-    return reports.select("path", *[T.parse_float_prefix(first_match(p, pat)).alias(k)
+    # Every capture is non-empty when the row matches, so an empty extract means "absent":
+    # one regex pass per score instead of a match test plus an extraction.
+    return reports.select("path", *[T.parse_float_prefix(F.regexp_extract(p, pat, 1)).alias(k)
                                     for k, pat in SCORE_PATTERNS.items()])
 
 
