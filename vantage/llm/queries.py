@@ -1,4 +1,5 @@
 """Imports every operator module, which fills the registry."""
 
-from . import ngram_join  # noqa: F401
+from . import (decontaminate, lattice, licences, line_store, ngram_join, packing, paragraph_dedup, preference, secret_scan,  # noqa: F401
+               toxicity)
 from .registry import ORACLES, QUERIES  # noqa: F401
