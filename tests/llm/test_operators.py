@@ -294,17 +294,18 @@ def test_toxicity_grammar():
     assert w("you are an idiot") > w("an idiot here") > w("you are not an idiot") > 0
     assert w('he wrote "idiot"') < w("idiot you") and w("i will kill them") > 0 == w("i will kill time")
     assert w("idiot scum") > w("idiot") and w("nothing here") == 0
-    assert g.features("Idiots are here. IDIOT! calm; scum") [2] == 2
+    assert w("idiots everywhere") == w("idiot") and w("preidiot") == 0
+    assert g.features("Calm are here. IDIOT! calm; scum")[2] == 2
     assert g.features("")[2] == 0
 
 
 def test_toxicity_held_out(spark, empty):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     got = {r.doc_id: r for r in QUERIES["op4_toxicity_grammar"](spark, sf).collect()}
     known = {r["doc_id"]: r["toxic"] for r in ds.dataset(f"{sf}/labels.parquet").to_table().to_pylist()}
     held = [(got[i], t) for i, t in known.items() if got[i].held_out]
     assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i in got)
-    assert len(held) > 30 and np.mean([r.predicted == t for r, t in held]) > 0.95
+    assert len(held) > 700 and np.mean([r.predicted == t for r, t in held]) > 0.98
     assert sum(r.predicted for r, t in held if t) >= 0.9 * sum(t for _, t in held)
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got.values())
     labels = spark.createDataFrame([(1, 1), (None, 0), (3, None)], "doc_id long, toxic int")

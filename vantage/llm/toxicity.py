@@ -3,8 +3,8 @@
 A clause is read as a sequence of symbols (insult, threat, target, negation, reporting verb, quote,
 other word).  Three transducers are composed over it: negation marks insults and threats in its scope,
 reported speech marks what stands in quotes or after a reporting verb, and the pattern acceptor joins
-what is left with targets and adds the weights of the paths it accepts.  The insult lexicon and its
-weights are log-odds learnt from labelled documents, and a logistic model over the clause weights of a
+what is left with targets and adds the weights of the paths it accepts.  The insult lexicon holds word
+stems, since insults inflect, and their weights are log-odds learnt from labelled documents, and a logistic model over the clause weights of a
 document gives its score.  Text alone enters a score.
 """
 
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -25,8 +26,10 @@ from .registry import query
 from .store import crc_fold, materialise, table
 
 #: Labelled rows the lexicon and the logistic model are fitted on; all rows are scored.
-MAX_TRAINING_ROWS = 20_000
-#: A learnt word stands in at least this share of the toxic training documents, and in five.
+MAX_TRAINING_ROWS = 8_000
+#: Letters of a stem.
+STEM_LENGTHS = range(3, 11)
+#: A learnt stem stands in at least this share of the toxic training documents, and in five.
 MIN_SHARE, MIN_DOCS = 0.02, 5
 #: Its log-odds are over this by two standard errors.
 MIN_LOG_ODDS = 1.5
@@ -113,36 +116,42 @@ class Grammar:
     def __post_init__(self):
         self.symbols = {w: s for s, words in (("threat", THREATS), ("target", TARGETS), ("negation", NEGATIONS), ("report", REPORTS))
                         for w in words}
-        self.symbols |= {w: "insult" for w in self.insults}
 
     @cached_property
     def automaton(self):
         a = ahocorasick.Automaton()
-        for w in (*self.insults, *THREATS):
-            a.add_word(w, len(w))
+        for w in (*THREATS, *self.insults):
+            a.add_word(w, (len(w), w in self.insults))
         a.make_automaton()
         return a
 
+    def read(self, word: str) -> tuple[str, float]:
+        """The lexicon transducer: a word's symbol and weight, insults by their heaviest stem."""
+        weight = max((self.insults.get(word[:k], 0.0) for k in STEM_LENGTHS if k <= len(word)), default=0.0)
+        if weight:
+            return "insult", weight
+        symbol = "quote" if word in QUOTES else self.symbols.get(word, "other")
+        return symbol, self.threat_weight if symbol == "threat" else 0.0
+
     def clause_weight(self, clause: str) -> float:
         negation, speech, pattern = Negation(), ReportedSpeech(), Pattern()
         for word in _TOKEN.findall(clause):
-            symbol = "quote" if word in QUOTES else self.symbols.get(word, "other")
-            weight = self.insults.get(word, self.threat_weight if symbol == "threat" else 0.0)
+            symbol, weight = self.read(word)
             symbol, mark = negation.step(symbol, frozenset())
             symbol, mark = speech.step(symbol, mark)
             pattern.step(symbol, mark, weight)
         return pattern.accept()
 
-    def features(self, text: str) -> tuple[float, float, int]:
-        """(largest clause weight, sum of them, matched clauses); clauses without a hit weigh nothing."""
+    def features(self, text: str) -> tuple[float, float, int, int]:
+        """(largest clause weight, sum of them, matched clauses, characters); clauses without a hit weigh nothing."""
         low = text.lower()
         hits = []
-        for end, size in self.automaton.iter(low):
+        for end, (size, stem) in self.automaton.iter(low):
             a, b = end - size, end + 1
-            if (a < 0 or not low[a].isalpha()) and (b >= len(low) or not low[b].isalpha()):
+            if (a < 0 or not low[a].isalpha()) and (stem or b >= len(low) or not low[b].isalpha()):
                 hits.append(end)
         if not hits:
-            return 0.0, 0.0, 0
+            return 0.0, 0.0, 0, len(text)
         top, total, n, k = 0.0, 0.0, 0, 0
         for m in _CLAUSE.finditer(low):
             if k >= len(hits):
@@ -153,12 +162,13 @@ class Grammar:
                 w = self.clause_weight(m[0])
                 if w:
                     top, total, n = max(top, w), total + w, n + 1
-        return top, total, n
+        return top, total, n, len(text)
 
 
-def _inputs(top, total, n) -> np.ndarray:
-    top, total, n = (np.asarray(x, float) for x in (top, total, n))
-    return np.column_stack((np.ones(len(top)), np.log1p(top), np.log1p(total), np.log1p(n)))
+def _inputs(top, total, n, chars) -> np.ndarray:
+    """Inputs of the logistic model; the last is the weight per thousand characters, as chance hits come with length."""
+    top, total, chars = (np.asarray(x, float) for x in (top, total, chars))
+    return np.column_stack((np.ones(len(top)), np.log1p(top), np.log1p(total), np.log1p(1000 * total / (chars + 200))))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 50) -> np.ndarray:
@@ -197,28 +207,49 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFram
             .groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).drop("h"))
 
 
+def _stem_counts(batches):
+    """Rows (stem, a, c): toxic and all documents of a partition that have a word with the stem."""
+    a, c = Counter(), Counter()
+    for batch in batches:
+        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            own = {w[:k] for w in set(_TOKEN.findall(text.lower())) for k in STEM_LENGTHS if k <= len(w)}
+            c.update(own)
+            if toxic:
+                a.update(own)
+    stems = list(c)
+    for at in range(0, len(stems), 50_000):
+        some = stems[at:at + 50_000]
+        yield pa.record_batch([pa.array(some, pa.string()), pa.array([a[s] for s in some], pa.int64()), pa.array([c[s] for s in some], pa.int64())],
+                              names=["stem", "a", "c"])
+
+
 def learn_lexicon(rows: DataFrame) -> dict[str, float]:
-    """Words with their log-odds for toxic documents, where these are surely high."""
+    """Word stems with their log-odds for toxic documents, where these are surely high."""
     totals = rows.agg(F.sum("toxic").alias("p"), F.count("*").alias("n")).first()
     pos, neg = int(totals.p or 0), int(totals.n) - int(totals.p or 0)
     if not pos or not neg:
         return {}
-    words = (rows.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("word"))
-             .where("length(word) > 2").groupBy("word").agg(F.sum("toxic").alias("a"), F.count("*").alias("c"))
-             .where(F.col("a") >= max(MIN_DOCS, math.ceil(MIN_SHARE * pos))))
+    counts = rows.select("text", "toxic").mapInArrow(_stem_counts, "stem string, a long, c long").groupBy("stem").agg(
+        F.sum("a").alias("a"), F.sum("c").alias("c")).where(F.col("a") >= max(MIN_DOCS, math.ceil(MIN_SHARE * pos)))
     a, b = F.col("a") + 0.5, F.col("c") - F.col("a") + 0.5
     odds = F.log(a / (pos - F.col("a") + 0.5)) - F.log(b / (neg - F.col("c") + F.col("a") + 0.5))
-    sure = words.select("word", odds.alias("w"), (odds - 2 * F.sqrt(1 / a + 1 / b)).alias("low")).where(F.col("low") > MIN_LOG_ODDS)
-    return {r.word: float(r.w) for r in sure.orderBy(F.desc("low"), "word").limit(MAX_LEXICON).collect()}
+    sure = counts.select("stem", "a", odds.alias("w"), (odds - 2 * F.sqrt(1 / a + 1 / b)).alias("low")).where(F.col("low") > MIN_LOG_ODDS)
+    found = {r.stem: r for r in sure.orderBy(F.desc("low"), "stem").limit(10 * MAX_LEXICON).collect()}
+    best: list[str] = []
+    # The surest of a chain of stems stands for it; of equally sure ones the longest.
+    for s in sorted(found, key=lambda s: (-round(found[s].low, 2), -len(s), s)):
+        if len(best) < MAX_LEXICON and not any(s.startswith(t) or t.startswith(s) for t in best):
+            best.append(s)
+    return {s: float(found[s].w) for s in best}
 
 
 def _feature_rows(grammar):
-    schema = pa.schema([("top", pa.float64()), ("total", pa.float64()), ("n", pa.int64()), ("toxic", pa.int32())])
+    schema = pa.schema([("top", pa.float64()), ("total", pa.float64()), ("n", pa.int64()), ("chars", pa.int64()), ("toxic", pa.int32())])
 
     def run(batches):
         for batch in batches:
             f = [grammar.value.features(t) for t in batch.column(0).to_pylist()]
-            yield pa.record_batch([*(pa.array([x[i] for x in f], schema.field(i).type) for i in range(3)), batch.column(1)], schema=schema)
+            yield pa.record_batch([*(pa.array([x[i] for x in f], schema.field(i).type) for i in range(4)), batch.column(1)], schema=schema)
 
     return run
 
@@ -232,8 +263,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -
         return Model(grammar, np.array([-3.0, 0.0, 0.0, 0.0]))
     held = rows.sparkSession.sparkContext.broadcast(grammar)
     got = rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(
-        _feature_rows(held), "top double, total double, n long, toxic int").toPandas()
-    x, y = _inputs(got["top"], got["total"], got["n"]), got["toxic"].to_numpy(float)
+        _feature_rows(held), "top double, total double, n long, chars long, toxic int").toPandas()
+    x, y = _inputs(got["top"], got["total"], got["n"], got["chars"]), got["toxic"].to_numpy(float)
     return Model(grammar, fit_logistic(x, y))
 
 
