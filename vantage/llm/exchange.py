@@ -84,14 +84,15 @@ def _choose(names: list[str]):
         for c in tab.column("counts").to_pylist():
             x = np.frombuffer(c, np.int32)
             total[:len(x)] += x
-        kept = owners[total >= owners[:, -1]]
-        return pa.table({n: pa.array(kept[:, i], pa.int64()) for i, n in enumerate(names)})
+        ok = total >= owners[:, -1]
+        columns = {n: pa.array(owners[ok, i], pa.int64()) for i, n in enumerate(names)}
+        return pa.table({**columns, "shared": pa.array(total[ok], pa.int64())})
 
     return choose
 
 
 def sharing_owners(rows: DataFrame, produce, names: list[str]) -> DataFrame:
-    """The ids (long columns ``names``) of owners that share at least the keys they need.
+    """The ids (long columns ``names``) of owners that share at least the keys they need, and how many they share.
 
     ``produce`` runs in the tasks: it maps a record batch of ``rows`` to (ids, needed, keys) per owner,
     keys being distinct uint64 values.
@@ -99,4 +100,4 @@ def sharing_owners(rows: DataFrame, produce, names: list[str]) -> DataFrame:
     packed = rows.mapInArrow(_blocks(produce, shuffle_width(rows.sparkSession)),
                              "part int, block int, shard int, owners binary, keys binary, at binary")
     counted = packed.groupBy("shard").applyInArrow(_count, "part int, block int, owners binary, counts binary")
-    return counted.groupBy("part", "block").applyInArrow(_choose(names), ", ".join(f"{n} long" for n in names))
+    return counted.groupBy("part", "block").applyInArrow(_choose(names), ", ".join(f"{n} long" for n in [*names, "shared"]))

@@ -122,6 +122,17 @@ def _found(k: int, min_words: int, bands: int, rows: int):
     return run
 
 
+def _elements(percent: int):
+    def produce(batch):
+        doc, number, n = (batch.column(i).to_pylist() for i in range(3))
+        tokens = batch.column(3)
+        flat, ends = tokens.flatten().to_numpy().view(np.uint64), np.cumsum([0, *n])
+        for i in range(len(doc)):
+            yield (doc[i], number[i]), -(-percent * n[i] // 100), flat[ends[i]:ends[i + 1]]
+
+    return produce
+
+
 def _verify(sets: DataFrame, percent: int):
     def verify(pairs: DataFrame) -> DataFrame:
         left = sets.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("t_a"))
@@ -154,9 +165,14 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, min_run_wor
     one = F.struct("doc_id", "paragraph")
     classes = materialise(found.groupBy("e0", "e1").agg(
         F.min(one).alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("tokens").alias("tokens")))
-    entries = classes.select(F.explode("bands").alias("bucket"), "id", "n")
-    links = bucket_links(entries, _verify(classes, percent), rank=-F.col("n"),
-                         admit=F.least("l.n", "r.n") * 100 >= F.greatest("l.n", "r.n") * percent)
+    # Only elements that another class has too can be common: they bound a class's links, and a pair's Jaccard.
+    known = sharing_owners(classes.select("id.doc_id", "id.paragraph", "n", "tokens"), _elements(percent), ["doc_id", "paragraph"])
+    linkable = materialise(classes.join(known.select(F.struct("doc_id", "paragraph").alias("id"), "shared"), "id")
+                           .select("id", "n", "shared", "bands", "tokens"))
+    entries = linkable.select(F.explode("bands").alias("bucket"), "id", "n", "shared")
+    most = F.least("l.shared", "r.shared")
+    links = bucket_links(entries, _verify(linkable, percent), rank=-(F.col("shared") * 1000 / F.col("n")).cast("int"),
+                         admit=most * 100 >= (F.col("l.n") + F.col("r.n") - most) * percent)
     comp = connected_components(links)
     placed = materialise(found.select("doc_id", "paragraph", "n_words", "start_char", "end_char", "e0", "e1")
                          .join(classes.select("e0", "e1", "id"), ["e0", "e1"]).join(comp, "id", "left")
