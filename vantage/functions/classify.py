@@ -89,4 +89,4 @@ def blocker(description, severity) -> Column:
 def tech_mentions(description) -> Column:
     """Technology terms in a gap description, first letter upper-cased as matched."""
     found = F.regexp_extract_all(col(description), F.lit("(?i)" + jsre(TECH_TERMS)), 1)
-    return F.transform(found, lambda t: F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, 2, 1 << 20)))
+    return F.transform(found, lambda t: F.concat(F.upper(F.substring(t, 1, 1)), F.substr(t, F.lit(2))))

@@ -63,7 +63,7 @@ def absolute_url(base, href) -> Column:
                 .when(h.startswith("/"), F.concat(origin, h))
                 .otherwise(F.concat(base_dir, h)))
     host_part = F.regexp_extract(resolved, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    path = F.substring(resolved, F.length(host_part) + 1, 1 << 20)
+    path = F.substr(resolved, F.length(host_part) + 1)
     path = F.when(path == "", F.lit("/")).otherwise(path)
     return F.when(origin == "", F.lit("")).otherwise(F.concat(F.lower(host_part), _percent_path(path)))
 

@@ -161,10 +161,10 @@ def js_number(c) -> Column:
     return F.when(c == F.floor(c), F.floor(c).cast("long").cast("string")).otherwise(c.cast("string"))
 
 
-def file_slug(c, max_len: int = 60) -> Column:
-    """File-name slug: path-hostile characters to ``-``, runs collapsed, first ``max_len`` chars."""
+def file_slug(c, max_len: int | None = None) -> Column:
+    """File-name slug: path-hostile characters to ``-``, runs collapsed; the first ``max_len`` characters where given."""
     s = F.regexp_replace(F.regexp_replace(col(c), r'[\s/\\:*?"<>|]', "-"), "-+", "-")
-    return F.substring(s, 1, max_len)
+    return F.substring(s, 1, max_len) if max_len else s
 
 
 EMAIL_RE = r"[A-Za-z0-9_.-]+@[A-Za-z0-9_.-]+\.[A-Za-z0-9_]+"

@@ -2,12 +2,14 @@
 
 Documents are split into lines with ``posexplode`` (one row per line, the
 line number kept); every check is a column predicate over lines or whole
-texts.  The deny-list scan joins lines to patterns through an anchor of
-whole words instead of testing every pattern on every line.
+texts.  The deny-list scan reads each line once with an automaton of the
+patterns.
 """
 
 from __future__ import annotations
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,7 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
         .select(id_col, (F.col("i") + 1).alias("line_no"), "line")
 
 
+# Fixed value (metric pattern).
 METRIC_RE = r"\b\d{2,4}\+?\s*(hours?|%|evals?|layers?|tests?|fields?|bases?)\b"
 
 
@@ -74,29 +77,67 @@ def document_structure(docs: DataFrame) -> DataFrame:
     )
 
 
-def denylist_scan(doc_lines: DataFrame, patterns: DataFrame, anchor_words: int = 5) -> DataFrame:
-    """dq_denylist_scan: (doc_id, line_no, pattern_id) for lines containing a pattern.
+def pattern_blocks(patterns: DataFrame, block_chars: int):
+    """Lists of (pattern_id, pattern) of at most about ``block_chars`` characters, in id order."""
+    block, held = [], 0
+    for r in patterns.select("pattern_id", "pattern").where("pattern is not null").orderBy("pattern_id", "pattern").toLocalIterator():
+        block.append((r[0], r[1]))
+        held += len(r[1]) + 1
+        if held >= block_chars:
+            yield block
+            block, held = [], 0
+    if block:
+        yield block
 
-    A pattern with at least ``anchor_words + 2`` space-separated tokens has
-    its tokens 2..anchor_words+1 as whole tokens of any line that contains it,
-    so lines are joined to patterns on that word window and verified with
-    ``contains``; shorter patterns are few and tested directly.
+
+def denylist_scan(doc_lines: DataFrame, patterns: DataFrame, allowed: Column | None = None, block_chars: int = 1_000_000) -> DataFrame:
+    """dq_denylist_scan: (doc_id, line_no, pattern_id) for lines containing a pattern; an empty one is in every line.
+
+    One automaton finds the patterns of a block, of any length, in one pass over the lines; blocks bound
+    what is broadcast, whatever the number of patterns.  ``allowed`` marks lines that are not searched.
     """
-    p = patterns.withColumn("_tok", F.split("pattern", " ", -1))
-    long_p = p.where(F.size("_tok") >= anchor_words + 2).select(
-        "pattern_id", "pattern", F.array_join(F.slice("_tok", 2, anchor_words), " ").alias("anchor"))
-    short_p = p.where(F.size("_tok") < anchor_words + 2).select("pattern_id", "pattern")
-    tok = F.split("line", " ", -1)
-    n = F.size(tok) - anchor_words + 1
-    windows = doc_lines.select(
-        "doc_id", "line_no", "line",
-        F.explode(F.when(n >= 1, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-                                             lambda i: F.array_join(F.slice(tok, i, anchor_words), " ")))
-                  .otherwise(F.array())).alias("anchor"))
-    hits_long = windows.join(long_p, "anchor").where(F.col("line").contains(F.col("pattern"))) \
-        .select("doc_id", "line_no", "pattern_id").distinct()
-    hits_short = doc_lines.join(short_p, F.col("line").contains(F.col("pattern"))).select("doc_id", "line_no", "pattern_id")
-    return hits_long.unionByName(hits_short)
+    rows = doc_lines if allowed is None else doc_lines.where(~F.coalesce(allowed, F.lit(False)))
+    spark, out = doc_lines.sparkSession, None
+    for block in pattern_blocks(patterns, block_chars):
+        held = spark.sparkContext.broadcast(block)
+        hits = rows.select(F.col("doc_id").cast("long"), F.col("line_no").cast("int"), "line").mapInArrow(
+            _pattern_scan(held), "doc_id long, line_no int, pattern_id long")
+        out = hits if out is None else out.unionByName(hits)
+    return out if out is not None else spark.createDataFrame([], "doc_id long, line_no int, pattern_id long")
+
+
+def _pattern_scan(held):
+    schema = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("pattern_id", pa.int64())])
+
+    def run(batches):
+        by_text: dict[str, list[int]] = {}
+        for i, p in held.value:
+            by_text.setdefault(p, []).append(i)
+        always = by_text.pop("", [])
+        automaton = ahocorasick.Automaton()
+        for p, ids in by_text.items():
+            automaton.add_word(p, ids)
+        automaton.make_automaton()
+        for batch in batches:
+            out = []
+            for doc, no, line in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if line is None:
+                    continue
+                found = set(always)
+                if by_text:
+                    for _, ids in automaton.iter(line):
+                        found.update(ids)
+                out += [(doc, no, i) for i in sorted(found)]
+            if out:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+
+    return run
+
+
+def stale(rows: DataFrame, id_col: str, modified: str, as_of: str, days: int = 30) -> DataFrame:
+    """dat_stale_docs: age in days of each row's modification time, and whether it is over ``days``."""
+    age = F.datediff(F.lit(as_of).cast("date"), F.to_date(modified))
+    return rows.select(id_col, age.cast("long").alias("age_days"), (age > days).alias("stale"))
 
 
 # Fixed values (writing phrases to avoid).
@@ -115,6 +156,7 @@ def banned_phrases(docs: DataFrame) -> DataFrame:
 
 
 _WS = T.WS_CLASS[1:-1]
+# Fixed value (url pattern).
 URL_RE = rf"https?://[^{_WS},，。\n\)）]+|www\.[a-zA-Z0-9.-]+\.[a-zA-Z]{{2,}}[^{_WS},，。\n\)）]*"
 EXCLUDED_HOSTS = ["104.com.tw", "linkedin.com"]
 
@@ -165,6 +207,7 @@ def risk_phrases(text: Column) -> Column:
     return F.filter(arr, lambda p: F.instr(text, p) > 0)
 
 
+# Fixed values (summary block and its keys).
 SUMMARY_BLOCK = r"---SCORE_SUMMARY---\s*([\s\S]*?)---END_SUMMARY---"
 SUMMARY_KEYS = ["COMPANY", "ROLE", "SCORE", "ARCHETYPE", "LEGITIMACY"]
 
@@ -183,7 +226,7 @@ def llm_summary(text: Column) -> list[Column]:
 
 def log_score(text: Column) -> tuple[Column, Column]:
     """src_log_score: score from the first log line with ``"score": n`` (its last occurrence, as a greedy
-    ``sed`` reads it) and the last five lines joined by spaces, cut to 200 characters, as error text."""
+    ``sed`` reads it) and the last five lines joined by spaces as error text."""
     lines_arr = F.split(text, "\n", -1)
     hit = F.filter(lines_arr, lambda x: x.rlike(r"\"score\":[ \t\n\f\r]*[0-9.]"))
     score = F.regexp_extract(F.get(hit, 0), r".*\"score\":[ \t\n\f\r]*([0-9.]+)", 1)
@@ -191,5 +234,5 @@ def log_score(text: Column) -> tuple[Column, Column]:
     body = F.when(ends_nl, F.regexp_replace(text, "\n\\z", "")).otherwise(text)
     parts = F.split(body, "\n", -1)
     tail = F.slice(parts, F.greatest(F.size(parts) - 4, F.lit(1)), 5)
-    err = F.substring(F.concat(F.array_join(tail, " "), F.when(ends_nl, F.lit(" ")).otherwise(F.lit(""))), 1, 200)
+    err = F.concat(F.array_join(tail, " "), F.when(ends_nl, F.lit(" ")).otherwise(F.lit("")))
     return F.when(F.coalesce(score, F.lit("")) != "", score), err

@@ -22,63 +22,50 @@ from pyspark.sql import functions as F
 
 import logging
 
-from ..session import cut_lineage
+from ..session import cut_table, scratch_path
 
 log = logging.getLogger(__name__)
 
 
-class RoundLimitExceeded(RuntimeError):
-    pass
+def two_key_accept(df: DataFrame, order: str, key1: str, key2: str) -> DataFrame:
+    """Return ``df`` with boolean ``accepted`` (``order`` unique; keys non-null).
 
-
-def two_key_accept(df: DataFrame, order: str, key1: str, key2: str, max_rounds: int = 10_000) -> DataFrame:
-    """Return ``df`` with boolean ``accepted`` (``order`` unique; keys non-null)."""
-    undecided = cut_lineage(df.select(order, key1, key2))
-    accepted_parts = []
+    A round accepts the rows that are first under both of their keys and drops every row that shares a
+    key with one.  The loop carries (order, key1, key2) alone.  Firsts are found by joining (key, order)
+    pairs, so a hot key brings one row to a join; accepted rows are appended to one table.
+    """
+    undecided = cut_table(df.select(order, key1, key2))
+    accepted = scratch_path(df.sparkSession)
+    df.select(order, key1, key2).where(F.lit(False)).write.parquet(accepted)
     rounds = 0
-    while True:
-        if undecided.isEmpty():
-            break
+    while not undecided.isEmpty():
         rounds += 1
-        if rounds > max_rounds:
-            raise RoundLimitExceeded(f"two_key_accept: more than {max_rounds} rounds")
-        m1 = undecided.groupBy(key1).agg(F.min(order).alias("_m1"))
-        m2 = undecided.groupBy(key2).agg(F.min(order).alias("_m2"))
-        acc = (undecided.join(m1, key1).join(m2, key2)
-               .where((F.col(order) == F.col("_m1")) & (F.col(order) == F.col("_m2")))
-               .select(order, key1, key2))
-        acc = cut_lineage(acc)
-        accepted_parts.append(acc.select(order))
-        rest = (undecided.join(acc.select(key1).distinct(), key1, "left_anti")
-                .join(acc.select(key2).distinct(), key2, "left_anti"))
-        undecided = cut_lineage(rest)
+        first1 = undecided.groupBy(key1).agg(F.min(order).alias(order))
+        first2 = undecided.groupBy(key2).agg(F.min(order).alias(order))
+        acc = cut_table(undecided.join(first1, [key1, order], "left_semi").join(first2, [key2, order], "left_semi")
+                        .select(order, key1, key2))
+        acc.write.mode("append").parquet(accepted)
+        undecided = cut_table(undecided.join(acc.select(key1), key1, "left_anti").join(acc.select(key2), key2, "left_anti"))
     log.info("two_key_accept: %d rounds", rounds)
-    acc_all = None
-    for p in accepted_parts:
-        acc_all = p if acc_all is None else acc_all.unionByName(p)
-    if acc_all is None:
-        return df.withColumn("accepted", F.lit(False))
-    flags = acc_all.withColumn("accepted", F.lit(True))
+    flags = df.sparkSession.read.schema(undecided.schema).parquet(accepted).select(order, F.lit(True).alias("accepted"))
     return df.join(flags, order, "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
 
 
-def leader_clusters(nodes: DataFrame, edges: DataFrame, node: str = "pos", max_rounds: int = 10_000) -> DataFrame:
+def leader_clusters(nodes: DataFrame, edges: DataFrame, node: str = "pos") -> DataFrame:
     """Assign ``leader`` to every node.
 
     ``nodes`` has the ``node`` id column; ``edges`` has ``a`` (earlier) and
     ``b`` (later) node ids, meaning "a matches b".  Returns ``(node, leader)``
     where leaders map to themselves.
     """
-    state = cut_lineage(nodes.select(F.col(node).alias("id")).distinct().withColumn("st", F.lit("U")))
-    e = cut_lineage(edges.select("a", "b").distinct())
+    state = cut_table(nodes.select(F.col(node).alias("id")).distinct().withColumn("st", F.lit("U")))
+    e = cut_table(edges.select("a", "b").distinct())
     rounds = 0
     while True:
         undecided = state.where(F.col("st") == "U")
         if undecided.isEmpty():
             break
         rounds += 1
-        if rounds > max_rounds:
-            raise RoundLimitExceeded(f"leader_clusters: more than {max_rounds} rounds")
         leaders = state.where(F.col("st") == "L").select(F.col("id").alias("a"))
         # (1) undecided rows with a leading earlier neighbour become members
         new_members = (e.join(leaders, "a").select(F.col("b").alias("id")).distinct()
@@ -91,7 +78,7 @@ def leader_clusters(nodes: DataFrame, edges: DataFrame, node: str = "pos", max_r
         new_leaders = s1.where(F.col("st") == "U").select("id").join(blocked, "id", "left_anti")
         s2 = (s1.join(new_leaders.withColumn("_l", F.lit(True)), "id", "left")
               .select("id", F.when(F.col("_l"), F.lit("L")).otherwise(F.col("st")).alias("st")))
-        state = cut_lineage(s2)
+        state = cut_table(s2)
     log.info("leader_clusters: %d rounds", rounds)
     leaders = state.where(F.col("st") == "L").select(F.col("id").alias("a"))
     member_of = (e.join(leaders, "a").join(state.where(F.col("st") == "M").select(F.col("id").alias("b")), "b")

@@ -40,16 +40,14 @@ def duplicate_key():
 
 
 def dq_duplicates(apps: DataFrame) -> DataFrame:
-    """Rows whose normalised company::role is shared with another row, one finding per member.
+    """One finding per normalised company::role that several rows share: how many, the smallest and the largest number.
 
-    Group sizes come from a map-side-combined count; members are joined back
-    on the key, so a hot key never has to be materialised as one list.
+    Counts and ends are map-side-combined, so a hot key never has to be materialised as one list.
     """
-    keyed = apps.select("num", duplicate_key().alias("dup_key"))
-    groups = keyed.groupBy("dup_key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    members = keyed.join(groups, "dup_key", "left_semi")
-    return _finding(members, "duplicates", "warning", F.col("dup_key"),
-                    F.concat(F.lit("#"), F.col("num").cast("string")))
+    groups = (apps.groupBy(duplicate_key().alias("dup_key"))
+              .agg(F.count(F.lit(1)).alias("n"), F.min("num").alias("first"), F.max("num").alias("last")).where(F.col("n") > 1))
+    return _finding(groups, "duplicates", "warning", F.col("dup_key"),
+                    F.concat(F.col("n").cast("string"), F.lit(" rows, #"), F.col("first").cast("string"), F.lit(" to #"), F.col("last").cast("string")))
 
 
 def dq_report_links(apps: DataFrame, listing: DataFrame) -> DataFrame:
@@ -75,7 +73,7 @@ def dq_row_format(lines: DataFrame) -> DataFrame:
     ln = F.col("line")
     bad = lines.where(ln.startswith("|") & ~ln.contains("---") & ~ln.contains("Empresa")
                       & (F.size(F.split(ln, r"\|", -1)) < 9))
-    return _finding(bad, "row_format", "error", F.col("pos"), F.substring(ln, 1, 80))
+    return _finding(bad, "row_format", "error", F.col("pos"), ln)
 
 
 def dq_pending_files(files: DataFrame) -> DataFrame:
@@ -85,10 +83,23 @@ def dq_pending_files(files: DataFrame) -> DataFrame:
                     F.concat(F.col("n").cast("string"), F.lit(" pending TSVs")))
 
 
-def dq_summary(findings: DataFrame) -> DataFrame:
-    """errors, warnings, verdict clean / warn / error."""
-    c = findings.agg(F.count_if(F.col("severity") == "error").alias("errors"),
-                     F.count_if(F.col("severity") == "warning").alias("warnings"))
+def finding_counts(apps: DataFrame) -> DataFrame:
+    """(errors, warnings) of the checks that look at one row at a time: status, score format and bold scores in one scan."""
+    clean, score = S.status_clean("status_raw"), T.js_trim(T.strip_bold(F.col("score_raw")))
+    one = lambda c: F.when(c, 1).otherwise(0)
+    errors = (one(~clean.isin(*CANONICAL_LOWER) & ~clean.isin(*S.ALIASES.keys())) + one(F.col("status_raw").contains("**"))
+              + one(F.col("status_raw").rlike(r"[0-9]{4}-[0-9]{2}-[0-9]{2}"))
+              + one(~score.rlike(r"^[0-9]+\.?[0-9]*/5$") & (score != "N/A") & (score != "DUP")))
+    return apps.agg(F.sum(errors).alias("errors"), F.sum(one(F.col("score_raw").contains("**"))).alias("warnings"))
+
+
+def dq_summary(counts: DataFrame, findings: list[DataFrame]) -> DataFrame:
+    """errors, warnings, verdict clean / warn / error, from counts and findings of several checks."""
+    parts = counts.select("errors", "warnings")
+    for f in findings:
+        parts = parts.unionByName(f.agg(F.count_if(F.col("severity") == "error").alias("errors"),
+                                        F.count_if(F.col("severity") == "warning").alias("warnings")))
+    c = parts.agg(F.coalesce(F.sum("errors"), F.lit(0)).alias("errors"), F.coalesce(F.sum("warnings"), F.lit(0)).alias("warnings"))
     return c.select("errors", "warnings",
                     F.when(F.col("errors") > 0, "error").when(F.col("warnings") > 0, "warn")
                     .otherwise("clean").alias("verdict"))

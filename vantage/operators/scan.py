@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import cut_lineage
+from ..session import cut_table
 from . import greedy as G
 from .filters import title_predicate
 
@@ -54,7 +54,7 @@ def seen_role_keys(tracker_lines: DataFrame) -> DataFrame:
 def dispositions(offers: DataFrame, positive: list[str], negative: list[str],
                  urls: DataFrame, keys: DataFrame) -> DataFrame:
     """flt_disposition: invalid / skipped_title / skipped_dup / added per offer (ordered by ``pos``)."""
-    o = cut_lineage(normalized(offers).withColumn("_valid", valid(offers))
+    o = cut_table(normalized(offers).withColumn("_valid", valid(offers))
                     .withColumn("_title_ok", title_predicate(F.col("title"), positive, negative)))
     cand = o.where(F.col("_valid") & F.col("_title_ok"))
     fresh = cand.join(urls, "url", "left_anti").join(keys, "role_key", "left_anti")

@@ -10,12 +10,12 @@ prefix scans (no single-partition window).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import cut_lineage, cut_table
 from . import fuzzy as FZ
-from .prefix import running
 
 
 def merge_view(tracker: DataFrame) -> DataFrame:
@@ -33,23 +33,33 @@ def dup_priority(adds: DataFrame, existing: DataFrame) -> DataFrame:
           .join(e.where(F.col("rnum").isNotNull()).select("rnum", "pos"), "rnum")
           .select("add_id", "pos", F.lit(1).alias("tier")))
     t2 = a.select("add_id", "num").join(e.select("num", "pos"), "num").select("add_id", "pos", F.lit(2).alias("tier"))
-    # Only company blocks that receive an addition can match: prune the tracker side to them first.
-    e_blocks = e.join(a.select("ckey").distinct(), "ckey", "left_semi")
-    t3 = FZ.fuzzy_join(a.select("add_id", "ckey", "tokens"), e_blocks.select(F.col("pos"), "ckey", "tokens"),
+    first = F.min(F.struct("tier", "pos")).alias("b")
+    settled = cut_table(t1.unionByName(t2).groupBy("add_id").agg(first).select("add_id", "b.*"))
+    # Only additions that neither number settles are matched by role, and only in their company's block.
+    rest = a.join(settled, "add_id", "left_anti")
+    e_blocks = e.join(rest.select("ckey").distinct(), "ckey", "left_semi")
+    t3 = FZ.fuzzy_join(rest.select("add_id", "ckey", "tokens"), e_blocks.select(F.col("pos"), "ckey", "tokens"),
                        "ckey", "tokens", "add_id", "pos").select("add_id", "pos", F.lit(3).alias("tier"))
-    cands = t1.unionByName(t2).unionByName(t3)
-    best = cands.groupBy("add_id").agg(F.min(F.struct("tier", "pos")).alias("b"))
-    return best.select("add_id", F.col("b.pos").alias("target_pos"), F.col("b.tier").alias("tier"))
+    best = settled.select("add_id", "tier", "pos").unionByName(t3.groupBy("add_id").agg(first).select("add_id", "b.*"))
+    return best.select("add_id", F.col("pos").alias("target_pos"), "tier")
 
 
 def entry_numbers(inserts: DataFrame, max0: DataFrame, order_col: str = "add_order") -> DataFrame:
     """win_entry_number: number every insert; ``max0`` is a one-row frame with column ``max0``."""
-    ranked = running(inserts, [order_col], [("k", F.lit(1).cast("long"), "sum")])
-    with_gap = running(ranked, [order_col], [("gap_max", F.col("num").cast("long") - F.col("k"), "max")])
-    j = with_gap.withColumn("_one", F.lit(1)).join(F.broadcast(max0.withColumn("_one", F.lit(1))), "_one")
-    return j.select(*inserts.columns, "k",
-                    (F.col("k") + F.greatest(F.coalesce(F.col("max0"), F.lit(0)).cast("long"), F.col("gap_max")))
-                    .alias("entry_num")).drop("_one")
+    # One pass: with local ranks, the running maximum of num - k is that of num - local k less the rows before.
+    parts = int(inserts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut_lineage(inserts.repartitionByRange(parts, order_col).withColumn("_pid", F.spark_partition_id()))
+    so_far = Window.partitionBy("_pid").orderBy(order_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = ranged.withColumn("_lk", F.row_number().over(so_far).cast("long"))
+    local = local.withColumn("_lg", F.max(F.col("num").cast("long") - F.col("_lk")).over(so_far))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per range partition
+    carry = (local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.max("_lg").alias("_m"))
+             .withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+             .withColumn("_g", F.max(F.col("_m") - F.col("_off")).over(before)))
+    carry = carry.withColumn("_one", F.lit(1)).join(F.broadcast(max0.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    j = local.join(F.broadcast(carry), "_pid").withColumn("k", F.col("_off") + F.col("_lk"))
+    gap = F.greatest(F.coalesce(F.col("max0"), F.lit(0)).cast("long"), F.col("_g"), F.col("_lg") - F.col("_off"))
+    return j.select(*inserts.columns, "k", (F.col("k") + gap).alias("entry_num"))
 
 
 def upsert(adds: DataFrame, existing: DataFrame) -> DataFrame:
@@ -58,7 +68,7 @@ def upsert(adds: DataFrame, existing: DataFrame) -> DataFrame:
     a = adds.join(dup, "add_id", "left")
     ex = existing.select(F.col("pos").alias("target_pos"), F.col("num").alias("target_num"),
                          T.score_loose("score_raw").alias("old_score"))
-    a = a.join(ex, "target_pos", "left").withColumn("new_score", T.score_loose("score_raw"))
+    a = cut_table(a.join(ex, "target_pos", "left").withColumn("new_score", T.score_loose("score_raw")))
     matched = a.where(F.col("target_pos").isNotNull())
     better = matched.where(F.col("new_score") > F.col("old_score"))
     first_upd = better.groupBy("target_pos").agg(F.min("add_order").alias("first_order"))
@@ -76,3 +86,26 @@ def upsert(adds: DataFrame, existing: DataFrame) -> DataFrame:
         F.lit(None).cast("double").alias("old_score"), F.lit(None).cast("double").alias("new_score"),
         F.lit("insert").alias("action"), "entry_num")
     return acted.unionByName(numbered.withColumn("new_score", F.col("new_score")))
+
+
+TRACKER_COLUMNS = ["num", "date", "company", "role", "score_raw", "status_raw", "pdf", "report", "notes"]
+
+
+def merged_tracker(adds: DataFrame, existing: DataFrame, log: DataFrame) -> DataFrame:
+    """The tracker after the merge: (pos, origin, columns), ``pos`` null for inserted rows.
+
+    An update keeps the old number, status and pdf and notes the re-evaluation; inserted rows have the
+    number the log gave them.
+    """
+    new = adds.select("add_id", *[F.col(c).alias("new_" + c) for c in ("date", "company", "role", "score_raw", "report", "notes")])
+    upd = log.where("action = 'update'").select(F.col("target_pos").alias("pos"), "add_id", "old_score", F.col("new_score").alias("newer")).join(new, "add_id")
+    j = existing.select("pos", *TRACKER_COLUMNS).join(upd, "pos", "left")
+    hit = F.col("add_id").isNotNull()
+    note = F.concat(F.lit("Re-eval "), "new_date", F.lit(" ("), T.js_number("old_score"), F.lit("→"), T.js_number("newer"), F.lit("). "), "new_notes")
+    pick = lambda c: F.when(hit, F.col("new_" + c)).otherwise(F.col(c)).alias(c)
+    kept = j.select("pos", F.when(hit, "updated").otherwise("kept").alias("origin"), F.col("num").cast("long").alias("num"), pick("date"), pick("company"),
+                    pick("role"), pick("score_raw"), "status_raw", "pdf", pick("report"), F.when(hit, note).otherwise(F.col("notes")).alias("notes"))
+    ins = log.where("action = 'insert'").select("add_id", F.col("entry_num").alias("num")).join(adds.drop("num"), "add_id").select(
+        F.lit(None).cast("long").alias("pos"), F.lit("inserted").alias("origin"), "num", "date", "company", "role", "score_raw",
+        F.col("status").alias("status_raw"), "pdf", "report", "notes")
+    return kept.select(F.col("pos").cast("long").alias("pos"), "origin", *TRACKER_COLUMNS).unionByName(ins)

@@ -9,17 +9,18 @@ from ..functions import status as S
 from ..functions import text as T
 from ..operators import fuzzy as FZ
 from ..operators import greedy as G
-from ..session import cut_lineage
+from ..session import cut_table
 from ..sources import tracker as TR
 from ..sources.bindings import view
 from .merge_jobs import DEDUP_TOKENS_SQL, _match_sql
+from . import sqlrules as Q
 from .registry import register
 
 
 def dedup_tracker(spark, sf) -> DataFrame:
     """Parsed tracker with block key and tokens, materialised once: every later step reads it several times."""
     t = TR.src_pipe_table(TR.render_tracker(view(spark, sf, "trk")), "positive")
-    return cut_lineage(t.select("pos", "num", "company", "role", "score_raw", "status_raw",
+    return cut_table(t.select("pos", "num", "company", "role", "score_raw", "status_raw",
                                 T.company_key_spaced("company").alias("ckey"), FZ.dedup_tokens("role").alias("tokens")))
 
 
@@ -43,15 +44,33 @@ def join_role_fuzzy_dedup(spark, sf):
 
 def clusters(spark, sf) -> DataFrame:
     rows = dedup_tracker(spark, sf)
-    edges = cut_lineage(dedup_edges(rows))
+    edges = cut_table(dedup_edges(rows))
     # Only rows with at least one edge can join a cluster; the rest lead themselves.
     nodes = edges.select(F.col("a").alias("pos")).unionByName(edges.select(F.col("b").alias("pos"))).distinct()
     return G.leader_clusters(nodes, edges, "pos")
 
 
-@register("ddp_tracker_cluster")
+# In order of position, a row leads unless an earlier leader matches it: the earliest row of a block leads
+# and claims its matches, then the earliest of the rest, and so on, as one recursion step per leader of a block.
+_LEADER_SQL = f"""
+r AS (SELECT pos, trim(regexp_replace(regexp_replace(regexp_replace(lower(company), '[()]', '', 'g'), '\\s+', ' ', 'g'), '[^a-z0-9 ]', '', 'g')) AS ckey,
+  {DEDUP_TOKENS_SQL.format(x='role')} AS tokens, score_raw, status_raw FROM trk WHERE num > 0),
+e AS (SELECT x.pos AS a, y.pos AS b, x.ckey FROM r x JOIN r y ON x.ckey = y.ckey AND x.pos < y.pos WHERE {_match_sql('x.tokens', 'y.tokens')}),
+adj AS (SELECT ckey, a, list(b) AS bs FROM e GROUP BY ckey, a),
+nodes AS (SELECT ckey, list(DISTINCT p ORDER BY p) AS ps FROM (SELECT ckey, a AS p FROM e UNION SELECT ckey, b FROM e) GROUP BY ckey),
+st(ckey, lead, claimed, rest) AS (
+  SELECT ckey, CAST(NULL AS BIGINT), CAST([] AS BIGINT[]), ps FROM nodes
+  UNION ALL
+  SELECT st.ckey, st.rest[1], list_filter(coalesce(adj.bs, []), lambda x: list_contains(st.rest, x)),
+    list_filter(st.rest, lambda x: x <> st.rest[1] AND NOT list_contains(coalesce(adj.bs, []), x))
+  FROM st LEFT JOIN adj ON adj.a = st.rest[1] WHERE len(st.rest) > 0),
+lead AS (SELECT lead AS pos, lead AS leader FROM st WHERE lead IS NOT NULL
+  UNION ALL SELECT unnest(claimed), lead FROM st WHERE lead IS NOT NULL)"""
+
+
+@register("ddp_tracker_cluster", ("trk",), f"WITH RECURSIVE {_LEADER_SQL.strip()}\nSELECT pos, leader FROM lead")
 def ddp_tracker_cluster(spark, sf):
-    """(pos, leader) for every row that has a fuzzy match; no SQL oracle (greedy, tested by brute force)."""
+    """(pos, leader) for every row that has a fuzzy match."""
     return clusters(spark, sf)
 
 
@@ -77,9 +96,17 @@ def keep_plan(rows: DataFrame, assign: DataFrame) -> DataFrame:
     )
 
 
-@register("ddp_tracker_keep")
+@register("ddp_tracker_keep", ("trk",), f"""WITH RECURSIVE {_LEADER_SQL.strip()},
+c AS (SELECT lead.pos, leader, {Q.score_loose('score_raw')} AS score, {Q.status_rank_raw('status_raw')} AS rank, status_raw FROM lead JOIN r ON r.pos = lead.pos),
+k AS (SELECT *, first_value(pos) OVER (PARTITION BY leader ORDER BY score DESC, pos) AS keeper, count(*) OVER (PARTITION BY leader) AS n FROM c),
+kr AS (SELECT leader, rank AS krank, status_raw AS kstatus FROM k WHERE pos = keeper),
+b AS (SELECT leader, rank AS brank, status_raw AS bstatus FROM k WHERE pos <> keeper
+  QUALIFY row_number() OVER (PARTITION BY leader ORDER BY rank DESC, score DESC, pos) = 1)
+SELECT pos, k.leader, keeper, CASE WHEN pos = keeper THEN 'keep' ELSE 'remove' END AS action,
+  CASE WHEN pos = keeper THEN CASE WHEN brank > krank THEN bstatus ELSE kstatus END END AS status
+FROM k JOIN kr USING (leader) LEFT JOIN b USING (leader) WHERE n >= 2""")
 def ddp_tracker_keep(spark, sf):
     rows = dedup_tracker(spark, sf)
-    edges = cut_lineage(dedup_edges(rows))
+    edges = cut_table(dedup_edges(rows))
     nodes = edges.select(F.col("a").alias("pos")).unionByName(edges.select(F.col("b").alias("pos"))).distinct()
     return keep_plan(rows, G.leader_clusters(nodes, edges, "pos"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,16 +22,29 @@ SELECT doc_id, concat(text,
 FROM documents
 """)
 
-# Deny-list patterns: every benchmark line of 40+ characters (benchmark passages leak into documents).
+# Documents with lint findings, paths, phrases, urls, role signals and structure pieces appended.
+_view("dmix", ("documents",), """
+SELECT doc_id, source, concat(text,
+  CASE WHEN doc_id % 5 = 0 THEN concat(chr(10), 'It took ', CAST(10 + doc_id % 90 AS STRING), '+ hours and 300 tests', chr(10), '# 45 evals', chr(10), 'NEVER hardcode 20 layers') ELSE '' END,
+  CASE WHEN doc_id % 7 = 1 THEN concat(chr(10), 'saved in ', split_part('/Users/jane/notes|/home/joe/notes', '|', CAST(doc_id % 2 AS INT) + 1), CAST(doc_id AS STRING)) ELSE '' END,
+  CASE WHEN doc_id % 6 = 2 THEN concat(chr(10), 'A ', split_part('Robust|seamless|cutting-edge and INNOVATIVE|spearheaded', '|', CAST(doc_id % 4 AS INT) + 1), ' plan') ELSE '' END,
+  CASE WHEN doc_id % 4 = 3 THEN concat(chr(10), 'See https://a.example.com/x?y=', CAST(doc_id AS STRING), ', www.site.example.org/z. and https://www.104.com.tw/job/1') ELSE '' END,
+  CASE WHEN doc_id % 9 = 4 THEN concat(chr(10), 'React and Vue dashboard, ', split_part('crypto|cloud observability|roadmap|analytics products', '|', CAST(doc_id % 4 AS INT) + 1)) ELSE '' END,
+  CASE WHEN doc_id % 8 = 5 THEN concat(chr(10), split_part('責任制|面議|派遣 駐點', '|', CAST(doc_id % 3 AS INT) + 1)) ELSE '' END,
+  CASE WHEN doc_id % 3 = 1 THEN concat(chr(10), 'full_name: x', CASE WHEN doc_id % 2 = 0 THEN ' email: y' ELSE '' END, CASE WHEN doc_id % 12 = 4 THEN ' location: z' ELSE '' END) ELSE '' END,
+  CASE WHEN doc_id % 10 = 6 THEN concat(chr(10), chr(92), 'section{Education}', chr(10), chr(92), 'begin{document}', chr(10), chr(92), 'resumeItem{a} {{NAME}}', chr(10),
+    CASE WHEN doc_id % 20 = 6 THEN concat(chr(92), 'resumeSubheading{b} {{CITY}} {{NAME}}', chr(10), chr(92), 'resumeItem{c}') ELSE '' END) ELSE '' END) AS text
+FROM documents
+""")
+
+# Deny-list patterns: every benchmark line (benchmark passages leak into documents).
 _BPAT_SQL = """bpat AS (SELECT item_id * 1000 + i AS pattern_id, string_split(text, chr(10))[i] AS pattern
-  FROM benchmark, range(1, CAST(len(string_split(text, chr(10))) AS BIGINT) + 1) t(i)
-  WHERE length(string_split(text, chr(10))[i]) >= 40)"""
+  FROM benchmark, range(1, CAST(len(string_split(text, chr(10))) AS BIGINT) + 1) t(i))"""
 
 
 def bench_patterns(spark, sf) -> DataFrame:
     b = view(spark, sf, "benchmark").select("item_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "pattern"))
-    return b.where(F.length("pattern") >= 40).select((F.col("item_id") * 1000 + F.col("i") + 1).alias("pattern_id"),
-                                                     "pattern")
+    return b.select((F.col("item_id") * 1000 + F.col("i") + 1).alias("pattern_id"), "pattern")
 
 
 ALLOWED_SOURCES = ["src0"]  # documents exempt from the path check (an allow-list parameter)
@@ -41,14 +52,15 @@ HOME_MARKERS = ["/Users/", "/home/"]
 
 
 def docs(spark, sf) -> DataFrame:
-    return view(spark, sf, "documents")
+    return view(spark, sf, "dmix")
 
 
-_LINES_SQL = """dl AS (SELECT d.doc_id, CAST(i AS INTEGER) AS line_no, string_split(d.text, chr(10))[i] AS line, d.source
-  FROM documents d, range(1, CAST(len(string_split(d.text, chr(10))) AS BIGINT) + 1) t(i))"""
+def _lines_sql(docs: str) -> str:
+    return f"""dl AS (SELECT d.doc_id, CAST(i AS INTEGER) AS line_no, string_split(d.text, chr(10))[i] AS line, d.source
+  FROM {docs} d, range(1, CAST(len(string_split(d.text, chr(10))) AS BIGINT) + 1) t(i))"""
 
 
-@register("dq_metric_lint", ("documents",), f"""WITH {_LINES_SQL}
+@register("dq_metric_lint", ("dmix",), f"""WITH {_lines_sql("dmix")}
 SELECT doc_id, line_no, regexp_extract(line, {Q.q('(?i)' + DO.METRIC_RE)}, 0) AS match FROM dl
 WHERE NOT (strpos(line, 'NEVER hardcode') > 0 OR strpos(line, 'NUNCA hardcode') > 0 OR starts_with(line, '#') OR starts_with(line, '<!--'))
   AND regexp_matches(line, {Q.q('(?i)' + DO.METRIC_RE)})""")
@@ -56,11 +68,11 @@ def dq_metric_lint(spark, sf):
     return DO.metric_lint(DO.lines(docs(spark, sf)))
 
 
-@register("dq_required_fields", ("documents",), f"""
-SELECT doc_id, 'short' AS issue FROM documents WHERE length(regexp_replace(text, '^{Q.WS_RE2}+|{Q.WS_RE2}+$', '', 'g')) < 100
+@register("dq_required_fields", ("dmix",), f"""
+SELECT doc_id, 'short' AS issue FROM dmix WHERE length(regexp_replace(text, '^{Q.WS_RE2}+|{Q.WS_RE2}+$', '', 'g')) < 100
 UNION ALL
 SELECT doc_id, 'field:' || CASE WHEN strpos(text, 'full_name') = 0 OR strpos(text, '"Jane Smith"') > 0 THEN 'full_name'
-  WHEN strpos(text, 'email') = 0 THEN 'email' ELSE 'location' END FROM documents
+  WHEN strpos(text, 'email') = 0 THEN 'email' ELSE 'location' END FROM dmix
 WHERE strpos(text, 'full_name') = 0 OR strpos(text, 'email') = 0 OR strpos(text, 'location') = 0 OR strpos(text, '"Jane Smith"') > 0""")
 def dq_required_fields(spark, sf):
     return DO.required_fields(docs(spark, sf))
@@ -72,34 +84,34 @@ def _structure_sql():
                          for s in ["\\begin{document}", "\\end{document}", "\\pdfgentounicode=1"]])
     return f"""
 SELECT doc_id, {miss} AS n_missing,
-  array_to_string(list_distinct(regexp_extract_all(text, '\\{{\\{{[A-Z_]+\\}}\\}}')), ', ') AS placeholders,
+  array_to_string(list_filter(regexp_extract_all(text, '\\{{\\{{[A-Z_]+\\}}\\}}'), lambda x, i: list_position(regexp_extract_all(text, '\\{{\\{{[A-Z_]+\\}}\\}}'), x) = i), ', ') AS placeholders,
   len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\\\\resumeItem\\{{'))) AS resume_items,
   len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\\\\resumeSubheading[^C]'))) AS subheadings
-FROM documents"""
+FROM dmix"""
 
 
-@register("dq_document_structure", ("documents",), _structure_sql())
+@register("dq_document_structure", ("dmix",), _structure_sql())
 def dq_document_structure(spark, sf):
     return DO.document_structure(docs(spark, sf))
 
 
-@register("dq_denylist_scan", ("documents", "benchmark"), f"""WITH {_LINES_SQL}, {_BPAT_SQL}
+@register("dq_denylist_scan", ("documents", "benchmark"), f"""WITH {_lines_sql("documents")}, {_BPAT_SQL}
 SELECT DISTINCT dl.doc_id, dl.line_no, p.pattern_id FROM dl JOIN bpat p ON strpos(dl.line, p.pattern) > 0""")
 def dq_denylist_scan(spark, sf):
-    return DO.denylist_scan(DO.lines(docs(spark, sf)), bench_patterns(spark, sf)).distinct()
+    return DO.denylist_scan(DO.lines(view(spark, sf, "documents")), bench_patterns(spark, sf))
 
 
-@register("dq_absolute_paths", ("documents",), f"""WITH {_LINES_SQL}
-SELECT doc_id, line_no, substr(line, 1, 100) AS detail FROM dl
+@register("dq_absolute_paths", ("dmix",), f"""WITH {_lines_sql("dmix")}
+SELECT doc_id, line_no, line AS detail FROM dl
 WHERE (strpos(line, '/Users/') > 0 OR strpos(line, '/home/') > 0) AND source NOT IN ('src0')""")
 def dq_absolute_paths(spark, sf):
     d = docs(spark, sf).where(~F.col("source").isin(*ALLOWED_SOURCES))
     ln = DO.lines(d)
     hit = F.col("line").contains(HOME_MARKERS[0]) | F.col("line").contains(HOME_MARKERS[1])
-    return ln.where(hit).select("doc_id", "line_no", F.substring("line", 1, 100).alias("detail"))
+    return ln.where(hit).select("doc_id", "line_no", F.col("line").alias("detail"))
 
 
-@register("dq_banned_phrases", ("documents",), "SELECT doc_id, phrase FROM documents, (VALUES "
+@register("dq_banned_phrases", ("dmix",), "SELECT doc_id, phrase FROM dmix, (VALUES "
           + ", ".join(f"({Q.q(p)})" for p in DO.BANNED_PHRASES) + ") v(phrase) WHERE strpos(lower(text), phrase) > 0")
 def dq_banned_phrases(spark, sf):
     return DO.banned_phrases(docs(spark, sf))
@@ -108,8 +120,8 @@ def dq_banned_phrases(spark, sf):
 _URL_RE2 = DO.URL_RE.replace(DO._WS, Q.WS_RE2[1:-1])
 
 
-@register("txt_urls", ("documents",), f"""
-WITH u AS (SELECT doc_id, regexp_extract_all(text, {Q.q(_URL_RE2)}) AS l FROM documents),
+@register("txt_urls", ("dmix",), f"""
+WITH u AS (SELECT doc_id, regexp_extract_all(text, {Q.q(_URL_RE2)}) AS l FROM dmix),
 v AS (SELECT doc_id, list_filter(list_transform(list_transform(l, lambda x: regexp_replace(x, '[.。,，]+$', '')),
         lambda x: CASE WHEN starts_with(x, 'http') THEN x ELSE 'https://' || x END),
         lambda x: strpos(x, '104.com.tw') = 0 AND strpos(x, 'linkedin.com') = 0) AS l FROM u)
@@ -123,12 +135,12 @@ def _votes_sql():
     for i, (name, signals) in enumerate(DO.ARCHETYPES):
         pat = "(" + "|".join(r"\b" + DO._re_escape(s.lower()) + r"\b" for s in signals) + ")"
         parts.append(f"SELECT doc_id, {i} AS o, {Q.q(name)} AS archetype, "
-                     f"CAST(len(regexp_extract_all(lower(text), {Q.q(pat)})) AS INTEGER) AS votes FROM documents")
+                     f"CAST(len(regexp_extract_all(lower(text), {Q.q(pat)})) AS INTEGER) AS votes FROM dmix")
     return ("WITH v AS (" + " UNION ALL ".join(parts) + ")\nSELECT doc_id, CAST(r AS INTEGER) AS rank, archetype, votes FROM ("
             "SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY votes DESC, o) AS r FROM v) WHERE r <= 2")
 
 
-@register("cls_archetype", ("documents",), _votes_sql())
+@register("cls_archetype", ("dmix",), _votes_sql())
 def cls_archetype(spark, sf):
     v = docs(spark, sf).select("doc_id", DO.archetype_votes(F.col("text")).alias("v"))
     top = v.select("doc_id", F.posexplode(F.slice("v", 1, 2)).alias("r", "x"))
@@ -136,7 +148,7 @@ def cls_archetype(spark, sf):
                       F.col("x.votes").cast("int").alias("votes"))
 
 
-@register("cls_risk_phrases", ("documents",), "SELECT doc_id, phrase FROM documents, (VALUES "
+@register("cls_risk_phrases", ("dmix",), "SELECT doc_id, phrase FROM dmix, (VALUES "
           + ", ".join(f"({Q.q(p)})" for p in DO.RISK_PHRASES) + ") v(phrase) WHERE strpos(text, phrase) > 0")
 def cls_risk_phrases(spark, sf):
     return docs(spark, sf).select("doc_id", F.explode(DO.risk_phrases(F.col("text"))).alias("phrase"))
@@ -162,7 +174,7 @@ WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls,
   CASE WHEN suffix(text, chr(10)) THEN string_split(left(text, length(text) - 1), chr(10)) ELSE string_split(text, chr(10)) END AS body FROM docx)
 SELECT doc_id,
   nullif(regexp_extract(list_filter(ls, lambda x: regexp_matches(x, '"score":[ \\t\\n\\f\\r]*[0-9.]'))[1], '.*"score":[ \\t\\n\\f\\r]*([0-9.]+)', 1), '') AS score,
-  substr(array_to_string(body[greatest(len(body) - 4, 1):], ' ') || CASE WHEN suffix(text, chr(10)) THEN ' ' ELSE '' END, 1, 200) AS error
+  array_to_string(body[greatest(len(body) - 4, 1):], ' ') || CASE WHEN suffix(text, chr(10)) THEN ' ' ELSE '' END AS error
 FROM l""")
 def src_log_score(spark, sf):
     score, err = DO.log_score(F.col("text"))
@@ -172,28 +184,22 @@ def src_log_score(spark, sf):
 @register("txt_keyword_coverage", ("benchmark", "documents"), """
 WITH t AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM benchmark),
 c AS (SELECT item_id, w, count(*) AS n FROM t GROUP BY ALL),
-top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, w) AS r FROM c) WHERE r <= 20),
-prof AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM documents WHERE doc_id = 0)
+prof AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM documents)
 SELECT item_id, count(*) AS terms, count(prof.w) AS present, count(prof.w)::DOUBLE / count(*)::DOUBLE AS coverage
-FROM top LEFT JOIN prof USING (w) GROUP BY item_id""")
+FROM c LEFT JOIN prof USING (w) GROUP BY item_id""")
 def txt_keyword_coverage(spark, sf):
-    from pyspark.sql import Window
-
+    """Share of each item's terms that occur in the documents."""
     b = view(spark, sf, "benchmark").select("item_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), 0)).alias("w"))
-    c = b.groupBy("item_id", "w").agg(F.count(F.lit(1)).alias("n"))
-    top = c.withColumn("r", F.row_number().over(Window.partitionBy("item_id").orderBy(F.col("n").desc(), "w"))).where("r <= 20")
-    prof = docs(spark, sf).where(F.col("doc_id") == 0).select(
-        F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), 0)).alias("w")).distinct() \
+    prof = view(spark, sf, "documents").select(
+        F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), 0))).alias("w")).distinct() \
         .withColumn("hit", F.lit(1))
-    j = top.join(prof, "w", "left")
+    j = b.distinct().join(prof, "w", "left")
     return j.groupBy("item_id").agg(F.count(F.lit(1)).alias("terms"), F.count("hit").alias("present")) \
         .withColumn("coverage", F.col("present").cast("double") / F.col("terms").cast("double"))
 
 
-@register("dat_stale_docs")
+@register("dat_stale_docs", ("off",), f"""
+SELECT pos, date_diff('day', CAST(ts AS DATE), DATE '{AS_OF_EVENTS}') AS age_days,
+  date_diff('day', CAST(ts AS DATE), DATE '{AS_OF_EVENTS}') > 30 AS stale FROM off""")
 def dat_stale_docs(spark, sf):
-    """Table files modified more than 30 days before ``as_of`` (file metadata via binaryFile; no SQL oracle)."""
-    files = spark.read.format("binaryFile").load(os.path.join(sf, "*.parquet")).select("path", "modificationTime")
-    age = F.datediff(F.lit(AS_OF_EVENTS).cast("date"), F.to_date("modificationTime"))
-    return files.select("path", age.alias("age_days"), (age > 30).alias("stale"))
-
+    return DO.stale(view(spark, sf, "off"), "pos", "ts", AS_OF_EVENTS)

@@ -244,8 +244,8 @@ def _block_ok(t: Column) -> Column:
             & (letters > F.length(t) * 0.3))
 
 
-def site_profile(pages: DataFrame) -> DataFrame:
-    """src_site_profile: intro (JSON-LD description, else og/meta description), brand, first 12 quality text blocks."""
+def site_profile(pages: DataFrame, max_blocks: int | None = None) -> DataFrame:
+    """src_site_profile: intro (JSON-LD description, else og/meta description), brand, quality text blocks (the first ``max_blocks``)."""
     h = F.col("html")
     og = F.coalesce(F.when(h.rlike(OG_RE), F.regexp_extract(h, OG_RE, 1)), F.when(h.rlike(META_RE), F.regexp_extract(h, META_RE, 1)),
                     F.lit(""))
@@ -255,7 +255,9 @@ def site_profile(pages: DataFrame) -> DataFrame:
     ld_desc = F.when(ld_ok, F.get_json_object(ld, "$.description"))
     no_script = F.regexp_replace(F.regexp_replace(h, r"(?i)<script[\s\S]*?</script>", ""), r"(?i)<style[\s\S]*?</style>", "")
     blocks = F.transform(F.regexp_extract_all(no_script, F.lit(BLOCK_RE), 2), _clean_block)
-    good = F.slice(F.filter(blocks, _block_ok), 1, 12)
+    good = F.filter(blocks, _block_ok)
+    if max_blocks is not None:
+        good = F.slice(good, 1, max_blocks)
     return pages.select("page_id", F.coalesce(F.when(_s(ld_desc) != "", ld_desc), og).alias("intro"),
                         F.coalesce(ld_name, F.lit("")).alias("brand"), F.size(good).alias("n_blocks"),
                         F.array_join(good, "\n").alias("blocks"))
@@ -275,7 +277,7 @@ b AS (SELECT page_id, html, list_transform(regexp_extract_all(ns, {Q.q(BLOCK_RE2
 g AS (SELECT page_id, html, list_filter(bl, lambda t: length(t) > 30 AND length(t) < 400
   AND NOT regexp_matches(regexp_replace(t, '{Q.WS_RE2}', '', 'g'), '([A-Z][a-z]+){{4,}}')
   AND NOT regexp_matches(t, '(?i)copyright|cookie|privacy|all rights reserved')
-  AND len(regexp_extract_all(t, '[a-zA-Z一-龥]')) > length(t) * 0.3)[1:12] AS good FROM b)
+  AND len(regexp_extract_all(t, '[a-zA-Z一-龥]')) > length(t) * 0.3) AS good FROM b)
 SELECT page_id, coalesce(nullif(regexp_extract(html, {Q.q(OG_RE)}, 1), ''), nullif(regexp_extract(html, {Q.q(META_RE)}, 1), ''), '') AS intro,
   '' AS brand, CAST(len(good) AS INTEGER) AS n_blocks, array_to_string(good, chr(10)) AS blocks FROM g""")
 def src_site_profile(spark, sf):
@@ -315,14 +317,26 @@ def html_cards(pages: DataFrame, window: int = 2500) -> DataFrame:
         "page_id", "idx", H.strip_tags(inner).alias("title"),
         H.absolute_url(F.col("url"), F.split(H.decode_entities(href), r"\?", 2).getItem(0)).alias("job_url"),
         F.coalesce(F.when(H.strip_tags(company) != "", H.strip_tags(company)),
-                   H.company_from_url(F.concat(F.lit("https://x"), href))).alias("company"))
+                   F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), H.company_from_url(href)).otherwise(F.lit(""))).alias("company"))
     w = Window.partitionBy("page_id", "job_url").orderBy("idx")
     return out.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-@register("src_html_cards")
+_STRIPPED = "trim(regexp_replace(regexp_replace({x}, '<[^>]+>', ' ', 'g'), '{ws}+', ' ', 'g'))".replace("{ws}", Q.WS_RE2)
+
+
+@register("src_html_cards", ("cards",), f"""
+WITH m AS (SELECT page_id, url, html, regexp_extract_all(html, {Q.q(CARD_RE)}, 0) AS ms FROM cards),
+e AS (SELECT page_id, url, html, CAST(i - 1 AS INTEGER) AS idx, ms[i] AS m, strpos(html, ms[i]) AS p FROM m, range(1, CAST(len(ms) AS BIGINT) + 1) t(i)),
+x AS (SELECT *, regexp_extract(regexp_extract(m, {Q.q(CARD_RE)}, 1), '(?i)href=["'']([^"'']+)["'']', 1) AS href,
+  regexp_extract(m, {Q.q(CARD_RE)}, 2) AS inner_html,
+  regexp_extract(substr(html, greatest(p - 2500, 1), least(p + 2500, length(html) + 1) - greatest(p - 2500, 1)), {Q.q(COMPANY_RE)}, 1) AS chtml FROM e),
+o AS (SELECT page_id, idx, {_STRIPPED.replace("{x}", "inner_html")} AS title,
+  regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) || split_part(href, '?', 1) AS job_url, {_STRIPPED.replace("{x}", "chtml")} AS company
+  FROM x WHERE regexp_matches(href, '(?i)/companies/[^/]+/jobs/[^/?#]+'))
+SELECT page_id, idx, title, job_url, company FROM o QUALIFY row_number() OVER (PARTITION BY page_id, job_url ORDER BY idx) = 1""")
 def src_html_cards(spark, sf):
-    """Card extraction over listing pages (rows check; the anchor position window has no SQL twin)."""
+    """Job cards of listing pages; the company stands in a window around the title anchor."""
     return html_cards(view(spark, sf, "cards"))
 
 

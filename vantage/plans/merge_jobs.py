@@ -11,7 +11,7 @@ from ..operators import fuzzy as FZ
 from ..operators import upsert as U
 from ..operators.prefix import row_number_global
 from ..sources import additions as AD
-from ..session import cut_lineage
+from ..session import cut_table
 from ..sources import tracker as TR
 from ..sources.bindings import view
 from . import sqlrules as Q
@@ -27,7 +27,7 @@ def additions(spark, sf) -> DataFrame:
 def merge_tracker(spark, sf) -> DataFrame:
     """The tracker as the merge sees it, materialised once (matched three ways, then joined back)."""
     lines = U.merge_view(TR.render_tracker(view(spark, sf, "trk")))
-    return cut_lineage(TR.src_pipe_table(lines, "nonzero"))
+    return cut_table(TR.src_pipe_table(lines, "nonzero"))
 
 
 def _stop_sql(words):
@@ -138,6 +138,26 @@ def upsert_tracker(spark, sf):
         "old_score", "new_score", "action", F.col("entry_num").cast("long"))
 
 
+def _js(x: str) -> str:
+    return f"CASE WHEN {x} = floor({x}) THEN CAST(CAST({x} AS BIGINT) AS VARCHAR) ELSE CAST({x} AS VARCHAR) END"
+
+
+MERGED_SQL = f"""{_UPSERT_SQL},
+tk AS (SELECT *, CASE WHEN pdf = 'yes' THEN '✅' ELSE '❌' END AS mark FROM trk WHERE num <> 0),
+up AS (SELECT log.target_pos, ad.*, log.old_score, log.new_score FROM log JOIN ad ON ad.add_id = log.add_id WHERE action = 'update')
+SELECT tk.pos, CASE WHEN up.add_id IS NULL THEN 'kept' ELSE 'updated' END AS origin, CAST(tk.num AS BIGINT) AS num, coalesce(up.date, tk.date) AS date,
+  coalesce(up.company, tk.company) AS company, coalesce(up.role, tk.role) AS role, coalesce(up.score_raw, tk.score_raw) AS score_raw,
+  tk.status_raw, tk.mark AS pdf, CASE WHEN up.add_id IS NULL THEN tk.report ELSE up.report END AS report,
+  CASE WHEN up.add_id IS NULL THEN tk.notes ELSE 'Re-eval ' || up.date || ' (' || {_js('up.old_score')} || '→' || {_js('up.new_score')} || '). ' || up.notes END AS notes
+FROM tk LEFT JOIN up ON up.target_pos = tk.pos
+UNION ALL SELECT NULL, 'inserted', entry_num, date, company, role, score_raw, status, pdf, report, notes FROM log JOIN ad USING (add_id) WHERE action = 'insert'"""
+
+
+def merged(spark, sf) -> DataFrame:
+    adds, existing = cut_table(additions(spark, sf)), merge_tracker(spark, sf)
+    return U.merged_tracker(adds, existing, cut_table(U.upsert(adds, existing)))
+
+
 @register("win_entry_number", ("adds", "trk"), f"WITH {_UPSERT_SQL} SELECT add_id, entry_num FROM log WHERE action = 'insert'")
 def win_entry_number(spark, sf):
     log = upsert_tracker(spark, sf)

@@ -100,7 +100,7 @@ SELECT event_id AS pos, concat('"', event_type, ' engineer" "site:linkedin.com"
   CAST(user_id % 5 AS STRING), '" "ml" "cloud"') AS query FROM events""")
 
 
-def quoted_terms(q, cap: int | None = 4, min_len: int = 1):
+def quoted_terms(q, cap: int | None = None, min_len: int = 1):
     found = F.regexp_extract_all(q, F.lit('"([^"]+)"'), 1)
     terms = F.filter(F.transform(found, T.collapse_ws), lambda t: (t != "") & ~F.lower(t).startswith("site:")
                      & (F.length(t) >= min_len))
@@ -115,11 +115,11 @@ def quoted_terms(q, cap: int | None = 4, min_len: int = 1):
 WITH t AS (SELECT pos, list_filter(list_transform(regexp_extract_all(query, '"([^"]+)"', 1),
   lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '' AND NOT starts_with(lower(x), 'site:')) AS l FROM squery),
 u AS (SELECT pos, list_filter(l, lambda x, i: NOT list_contains(list_transform(l[1:i - 1], lambda y: lower(y)), lower(x))) AS l FROM t)
-SELECT pos, array_to_string(l[1:4], '|') AS terms, array_to_string(list_filter(l, lambda x: length(x) > 1), '|') AS long_terms FROM u""")
+SELECT pos, array_to_string(l, '|') AS terms, array_to_string(list_filter(l, lambda x: length(x) > 1), '|') AS long_terms FROM u""")
 def txt_quoted_terms(spark, sf):
     q = view(spark, sf, "squery")
-    all_terms = quoted_terms(F.col("query"), cap=None)
-    return q.select("pos", F.array_join(F.slice(all_terms, 1, 4), "|").alias("terms"),
+    all_terms = quoted_terms(F.col("query"))
+    return q.select("pos", F.array_join(all_terms, "|").alias("terms"),
                     F.array_join(F.filter(all_terms, lambda x: F.length(x) > 1), "|").alias("long_terms"))
 
 

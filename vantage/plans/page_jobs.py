@@ -14,7 +14,6 @@ from . import sqlrules as Q
 from .registry import register
 
 HREF_PATTERN = "^/"  # which hrefs count as job links (a scanner parameter)
-MAX_PER_PAGE = 20
 
 # Stored crawl rows: status, final url, html, derived from pages with a few closed / listing / short cases.
 _view("crawl", ("pages",), """
@@ -52,17 +51,17 @@ def pages(spark, sf) -> DataFrame:
 
 # --- anchors ---------------------------------------------------------------------------
 
-def html_anchors(df: DataFrame, pattern: str = HREF_PATTERN, cap: int = MAX_PER_PAGE) -> DataFrame:
-    """src_html_anchors: job links of each page (first per url, at most ``cap`` per page)."""
+def html_anchors(df: DataFrame, pattern: str = HREF_PATTERN, cap: int | None = None) -> DataFrame:
+    """src_html_anchors: job links of each page (first per url); ``cap`` keeps at most that many per page."""
     a = df.select("page_id", "url", F.posexplode(H.anchors("html", "url")).alias("idx", "a"))
     a = a.where(F.col("a.href").rlike(pattern)).select(
         "page_id", "idx", F.col("a.title").alias("title"),
         H.absolute_url(F.col("url"), F.split(F.col("a.href"), r"\?", 2).getItem(0)).alias("link"))
     a = a.where((F.col("link") != "") & (F.col("title") != "") & (F.length("title") >= 3))
     first = a.withColumn("_r", F.row_number().over(Window.partitionBy("page_id", "link").orderBy("idx"))).where("_r = 1")
-    capped = first.withColumn("_n", F.row_number().over(Window.partitionBy("page_id").orderBy("idx"))) \
-        .where(F.col("_n") <= cap)
-    return capped.select("page_id", "idx", F.col("link").alias("url"), "title",
+    if cap is not None:
+        first = first.withColumn("_n", F.row_number().over(Window.partitionBy("page_id").orderBy("idx"))).where(F.col("_n") <= cap)
+    return first.select("page_id", "idx", F.col("link").alias("url"), "title",
                          H.company_from_url(F.col("link")).alias("company"))
 
 
@@ -72,12 +71,11 @@ a1 AS (SELECT page_id, url, CAST(i - 1 AS INTEGER) AS idx, {Q.decode_entities('h
        FROM a0, range(1, len(hs) + 1) t(i)),
 a2 AS (SELECT page_id, idx, title, {Q.absolute_url('url', "split_part(href, '?', 1)")} AS link FROM a1 WHERE regexp_matches(href, '{HREF_PATTERN}')),
 a3 AS (SELECT * FROM a2 WHERE link <> '' AND title <> '' AND length(title) >= 3),
-a4 AS (SELECT *, row_number() OVER (PARTITION BY page_id, link ORDER BY idx) AS r FROM a3),
-a5 AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY idx) AS n FROM a4 WHERE r = 1)"""
+a4 AS (SELECT *, row_number() OVER (PARTITION BY page_id, link ORDER BY idx) AS r FROM a3)"""
 
 
 @register("src_html_anchors", ("pages",), f"""WITH {_ANCHOR_SQL}
-SELECT page_id, idx, link AS url, title, {Q.company_from_url('link')} AS company FROM a5 WHERE n <= {MAX_PER_PAGE}""")
+SELECT page_id, idx, link AS url, title, {Q.company_from_url('link')} AS company FROM a4 WHERE r = 1""")
 def src_html_anchors(spark, sf):
     return html_anchors(pages(spark, sf))
 
@@ -96,22 +94,16 @@ def txt_company_from_url(spark, sf):
     return view(spark, sf, "off").select("pos", H.company_from_url("url").alias("company"))
 
 
-_TITLE_RE = "<title>([\\s\\S]*?)</title>"
-
-
 @register("txt_decode_entities", ("pages",), f"""
-SELECT page_id, {Q.decode_entities(f"regexp_extract(html, {Q.q(_TITLE_RE)}, 1)")} AS title FROM pages""")
+SELECT page_id, {Q.decode_entities("html")} AS text FROM pages""")
 def txt_decode_entities(spark, sf):
-    return pages(spark, sf).select("page_id", H.decode_entities(F.regexp_extract("html", _TITLE_RE, 1)).alias("title"))
-
-
-_ARTICLE_RE = "<article>([\\s\\S]*?)</article>"
+    return pages(spark, sf).select("page_id", H.decode_entities(F.col("html")).alias("text"))
 
 
 @register("txt_strip_tags", ("pages",), f"""
-SELECT page_id, {Q.strip_tags(f"regexp_extract(html, {Q.q(_ARTICLE_RE)}, 1)")} AS text FROM pages""")
+SELECT page_id, {Q.strip_tags("html")} AS text FROM pages""")
 def txt_strip_tags(spark, sf):
-    return pages(spark, sf).select("page_id", H.strip_tags(F.regexp_extract("html", _ARTICLE_RE, 1)).alias("text"))
+    return pages(spark, sf).select("page_id", H.strip_tags(F.col("html")).alias("text"))
 
 
 def _strip_html_sql(x: str) -> str:
@@ -132,6 +124,9 @@ def txt_strip_html(spark, sf):
 
 # --- liveness ------------------------------------------------------------------------------
 
+# Fixed values (reasons given).
+REASON_SHORT = "insufficient content — likely nav/footer only"
+REASON_UNCERTAIN = "content present but no visible apply control found"
 # Fixed values (closed-page text patterns, listing-page patterns, expired-url patterns, apply controls).
 HARD_EXPIRED = [
     r"job (is )?no longer available",
@@ -185,8 +180,8 @@ def liveness(df: DataFrame) -> DataFrame:
               .when(exp_body.isNotNull(), F.concat(F.lit("pattern matched: "), exp_body))
               .when(has_apply, F.lit("visible apply control detected"))
               .when(listing.isNotNull(), F.concat(F.lit("pattern matched: "), listing))
-              .when(F.length(T.js_trim(body)) < MIN_CONTENT_CHARS, F.lit("insufficient content"))
-              .otherwise(F.lit("no visible apply control")))
+              .when(F.length(T.js_trim(body)) < MIN_CONTENT_CHARS, F.lit(REASON_SHORT))
+              .otherwise(F.lit(REASON_UNCERTAIN)))
     return df.select("page_id", result.alias("result"), reason.alias("reason"))
 
 
@@ -208,8 +203,8 @@ live AS (SELECT page_id,
        ELSE 'uncertain' END AS result,
   CASE WHEN status IN (404, 410) THEN 'HTTP ' || CAST(status AS VARCHAR) WHEN eu IS NOT NULL THEN 'redirect to ' || final_url
        WHEN eb IS NOT NULL THEN 'pattern matched: ' || eb WHEN ap THEN 'visible apply control detected'
-       WHEN lp IS NOT NULL THEN 'pattern matched: ' || lp WHEN length(body) < {MIN_CONTENT_CHARS} THEN 'insufficient content'
-       ELSE 'no visible apply control' END AS reason FROM l1)"""
+       WHEN lp IS NOT NULL THEN 'pattern matched: ' || lp WHEN length(body) < {MIN_CONTENT_CHARS} THEN {Q.q(REASON_SHORT)}
+       ELSE {Q.q(REASON_UNCERTAIN)} END AS reason FROM l1)"""
 
 
 @register("cls_liveness", ("crawl",), f"WITH {_liveness_sql()} SELECT * FROM live")

@@ -145,7 +145,7 @@ SEARCH_LOWER = Ty.StructType([Ty.StructField("data", Ty.StructType([Ty.StructFie
 @register("src_search_payload", ("spay",), f"""
 WITH s AS (SELECT pos, json, CAST(coalesce(json_array_length(json, '$.data.list'), 0) AS BIGINT) AS n FROM spay),
 x AS (SELECT pos, CAST(i - 1 AS INTEGER) AS idx, json_extract(json, '$.data.list[' || CAST(i - 1 AS VARCHAR) || ']') AS j
-      FROM s, range(1, least(n, 20) + 1) t(i)),
+      FROM s, range(1, n + 1) t(i)),
 y AS (SELECT pos, idx, json_extract_string(j, '$.jobNo') AS jobNo, json_extract_string(j, '$.jobno') AS jobno,
   json_extract_string(j, '$.jobName') AS jobName, json_extract_string(j, '$.name') AS name,
   json_extract_string(j, '$.custName') AS custName, json_extract_string(j, '$.companyName') AS companyName,
@@ -159,8 +159,7 @@ SELECT pos, idx, {_norm("coalesce(nullif(jobName, ''), name)")} AS title,
 def src_search_payload(spark, sf):
     s = view(spark, sf, "spay").select("pos", F.from_json("json", SEARCH).alias("j"),
                                        F.from_json("json", SEARCH_LOWER)["data"]["list"].alias("lo"))
-    # The first 20 results per (term, payload) are the feature of the light scanner.
-    e = s.select("pos", "lo", F.posexplode(F.slice(F.coalesce("j.data.list", F.array()), 1, 20)).alias("idx", "j"))
+    e = s.select("pos", "lo", F.posexplode(F.coalesce("j.data.list", F.array())).alias("idx", "j"))
     lower_no = F.get(F.col("lo"), F.col("idx"))["jobno"]
     job_no = F.coalesce(_nz(F.col("j.jobNo")), _nz(lower_no), _nz(F.col("j.link.job")))
     url = F.coalesce(_nz(F.col("j.link.job")),

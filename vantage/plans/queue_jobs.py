@@ -85,7 +85,7 @@ CHECK_RE = r"^- \[([ x!])\] (https?://[^ \t\n\f\r]+)(.*)$"
 def checklist(spark, sf) -> DataFrame:
     """src_checklist: state, url, company, title, location, date and the enclosing section."""
     lines = view(spark, sf, "inbox")
-    head = F.when(F.col("line").startswith("## "), F.trim(F.substring(F.col("line"), 4, 1 << 20)))
+    head = F.when(F.col("line").startswith("## "), F.trim(F.substr(F.col("line"), F.lit(4))))
     with_sec = running(lines.withColumn("_h", head), ["line_no"], [("section", F.col("_h"), "last")], ["file"])
     parts = F.split(F.col("line"), r" \| ", -1)
     items = with_sec.where(F.col("line").rlike(CHECK_RE))
@@ -157,15 +157,15 @@ def set_pending_companies(spark, sf):
     return pending(spark, sf).groupBy("company").agg(F.min("line_no").alias("first_line"))
 
 
-@register("upsert_inbox", ("inbox", "off"), f"""WITH {_CHECK_SQL},
-ex AS (SELECT regexp_extract(line, '^- \\[ \\] (https?://\\S+)', 1) AS url, line, line_no FROM inbox WHERE regexp_matches(line, '^- \\[ \\] (https?://\\S+)')),
+@register("upsert_inbox", ("inbox_old", "off"), f"""WITH
+ex AS (SELECT regexp_extract(line, '^- \\[ \\] (https?://\\S+)', 1) AS url, line, line_no FROM inbox_old WHERE regexp_matches(line, '^- \\[ \\] (https?://\\S+)')),
 nw AS (SELECT url, '- [ ] ' || url || ' | ' || company || ' | ' || title || ' |  | ' || strftime(seen_date, '%Y-%m-%d') AS line, pos FROM off
        WHERE ts >= TIMESTAMP '{SPLIT_TS}'),
 u AS (SELECT url, line, 1 AS pri, pos AS o FROM nw UNION ALL SELECT url, line, 0, line_no FROM ex)
 SELECT url, line FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY pri DESC, o DESC) AS rn FROM u) WHERE rn = 1""")
 def upsert_inbox(spark, sf):
     ex_re = r"^- \[ \] (https?://[^ \t\n\f\r]+)"
-    lines = view(spark, sf, "inbox").where(F.col("line").rlike(ex_re))
+    lines = view(spark, sf, "inbox_old").where(F.col("line").rlike(ex_re))
     ex = lines.select(F.regexp_extract("line", ex_re, 1).alias("url"), "line", F.lit(0).alias("pri"),
                       F.col("line_no").alias("o"))
     o = view(spark, sf, "off").where(F.col("ts") >= F.lit(SPLIT_TS).cast("timestamp"))
@@ -229,8 +229,8 @@ def join_best_role(spark, sf):
 
 
 @register("join_job_url", ("trk", "rep", "qin", "qst", "off"), f"""WITH {_LATEST}, {_APPS_SQL},
-hdr AS (SELECT path, CASE WHEN regexp_matches(substr(text, 1, 1000), '(?m)^\\*\\*URL:\\*\\*\\s*(https?://\\S+)') THEN regexp_extract(substr(text, 1, 1000), '(?m)^\\*\\*URL:\\*\\*\\s*(https?://\\S+)', 1) END AS url,
-  CASE WHEN regexp_matches(substr(text, 1, 1000), '(?m)^\\*\\*Batch ID:\\*\\*\\s*([0-9]+)') THEN regexp_extract(substr(text, 1, 1000), '(?m)^\\*\\*Batch ID:\\*\\*\\s*([0-9]+)', 1) END AS batch_id FROM rep),
+hdr AS (SELECT path, CASE WHEN regexp_matches(text, '(?m)^\\*\\*URL:\\*\\*\\s*(https?://\\S+)') THEN regexp_extract(text, '(?m)^\\*\\*URL:\\*\\*\\s*(https?://\\S+)', 1) END AS url,
+  CASE WHEN regexp_matches(text, '(?m)^\\*\\*Batch ID:\\*\\*\\s*([0-9]+)') THEN regexp_extract(text, '(?m)^\\*\\*Batch ID:\\*\\*\\s*([0-9]+)', 1) END AS batch_id FROM rep),
 qc2 AS (SELECT id, CASE WHEN starts_with(trim(regexp_extract(notes, '.*\\| (.*)$', 1)), 'http') THEN trim(regexp_extract(notes, '.*\\| (.*)$', 1))
        WHEN starts_with(url, 'http') THEN url END AS url FROM qin),
 bmap AS (SELECT CAST(id AS VARCHAR) AS bid, url FROM qc2),

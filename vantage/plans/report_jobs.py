@@ -78,8 +78,8 @@ def src_report_gaps(spark, sf):
 
 @register("src_report_header", ("rep",), """
 SELECT path,
-  CASE WHEN regexp_matches(substr(text, 1, 1000), '(?m)^\\*\\*URL:\\*\\*\\s*(https?://\\S+)') THEN regexp_extract(substr(text, 1, 1000), '(?m)^\\*\\*URL:\\*\\*\\s*(https?://\\S+)', 1) END AS url,
-  CASE WHEN regexp_matches(substr(text, 1, 1000), '(?m)^\\*\\*Batch ID:\\*\\*\\s*([0-9]+)') THEN regexp_extract(substr(text, 1, 1000), '(?m)^\\*\\*Batch ID:\\*\\*\\s*([0-9]+)', 1) END AS batch_id
+  CASE WHEN regexp_matches(text, '(?m)^\\*\\*URL:\\*\\*\\s*(https?://\\S+)') THEN regexp_extract(text, '(?m)^\\*\\*URL:\\*\\*\\s*(https?://\\S+)', 1) END AS url,
+  CASE WHEN regexp_matches(text, '(?m)^\\*\\*Batch ID:\\*\\*\\s*([0-9]+)') THEN regexp_extract(text, '(?m)^\\*\\*Batch ID:\\*\\*\\s*([0-9]+)', 1) END AS batch_id
 FROM rep
 """)
 def src_report_header(spark, sf):
@@ -227,7 +227,7 @@ WITH {_ENRICHED_SQL}, {_GAPS_SQL},
 t AS (SELECT unnest(regexp_extract_all(g.description, {Q.q(_TECH_DUCK)}, 1)) AS tech
       FROM en JOIN gaps g ON g.path = en.report_path WHERE en.outcome IN ('negative', 'self_filtered'))
 SELECT upper(substr(tech, 1, 1)) || substr(tech, 2) AS skill, count(*) AS frequency
-FROM t GROUP BY 1 ORDER BY frequency DESC, skill LIMIT 15
+FROM t GROUP BY 1
 """)
 def agg_tech_gaps(spark, sf):
     return _tech_gaps(spark, sf)
@@ -237,5 +237,4 @@ def _tech_gaps(spark, sf) -> DataFrame:
     g = gap_rows(spark, sf).where(F.col("outcome").isin("negative", "self_filtered"))
     techs = g.select(F.explode(K.tech_mentions("description")).alias("skill"))
     counts = techs.groupBy("skill").agg(F.count(F.lit(1)).alias("frequency"))
-    # A top-15 report: the limit is the feature.
-    return counts.orderBy(F.col("frequency").desc(), F.col("skill")).limit(15)
+    return counts

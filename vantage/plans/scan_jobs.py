@@ -37,7 +37,7 @@ def tracker_lines(spark, sf) -> DataFrame:
 
 
 def seen_urls(spark, sf) -> DataFrame:
-    return SC.seen_urls(history(spark, sf), view(spark, sf, "inbox"), tracker_lines(spark, sf))
+    return SC.seen_urls(history(spark, sf), view(spark, sf, "inbox_old"), tracker_lines(spark, sf))
 
 
 def seen_keys(spark, sf) -> DataFrame:
@@ -62,7 +62,7 @@ def _title_sql(t):
 _SEEN_SQL = f"""
 hist AS (SELECT url FROM off WHERE ts < TIMESTAMP '{SPLIT_TS}'),
 seen_u AS (SELECT url FROM hist WHERE url <> ''
-  UNION SELECT unnest(regexp_extract_all(line, '- \\[[ x!]\\] (https?://[^ \\t\\n\\f\\r]+)', 1)) FROM inbox
+  UNION SELECT unnest(regexp_extract_all(line, '- \\[[ x!]\\] (https?://[^ \\t\\n\\f\\r]+)', 1)) FROM inbox_old
   UNION SELECT unnest(regexp_extract_all(concat_ws(' | ', CAST(num AS VARCHAR), date, company, role, score_raw, status_raw, report, notes), 'https?://[^\\s|)]+')) FROM trk),
 seen_k AS (SELECT DISTINCT lower({_norm('company')}) || '::' || lower({_norm('role')}) AS role_key FROM trk
            WHERE {_norm('company')} <> '' AND {_norm('role')} <> ''),
@@ -93,22 +93,23 @@ def _with_seen(body: str) -> str:
     return "WITH RECURSIVE " + _SEEN_SQL.strip() + "\n" + body
 
 
-@register("set_seen_union", ("off", "inbox", "trk"), _with_seen("SELECT url FROM seen_u"))
+@register("set_seen_union", ("off", "inbox_old", "trk"), _with_seen("SELECT url FROM seen_u"))
 def set_seen_union(spark, sf):
     return seen_urls(spark, sf)
 
 
-@register("join_seen_url", ("off", "inbox", "trk"), _with_seen(
+@register("join_seen_url", ("off", "inbox_old", "trk"), _with_seen(
     "SELECT pos, url FROM nw WHERE url NOT IN (SELECT url FROM seen_u)"))
 def join_seen_url(spark, sf):
     o = SC.normalized(new_offers(spark, sf))
     return o.join(seen_urls(spark, sf), "url", "left_anti").select("pos", "url")
 
 
-@register("join_seen_company_role", ("off", "inbox", "trk"), _with_seen(
-    "SELECT pos, role_key FROM nw WHERE role_key NOT IN (SELECT role_key FROM seen_k)"))
+@register("join_seen_company_role", ("off", "inbox_old", "trk"), _with_seen(
+    f"""SELECT pos, role_key FROM (SELECT pos, lower({_norm('company')}) || '::' || lower({_norm('title')}) AS role_key FROM off)
+WHERE role_key NOT IN (SELECT role_key FROM seen_k)"""))
 def join_seen_company_role(spark, sf):
-    o = SC.normalized(new_offers(spark, sf))
+    o = SC.normalized(offers(spark, sf))
     return o.join(seen_keys(spark, sf), "role_key", "left_anti").select("pos", "role_key")
 
 
@@ -119,17 +120,17 @@ def flt_title(spark, sf):
     return o.select("pos", "title", title_predicate(F.col("title"), POSITIVE, NEGATIVE).alias("keep"))
 
 
-@register("ddp_offers_two_key", ("off", "inbox", "trk"), _with_seen("SELECT pos, url, role_key FROM disp WHERE disposition = 'added'"))
+@register("ddp_offers_two_key", ("off", "inbox_old", "trk"), _with_seen("SELECT pos, url, role_key FROM disp WHERE disposition = 'added'"))
 def ddp_offers_two_key(spark, sf):
     return dispositions(spark, sf).where(F.col("disposition") == "added").select("pos", "url", "role_key")
 
 
-@register("flt_disposition", ("off", "inbox", "trk"), _with_seen("SELECT pos, disposition FROM disp"))
+@register("flt_disposition", ("off", "inbox_old", "trk"), _with_seen("SELECT pos, disposition FROM disp"))
 def flt_disposition(spark, sf):
     return dispositions(spark, sf).select("pos", "disposition")
 
 
-@register("agg_scan_counters", ("off", "inbox", "trk"), _with_seen("""
+@register("agg_scan_counters", ("off", "inbox_old", "trk"), _with_seen("""
 SELECT (SELECT count(*) FROM nw) AS found,
   count(*) FILTER (WHERE disposition = 'skipped_title') AS filtered,
   count(*) FILTER (WHERE disposition = 'skipped_dup') AS duplicates,

@@ -75,6 +75,12 @@ def score_loose(x: str) -> str:
             f"AS DOUBLE), 0.0)")
 
 
+def status_rank_raw(x: str) -> str:
+    from ..functions.status import STATUS_RANK
+
+    return "CASE lower(" + x + ") " + " ".join(f"WHEN {q(k)} THEN {v}" for k, v in STATUS_RANK.items()) + " ELSE 0 END"
+
+
 def company_key_suffix(x: str) -> str:
     from ..functions.text import COMPANY_SUFFIXES
 

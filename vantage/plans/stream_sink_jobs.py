@@ -9,21 +9,20 @@ from ..sources.bindings import VIEWS, view
 from ..streaming import ingest as ST
 from .queue_jobs import QU, _LATEST, _QUEUE_SQL, inputs, queue_candidates
 from . import sqlrules as Q
+from .merge_jobs import MERGED_SQL, merged
 from .registry import register
 from .scan_jobs import NEGATIVE, POSITIVE, SPLIT_TS, _with_seen, dispositions, history
 from .tracker_jobs import script_apps
 
 
-@register("snk_tracker", ("trk",), """
-SELECT pos, num, date, company, role, score_raw, status_raw, report, notes FROM trk""")
+@register("snk_tracker", ("adds", "trk"), f"WITH {MERGED_SQL}")
 def snk_tracker(spark, sf):
-    base = SK.scratch_dir(spark, "tracker")
-    apps = script_apps(spark, sf).select("pos", "num", "date", "company", "role", "score_raw", "status_raw", "report", "notes")
-    path = SK.write_tracker_version(apps, base, "1")
+    """The merged tracker, written as a new version and read back."""
+    path = SK.write_tracker_version(merged(spark, sf), SK.scratch_dir(spark, "tracker"), "1")
     return spark.read.parquet(path)
 
 
-@register("snk_history_append", ("off", "inbox", "trk"), _with_seen("""
+@register("snk_history_append", ("off", "inbox_old", "trk"), _with_seen("""
 SELECT d.url, d.company, d.title, o.seen_date AS first_seen FROM disp d JOIN off o USING (pos) WHERE d.disposition = 'added'"""))
 def snk_history_append(spark, sf):
     path = SK.scratch_dir(spark, "history")
@@ -34,10 +33,10 @@ def snk_history_append(spark, sf):
     return back.select("url", "company", "title", F.col("first_seen").cast("date").alias("first_seen"))
 
 
-@register("snk_inbox_grouped", ("off",), f"""
-WITH nw AS (SELECT url, company, title, strftime(seen_date, '%Y-%m-%d') AS date, 'North City' AS loc FROM off WHERE ts >= TIMESTAMP '{SPLIT_TS}' AND pos % 3 = 0
-            UNION ALL SELECT url, company, title, strftime(seen_date, '%Y-%m-%d'), 'East Town' FROM off WHERE ts >= TIMESTAMP '{SPLIT_TS}' AND pos % 3 = 1
-            UNION ALL SELECT url, company, title, strftime(seen_date, '%Y-%m-%d'), '' FROM off WHERE ts >= TIMESTAMP '{SPLIT_TS}' AND pos % 3 = 2),
+@register("snk_inbox_grouped", ("off",), """
+WITH nw AS (SELECT url, company, title, strftime(seen_date, '%Y-%m-%d') AS date, 'North City' AS loc FROM off WHERE pos % 3 = 0
+            UNION ALL SELECT url, company, title, strftime(seen_date, '%Y-%m-%d'), 'East Town' FROM off WHERE pos % 3 = 1
+            UNION ALL SELECT url, company, title, strftime(seen_date, '%Y-%m-%d'), '' FROM off WHERE pos % 3 = 2),
 u AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY date DESC, company, title, loc) AS r FROM nw),
 g AS (SELECT url, '- [ ] ' || url || ' | ' || company || ' | ' || title || ' | ' || loc || ' | ' || date AS line,
        coalesce(nullif(loc, ''), '其他') AS grp, date FROM u WHERE r = 1)
@@ -47,7 +46,7 @@ def snk_inbox_grouped(spark, sf):
     from ..operators import postings as P
     from ..operators.prefix import row_number_global
 
-    o = view(spark, sf, "off").where(F.col("ts") >= F.lit(SPLIT_TS).cast("timestamp"))
+    o = view(spark, sf, "off")
     loc = F.when(F.col("pos") % 3 == 0, "North City").when(F.col("pos") % 3 == 1, "East Town").otherwise("")
     nw = o.select("url", "company", "title", F.date_format("seen_date", "yyyy-MM-dd").alias("date"), loc.alias("loc"))
     # new offers overwrite by url: one line per url (latest date, then the smallest line)

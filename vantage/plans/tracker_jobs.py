@@ -18,7 +18,7 @@ from ..operators import filters as F_
 from ..operators import quality as DQ
 from ..operators import views as V
 from ..operators.prefix import row_number_global
-from ..session import cut_lineage
+from ..session import cut_table
 from ..sources import tracker as TR
 from ..sources.bindings import AS_OF_TRACKER, view
 from . import sqlrules as Q
@@ -193,7 +193,7 @@ def txt_company_key(spark, sf):
 @register("txt_slug", ("trk",), """
 SELECT pos,
   regexp_replace(regexp_replace(lower(company), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug,
-  substr(regexp_replace(regexp_replace(company, '[\\s/\\\\:*?"<>|]', '-', 'g'), '-+', '-', 'g'), 1, 60) AS file_slug
+  regexp_replace(regexp_replace(company, '[\\s/\\\\:*?"<>|]', '-', 'g'), '-+', '-', 'g') AS file_slug
 FROM trk
 """)
 def txt_slug(spark, sf):
@@ -428,7 +428,7 @@ def _sort_sql():
 @register("srt_view", ("trk",), _sort_sql())
 def srt_view(spark, sf):
     # Eight orderings of the same rows: parse once, then rank from the materialised copy.
-    apps = cut_lineage(dashboard_apps(spark, sf).select("pos", "date", "company", "status_raw", "score"))
+    apps = cut_table(dashboard_apps(spark, sf).select("pos", "date", "company", "status_raw", "score"))
     out = None
     for mode in ["score", "date", "company", "status"]:
         for grouped in (False, True):
@@ -474,8 +474,9 @@ SELECT 'status' AS "check", 'error' AS severity, CAST(num AS VARCHAR) AS key, fl
 
 _DUP_KEYS = """(SELECT num, regexp_replace(lower(company), '[^a-z0-9]', '', 'g') || '::' || regexp_replace(lower(role), '[^a-z0-9 ]', '', 'g') AS dup_key FROM trk)"""
 _DQ_DUP_SQL = f"""
-SELECT 'duplicates' AS "check", 'warning' AS severity, dup_key AS key, '#' || CAST(num AS VARCHAR) AS detail
-FROM {_DUP_KEYS} k WHERE dup_key IN (SELECT dup_key FROM {_DUP_KEYS} k2 GROUP BY dup_key HAVING count(*) > 1)"""
+SELECT 'duplicates' AS "check", 'warning' AS severity, dup_key AS key,
+  CAST(count(*) AS VARCHAR) || ' rows, #' || CAST(min(num) AS VARCHAR) || ' to #' || CAST(max(num) AS VARCHAR) AS detail
+FROM {_DUP_KEYS} k GROUP BY dup_key HAVING count(*) > 1"""
 
 _DQ_SCORE_SQL = """
 SELECT 'score_format' AS "check", 'error' AS severity, CAST(num AS VARCHAR) AS key, score_raw AS detail FROM trk
@@ -517,13 +518,14 @@ def dq_report_links(spark, sf):
     return DQ.dq_report_links(script_apps(spark, sf), view(spark, sf, "rep"))
 
 
-@register("dq_row_format", ("trk",), """
-WITH l AS (SELECT pos, '| ' || CAST(num AS VARCHAR) || ' | ' || date || ' | ' || company || ' | ' || role || ' |' AS line FROM trk WHERE pos % 10 = 3
-           UNION ALL SELECT pos, '| ' || CAST(num AS VARCHAR) || ' | ' || date || ' | ' || company || ' | ' || role || ' | ' || score_raw || ' | ' || status_raw || ' | x | ' || report || ' | ' || notes || ' |' FROM trk WHERE pos % 10 <> 3)
-SELECT 'row_format' AS "check", 'error' AS severity, CAST(pos AS VARCHAR) AS key, substr(line, 1, 80) AS detail FROM l
-WHERE line LIKE '|%' AND strpos(line, '---') = 0 AND strpos(line, 'Empresa') = 0
-  AND len(string_split(line, '|')) < 9
-""")
+_DQ_ROWS_SQL = """
+SELECT 'row_format' AS "check", 'error' AS severity, CAST(pos AS VARCHAR) AS key, line AS detail FROM (
+  SELECT pos, '| ' || CAST(num AS VARCHAR) || ' | ' || date || ' | ' || company || ' | ' || role || ' |' AS line FROM trk WHERE pos % 10 = 3
+  UNION ALL SELECT pos, '| ' || CAST(num AS VARCHAR) || ' | ' || date || ' | ' || company || ' | ' || role || ' | ' || score_raw || ' | ' || status_raw || ' | x | ' || report || ' | ' || notes || ' |' FROM trk WHERE pos % 10 <> 3) l
+WHERE line LIKE '|%' AND strpos(line, '---') = 0 AND strpos(line, 'Empresa') = 0 AND len(string_split(line, '|')) < 9"""
+
+
+@register("dq_row_format", ("trk",), _DQ_ROWS_SQL)
 def dq_row_format(spark, sf):
     return DQ.dq_row_format(_damaged_lines(spark, sf))
 
@@ -546,7 +548,7 @@ def dq_pending_files(spark, sf):
 
 
 @register("dq_summary", ("trk", "rep", "adds"), f"""
-WITH f AS ({_DQ_STATUS_SQL} UNION ALL {_DQ_DUP_SQL} UNION ALL {_DQ_SCORE_SQL} UNION ALL {_DQ_BOLD_SQL} UNION ALL {_DQ_LINKS_SQL}
+WITH f AS ({_DQ_STATUS_SQL} UNION ALL {_DQ_DUP_SQL} UNION ALL {_DQ_SCORE_SQL} UNION ALL {_DQ_BOLD_SQL} UNION ALL {_DQ_LINKS_SQL} UNION ALL {_DQ_ROWS_SQL}
   UNION ALL SELECT 'pending_files', 'warning', 'x', 'y' FROM (SELECT count(*) AS n FROM adds) WHERE n > 0)
 SELECT count(*) FILTER (WHERE severity = 'error') AS errors, count(*) FILTER (WHERE severity = 'warning') AS warnings,
   CASE WHEN count(*) FILTER (WHERE severity = 'error') > 0 THEN 'error'
@@ -555,10 +557,9 @@ FROM f
 """)
 def dq_summary(spark, sf):
     apps = script_apps(spark, sf)
-    findings = (DQ.dq_status(apps).unionByName(DQ.dq_duplicates(apps)).unionByName(DQ.dq_score_format(apps))
-                .unionByName(DQ.dq_bold_score(apps)).unionByName(DQ.dq_report_links(apps, view(spark, sf, "rep")))
-                .unionByName(DQ.dq_pending_files(view(spark, sf, "adds"))))
-    return DQ.dq_summary(findings)
+    return DQ.dq_summary(DQ.finding_counts(apps), [
+        DQ.dq_duplicates(apps), DQ.dq_report_links(apps, view(spark, sf, "rep")), DQ.dq_row_format(_damaged_lines(spark, sf)),
+        DQ.dq_pending_files(view(spark, sf, "adds"))])
 
 
 # --- follow-up cadence ----------------------------------------------------------------

@@ -10,8 +10,6 @@ Parameters fixed for every view: ``as_of`` is never the clock.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 BASE_TABLES = (
@@ -43,14 +41,16 @@ SELECT o_orderkey AS pos,
     split_part('Pipeline|Product|Growth', '|', CAST(o_orderkey % 3 AS INT) + 1),
     'Developer',
     split_part('London|Remote|Tokyo|Berlin|Zurich', '|', CAST(o_orderkey % 5 AS INT) + 1)) AS role,
-  CASE WHEN o_orderkey % 17 = 0 THEN 'N/A'
+  CASE WHEN o_orderkey % 17 = 0 THEN 'N/A' WHEN o_orderkey % 19 = 0 THEN '4 of 5' WHEN o_orderkey % 23 = 0 THEN 'DUP'
        WHEN o_orderkey % 13 = 0 THEN concat('**', CAST(1 + o_orderkey % 4 AS STRING), '.', CAST(o_orderkey % 10 AS STRING), '/5**')
        ELSE concat(CAST(1 + o_orderkey % 4 AS STRING), '.', CAST(o_orderkey % 10 AS STRING), '/5') END AS score_raw,
   split_part('Evaluated|Applied|Responded|Interview|Offer|Rejected|Discarded|SKIP|**Applied**|Aplicado 2026-03-12|Evaluada|Rechazado|monitor|hold|Duplicado de 12|sent|Geo Blocker|No aplicar|Entrevista|weird',
     '|', CAST(o_orderkey % 20 AS INT) + 1) AS status_raw,
   CASE WHEN o_orderkey % 3 = 0 THEN 'yes' ELSE 'no' END AS pdf,
-  CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE concat('[', CAST(o_orderkey + 1 AS STRING), '](reports/', CAST(o_orderkey + 1 AS STRING), '.md)') END AS report,
-  CASE WHEN o_orderkey % 7 = 0 THEN concat('Emailed Jane Roe at jane', CAST(o_custkey AS STRING), '@mail.example.com') ELSE o_orderpriority END AS notes
+  CASE WHEN o_orderkey % 11 = 0 THEN ''
+       WHEN o_orderkey % 9 = 0 THEN concat('[', CAST(o_orderkey + 1 AS STRING), '](reports/gone-', CAST(o_orderkey + 1 AS STRING), '.md)')
+       ELSE concat('[', CAST(o_orderkey + 1 AS STRING), '](reports/', CAST(o_orderkey + 1 AS STRING), '.md)') END AS report,
+  CASE WHEN o_orderkey % 7 = 0 THEN concat(split_part('Emailed Jane Roe at jane|contact: Max Poe @ max|see ', '|', CAST(o_orderkey % 3 AS INT) + 1), CAST(o_custkey AS STRING), '@mail.example.com') ELSE o_orderpriority END AS notes
 FROM orders
 """)
 
@@ -59,10 +59,10 @@ _view("fol", ("lineitem",), """
 SELECT CAST(l_partkey AS INT) AS num, CAST(l_orderkey + 1 AS INT) AS app_num,
   CAST(CAST(l_shipdate AS DATE) AS STRING) AS date,
   l_returnflag AS channel, l_linestatus AS contact
-FROM lineitem WHERE l_linenumber <= 2
+FROM lineitem
 """)
 
-# --- tracker additions (orders, every 25th) ---------------------------------
+# --- tracker additions (orders) ---------------------------------------------
 _view("adds", ("orders",), """
 SELECT o_orderkey AS file_no, CAST(o_orderkey AS STRING) || '-x.tsv' AS file,
   concat_ws(chr(9),
@@ -72,9 +72,9 @@ SELECT o_orderkey AS file_no, CAST(o_orderkey AS STRING) || '-x.tsv' AS file,
     concat_ws(' ', 'Principal', split_part('Data|Platform|Frontend|Backend|Security', '|', CAST(o_custkey % 5 AS INT) + 1), 'Product Developer'),
     CASE WHEN o_orderkey % 75 = 0 THEN '4.9/5' ELSE 'Evaluada' END,
     CASE WHEN o_orderkey % 75 = 0 THEN 'Evaluated' ELSE '4.9/5' END,
-    'no', concat('[', CAST(o_orderkey + 7 AS STRING), '](reports/', CAST(o_orderkey + 7 AS STRING), '.md)'),
+    'no', concat('[', CAST(o_orderkey + CASE WHEN o_orderkey % 3 = 0 THEN 7 ELSE 200000 END AS STRING), '](reports/', CAST(o_orderkey + 7 AS STRING), '.md)'),
     'batch') AS line
-FROM orders WHERE o_orderkey % 25 = 0
+FROM orders
 """)
 
 # --- offers and scan history (events) ---------------------------------------
@@ -124,12 +124,18 @@ SELECT concat('reports/', CAST(o_orderkey + 1 AS STRING), '.md') AS path,
     '**Batch ID:** ', CAST(o_orderkey % 4000 AS STRING), chr(10), chr(10),
     '| **Archetype** | ', split_part('Platform|Agentic|Solutions', '|', CAST(o_custkey % 3 AS INT) + 1), ' |', chr(10),
     '| **Remote** | ', split_part('Hybrid in office|Global anywhere|Remote LATAM|US-only|TBD', '|', CAST(o_orderkey % 5 AS INT) + 1), ' |', chr(10),
+    CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE concat('| **Seniority** | ', split_part('Senior|Lead|Mid', '|', CAST(o_orderkey % 3 AS INT) + 1), ' |', chr(10),
+      '| **Salary** | ', CAST(40 + o_orderkey % 60 AS STRING), 'k EUR |', chr(10), '| **Domain** | ', split_part('Fintech|Health', '|', CAST(o_custkey % 2 AS INT) + 1), ' |', chr(10)) END,
     '| **Team size** | ', split_part('~8 engineers|200 people|5,000+|small team|n/a', '|', CAST(o_custkey % 5 AS INT) + 1), ' |', chr(10),
-    '| CV Match | ', CAST(1 + o_orderkey % 4 AS STRING), '.5/5 |', chr(10), chr(10),
+    '| CV Match | ', CAST(1 + o_orderkey % 4 AS STRING), '.5/5 |', chr(10),
+    CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE concat('| North Star | ', CAST(1 + o_custkey % 4 AS STRING), '.2/5 |', chr(10), '| Comp | ', CAST(1 + o_orderkey % 5 AS STRING), '/5 |', chr(10),
+      '| Cultural signals | 3.', CAST(o_orderkey % 10 AS STRING), '/5 |', chr(10), '| Red flags | -0.', CAST(o_custkey % 10 AS STRING), ' |', chr(10), '| Global | 4.', CAST(o_orderkey % 9 AS STRING), '/5 |', chr(10)) END,
+    CASE WHEN o_orderkey % 6 = 1 THEN concat('**Arquetipo detectado** | Agente ', CAST(o_orderkey % 5 AS STRING), ' |', chr(10), '**TL;DR:** ', repeat('señal útil ', CAST(1 + o_orderkey % 15 AS INT)), chr(10), '**Comp** | 90k |', chr(10))
+         WHEN o_orderkey % 6 = 2 THEN concat('**Arquetipo:** Plataforma', chr(10), '**TL;DR** | short ', CAST(o_custkey % 7 AS STRING), ' |', chr(10)) ELSE '' END, chr(10),
     '| Gap | Severity | Mitigation |', chr(10), '|-----|----------|------------|', chr(10),
     '| needs Python and Docker | ', split_part('Medium|Nice to have|Hard', '|', CAST(o_orderkey % 3 AS INT) + 1), ' | course |', chr(10),
     '| visa required in region | Hard | none |', chr(10)) AS text
-FROM orders WHERE o_orderkey % 9 <> 0
+FROM orders
 """)
 
 # --- ATS JSON payloads (events) ---------------------------------------------
@@ -144,17 +150,21 @@ FROM events
 """)
 
 # --- pipeline inbox: one markdown checklist file built from the seen offers --
-_view("inbox", ("off",), """
+def _inbox(where: str) -> str:
+    return f"""
 SELECT 'data/pipeline.md' AS file, line_no, line FROM (
   SELECT CAST(0 AS BIGINT) AS line_no, '# Pipeline Inbox' AS line
   UNION ALL SELECT CAST(1 AS BIGINT), '## Pending'
-  UNION ALL SELECT 2 + pos, concat('- [ ] ', url, ' | ', company, ' | ', title) FROM off
-    WHERE pos % 2 = 0 AND ts < TIMESTAMP '2024-01-11 00:00:00'
+  UNION ALL SELECT 2 + pos, concat('- [ ] ', url, ' | ', company, ' | ', title) FROM off WHERE pos % 2 = 0{where}
   UNION ALL SELECT CAST(1000000000 AS BIGINT), '## Processed'
-  UNION ALL SELECT 1000000001 + pos, concat('- [x] ', url, ' | ', company, ' | ', title) FROM off
-    WHERE pos % 2 = 1 AND ts < TIMESTAMP '2024-01-11 00:00:00'
+  UNION ALL SELECT 1000000001 + pos, concat('- [x] ', url, ' | ', company, ' | ', title) FROM off WHERE pos % 2 = 1{where}
 ) t
-""")
+"""
+
+
+# All offers; and the inbox as it stood when the history of the scan flows ended, whose new rows are the rest.
+_view("inbox", ("off",), _inbox(""))
+_view("inbox_old", ("off",), _inbox(" AND ts < TIMESTAMP '2024-01-11 00:00:00'"))
 
 # --- company directory (customer) -------------------------------------------
 _view("cust", ("customer",), """
@@ -188,14 +198,7 @@ def sql_with(names: list[str] | tuple[str, ...], body: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A base table.  Row-group-less single files come back as one split; the jobs on
-    them are CPU-heavy text work, so such scans are spread over the shuffle partitions
-    (a no-op for real inputs, which arrive in many splits)."""
-    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    want = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if df.rdd.getNumPartitions() < want:
-        df = df.repartition(want)
-    return df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -31,6 +31,7 @@ SCORE_PATTERNS = {
     "global_score": r"(?i)\|\s*(?:Global)\s*\|\s*([0-9.]+)/5\s*\|",
 }
 
+# Fixed values (gap table and header lines).
 GAP_BLOCK = r"(?i)\|\s*Gap\s*\|\s*Severity\s*\|.*?\n\|[-|\s]+\n([\s\S]*?)(?:\n\n|\n##|\n\*\*|\z)"
 
 # Fixed values (dashboard summary patterns on bold labels; first syntax, then the second).
@@ -73,17 +74,12 @@ def _clean_cell(c: Column) -> Column:
 
 
 def report_summary(reports: DataFrame) -> DataFrame:
-    """src_report_summary: dashboard fields; TL;DR over 120 bytes cut to 117 + ``...``."""
+    """src_report_summary: dashboard fields, whole."""
     t = F.col("text")
     cols = []
     for k, pats in SUMMARY_PATTERNS.items():
         v = F.coalesce(*[first_match(t, p) for p in pats])
-        v = _clean_cell(v)
-        if k == "tldr":
-            b = F.encode(v, "UTF-8")
-            v = F.when(F.octet_length(v) > 120,
-                       F.concat(F.decode(F.substring(b, 1, 117), "UTF-8"), F.lit("..."))).otherwise(v)
-        cols.append(v.alias(k))
+        cols.append(_clean_cell(v).alias(k))
     return reports.select("path", *cols)
 
 
@@ -101,8 +97,8 @@ def report_gaps(reports: DataFrame) -> DataFrame:
     )
 
 
-def report_header(reports: DataFrame, prefix_bytes: int = 1000) -> DataFrame:
-    """src_report_header: URL and batch id from the first ``prefix_bytes`` bytes."""
-    head = F.decode(F.substring(F.encode(F.col("text"), "UTF-8"), 1, prefix_bytes), "UTF-8")
+def report_header(reports: DataFrame) -> DataFrame:
+    """src_report_header: the first URL and batch id lines of each report."""
+    head = F.col("text")
     return reports.select("path", first_match(head, HEADER_URL).alias("url"),
                           first_match(head, HEADER_BATCH).alias("batch_id"))
