@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_table
 
 _PID = "_vx_pid"
 
@@ -42,7 +42,7 @@ def running(
     # Range bounds come from a sample of the input, and a shuffled input can arrive in a
     # different row order on each evaluation; partition ids are materialised once so the
     # local scan and the partition summary below read the same assignment.
-    ranged = cut_lineage(df.repartitionByRange(_num_partitions(df, n), *keys)
+    ranged = cut_table(df.repartitionByRange(_num_partitions(df, n), *keys)
                          .withColumn(_PID, F.spark_partition_id()))
     local_w = (Window.partitionBy(_PID, *part).orderBy(*order_cols)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))

@@ -113,17 +113,19 @@ def best_role(apps: DataFrame, cands: DataFrame, app_id: str = "pos") -> DataFra
     ``apps``: (app_id, ckey, role); ``cands``: (ckey, cand_role, url, cand_pos).
     One candidate -> it; several -> most app-role words (> 2 bytes) contained
     in the candidate role, ties and all-zero -> the earliest candidate.
-    Candidates are first collapsed to distinct roles per block, so the pairing
-    grows with distinct roles, not with candidate rows.
+    Candidates are first collapsed to distinct roles per block and applications
+    to distinct words, so the matching grows with these, not with rows.
     """
     roles = cands.groupBy("ckey", F.lower("cand_role").alias("crole")).agg(
         F.min_by("url", "cand_pos").alias("url"), F.min("cand_pos").alias("first_pos"))
-    words = apps.select(app_id, "ckey", F.posexplode(F.split(F.lower(T.js_trim("role")), r"[ \t\n\r\f\v]+")).alias("wi", "w")) \
-        .where(F.octet_length("w") > 2)
-    a = apps.select(app_id, "ckey")
-    pairs = a.join(roles, "ckey")
-    hits = words.join(roles, "ckey").where(F.col("crole").contains(F.col("w"))) \
-        .groupBy(app_id, "ckey", "crole").agg(F.count(F.lit(1)).alias("score"))
-    scored = pairs.join(hits, [app_id, "ckey", "crole"], "left").withColumn("score", F.coalesce("score", F.lit(0)))
-    best = scored.groupBy(app_id).agg(F.max(F.struct("score", (-F.col("first_pos")).alias("np"), "url")).alias("b"))
-    return best.select(app_id, F.col("b.url").alias("url"), F.col("b.score").alias("score"))
+    # Applications with one role in one company have one answer, and each distinct word of a company is
+    # looked up in its roles once; a role no word of which occurs falls back to the earliest candidate.
+    asked = apps.select("ckey", F.lower(T.js_trim("role")).alias("arole")).distinct()
+    words = asked.select("ckey", "arole", F.explode(F.split("arole", r"[ \t\n\r\f\v]+")).alias("w")).where(F.octet_length("w") > 2)
+    found = words.select("ckey", "w").distinct().join(roles, "ckey").where(F.col("crole").contains(F.col("w")))
+    hits = (words.join(found, ["ckey", "w"]).groupBy("ckey", "arole", "crole", "url", "first_pos").agg(F.count(F.lit(1)).alias("score"))
+            .groupBy("ckey", "arole").agg(F.max(F.struct("score", (-F.col("first_pos")).alias("np"), "url")).alias("b")))
+    first = roles.groupBy("ckey").agg(F.min_by("url", "first_pos").alias("first_url"))
+    best = asked.join(first, "ckey").join(hits, ["ckey", "arole"], "left")
+    return (apps.select(app_id, "ckey", F.lower(T.js_trim("role")).alias("arole")).join(best, ["ckey", "arole"])
+            .select(app_id, F.coalesce("b.url", "first_url").alias("url"), F.coalesce("b.score", F.lit(0)).alias("score")))

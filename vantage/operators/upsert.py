@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import cut_lineage, cut_table
+from ..session import cut_table
 from . import fuzzy as FZ
 
 
@@ -48,7 +48,7 @@ def entry_numbers(inserts: DataFrame, max0: DataFrame, order_col: str = "add_ord
     """win_entry_number: number every insert; ``max0`` is a one-row frame with column ``max0``."""
     # One pass: with local ranks, the running maximum of num - k is that of num - local k less the rows before.
     parts = int(inserts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = cut_lineage(inserts.repartitionByRange(parts, order_col).withColumn("_pid", F.spark_partition_id()))
+    ranged = cut_table(inserts.repartitionByRange(parts, order_col).withColumn("_pid", F.spark_partition_id()))
     so_far = Window.partitionBy("_pid").orderBy(order_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = ranged.withColumn("_lk", F.row_number().over(so_far).cast("long"))
     local = local.withColumn("_lg", F.max(F.col("num").cast("long") - F.col("_lk")).over(so_far))

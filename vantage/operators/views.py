@@ -25,9 +25,11 @@ def tab_predicate(tab: str, status: Column, score: Column) -> Column:
     return status == tab
 
 
-def flt_view_tab(apps: DataFrame, tab: str, status: str = "status", score: str = "score") -> DataFrame:
-    """flt_view_tab: all / top (score ≥ 4 and not skip) / status equals the tab."""
-    return apps.where(tab_predicate(tab, F.col(status), F.col(score)))
+def flt_view_tab(apps: DataFrame, status: str = "status", score: str = "score") -> DataFrame:
+    """flt_view_tab: a row per tab that shows the application (all / top: score ≥ 4 and not skip / status equals the tab)."""
+    s, sc = F.col(status), F.col(score)
+    shown = F.filter(F.array(*[F.when(tab_predicate(t, s, sc), F.lit(t)) for t in TABS]), lambda x: x.isNotNull())
+    return apps.select("*", F.explode(shown).alias("tab"))
 
 
 def tab_counts(apps: DataFrame, status: str = "status", score: str = "score") -> DataFrame:
@@ -40,23 +42,28 @@ def tab_counts(apps: DataFrame, status: str = "status", score: str = "score") ->
     ])))
 
 
-def sort_keys(mode: str, grouped: bool = False, score: str = "score", date: str = "date",
-              company: str = "company", status_raw: str = "status_raw") -> list[Column]:
-    """srt_view keys; ties keep file order (stable sort), so ``pos`` closes every key list."""
-    keys = {
-        "score": [F.col(score).desc()],
-        "date": [F.col(date).desc()],
-        "company": [F.lower(F.col(company)).asc()],
-        "status": [S.status_priority(status_raw).asc()],
-    }[mode]
-    if grouped:
-        inner = keys if mode != "status" else [F.col(score).desc()]
-        keys = [S.status_priority(status_raw).asc()] + inner
-    return keys + [F.col("pos").asc()]
+SORT_MODES = ["score", "date", "company", "status"]
+
+
+def srt_view(apps: DataFrame, modes: list[str] | None = None) -> DataFrame:
+    """srt_view: (mode, grouped, pos, rank) of every application in each sort mode, plain and grouped by status.
 
+    All orders are ranked in one pass over narrow rows: a row per mode carries the keys its order uses and
+    nulls for the others.  Ties keep file order (stable sort), so ``pos`` closes every order.
+    """
+    def keys(mode: str, grouped: bool) -> Column:
+        use = {mode} | ({"status"} if grouped else set())
+        if grouped and mode == "status":
+            use.add("score")
+        pick = lambda k, c, t: (c if k in use else F.lit(None)).cast(t)
+        return F.struct(F.lit(mode).alias("mode"), F.lit(grouped).alias("grouped"), pick("status", F.col("_pri"), "int").alias("k_pri"),
+                        pick("score", F.col("score"), "double").alias("k_score"), pick("date", F.col("date"), "string").alias("k_date"),
+                        pick("company", F.lower("company"), "string").alias("k_company"))
 
-def srt_view(apps: DataFrame, mode: str, grouped: bool = False) -> DataFrame:
-    return row_number_global(apps, sort_keys(mode, grouped), "rank")
+    rows = apps.select("pos", "score", "date", "company", S.status_priority("status_raw").alias("_pri"))
+    wide = rows.select("pos", F.explode(F.array(*[keys(m, g) for m in modes or SORT_MODES for g in (False, True)])).alias("k")).select("pos", "k.*")
+    order = [F.col("k_pri").asc(), F.col("k_score").desc(), F.col("k_date").desc(), F.col("k_company").asc(), F.col("pos").asc()]
+    return row_number_global(wide, order, "rank", ["mode", "grouped"]).select("mode", "grouped", "pos", "rank")
 
 
 # Fixed values (offer scoring matrix weights, percent).

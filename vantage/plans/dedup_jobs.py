@@ -24,30 +24,51 @@ def dedup_tracker(spark, sf) -> DataFrame:
                                 T.company_key_spaced("company").alias("ckey"), FZ.dedup_tokens("role").alias("tokens")))
 
 
-def dedup_edges(rows: DataFrame) -> DataFrame:
-    """join_role_fuzzy_dedup: (a, b) with a earlier than b in the same company block and a~b."""
-    left = rows.select(F.col("pos").alias("a"), "ckey", "tokens")
-    right = rows.select(F.col("pos").alias("b"), "ckey", "tokens")
+def dedup_classes(rows: DataFrame) -> DataFrame:
+    """(ckey, tokens, pos): rows with equal company key and token list are one class, named by its first position."""
+    return rows.groupBy("ckey", "tokens").agg(F.min("pos").alias("pos"))
+
+
+def dedup_edges(classes: DataFrame) -> DataFrame:
+    """(ckey, a, b) with a earlier than b in the same company block and a~b, between classes."""
+    left = classes.select(F.col("pos").alias("a"), "ckey", "tokens")
+    right = classes.select(F.col("pos").alias("b"), "ckey", "tokens")
     m = FZ.fuzzy_join(left, right, "ckey", "tokens", "a", "b")
     return m.where(F.col("a") < F.col("b")).select("ckey", "a", "b")
 
 
 @register("join_role_fuzzy_dedup", ("trk",), f"""
 WITH r AS (SELECT pos, trim(regexp_replace(regexp_replace(regexp_replace(lower(company), '[()]', '', 'g'), '\\s+', ' ', 'g'), '[^a-z0-9 ]', '', 'g')) AS ckey,
-  {DEDUP_TOKENS_SQL.format(x='role')} AS tokens FROM trk WHERE num > 0)
-SELECT x.ckey, x.pos AS a, y.pos AS b FROM r x JOIN r y ON x.ckey = y.ckey AND x.pos < y.pos
+  {DEDUP_TOKENS_SQL.format(x='role')} AS tokens FROM trk WHERE num > 0),
+c AS (SELECT ckey, tokens, min(pos) AS rep FROM r GROUP BY ckey, tokens)
+SELECT 'pair' AS kind, x.ckey, x.rep AS a, y.rep AS b FROM c x JOIN c y ON x.ckey = y.ckey AND x.rep < y.rep
 WHERE {_match_sql('x.tokens', 'y.tokens')}
+UNION ALL SELECT 'member', r.ckey, c.rep, r.pos FROM r JOIN c USING (ckey, tokens)
 """)
 def join_role_fuzzy_dedup(spark, sf):
-    return dedup_edges(dedup_tracker(spark, sf))
+    """Pairs between the first rows of classes of equal roles, and every row's membership in its class."""
+    rows = dedup_tracker(spark, sf)
+    classes = cut_table(dedup_classes(rows))
+    member = rows.join(classes.withColumnRenamed("pos", "a"), ["ckey", "tokens"]).select(
+        F.lit("member").alias("kind"), "ckey", "a", F.col("pos").alias("b"))
+    return dedup_edges(classes).select(F.lit("pair").alias("kind"), "ckey", "a", "b").unionByName(member)
 
 
-def clusters(spark, sf) -> DataFrame:
-    rows = dedup_tracker(spark, sf)
-    edges = cut_table(dedup_edges(rows))
-    # Only rows with at least one edge can join a cluster; the rest lead themselves.
-    nodes = edges.select(F.col("a").alias("pos")).unionByName(edges.select(F.col("b").alias("pos"))).distinct()
-    return G.leader_clusters(nodes, edges, "pos")
+def clusters(rows: DataFrame) -> DataFrame:
+    """(pos, leader) of every row that matches another.
+
+    The rows of a class match one another (lists of two or more tokens do), so whoever leads its first row
+    leads them all: the greedy rounds run over classes and their pairs, and rows take their class's leader.
+    """
+    classes = cut_table(dedup_classes(rows))
+    edges = cut_table(dedup_edges(classes))
+    led = G.leader_clusters(classes, edges, "pos").withColumnRenamed("pos", "rep")
+    c = classes.withColumnRenamed("pos", "rep").join(led, "rep")
+    assigned = rows.join(c, ["ckey", "tokens"]).where(F.size("tokens") >= 2).select("pos", "leader")
+    sizes = assigned.groupBy("leader").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    linked = edges.select(F.col("a").alias("leader")).unionByName(edges.select(F.col("b").alias("leader"))).distinct()
+    matched = sizes.select("leader").unionByName(linked).distinct()
+    return assigned.join(matched, "leader", "left_semi").select("pos", "leader")
 
 
 # In order of position, a row leads unless an earlier leader matches it: the earliest row of a block leads
@@ -71,7 +92,7 @@ lead AS (SELECT lead AS pos, lead AS leader FROM st WHERE lead IS NOT NULL
 @register("ddp_tracker_cluster", ("trk",), f"WITH RECURSIVE {_LEADER_SQL.strip()}\nSELECT pos, leader FROM lead")
 def ddp_tracker_cluster(spark, sf):
     """(pos, leader) for every row that has a fuzzy match."""
-    return clusters(spark, sf)
+    return clusters(dedup_tracker(spark, sf))
 
 
 def keep_plan(rows: DataFrame, assign: DataFrame) -> DataFrame:
@@ -107,6 +128,4 @@ SELECT pos, k.leader, keeper, CASE WHEN pos = keeper THEN 'keep' ELSE 'remove' E
 FROM k JOIN kr USING (leader) LEFT JOIN b USING (leader) WHERE n >= 2""")
 def ddp_tracker_keep(spark, sf):
     rows = dedup_tracker(spark, sf)
-    edges = cut_table(dedup_edges(rows))
-    nodes = edges.select(F.col("a").alias("pos")).unionByName(edges.select(F.col("b").alias("pos"))).distinct()
-    return keep_plan(rows, G.leader_clusters(nodes, edges, "pos"))
+    return keep_plan(rows, clusters(rows))

@@ -174,28 +174,28 @@ SELECT '{dim}' AS dimension, {dim} AS value, count(*) AS total,
 FROM en GROUP BY {dim}"""
 
 
-def breakdowns(spark, sf) -> DataFrame:
-    return A.breakdown(enriched(spark, sf), ["archetype", "remote_bucket", "company_size"])
+def breakdown(spark, sf, dim: str) -> DataFrame:
+    return A.breakdown(enriched(spark, sf), [dim])
 
 
 @register("agg_breakdown_archetype", ("trk", "rep"), _breakdown_sql("archetype", "archetype"))
 def agg_breakdown_archetype(spark, sf):
-    return breakdowns(spark, sf).where(F.col("dimension") == "archetype")
+    return breakdown(spark, sf, "archetype")
 
 
 @register("agg_breakdown_remote", ("trk", "rep"), _breakdown_sql("remote_bucket", "policy"))
 def agg_breakdown_remote(spark, sf):
-    return breakdowns(spark, sf).where(F.col("dimension") == "remote_bucket")
+    return breakdown(spark, sf, "remote_bucket")
 
 
 @register("agg_breakdown_size", ("trk", "rep"), _breakdown_sql("company_size", "size"))
 def agg_breakdown_size(spark, sf):
-    return breakdowns(spark, sf).where(F.col("dimension") == "company_size")
+    return breakdown(spark, sf, "company_size")
 
 
 def gap_rows(spark, sf) -> DataFrame:
     """Gaps of every tracker row that links a report, with the row's outcome."""
-    e = enriched(spark, sf).select("pos", "outcome", F.col("report_path").alias("path"))
+    e = script_apps(spark, sf).select("pos", "outcome", T.report_path("report").alias("path"))
     g = R.report_gaps(reports(spark, sf))
     return e.join(g, "path", "inner")
 

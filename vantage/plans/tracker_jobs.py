@@ -18,7 +18,6 @@ from ..operators import filters as F_
 from ..operators import quality as DQ
 from ..operators import views as V
 from ..operators.prefix import row_number_global
-from ..session import cut_table
 from ..sources import tracker as TR
 from ..sources.bindings import AS_OF_TRACKER, view
 from . import sqlrules as Q
@@ -384,12 +383,7 @@ def _tab_sql():
 
 @register("flt_view_tab", ("trk",), _tab_sql())
 def flt_view_tab(spark, sf):
-    apps = dashboard_apps(spark, sf)
-    out = None
-    for t in V.TABS:
-        part = V.flt_view_tab(apps, t).select(F.lit(t).alias("tab"), "pos")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return V.flt_view_tab(dashboard_apps(spark, sf)).select("tab", "pos")
 
 
 @register("flt_actionable", ("trk",), f"""
@@ -427,15 +421,7 @@ def _sort_sql():
 
 @register("srt_view", ("trk",), _sort_sql())
 def srt_view(spark, sf):
-    # Eight orderings of the same rows: parse once, then rank from the materialised copy.
-    apps = cut_table(dashboard_apps(spark, sf).select("pos", "date", "company", "status_raw", "score"))
-    out = None
-    for mode in ["score", "date", "company", "status"]:
-        for grouped in (False, True):
-            part = V.srt_view(apps, mode, grouped).select(
-                F.lit(mode).alias("mode"), F.lit(grouped).alias("grouped"), "pos", F.col("rank").cast("long"))
-            out = part if out is None else out.unionByName(part)
-    return out
+    return V.srt_view(dashboard_apps(spark, sf)).withColumn("rank", F.col("rank").cast("long"))
 
 
 # Offer dimensions (1-5) derived from the order row, one per scoring-matrix dimension.

@@ -6,7 +6,6 @@ import os
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -57,24 +56,7 @@ def scratch_path(spark: SparkSession) -> str:
 
 
 def cut_table(df: DataFrame) -> DataFrame:
-    """Write ``df`` once into the shared checkpoint folder and read it back: lineage ends at those files.
-
-    Rows may be dealt anew to partitions; ``cut_lineage`` keeps them where they are.
-    """
+    """Write ``df`` once into the shared checkpoint folder and read it back: lineage ends at those files."""
     path = scratch_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives executor loss).
-
-    A reliable checkpoint writes its files in a second job over the same
-    data; the frame is persisted for the duration so that job reads the
-    computed blocks instead of evaluating the plan again, then released.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    held = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = held.checkpoint(eager=True)
-    held.unpersist(blocking=False)
-    return out
