@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify as K
 from ..functions import text as T
+from ..session import share_code
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -98,6 +99,7 @@ def denylist_scan(doc_lines: DataFrame, patterns: DataFrame, allowed: Column | N
     """
     rows = doc_lines if allowed is None else doc_lines.where(~F.coalesce(allowed, F.lit(False)))
     spark, out = doc_lines.sparkSession, None
+    share_code(spark)
     for block in pattern_blocks(patterns, block_chars):
         held = spark.sparkContext.broadcast(block)
         hits = rows.select(F.col("doc_id").cast("long"), F.col("line_no").cast("int"), "line").mapInArrow(

@@ -31,6 +31,14 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "vanta
     return spark
 
 
+def share_code(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver did (executors of a cluster need it installed there)."""
+    root, env = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), spark.sparkContext.environment
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's ``spark.checkpoint.dir``; only a local master may get a scratch one."""
     sc = spark.sparkContext
