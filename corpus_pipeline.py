@@ -16,16 +16,18 @@ from vantage.llm import line_store as op8
 from vantage.llm import ngram_join as op6
 from vantage.llm import packing as op2
 from vantage.llm import toxicity as op4
-from vantage.llm.registry import query
+from vantage.llm.registry import query, with_code
 from vantage.llm.store import materialise, table
 
 
+@with_code
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the grammar, fitted on the labelled ones among them, does not call toxic."""
     model = op4.fit(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
     return op4.keep_clean(docs, model)
 
 
+@with_code
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that many of them hold; ``n_chars`` follows a changed text."""
     out = op8.dedup_lines(docs, names=("__n_lines", "__n_dropped"))
@@ -35,17 +37,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*docs.columns)
 
 
+@with_code
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest doc_id, of each class of near copies."""
     gone = op6.jaccard_classes(docs).where("component_id < doc_id").select("doc_id").distinct()
     return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
 
 
+@with_code
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item occurs."""
     return op9.without_items(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
+@with_code
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in their sequences."""
     import public_tokenizers
