@@ -41,7 +41,7 @@ SELECT o_orderkey AS pos,
     split_part('Pipeline|Product|Growth', '|', CAST(o_orderkey % 3 AS INT) + 1),
     'Developer',
     split_part('London|Remote|Tokyo|Berlin|Zurich', '|', CAST(o_orderkey % 5 AS INT) + 1)) AS role,
-  CASE WHEN o_orderkey % 17 = 0 THEN 'N/A' WHEN o_orderkey % 19 = 0 THEN '4 of 5' WHEN o_orderkey % 23 = 0 THEN 'DUP'
+  CASE WHEN o_orderkey % 17 = 0 THEN 'N/A' WHEN o_orderkey % 19 = 0 THEN concat(CAST(1 + o_orderkey % 4 AS STRING), ' of 5') WHEN o_orderkey % 23 = 0 THEN 'DUP'
        WHEN o_orderkey % 13 = 0 THEN concat('**', CAST(1 + o_orderkey % 4 AS STRING), '.', CAST(o_orderkey % 10 AS STRING), '/5**')
        ELSE concat(CAST(1 + o_orderkey % 4 AS STRING), '.', CAST(o_orderkey % 10 AS STRING), '/5') END AS score_raw,
   split_part('Evaluated|Applied|Responded|Interview|Offer|Rejected|Discarded|SKIP|**Applied**|Aplicado 2026-03-12|Evaluada|Rechazado|monitor|hold|Duplicado de 12|sent|Geo Blocker|No aplicar|Entrevista|weird',
