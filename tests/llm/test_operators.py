@@ -176,7 +176,8 @@ def test_packing_round_trip(spark, empty):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     tok = packing.WordCache(path).tokenizer
-    docs = EDGE + [(700, "İstanbul. ΑΣ, don't it's. x'll, <|endoftext|>. 12.5, 日本語.漢字, é."), (None, "null id")]
+    docs = EDGE + [(700, "İstanbul. ΑΣ, don't it's. x'll, <|endoftext|>. 12.5, 日本語.漢字, é."), (None, "null id"),
+                   (701, "J̌ Å ÀÉÎ ÞÐ ß µ ªº ²"), (702, "<|ENDOFTEXT|> A <|endoftext|>, B"), (703, "THE The the The, THE.")]
     ids = {i: np.append(np.array(tok.encode(t or "", add_special_tokens=False).ids, "<u4"), np.array([2], "<u4")) for i, t in docs}
     rows = packing.pack_documents(frame(spark, docs), path, with_ids=True).collect()
     _check_packing(rows, ids)

@@ -49,7 +49,9 @@ class WordCache:
 
     The vocabulary's normaliser and splitter never join or look across a space or a line break, nor
     across the boundary of letters and one trailing '.' or ',', so the ids of a text are those of such
-    parts in order.  Each distinct part is tokenised once per worker while the cache holds it.
+    parts in order.  Each distinct part is tokenised once per worker while the cache holds it.  New words of
+    letters alone are tokenised many at a time, joined by spaces: each is one pre-token, and its last id is
+    the only one that ends a word.
     """
 
     def __init__(self, path: str):
@@ -57,25 +59,43 @@ class WordCache:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.ids = Tokenizer.from_file(path), {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
+        parts = [fold(t).replace("\n", " ").split(" ") for t in texts]
         known = self.ids
         if len(known) > CACHE_WORDS:
             known.clear()
-        new = list({w for p in parts for w in p if w not in known})
+        new = list({w for p in parts for w in p}.difference(known))
         if new:
-            cut = [self._trim(w) for w in new]
-            stems = list({s for s, _ in cut if s and s not in known} | {".", ","})
-            for at in range(0, len(stems), 4096):
-                some = stems[at:at + 4096]
-                for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
             known[""] = b""
+            cut = [self._trim(w) for w in new]
+            self._learn([s for s in {*(s for s, _ in cut), ".", ","} if s not in known])
             for w, (s, tail) in zip(new, cut, strict=True):
                 if tail:
                     known[w] = known[s] + known[tail]
-        return [np.frombuffer(b"".join([known[w] for w in p]), "<u4") for p in parts]
+        return [np.frombuffer(b"".join(map(known.__getitem__, p)), "<u4") for p in parts]
+
+    def _learn(self, stems: list[str]) -> None:
+        known, single = self.ids, [s for s in stems if not s.isalpha()]
+        letters = [s for s in stems if s.isalpha()]
+        for at in range(0, len(letters), 4096):
+            some = letters[at:at + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) != len(some):
+                single += some
+                continue
+            raw, start = ids.tobytes(), 0
+            for w, end in zip(some, (4 * ends).tolist(), strict=True):
+                known[w] = raw[start:end]
+                start = end
+        for at in range(0, len(single), 4096):
+            some = single[at:at + 4096]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                known[w] = np.array(e.ids, "<u4").tobytes()
 
     @staticmethod
     def _trim(word: str) -> tuple[str, str]:
@@ -84,6 +104,18 @@ class WordCache:
         return word, ""
 
 
+def fold(text: str) -> str:
+    """``text`` in lower case where that changes no id: in Latin-1 no letter composes or changes with its place, and
+    without "<|" no special token can come about."""
+    if "<|" in text:
+        return text
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 def reciprocal_cuts(length: int, capacity: int = CAPACITY, fine_class: int = FINE_CLASS) -> list[int]:
     """Piece lengths of a document: full bins, then reciprocal sizes, then one fine rest."""
     out = [capacity] * (length // capacity)
