@@ -6,16 +6,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import classify as K
 from ..functions import status as S
 from ..functions import text as T
 from ..operators import aggregates as A
 from ..operators import fuzzy as FZ
+from ..session import cut_table
+from ..sources import reports as R
 from ..sources import tracker as TR
 from ..sources.bindings import _view, view
 from . import sqlrules as Q
 from .merge_jobs import DEDUP_TOKENS_SQL, MERGE_TOKENS_SQL
 from .registry import register
-from .report_jobs import _ENRICHED_SQL, _GAPS_SQL, _TECH_DUCK, _blocker_sql, _blockers, _tech_gaps, enriched
+from .report_jobs import _ENRICHED_SQL, _GAPS_SQL, _TECH_DUCK, _blocker_sql, enriched
 from .tracker_jobs import ALIAS_STATUS, script_apps
 
 
@@ -146,7 +149,31 @@ def join_company_lookup(spark, sf):
                     F.when(F.col("ex_pos").isNotNull(), "exact").when(F.col("sub_pos").isNotNull(), "prefix4").alias("tier"))
 
 
+# Fixed values (recommendation texts: rule, impact, action, reasoning).
+RECOMMENDATIONS = {
+    "geo": ("high", "Tighten location filters in portals.yml -- %d%% of applications hit a geo-restriction blocker",
+            "%d of %d offers are location-restricted (US/Canada-only). These are wasted evaluation effort."),
+    "stack": ("high", "Filter out roles requiring %s as primary stack -- %d%% hit stack mismatch",
+              "Core stack gaps (%s) are the most common technical blockers in negative outcomes."),
+    "threshold": ("medium", "Set minimum score threshold at %s/5 before generating PDFs",
+                  "No positive outcomes below %s/5. Scores below this are wasted effort."),
+    "archetype": ("medium", "Double down on \"%s\" roles (%d%% conversion rate)",
+                  "%d of %d applications in this archetype led to positive outcomes."),
+    "remote": ("medium", "Avoid \"%s\" roles (0%% conversion across %d applications)",
+               "None of the %d applications with \"%s\" policy led to progress."),
+}
+
+
 def _rec_sql():
+    def row(rule: str, action: str, reasoning: str, tail: str) -> str:
+        impact, a, r = RECOMMENDATIONS[rule]
+        return (f"SELECT {Q.q(rule)} AS rule, {Q.q(impact)} AS impact, printf({Q.q(a)}, {action}) AS action, "
+                f"printf({Q.q(r)}, {reasoning}) AS reasoning FROM {tail}")
+
+    num = lambda x: f"CASE WHEN {x} = floor({x}) THEN CAST(CAST({x} AS BIGINT) AS VARCHAR) ELSE CAST({x} AS VARCHAR) END"
+    top = "(SELECT string_agg(skill, ', ' ORDER BY frequency DESC, skill) FROM tg)"
+    rate = ("count(*) AS total, count(*) FILTER (WHERE outcome = 'positive') AS positive, min(pos) AS first_pos, "
+            "CAST(floor((count(*) FILTER (WHERE outcome = 'positive'))::DOUBLE / count(*)::DOUBLE * 100 + 0.5) AS BIGINT) AS rate FROM en")
     return f"""WITH {_ENRICHED_SQL}, {_GAPS_SQL},
 n AS (SELECT count(*) AS total FROM trk),
 b AS (SELECT {_blocker_sql('g.description', 'g.severity')} AS blocker FROM en JOIN gaps g ON g.path = en.report_path),
@@ -156,53 +183,46 @@ tt AS (SELECT unnest(regexp_extract_all(g.description, {Q.q(_TECH_DUCK)}, 1)) AS
        FROM en JOIN gaps g ON g.path = en.report_path WHERE en.outcome IN ('negative', 'self_filtered')),
 tg AS (SELECT upper(substr(tech, 1, 1)) || substr(tech, 2) AS skill, count(*) AS frequency FROM tt GROUP BY 1 ORDER BY frequency DESC, skill LIMIT 3),
 mp AS (SELECT min({Q.score_js('score_raw')}) FILTER (WHERE {Q.outcome(ALIAS_STATUS)} = 'positive' AND {Q.score_js('score_raw')} > 0) AS lo FROM trk),
-ar AS (SELECT archetype, count(*) AS total, count(*) FILTER (WHERE outcome = 'positive') AS positive, min(pos) AS first_pos,
-  CAST(floor((count(*) FILTER (WHERE outcome = 'positive'))::DOUBLE / count(*)::DOUBLE * 100 + 0.5) AS BIGINT) AS rate FROM en GROUP BY archetype),
-rp AS (SELECT remote_bucket AS policy, count(*) AS total, min(pos) AS first_pos,
-  CAST(floor((count(*) FILTER (WHERE outcome = 'positive'))::DOUBLE / count(*)::DOUBLE * 100 + 0.5) AS BIGINT) AS rate FROM en GROUP BY remote_bucket)
-SELECT 'geo' AS rule, 'high' AS impact, 'Tighten location filters -- ' || CAST(pct AS VARCHAR) || '% of applications hit a geo-restriction blocker' AS action
-  FROM bl WHERE blocker = 'geo-restriction' AND pct >= 20
-UNION ALL SELECT 'stack', 'high', 'Filter out roles requiring ' || (SELECT string_agg(skill, ', ' ORDER BY frequency DESC, skill) FROM tg)
-  || ' as primary stack -- ' || CAST(pct AS VARCHAR) || '% hit stack mismatch' FROM bl WHERE blocker = 'stack-mismatch' AND pct >= 15
-UNION ALL SELECT 'threshold', 'medium', 'Set minimum score threshold at ' || CAST(floor(lo * 10) / 10 AS VARCHAR) || '/5' FROM mp WHERE lo > 3.0
-UNION ALL SELECT 'archetype', 'medium', 'Double down on "' || archetype || '" roles (' || CAST(rate AS VARCHAR) || '% conversion rate)' FROM (
-  SELECT * FROM ar WHERE total >= 2 ORDER BY rate DESC, total DESC, first_pos LIMIT 1) WHERE rate > 0
-UNION ALL SELECT 'remote', 'medium', 'Avoid "' || policy || '" roles (0% conversion across ' || CAST(total AS VARCHAR) || ' applications)' FROM (
-  SELECT * FROM rp WHERE total >= 2 AND rate = 0 ORDER BY total DESC, first_pos LIMIT 1)"""
+ar AS (SELECT archetype, {rate} GROUP BY archetype),
+rp AS (SELECT remote_bucket AS policy, {rate} GROUP BY remote_bucket),
+best AS (SELECT * FROM ar WHERE total >= 2 ORDER BY rate DESC, total DESC, first_pos LIMIT 1),
+worst AS (SELECT * FROM rp WHERE total >= 2 AND rate = 0 ORDER BY total DESC, first_pos LIMIT 1)
+{row('geo', 'pct', 'frequency, (SELECT total FROM n)', "bl WHERE blocker = 'geo-restriction' AND pct >= 20")}
+UNION ALL {row('stack', f'{top}, pct', top, "bl WHERE blocker = 'stack-mismatch' AND pct >= 15")}
+UNION ALL {row('threshold', num('floor(lo * 10) / 10'), num('lo'), 'mp WHERE lo > 3.0')}
+UNION ALL {row('archetype', 'archetype, rate', 'positive, total', 'best WHERE rate > 0')}
+UNION ALL {row('remote', 'policy, total', 'total, policy', 'worst')}"""
+
+
+def _recommendation(df, rule: str, action: list, reasoning: list):
+    impact, a, r = RECOMMENDATIONS[rule]
+    return df.select(F.lit(rule).alias("rule"), F.lit(impact).alias("impact"), F.format_string(a, *action).alias("action"),
+                     F.format_string(r, *reasoning).alias("reasoning"))
 
 
 @register("agg_recommendations", ("trk", "rep"), _rec_sql())
 def agg_recommendations(spark, sf):
-    e = enriched(spark, sf)
-    bl = _blockers(spark, sf)
-    top3 = _tech_gaps(spark, sf).orderBy(F.col("frequency").desc(), "skill").limit(3) \
-        .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("frequency")).alias("f"), "skill"))),
-                                      lambda x: x["skill"]), ", ").alias("top"))
-    geo = bl.where((F.col("blocker") == "geo-restriction") & (F.col("percentage") >= 20)).select(
-        F.lit("geo").alias("rule"), F.lit("high").alias("impact"),
-        F.concat(F.lit("Tighten location filters -- "), F.col("percentage").cast("string"),
-                 F.lit("% of applications hit a geo-restriction blocker")).alias("action"))
-    stack = A.with_scalars(bl.where((F.col("blocker") == "stack-mismatch") & (F.col("percentage") >= 15)), top3).select(
-        F.lit("stack").alias("rule"), F.lit("high").alias("impact"),
-        F.concat(F.lit("Filter out roles requiring "), F.col("top"), F.lit(" as primary stack -- "),
-                 F.col("percentage").cast("string"), F.lit("% hit stack mismatch")).alias("action"))
-    apps = script_apps(spark, sf)
-    lo = apps.agg(F.min(F.when((F.col("outcome") == "positive") & (F.col("score") > 0), F.col("score"))).alias("lo"))
-    thr = lo.where(F.col("lo") > 3.0).select(
-        F.lit("threshold").alias("rule"), F.lit("medium").alias("impact"),
-        F.concat(F.lit("Set minimum score threshold at "), (F.floor(F.col("lo") * 10) / 10).cast("string"), F.lit("/5")).alias("action"))
-    o = F.col("outcome")
-    conv = T.js_round(F.count_if(o == "positive") / F.count(F.lit(1)) * 100).cast("long")
-    ar = e.groupBy("archetype").agg(F.count(F.lit(1)).alias("total"), conv.alias("rate"), F.min("pos").alias("first_pos"))
-    best = ar.where(F.col("total") >= 2).orderBy(F.col("rate").desc(), F.col("total").desc(), "first_pos").limit(1) \
-        .where(F.col("rate") > 0).select(
-            F.lit("archetype").alias("rule"), F.lit("medium").alias("impact"),
-            F.concat(F.lit('Double down on "'), "archetype", F.lit('" roles ('), F.col("rate").cast("string"),
-                     F.lit("% conversion rate)")).alias("action"))
-    rp = e.groupBy(F.col("remote_bucket").alias("policy")).agg(F.count(F.lit(1)).alias("total"), conv.alias("rate"),
-                                                               F.min("pos").alias("first_pos"))
-    worst = rp.where((F.col("total") >= 2) & (F.col("rate") == 0)).orderBy(F.col("total").desc(), "first_pos").limit(1).select(
-        F.lit("remote").alias("rule"), F.lit("medium").alias("impact"),
-        F.concat(F.lit('Avoid "'), "policy", F.lit('" roles (0% conversion across '), F.col("total").cast("string"),
-                 F.lit(" applications)")).alias("action"))
-    return geo.unionByName(stack).unionByName(thr).unionByName(best).unionByName(worst)
+    """The rules read two tables written once: the enriched tracker and its gaps."""
+    e = cut_table(enriched(spark, sf).select("pos", "outcome", "score", "archetype", "remote_bucket", F.col("report_path").alias("path")))
+    gaps = cut_table(e.select("outcome", "path").join(R.report_gaps(view(spark, sf, "rep")).select("path", "description", "severity"), "path"))
+    total = e.agg(F.count(F.lit(1)).alias("n"))
+    bl = A.with_scalars(gaps.select(K.blocker("description", "severity").alias("blocker")).where("blocker is not null")
+                        .groupBy("blocker").agg(F.count(F.lit(1)).alias("frequency")), total) \
+        .withColumn("pct", T.js_round(F.col("frequency") / F.col("n") * 100).cast("long"))
+    skills = (gaps.where(F.col("outcome").isin("negative", "self_filtered")).select(F.explode(K.tech_mentions("description")).alias("skill"))
+              .groupBy("skill").agg(F.count(F.lit(1)).alias("frequency")))
+    top3 = skills.orderBy(F.col("frequency").desc(), "skill").limit(3).agg(F.array_join(F.transform(
+        F.sort_array(F.collect_list(F.struct((-F.col("frequency")).alias("f"), "skill"))), lambda x: x["skill"]), ", ").alias("top"))
+    geo = _recommendation(bl.where("blocker = 'geo-restriction' and pct >= 20"), "geo", ["pct"], ["frequency", "n"])
+    stack = _recommendation(A.with_scalars(bl.where("blocker = 'stack-mismatch' and pct >= 15"), top3), "stack", ["top", "pct"], ["top"])
+    lo = e.agg(F.min(F.when((F.col("outcome") == "positive") & (F.col("score") > 0), F.col("score"))).alias("lo")).where("lo > 3.0")
+    thr = _recommendation(lo, "threshold", [T.js_number(F.floor(F.col("lo") * 10) / 10)], [T.js_number("lo")])
+    positive = F.count_if(F.col("outcome") == "positive")
+    rates = [F.count(F.lit(1)).alias("total"), positive.alias("positive"), F.min("pos").alias("first_pos"),
+             T.js_round(positive / F.count(F.lit(1)) * 100).cast("long").alias("rate")]
+    best = (e.groupBy("archetype").agg(*rates).where("total >= 2").orderBy(F.col("rate").desc(), F.col("total").desc(), "first_pos").limit(1)
+            .where("rate > 0"))
+    worst = (e.groupBy(F.col("remote_bucket").alias("policy")).agg(*rates).where("total >= 2 and rate = 0")
+             .orderBy(F.col("total").desc(), "first_pos").limit(1))
+    return (geo.unionByName(stack).unionByName(thr).unionByName(_recommendation(best, "archetype", ["archetype", "rate"], ["positive", "total"]))
+            .unionByName(_recommendation(worst, "remote", ["policy", "total"], ["total", "policy"])))

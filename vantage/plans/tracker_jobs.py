@@ -447,6 +447,21 @@ def top_weighted_rank(spark, sf):
     return V.top_weighted_rank(dims, V.OFFER_WEIGHTS).select("pos", "weighted", F.col("rank").cast("long"))
 
 
+_PROJECT_PRIMES = dict(zip(V.PROJECT_WEIGHTS, [3, 7, 11, 13, 17, 19]))
+
+
+@register("top_project_rank", ("part",), f"""
+WITH d AS (SELECT p_partkey AS pos, {", ".join(f"CAST(1 + (p_partkey * {k} + p_size) % 5 AS INT) AS {d}" for d, k in _PROJECT_PRIMES.items())} FROM part),
+w AS (SELECT pos, round(({" + ".join(f"{d} * {w}.0" for d, w in V.PROJECT_WEIGHTS.items())}) / 100.0, 2) AS weighted FROM d)
+SELECT pos, weighted, row_number() OVER (ORDER BY weighted DESC, pos) AS rank FROM w
+""")
+def top_project_rank(spark, sf):
+    """Project ideas ranked by the six project weights."""
+    dims = view(spark, sf, "part").select(F.col("p_partkey").alias("pos"), *[
+        (1 + (F.col("p_partkey") * k + F.col("p_size")) % 5).cast("int").alias(d) for d, k in _PROJECT_PRIMES.items()])
+    return V.top_weighted_rank(dims, V.PROJECT_WEIGHTS).select("pos", "weighted", F.col("rank").cast("long"))
+
+
 # --- data-quality checks -----------------------------------------------------------
 
 _DQ_STATUS_SQL = f"""
