@@ -109,7 +109,7 @@ def stm_offer_ingest(spark, sf):
     stream = stream.where(F.col("ts") >= F.lit(SPLIT_TS).cast("timestamp"))
     out = SK.scratch_dir(spark, "ingest")
     ST.offer_ingest(stream, history(spark, sf), POSITIVE, NEGATIVE, out, out + "-ckpt")
-    return spark.read.parquet(out).select("url").distinct()
+    return spark.read.parquet(out).select("url")
 
 
 @register("stm_queue_state", ("qst",), f"WITH {_LATEST} SELECT id, status, report_num, score, retries FROM latest")
