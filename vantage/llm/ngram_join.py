@@ -6,7 +6,8 @@ n - ceil(t n) + 1 of them (the prefix) must share one.  Candidates have to pass
 three orders:
 
 1. ascending hash, applied to documents: of an extended prefix (a quarter longer than the set's
-   allowance for missing elements needs), enough elements must occur in another document at all.
+   allowance for missing elements needs), enough elements must occur in another document at all: one
+   less than the set's own allowance leaves, as a smaller partner publishes a shorter prefix.
    Element counts come from one exchange of packed hashes.  Most documents end here.
 2. rarest first, with exact counts among the documents left, as the equi-join key, with the positional
    bound: a pair whose first common element stands too late in either set cannot link.
@@ -83,7 +84,7 @@ def _pack(k: int, percent: int, shards: int):
                 miss = allowance(n, percent)
                 m = min(n, 2 * miss + 1)
                 sets.append(s[:m])
-                docs.append((ids[i], m - miss))
+                docs.append((ids[i], max(1, m - miss - 1)))
                 held += m
                 if held >= FLUSH:
                     yield flush()
