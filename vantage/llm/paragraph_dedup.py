@@ -4,8 +4,10 @@ A paragraph is a piece of text between line breaks and sentence ends, with at le
 such pieces keep their borders wherever a passage is pasted, which whole lines don't.  MinHash bands,
 tuned for recall at the wanted Jaccard, decide which paragraphs collide at all; those are joined band by
 band, verified with the exact Jaccard of their word shingles, and clustered into components.  A stretch
-of consecutive paragraphs of a document that other documents repeat is reported once it is long enough,
-and every paragraph in it but its component's first occurrence is to be removed.
+of paragraphs of a document that other documents repeat is reported once it is long enough, and every
+paragraph in it but its component's first occurrence is to be removed.  Short sentences and parts of
+sentences count too: each paragraph is extended word by word, to both sides, as far as the words around
+it are those around its component's first occurrence.
 """
 
 from __future__ import annotations
@@ -88,12 +90,14 @@ def _owners(k: int, min_words: int, bands: int, rows: int):
     return produce
 
 
-_FOUND = ("doc_id long, paragraph long, n_words long, start_char long, end_char long, e0 long, e1 long, n long, "
-          "bands array<long>, tokens array<long>")
+_FOUND = ("doc_id long, paragraph long, n_words long, start_char long, end_char long, e0 long, e1 long, n long, first_word long, "
+          "bands array<long>, tokens array<long>, before binary, after binary")
+#: Bytes of a word's hash in ``before`` and ``after``.
+_WORD = 3
 
 
-def _found(k: int, min_words: int, bands: int, rows: int):
-    types = [pa.int64()] * 8 + [pa.list_(pa.int64())] * 2
+def _found(k: int, min_words: int, bands: int, rows: int, beside: int):
+    types = [pa.int64()] * 9 + [pa.list_(pa.int64())] * 2 + [pa.binary()] * 2
     schema = pa.schema(list(zip([f.split(" ")[0] for f in _FOUND.split(", ")], types, strict=True)))
 
     def run(batches):
@@ -103,10 +107,13 @@ def _found(k: int, min_words: int, bands: int, rows: int):
                 row, number, first, last, h, starts, ends = paragraphs(data, off, min_words)
                 if not len(row):
                     continue
+                words_row = np.searchsorted(off, starts, "right") - 1
                 chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
                 g = grams(h, k)
                 keys = minhash_keys(g, first, last - k + 1, bands, rows)
                 out = []
+                short = np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :_WORD])
+                at = np.searchsorted(words_row, np.arange(len(off)))
                 sets = [set(w) for w in wanted[lo:lo + len(off) - 1]]
                 for i, r in enumerate(row.tolist()):
                     if int(number[i]) in sets[r]:
@@ -115,7 +122,8 @@ def _found(k: int, min_words: int, bands: int, rows: int):
                         tokens = np.unique(g[a:b - k + 1]).view(np.int64)
                         begin = int(chars[off[r]])
                         out.append((ids[lo + r], int(number[i]), b - a, int(chars[starts[a]]) - begin, int(chars[ends[b - 1]]) - begin,
-                                    int(e[0]), int(e[1]), len(tokens), np.unique(keys[i]).view(np.int64).tolist(), tokens.tolist()))
+                                    int(e[0]), int(e[1]), len(tokens), a - int(at[r]), np.unique(keys[i]).view(np.int64).tolist(), tokens.tolist(),
+                                    short[max(int(at[r]), a - beside):a][::-1].tobytes(), short[b:min(int(at[r + 1]), b + beside)].tobytes()))
                 if out:
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], schema=schema)
 
@@ -144,11 +152,43 @@ def _verify(sets: DataFrame, percent: int):
     return verify
 
 
+def _common(a: bytes, b: bytes) -> int:
+    """How many first words of two sides are equal."""
+    n = min(len(a), len(b))
+    x = int.from_bytes(a[:n], "little") ^ int.from_bytes(b[:n], "little")
+    return (((x & -x).bit_length() - 1) // 8 if x else n) // _WORD
+
+
+def _reach(batches):
+    """(doc_id, paragraph, component, left, right): words around a paragraph that its component's first occurrence has too."""
+    for batch in batches:
+        before, after, b0, a0 = (batch.column(i).to_pylist() for i in range(3, 7))
+        yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2),
+                               pa.array([_common(x, y) for x, y in zip(before, b0, strict=True)], pa.int64()),
+                               pa.array([_common(x, y) for x, y in zip(after, a0, strict=True)], pa.int64())],
+                              names=["doc_id", "paragraph", "component", "left", "right"])
+
+
+def _reaches(repeated: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, paragraph, left, right) per repeated paragraph; a first occurrence reaches as far as any other document's does."""
+    sides = found.select("doc_id", "paragraph", "before", "after").dropDuplicates(["doc_id", "paragraph"])
+    keys = repeated.select("doc_id", "paragraph", "component")
+    is_head = F.struct("doc_id", "paragraph") == F.col("component")
+    heads = keys.where(is_head).join(sides, ["doc_id", "paragraph"]).select("component", F.col("before").alias("b0"), F.col("after").alias("a0"))
+    others = (keys.where(~is_head).join(sides, ["doc_id", "paragraph"]).join(heads, "component")
+              .select("doc_id", "paragraph", "component", "before", "after", "b0", "a0"))
+    reach = materialise(others.mapInArrow(_reach, "doc_id long, paragraph long, component struct<doc_id: long, paragraph: long>, left long, right long"))
+    first = (reach.where("doc_id <> component.doc_id").groupBy("component").agg(F.max("left").alias("left"), F.max("right").alias("right"))
+             .select("component.doc_id", "component.paragraph", "left", "right"))
+    return reach.select("doc_id", "paragraph", "left", "right").union(first)
+
+
 def repeated_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, min_run_words: int = MIN_RUN_WORDS, k: int = SHINGLE,
                         percent: int = PERCENT, recall: float = RECALL, rows: int = BAND_ROWS) -> DataFrame:
     """One row per paragraph that belongs to a repeated passage:
 
-    doc_id, paragraph (its number among the document's paragraphs), n_words, run_words (of its stretch),
+    doc_id, paragraph (its number among the document's paragraphs), n_words, run_words (repeated words of
+    its stretch, with those beside its paragraphs, of which as many are looked at as decide whether it is long enough),
     start_char, end_char, component_doc and component_paragraph (the component's first occurrence, by
     doc_id and number), documents_from and documents_to (smallest and largest doc_id of the component) and
     removed.  Paragraphs that fewer than two documents have, and stretches under ``min_run_words`` words,
@@ -161,7 +201,7 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, min_run_wor
     sharing = sharing_owners(docs, _owners(k, min_words, bands, rows), ["doc_id", "paragraph"])
     wanted = materialise(sharing.groupBy("doc_id").agg(F.collect_set("paragraph").alias("wanted")))
     found = materialise(docs.join(shuffle_join(wanted), "doc_id").select("doc_id", "text", "wanted")
-                        .mapInArrow(_found(k, min_words, bands, rows), _FOUND))
+                        .mapInArrow(_found(k, min_words, bands, rows, max(0, min_run_words - min_words)), _FOUND))
     one = F.struct("doc_id", "paragraph")
     classes = materialise(found.groupBy("e0", "e1").agg(
         F.min(one).alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("tokens").alias("tokens")))
@@ -174,15 +214,23 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, min_run_wor
     links = bucket_links(entries, _verify(linkable, percent), rank=-(F.col("shared") * 1000 / F.col("n")).cast("int"),
                          admit=most * 100 >= (F.col("l.n") + F.col("r.n") - most) * percent)
     comp = connected_components(links)
-    placed = materialise(found.select("doc_id", "paragraph", "n_words", "start_char", "end_char", "e0", "e1")
+    placed = materialise(found.select("doc_id", "paragraph", "n_words", "start_char", "end_char", "first_word", "e0", "e1")
                          .join(classes.select("e0", "e1", "id"), ["e0", "e1"]).join(comp, "id", "left")
                          .withColumn("component", F.coalesce("component", "id")).drop("id", "e0", "e1").dropDuplicates(["doc_id", "paragraph"]))
     spread = (placed.groupBy("component").agg(F.min("doc_id").alias("documents_from"), F.max("doc_id").alias("documents_to"))
               .where("documents_from < documents_to"))
-    repeated = placed.join(spread, "component")
+    repeated = materialise(placed.join(spread, "component"))
+    reached = (repeated.join(_reaches(repeated, found), ["doc_id", "paragraph"], "left")
+               .withColumn("lo", F.col("first_word") - F.coalesce("left", F.lit(0)))
+               .withColumn("hi", F.col("first_word") + F.col("n_words") + F.coalesce("right", F.lit(0))))
+    # A stretch goes on with the next paragraph, or where the words reached meet; each of its words counts once.
     order = Window.partitionBy("doc_id").orderBy("paragraph")
     run = Window.partitionBy("doc_id", "run")
-    return (repeated.withColumn("run", F.col("paragraph") - F.row_number().over(order)).withColumn("run_words", F.sum("n_words").over(run))
+    far = F.coalesce(F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    new = (F.col("paragraph") > F.lag("paragraph").over(order) + 1) & (F.col("lo") > F.col("far"))
+    own = F.greatest(F.lit(0), F.col("hi") - F.greatest("lo", "far"))
+    return (reached.withColumn("far", far).withColumn("run", F.sum(F.when(new, 1).otherwise(0)).over(order))
+            .withColumn("run_words", F.sum(own).over(run) + F.min_by("lo", "paragraph").over(run) - F.min("lo").over(run))
             .where(F.col("run_words") >= min_run_words)
             .select("doc_id", "paragraph", "n_words", "run_words", "start_char", "end_char", F.col("component.doc_id").alias("component_doc"),
                     F.col("component.paragraph").alias("component_paragraph"), "documents_from", "documents_to",
