@@ -50,6 +50,13 @@ def dq_duplicates(apps: DataFrame) -> DataFrame:
                     F.concat(F.col("n").cast("string"), F.lit(" rows, #"), F.col("first").cast("string"), F.lit(" to #"), F.col("last").cast("string")))
 
 
+def duplicate_members(apps: DataFrame) -> DataFrame:
+    """(dup_key, num) of every row of the groups that ``dq_duplicates`` finds: rows joined to their group, no list is collected."""
+    rows = apps.select(duplicate_key().alias("dup_key"), "num")
+    groups = rows.groupBy("dup_key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    return rows.join(groups.select("dup_key"), "dup_key").select("dup_key", "num")
+
+
 def dq_report_links(apps: DataFrame, listing: DataFrame) -> DataFrame:
     """Report links whose target is not in the file listing (``path`` column)."""
     linked = apps.select("num", T.report_path("report").alias("path")).where(F.col("path").isNotNull())

@@ -504,6 +504,14 @@ def dq_duplicates(spark, sf):
     return DQ.dq_duplicates(script_apps(spark, sf))
 
 
+@register("dq_duplicate_members", ("trk",), f"""
+WITH k AS (SELECT dup_key, num FROM {_DUP_KEYS})
+SELECT dup_key, num FROM k WHERE dup_key IN (SELECT dup_key FROM k GROUP BY dup_key HAVING count(*) > 1)""")
+def dq_duplicate_members(spark, sf):
+    """Every row of the groups that ``dq_duplicates`` counts (``verify-pipeline.mjs:119-123`` prints them)."""
+    return DQ.duplicate_members(script_apps(spark, sf))
+
+
 @register("dq_score_format", ("trk",), _DQ_SCORE_SQL)
 def dq_score_format(spark, sf):
     return DQ.dq_score_format(script_apps(spark, sf))
