@@ -64,6 +64,7 @@ FREEDOM = {
 EXCEPTION_BONUS = 0.2
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 _EXPRESSION_TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+-]*")
+_FOLD = {b: b + 32 for b in range(65, 91)}
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -184,9 +185,10 @@ def scan_text(text: str) -> tuple:
             places.append(flat.count(" ", 0, end - size + 2) - 1)
     found = []
     if "license" in flat or "licence" in flat:
-        low = text.lower()
+        # A-Z alone are folded, so that places in the text stay: other letters may change their number.
+        low = text.lower() if text.isascii() else text.translate(_FOLD)
         taken = -1
-        for end, tag in tags.iter(low if len(low) == len(text) else text):
+        for end, tag in tags.iter(low):
             if end <= taken:
                 continue
             tokens = expression_tokens(text[end + 1:])
