@@ -1,7 +1,7 @@
 """Secret scan with password guess costs (operator 7).
 
 Fixed patterns find assignments, access keys and long hexadecimal runs.  Values in a credential context
-(a credential word, then a separator or "is", then one value) are also rated by what guessing them
+(a name with a credential word, then a separator or "is", then one value) are also rated by what guessing them
 costs: dynamic programming finds the cheapest split of the value into dictionary words, dates, repeats,
 sequences, keyboard walks and brute-force spans, and values above a threshold become spans of kind
 ``guess``.
@@ -26,10 +26,14 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 ASSIGN_MIN, ACCESS_MIN = 6, 20
-#: Values in a credential context.
+#: A word that makes a name a credential's, anywhere in the name; ``pass`` and ``pin`` as a part of it, as other words hold them.
+CREDENTIAL = (r"pass(?:word|wd|phrase|code)|pwd|secret(?!ar)|token(?!i[sz])|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth(?!or|ent)"
+              r"|(?:(?<!com)(?<!by)(?<!sur)(?<!tres)(?<!over)(?<!under)pass|(?-i:(?<![A-Za-z])|(?<=[a-z])(?=P))pin)(?-i:(?![A-Za-z])|(?<=[a-z])(?=[A-Z]))")
+_GAP = r"[\x20\t]*+\s{0,3}[\x20\t]*+"
+#: Values in a credential context: a whole name (DB_PASSWORD, userPassword, secret.key), read once, any spaces or tabs, a separator.
 CONTEXT = re.compile(
-    r"""\b(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth)\b["']?"""
-    r"""\s{0,3}(?:[:=]|=>|\bis\b)\s{0,3}["']?([!-~]{6,})""", re.A | re.I)
+    rf"""(?<![A-Za-z0-9_.-])(?>[A-Za-z0-9_.-]*?(?:{CREDENTIAL}))[A-Za-z0-9_.-]*+["']?{_GAP}(?:[:=]|=>|\bis\b){_GAP}["']?([!-~]{{6,}})""",
+    re.A | re.I)
 KINDS = ("assign", "access", "hex", "guess")
 #: log10 of the guesses from which a value counts as a secret.
 GUESS_THRESHOLD = 8.0
