@@ -97,7 +97,7 @@ def _carries(edges: list, group: str, names: list[str], hashes: dict[str, Hash])
     ends = {r["_part"]: r for r in edges if r["_edge"] & 2}
     out, open_ = {}, None
     order = sorted(firsts)
-    for part, after in zip(order, [*order[1:], None], strict=True):
+    for part, after in zip(order, [*order[1:], None], strict=False):
         end = ends[part]
         goes_on = open_ is not None and open_[0] == firsts[part]
         carry = (open_[1], open_[2]) if goes_on else (0, [0] * len(names))
