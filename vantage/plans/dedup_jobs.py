@@ -71,22 +71,26 @@ def clusters(rows: DataFrame) -> DataFrame:
     return assigned.join(matched, "leader", "left_semi").select("pos", "leader")
 
 
-# In order of position, a row leads unless an earlier leader matches it: the earliest row of a block leads
+# In order of position, a row leads unless an earlier leader matches it: the earliest class of a block leads
 # and claims its matches, then the earliest of the rest, and so on, as one recursion step per leader of a block.
+# Rows of a class (company key, token list) match one another and share their first row's leader.
 _LEADER_SQL = f"""
-r AS (SELECT pos, trim(regexp_replace(regexp_replace(regexp_replace(lower(company), '[()]', '', 'g'), '\\s+', ' ', 'g'), '[^a-z0-9 ]', '', 'g')) AS ckey,
+r AS MATERIALIZED (SELECT pos, trim(regexp_replace(regexp_replace(regexp_replace(lower(company), '[()]', '', 'g'), '\\s+', ' ', 'g'), '[^a-z0-9 ]', '', 'g')) AS ckey,
   {DEDUP_TOKENS_SQL.format(x='role')} AS tokens, score_raw, status_raw FROM trk WHERE num > 0),
-e AS (SELECT x.pos AS a, y.pos AS b, x.ckey FROM r x JOIN r y ON x.ckey = y.ckey AND x.pos < y.pos WHERE {_match_sql('x.tokens', 'y.tokens')}),
-adj AS (SELECT ckey, a, list(b) AS bs FROM e GROUP BY ckey, a),
+cl AS MATERIALIZED (SELECT ckey, tokens, min(pos) AS rep, count(*) AS n FROM r GROUP BY ckey, tokens),
+e AS MATERIALIZED (SELECT x.rep AS a, y.rep AS b, x.ckey FROM cl x JOIN cl y ON x.ckey = y.ckey AND x.rep < y.rep WHERE {_match_sql('x.tokens', 'y.tokens')}),
+adj AS MATERIALIZED (SELECT a, list(b) AS bs FROM e GROUP BY a),
 nodes AS (SELECT ckey, list(DISTINCT p ORDER BY p) AS ps FROM (SELECT ckey, a AS p FROM e UNION SELECT ckey, b FROM e) GROUP BY ckey),
-st(ckey, lead, claimed, rest) AS (
-  SELECT ckey, CAST(NULL AS BIGINT), CAST([] AS BIGINT[]), ps FROM nodes
+st(lead, claimed, rest) AS (
+  SELECT CAST(NULL AS BIGINT), CAST([] AS BIGINT[]), ps FROM nodes
   UNION ALL
-  SELECT st.ckey, st.rest[1], list_filter(coalesce(adj.bs, []), lambda x: list_contains(st.rest, x)),
+  SELECT st.rest[1], list_filter(coalesce(adj.bs, []), lambda x: list_contains(st.rest, x)),
     list_filter(st.rest, lambda x: x <> st.rest[1] AND NOT list_contains(coalesce(adj.bs, []), x))
   FROM st LEFT JOIN adj ON adj.a = st.rest[1] WHERE len(st.rest) > 0),
-lead AS (SELECT lead AS pos, lead AS leader FROM st WHERE lead IS NOT NULL
-  UNION ALL SELECT unnest(claimed), lead FROM st WHERE lead IS NOT NULL)"""
+led AS (SELECT lead AS rep, lead AS leader FROM st WHERE lead IS NOT NULL
+  UNION ALL SELECT unnest(claimed), lead FROM st WHERE lead IS NOT NULL
+  UNION ALL SELECT rep, rep FROM cl WHERE n > 1 AND rep NOT IN (SELECT unnest(ps) FROM nodes)),
+lead AS MATERIALIZED (SELECT r.pos, led.leader FROM r JOIN cl USING (ckey, tokens) JOIN led USING (rep) WHERE len(tokens) >= 2)"""
 
 
 @register("ddp_tracker_cluster", ("trk",), f"WITH RECURSIVE {_LEADER_SQL.strip()}\nSELECT pos, leader FROM lead")
@@ -118,7 +122,7 @@ def keep_plan(rows: DataFrame, assign: DataFrame) -> DataFrame:
 
 
 @register("ddp_tracker_keep", ("trk",), f"""WITH RECURSIVE {_LEADER_SQL.strip()},
-c AS (SELECT lead.pos, leader, {Q.score_loose('score_raw')} AS score, {Q.status_rank_raw('status_raw')} AS rank, status_raw FROM lead JOIN r ON r.pos = lead.pos),
+c AS MATERIALIZED (SELECT lead.pos, leader, {Q.score_loose('score_raw')} AS score, {Q.status_rank_raw('status_raw')} AS rank, status_raw FROM lead JOIN r ON r.pos = lead.pos),
 k AS (SELECT *, first_value(pos) OVER (PARTITION BY leader ORDER BY score DESC, pos) AS keeper, count(*) OVER (PARTITION BY leader) AS n FROM c),
 kr AS (SELECT leader, rank AS krank, status_raw AS kstatus FROM k WHERE pos = keeper),
 b AS (SELECT leader, rank AS brank, status_raw AS bstatus FROM k WHERE pos <> keeper

@@ -10,6 +10,8 @@ Parameters fixed for every view: ``as_of`` is never the clock.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 BASE_TABLES = (
@@ -190,10 +192,8 @@ def sql_with(names: list[str] | tuple[str, ...], body: str) -> str:
         return body.strip()
     ctes = ",\n".join(f"{n} AS (\n{VIEWS[n][1]}\n)" for n in order)
     body = body.strip()
-    if body[:15].upper() == "WITH RECURSIVE ":
-        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
-    if body[:5].upper() == "WITH ":
-        return f"WITH {ctes},\n{body[5:]}"
+    if own := re.match(r"WITH\s+(RECURSIVE\s+)?", body, re.IGNORECASE):
+        return f"WITH {'RECURSIVE ' if own.group(1) else ''}{ctes},\n{body[own.end():]}"
     return f"WITH {ctes}\n{body}"
 
 
