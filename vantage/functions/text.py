@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # JavaScript's \s / String.trim() set (Java's \s is ASCII only).
 WS_CLASS = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
@@ -132,6 +134,37 @@ def company_key_spaced(c) -> Column:
     return F.trim(F.regexp_replace(s, r"[^a-z0-9 ]", ""))
 
 
+def _compatible(c) -> Column:
+    """Unicode normalisation form KC, which Spark has no function for."""
+
+    @F.pandas_udf(StringType())  # nested, so that workers get the code with the plan
+    def nfkc(names: pd.Series) -> pd.Series:
+        return names.str.normalize("NFKC")
+
+    return nfkc(col(c))
+
+
+def company_key_safe(c) -> Column:
+    """Merge key for names of any script: form KC, lower case, letters, marks and digits kept; null when none is left.
+
+    A null key is in no block, so names of punctuation alone match nothing by role.
+    """
+    key = F.regexp_replace(F.lower(_compatible(c)), r"[^\p{L}\p{M}\p{N}]", "")
+    return F.when(key != "", key)
+
+
+def company_key_safe_spaced(c) -> Column:
+    """Dedup key for names of any script: as ``company_key_spaced``, but with letters, marks and digits of all scripts."""
+    s = F.regexp_replace(F.lower(_compatible(c)), r"[()]", "")
+    s = F.regexp_replace(s, rf"{WS_CLASS}+", " ")
+    key = F.trim(F.regexp_replace(s, r"[^\p{L}\p{M}\p{N} ]", ""))
+    return F.when(key != "", key)
+
+
+MERGE_KEYS = {"parity": company_key_alnum, "safe": company_key_safe}
+DEDUP_KEYS = {"parity": company_key_spaced, "safe": company_key_safe_spaced}
+
+
 def company_key_suffix(c) -> Column:
     """Dashboard flavour: lower, strip common legal suffixes, keep letters/digits/spaces."""
     s = F.lower(js_trim(col(c)))

@@ -82,29 +82,30 @@ def fuzzy_match(left_tokens: Column, right_tokens: Column, min_shared: int = 2,
             & (n.cast("double") / smaller.cast("double") >= min_ratio))
 
 
-def _prefix_keys(df: DataFrame, id_col: str, block: str, tokens: str, freq: DataFrame) -> DataFrame:
-    """(block, id, token) for all but the most frequent distinct token of each row."""
+def _prefix_keys(df: DataFrame, id_col: str, block: str, tokens: str, freq: DataFrame, min_shared: int) -> DataFrame:
+    """(block, id, token) for all but the ``min_shared - 1`` most frequent distinct tokens of each row."""
     ex = df.select(block, id_col, F.explode(F.array_distinct(F.col(tokens))).alias("token"))
     ex = ex.join(freq, [block, "token"], "left").withColumn("df", F.coalesce("df", F.lit(0)))
     w = Window.partitionBy(block, id_col).orderBy(F.col("df").desc(), F.col("token").desc())
     ranked = (ex.withColumn("_r", F.row_number().over(w))
               .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(block, id_col))))
-    # Keep every token except the single most frequent one; rows with one token keep it.
-    return ranked.where((F.col("_r") > 1) | (F.col("_n") == 1)).select(block, id_col, "token")
+    # Lists that share min_shared tokens share one of the others; rows with fewer tokens keep the rarest.
+    return ranked.where((F.col("_r") >= min_shared) | (F.col("_r") == F.col("_n"))).select(block, id_col, "token")
 
 
 def candidate_pairs(left: DataFrame, right: DataFrame, block: str, tokens: str,
-                    left_id: str, right_id: str) -> DataFrame:
+                    left_id: str, right_id: str, min_shared: int = 2) -> DataFrame:
     """Distinct (left_id, right_id) pairs in the same block sharing a prefix token.
 
     ``left`` and ``right`` carry ``block``, their id and a ``tokens`` array.
     Token frequencies are counted per block over both sides (map-side combined).
+    ``min_shared`` is how many tokens any match shares, repeats on the left aside.
     """
     both = (left.select(block, F.explode(F.array_distinct(F.col(tokens))).alias("token"))
             .unionByName(right.select(block, F.explode(F.array_distinct(F.col(tokens))).alias("token"))))
     freq = both.groupBy(block, "token").agg(F.count(F.lit(1)).alias("df"))
-    lk = _prefix_keys(left, left_id, block, tokens, freq)
-    rk = _prefix_keys(right, right_id, block, tokens, freq)
+    lk = _prefix_keys(left, left_id, block, tokens, freq, min_shared)
+    rk = _prefix_keys(right, right_id, block, tokens, freq, min_shared)
     by_prefix = lk.join(rk, [block, "token"]).select(block, left_id, right_id)
     # A repeated left token alone can reach two shared positions; those rows join on it in full.
     t = F.col(tokens)
@@ -116,9 +117,9 @@ def candidate_pairs(left: DataFrame, right: DataFrame, block: str, tokens: str,
 
 
 def fuzzy_join(left: DataFrame, right: DataFrame, block: str, tokens: str, left_id: str, right_id: str,
-               extra_left: list[str] | None = None) -> DataFrame:
+               extra_left: list[str] | None = None, min_shared: int = 2) -> DataFrame:
     """Verified matches: candidate pairs whose token lists pass the overlap rule (left = multiset side)."""
-    pairs = candidate_pairs(left, right, block, tokens, left_id, right_id)
+    pairs = candidate_pairs(left, right, block, tokens, left_id, right_id, min_shared)
     lt = left.select(block, left_id, F.col(tokens).alias("lt"), *(extra_left or []))
     rt = right.select(block, right_id, F.col(tokens).alias("rt"))
     j = pairs.join(lt, [block, left_id]).join(rt, [block, right_id])

@@ -1,8 +1,8 @@
 """Merge of tracker additions: duplicate matching, update / skip / lost / insert, numbering.
 
-Matching is three equi-join tiers (report number, entry number, company block
-+ fuzzy role), each tagged with its tier; the duplicate of an addition is the
-``min_by`` over (tier, tracker position).  Inserts are numbered with the
+Matching is three lookups of a first tracker row (by report number, by entry
+number, by company block + fuzzy role), each tagged with its tier; the duplicate
+of an addition is the minimum of (tier, tracker position).  Inserts are numbered with the
 closed form of the reference's running maximum,
 ``n_k = k + max(max0, max_{j<=k}(num_j - j))``, evaluated with range-partitioned
 prefix scans (no single-partition window).
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..session import cut_table
 from . import fuzzy as FZ
+from .first_match import first_match
+from .skew import lookup
 
 
 def merge_view(tracker: DataFrame) -> DataFrame:
@@ -23,25 +25,28 @@ def merge_view(tracker: DataFrame) -> DataFrame:
     return tracker.where(~F.col("line").contains("---") & ~F.col("line").contains("Empresa"))
 
 
-def dup_priority(adds: DataFrame, existing: DataFrame) -> DataFrame:
-    """join_dup_priority: (add_id, target_pos, tier) for additions that match a tracker row."""
-    e = existing.select("pos", "num", T.report_number("report").alias("rnum"),
-                        T.company_key_alnum("company").alias("ckey"), FZ.merge_tokens("role").alias("tokens"))
-    a = adds.select("add_id", "num", T.report_number("report").alias("rnum"),
-                    T.company_key_alnum("company").alias("ckey"), FZ.merge_tokens("role").alias("tokens"))
-    t1 = (a.where(F.col("rnum").isNotNull() & (F.col("rnum") != 0)).select("add_id", "rnum")
-          .join(e.where(F.col("rnum").isNotNull()).select("rnum", "pos"), "rnum")
-          .select("add_id", "pos", F.lit(1).alias("tier")))
-    t2 = a.select("add_id", "num").join(e.select("num", "pos"), "num").select("add_id", "pos", F.lit(2).alias("tier"))
-    first = F.min(F.struct("tier", "pos")).alias("b")
-    settled = cut_table(t1.unionByName(t2).groupBy("add_id").agg(first).select("add_id", "b.*"))
-    # Only additions that neither number settles are matched by role, and only in their company's block.
+def _keyed(rows: DataFrame, key: str, policy: str) -> DataFrame:
+    return rows.select(key, "num", T.report_number("report").alias("rnum"), T.MERGE_KEYS[policy]("company").alias("ckey"),
+                       FZ.merge_tokens("role").alias("tokens"))
+
+
+def dup_priority(adds: DataFrame, existing: DataFrame, policy: str = "parity") -> DataFrame:
+    """join_dup_priority: (add_id, target_pos, tier) for additions that match a tracker row.
+
+    Every tier looks up the first tracker row of a key, never row pairs.  ``policy`` chooses the company
+    key of the role tier: ``parity`` keeps ASCII letters and digits, so that all names of other scripts
+    are one company; ``safe`` keeps the letters of every script.
+    """
+    e, a = cut_table(_keyed(existing, "pos", policy)), cut_table(_keyed(adds, "add_id", policy))
+    by_report = e.where("rnum is not null").groupBy("rnum").agg(F.min("pos").alias("pos"))
+    by_entry = e.where("num is not null").groupBy("num").agg(F.min("pos").alias("pos"))
+    t1 = lookup(a.where("rnum <> 0").select("add_id", "rnum"), by_report, ["rnum"]).select("add_id", "pos", F.lit(1).alias("tier"))
+    t2 = lookup(a.where("num is not null").select("add_id", "num"), by_entry, ["num"]).select("add_id", "pos", F.lit(2).alias("tier"))
+    settled = cut_table(t1.unionByName(t2).groupBy("add_id").agg(F.min(F.struct("tier", "pos")).alias("b")).select("add_id", "b.*"))
+    # Only additions that neither number settles are matched by role.
     rest = a.join(settled, "add_id", "left_anti")
-    e_blocks = e.join(rest.select("ckey").distinct(), "ckey", "left_semi")
-    t3 = FZ.fuzzy_join(rest.select("add_id", "ckey", "tokens"), e_blocks.select(F.col("pos"), "ckey", "tokens"),
-                       "ckey", "tokens", "add_id", "pos").select("add_id", "pos", F.lit(3).alias("tier"))
-    best = settled.select("add_id", "tier", "pos").unionByName(t3.groupBy("add_id").agg(first).select("add_id", "b.*"))
-    return best.select("add_id", F.col("pos").alias("target_pos"), "tier")
+    t3 = first_match(cut_table(rest.select("add_id", "ckey", "tokens")), e.select("pos", "ckey", "tokens"), "ckey", "tokens", "add_id", "pos")
+    return settled.unionByName(t3.select("add_id", F.lit(3).alias("tier"), "pos")).select("add_id", F.col("pos").alias("target_pos"), "tier")
 
 
 def entry_numbers(inserts: DataFrame, max0: DataFrame, order_col: str = "add_order") -> DataFrame:
@@ -62,9 +67,9 @@ def entry_numbers(inserts: DataFrame, max0: DataFrame, order_col: str = "add_ord
     return j.select(*inserts.columns, "k", (F.col("k") + gap).alias("entry_num"))
 
 
-def upsert(adds: DataFrame, existing: DataFrame) -> DataFrame:
+def upsert(adds: DataFrame, existing: DataFrame, policy: str = "parity") -> DataFrame:
     """upsert_tracker action log: update (first qualifying), skip, lost, insert (numbered)."""
-    dup = dup_priority(adds, existing)
+    dup = dup_priority(adds, existing, policy)
     a = adds.join(dup, "add_id", "left")
     ex = existing.select(F.col("pos").alias("target_pos"), F.col("num").alias("target_num"),
                          T.score_loose("score_raw").alias("old_score"))

@@ -17,11 +17,15 @@ from . import sqlrules as Q
 from .registry import register
 
 
-def dedup_tracker(spark, sf) -> DataFrame:
-    """Parsed tracker with block key and tokens, materialised once: every later step reads it several times."""
-    t = TR.src_pipe_table(TR.render_tracker(view(spark, sf, "trk")), "positive")
+def dedup_tracker(spark, sf, name: str = "trk", policy: str = "parity") -> DataFrame:
+    """Parsed tracker with block key and tokens, materialised once: every later step reads it several times.
+
+    Under the ``safe`` policy a row whose company has no key is in no block.
+    """
+    t = TR.src_pipe_table(TR.render_tracker(view(spark, sf, name)), "positive")
     return cut_table(t.select("pos", "num", "company", "role", "score_raw", "status_raw",
-                                T.company_key_spaced("company").alias("ckey"), FZ.dedup_tokens("role").alias("tokens")))
+                                T.DEDUP_KEYS[policy]("company").alias("ckey"), FZ.dedup_tokens("role").alias("tokens"))
+                     .where("ckey is not null"))
 
 
 def dedup_classes(rows: DataFrame) -> DataFrame:
@@ -74,9 +78,10 @@ def clusters(rows: DataFrame) -> DataFrame:
 # In order of position, a row leads unless an earlier leader matches it: the earliest class of a block leads
 # and claims its matches, then the earliest of the rest, and so on, as one recursion step per leader of a block.
 # Rows of a class (company key, token list) match one another and share their first row's leader.
-_LEADER_SQL = f"""
-r AS MATERIALIZED (SELECT pos, trim(regexp_replace(regexp_replace(regexp_replace(lower(company), '[()]', '', 'g'), '\\s+', ' ', 'g'), '[^a-z0-9 ]', '', 'g')) AS ckey,
-  {DEDUP_TOKENS_SQL.format(x='role')} AS tokens, score_raw, status_raw FROM trk WHERE num > 0),
+def _leader_sql(trk: str = "trk", key=Q.company_key_spaced) -> str:
+    return f"""
+r AS MATERIALIZED (SELECT * FROM (SELECT pos, {key('company')} AS ckey, {DEDUP_TOKENS_SQL.format(x='role')} AS tokens, score_raw, status_raw
+  FROM {trk} WHERE num > 0) WHERE ckey IS NOT NULL),
 cl AS MATERIALIZED (SELECT ckey, tokens, min(pos) AS rep, count(*) AS n FROM r GROUP BY ckey, tokens),
 e AS MATERIALIZED (SELECT x.rep AS a, y.rep AS b, x.ckey FROM cl x JOIN cl y ON x.ckey = y.ckey AND x.rep < y.rep WHERE {_match_sql('x.tokens', 'y.tokens')}),
 adj AS MATERIALIZED (SELECT a, list(b) AS bs FROM e GROUP BY a),
@@ -93,12 +98,22 @@ led AS (SELECT lead AS rep, lead AS leader FROM st WHERE lead IS NOT NULL
 lead AS MATERIALIZED (SELECT r.pos, led.leader FROM r JOIN cl USING (ckey, tokens) JOIN led USING (rep) WHERE len(tokens) >= 2)"""
 
 
+_LEADER_SQL = _leader_sql()
+
+
 @register("ddp_tracker_cluster", ("trk",), f"WITH RECURSIVE {_LEADER_SQL.strip()}\nSELECT pos, leader FROM lead")
 def ddp_tracker_cluster(spark, sf):
     """(pos, leader) for every row that has a fuzzy match."""
     return clusters(dedup_tracker(spark, sf))
 
 
+@register("ddp_tracker_cluster_safe", ("trk_intl",),
+          f"WITH RECURSIVE {_leader_sql('trk_intl', Q.company_key_safe_spaced).strip()}\nSELECT pos, leader FROM lead")
+def ddp_tracker_cluster_safe(spark, sf):
+    """Clusters over company names of any script, blocked by the script-aware key."""
+    return clusters(dedup_tracker(spark, sf, "trk_intl", "safe"))
+
+
 def keep_plan(rows: DataFrame, assign: DataFrame) -> DataFrame:
     """ddp_tracker_keep: keeper = highest score (stable), status promoted to the most advanced."""
     c = rows.join(assign, "pos").withColumn("score", T.score_loose("score_raw")) \

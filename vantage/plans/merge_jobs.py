@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import status as S
 from ..functions import text as T
+from ..operators import first_match as FM
 from ..operators import fuzzy as FZ
 from ..operators import upsert as U
 from ..operators.prefix import row_number_global
@@ -18,15 +19,15 @@ from . import sqlrules as Q
 from .registry import register
 
 
-def additions(spark, sf) -> DataFrame:
-    parsed = AD.src_additions(view(spark, sf, "adds"))
+def additions(spark, sf, name: str = "adds") -> DataFrame:
+    parsed = AD.src_additions(view(spark, sf, name))
     keyed = parsed.withColumn("_k", AD.file_order_key()).withColumn("add_id", F.col("file_no"))
     return row_number_global(keyed, ["_k", "file"], "add_order").drop("_k")
 
 
-def merge_tracker(spark, sf) -> DataFrame:
+def merge_tracker(spark, sf, name: str = "trk") -> DataFrame:
     """The tracker as the merge sees it, materialised once (matched three ways, then joined back)."""
-    lines = U.merge_view(TR.render_tracker(view(spark, sf, "trk")))
+    lines = U.merge_view(TR.render_tracker(view(spark, sf, name)))
     return cut_table(TR.src_pipe_table(lines, "nonzero"))
 
 
@@ -51,8 +52,11 @@ def _match_sql(lt: str, rt: str) -> str:
 
 
 _STATUS_RE = "^(" + "|".join(S.STATUS_PREFIXES) + ")"
-_ADDS_SQL = f"""
-a0 AS (SELECT file_no, file, string_split(trim(line), chr(9)) AS p FROM adds WHERE trim(line) <> ''),
+
+
+def _adds_sql(adds: str = "adds") -> str:
+    return f"""
+a0 AS (SELECT file_no, file, string_split(trim(line), chr(9)) AS p FROM {adds} WHERE trim(line) <> ''),
 a1 AS (SELECT *, trim(p[5]) AS c4, trim(p[6]) AS c5 FROM a0 WHERE len(p) >= 8),
 a2 AS (SELECT *, (regexp_matches(c4, '^[0-9]+\\.?[0-9]*/5$') OR c4 IN ('N/A', 'DUP')) AS c4s,
   (regexp_matches(c5, '^[0-9]+\\.?[0-9]*/5$') OR c5 IN ('N/A', 'DUP')) AS c5s,
@@ -65,11 +69,14 @@ ad AS (SELECT *, file_no AS add_id,
   row_number() OVER (ORDER BY coalesce(TRY_CAST(nullif(regexp_replace(file, '[^0-9]', '', 'g'), '') AS BIGINT), 0), file) AS add_order
   FROM a3 WHERE num IS NOT NULL AND num <> 0)"""
 
-_DUP_SQL = f"""{_ADDS_SQL},
-ex AS (SELECT pos, num, score_raw, TRY_CAST(nullif(regexp_extract(report, '\\[([0-9]+)\\]', 1), '') AS INTEGER) AS rnum,
-  regexp_replace(lower(company), '[^a-z0-9]', '', 'g') AS ckey, {MERGE_TOKENS_SQL.format(x='role')} AS tokens FROM trk WHERE num <> 0),
-ak AS (SELECT add_id, num, TRY_CAST(nullif(regexp_extract(report, '\\[([0-9]+)\\]', 1), '') AS INTEGER) AS rnum,
-  regexp_replace(lower(company), '[^a-z0-9]', '', 'g') AS ckey, {MERGE_TOKENS_SQL.format(x='role')} AS tokens FROM ad),
+
+
+def _dup_sql(trk: str = "trk", adds: str = "adds", key=Q.company_key_alnum) -> str:
+    return f"""{_adds_sql(adds)},
+ex AS MATERIALIZED (SELECT pos, num, score_raw, TRY_CAST(nullif(regexp_extract(report, '\\[([0-9]+)\\]', 1), '') AS INTEGER) AS rnum,
+  {key('company')} AS ckey, {MERGE_TOKENS_SQL.format(x='role')} AS tokens FROM {trk} WHERE num <> 0),
+ak AS MATERIALIZED (SELECT add_id, num, TRY_CAST(nullif(regexp_extract(report, '\\[([0-9]+)\\]', 1), '') AS INTEGER) AS rnum,
+  {key('company')} AS ckey, {MERGE_TOKENS_SQL.format(x='role')} AS tokens FROM ad),
 c AS (SELECT ak.add_id, ex.pos, 1 AS tier FROM ak JOIN ex ON ak.rnum = ex.rnum WHERE ak.rnum IS NOT NULL AND ak.rnum <> 0
   UNION ALL SELECT ak.add_id, ex.pos, 2 FROM ak JOIN ex ON ak.num = ex.num
   UNION ALL SELECT ak.add_id, ex.pos, 3 FROM ak JOIN ex ON ak.ckey = ex.ckey WHERE {_match_sql('ak.tokens', 'ex.tokens')}),
@@ -77,11 +84,15 @@ dup AS (SELECT add_id, pos AS target_pos, tier FROM (
   SELECT *, row_number() OVER (PARTITION BY add_id ORDER BY tier, pos) AS rn FROM c) WHERE rn = 1)"""
 
 
+_DUP_SQL = _dup_sql()
+
+
 def _loose(x: str) -> str:
     return Q.score_loose(x)
 
 
-_UPSERT_SQL = f"""{_DUP_SQL},
+def _upsert_sql(trk: str = "trk", adds: str = "adds", key=Q.company_key_alnum) -> str:
+    return f"""{_dup_sql(trk, adds, key)},
 j AS (SELECT ad.add_order, ad.add_id, ad.file, ad.num, dup.target_pos, dup.tier, ex.num AS target_num,
   {_loose('ex.score_raw')} AS old_score, {_loose('ad.score_raw')} AS new_score
   FROM ad LEFT JOIN dup ON dup.add_id = ad.add_id LEFT JOIN ex ON ex.pos = dup.target_pos),
@@ -95,10 +106,13 @@ log AS (
   FROM j LEFT JOIN fu ON fu.target_pos = j.target_pos WHERE j.target_pos IS NOT NULL
   UNION ALL
   SELECT add_order, add_id, file, NULL, NULL, NULL, NULL, 'insert',
-    CAST(k + greatest((SELECT max(num) FROM trk WHERE num <> 0), gap_max) AS BIGINT) FROM ins2)"""
+    CAST(k + greatest((SELECT max(num) FROM {trk} WHERE num <> 0), gap_max) AS BIGINT) FROM ins2)"""
+
 
+_UPSERT_SQL = _upsert_sql()
 
-@register("src_additions", ("adds",), f"WITH {_ADDS_SQL} SELECT add_id, add_order, num, date, company, role, score_raw, status, pdf, report, notes FROM ad")
+
+@register("src_additions", ("adds",), f"WITH {_adds_sql()} SELECT add_id, add_order, num, date, company, role, score_raw, status, pdf, report, notes FROM ad")
 def src_additions(spark, sf):
     return additions(spark, sf).select("add_id", F.col("add_order").cast("long"), "num", "date", "company", "role",
                                        "score_raw", "status", "pdf", "report", "notes")
@@ -119,25 +133,43 @@ def join_dup_priority(spark, sf):
     return U.dup_priority(additions(spark, sf), merge_tracker(spark, sf))
 
 
-@register("join_role_fuzzy", ("adds", "trk"), f"""WITH {_DUP_SQL}
-SELECT ak.add_id, ex.pos FROM ak JOIN ex ON ak.ckey = ex.ckey WHERE {_match_sql('ak.tokens', 'ex.tokens')}""")
+@register("join_role_fuzzy", ("adds", "trk"), f"""WITH {_DUP_SQL},
+l AS (SELECT ckey, tokens, min(add_id) AS id FROM ak WHERE len(tokens) > 0 GROUP BY ALL),
+r AS (SELECT ckey, tokens, min(pos) AS pos FROM ex WHERE len(tokens) > 0 AND ckey IN (SELECT ckey FROM l) GROUP BY ALL)
+SELECT 'match' AS kind, id AS add_id, pos FROM l JOIN r ON l.ckey = r.ckey WHERE {_match_sql('l.tokens', 'r.tokens')}
+UNION ALL SELECT 'left', add_id, id FROM ak JOIN l USING (ckey, tokens)
+UNION ALL SELECT 'right', r.pos, ex.pos FROM ex JOIN r USING (ckey, tokens)""")
 def join_role_fuzzy(spark, sf):
-    a = additions(spark, sf).select("add_id", T.company_key_alnum("company").alias("ckey"),
-                                    FZ.merge_tokens("role").alias("tokens"))
-    e = merge_tracker(spark, sf).select("pos", T.company_key_alnum("company").alias("ckey"),
-                                        FZ.merge_tokens("role").alias("tokens"))
-    e = e.join(a.select("ckey").distinct(), "ckey", "left_semi")  # blocks with an addition only
-    return FZ.fuzzy_join(a, e, "ckey", "tokens", "add_id", "pos").select("add_id", "pos")
+    """Matches between classes of equal company key and role, and every row's membership in its class."""
+    a = additions(spark, sf).select("add_id", T.company_key_alnum("company").alias("ckey"), FZ.merge_tokens("role").alias("tokens"))
+    e = merge_tracker(spark, sf).select("pos", T.company_key_alnum("company").alias("ckey"), FZ.merge_tokens("role").alias("tokens"))
+    return FM.match_classes(cut_table(a), cut_table(e), "ckey", "tokens", "add_id", "pos")
 
 
-@register("upsert_tracker", ("adds", "trk"), f"WITH {_UPSERT_SQL} SELECT * FROM log")
-def upsert_tracker(spark, sf):
-    adds = additions(spark, sf)
-    return U.upsert(adds, merge_tracker(spark, sf)).select(
+def _log(adds: DataFrame, existing: DataFrame, policy: str = "parity") -> DataFrame:
+    return U.upsert(adds, existing, policy).select(
         F.col("add_order").cast("long"), "add_id", "file", F.col("target_pos").cast("long"), F.col("tier").cast("int"),
         "old_score", "new_score", "action", F.col("entry_num").cast("long"))
 
 
+@register("upsert_tracker", ("adds", "trk"), f"WITH {_UPSERT_SQL} SELECT * FROM log")
+def upsert_tracker(spark, sf):
+    return _log(cut_table(additions(spark, sf)), merge_tracker(spark, sf))
+
+
+@register("upsert_tracker_safe", ("adds_intl", "trk_intl"),
+          f"WITH {_upsert_sql('trk_intl', 'adds_intl', Q.company_key_safe)} SELECT * FROM log")
+def upsert_tracker_safe(spark, sf):
+    """The merge over company names of any script, matched by the script-aware key."""
+    return _log(cut_table(additions(spark, sf, "adds_intl")), merge_tracker(spark, sf, "trk_intl"), "safe")
+
+
+@register("upsert_tracker_intl", ("adds_intl", "trk_intl"), f"WITH {_upsert_sql('trk_intl', 'adds_intl')} SELECT * FROM log")
+def upsert_tracker_intl(spark, sf):
+    """The same rows under the parity key, which takes all names without ASCII letters or digits for one company."""
+    return _log(cut_table(additions(spark, sf, "adds_intl")), merge_tracker(spark, sf, "trk_intl"))
+
+
 def _js(x: str) -> str:
     return f"CASE WHEN {x} = floor({x}) THEN CAST(CAST({x} AS BIGINT) AS VARCHAR) ELSE CAST({x} AS VARCHAR) END"
 

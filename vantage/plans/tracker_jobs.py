@@ -189,6 +189,16 @@ def txt_company_key(spark, sf):
                        T.company_key_ws("company").alias("key_ws"))
 
 
+@register("txt_company_key_safe", ("trk_intl",), f"""
+SELECT pos, {Q.company_key_safe('company')} AS key_safe, {Q.company_key_safe_spaced('company')} AS key_safe_spaced,
+  {Q.company_key_alnum('company')} AS key_alnum FROM trk_intl
+""")
+def txt_company_key_safe(spark, sf):
+    apps = TR.tracker_from_fixture(view(spark, sf, "trk_intl"), "any")
+    return apps.select("pos", T.company_key_safe("company").alias("key_safe"), T.company_key_safe_spaced("company").alias("key_safe_spaced"),
+                       T.company_key_alnum("company").alias("key_alnum"))
+
+
 @register("txt_slug", ("trk",), """
 SELECT pos,
   regexp_replace(regexp_replace(lower(company), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug,

@@ -79,6 +79,25 @@ SELECT o_orderkey AS file_no, CAST(o_orderkey AS STRING) || '-x.tsv' AS file,
 FROM orders
 """)
 
+# --- tracker and additions whose companies have names of other scripts, full-width letters or none ------------
+_view("trk_intl", ("trk", "orders"), """
+SELECT pos, num, date,
+  CASE WHEN o_orderkey % 97 = 0 THEN '***'
+       WHEN o_custkey % 3 = 0 THEN concat(split_part('鴻海精密|台積電|ソニー|삼성전자|Яндекс', '|', CAST(o_custkey % 5 AS INT) + 1), ' ', CAST(o_custkey % 60 AS STRING))
+       WHEN o_custkey % 3 = 1 THEN concat('Ｃｕｓｔｏｍｅｒ（', CAST(o_custkey AS STRING), '）')
+       ELSE company END AS company,
+  role, score_raw, status_raw, pdf, report, notes
+FROM trk JOIN orders ON o_orderkey = pos
+""")
+_view("adds_intl", ("adds", "orders"), """
+SELECT file_no, file,
+  CASE WHEN o_custkey % 3 = 0 THEN replace(line, concat('Customer ', CAST(o_custkey AS STRING)),
+         concat(split_part('鴻海精密|台積電|ソニー|삼성전자|ЯНДЕКС', '|', CAST(o_custkey % 5 AS INT) + 1), CAST(o_custkey % 60 AS STRING)))
+       WHEN o_orderkey % 89 = 0 THEN replace(line, concat('Customer ', CAST(o_custkey AS STRING)), '--')
+       ELSE replace(line, 'Customer ', 'CUSTOMER ') END AS line
+FROM adds JOIN orders ON o_orderkey = file_no
+""")
+
 # --- offers and scan history (events) ---------------------------------------
 _view("off", ("events",), """
 SELECT event_id AS pos, ts, CAST(ts AS DATE) AS seen_date,
