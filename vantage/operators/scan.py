@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..session import cut_table
 from . import greedy as G
+from .asof import latest_before
 from .filters import title_predicate
 
 INBOX_URL_RE = r"- \[[ x!]\] (https?://[^ \t\n\f\r]+)"
@@ -52,17 +53,27 @@ def seen_role_keys(tracker_lines: DataFrame) -> DataFrame:
 
 
 def dispositions(offers: DataFrame, positive: list[str], negative: list[str],
-                 urls: DataFrame, keys: DataFrame) -> DataFrame:
-    """flt_disposition: invalid / skipped_title / skipped_dup / added per offer (ordered by ``pos``)."""
+                 urls: DataFrame, keys: DataFrame, checks: DataFrame | None = None) -> DataFrame:
+    """flt_disposition: invalid / skipped_title / skipped_dup / skipped_expired / failed / added per offer.
+
+    Offers stand in the order of ``pos``; the first label that applies is taken.  With ``checks`` (url,
+    checked_at, check_id, result) an offer that passes all filters is judged by the latest liveness check
+    of its url not after its ``ts``: expired, failed to load, or else added, as without any check.
+    """
     o = cut_table(normalized(offers).withColumn("_valid", valid(offers))
                     .withColumn("_title_ok", title_predicate(F.col("title"), positive, negative)))
     cand = o.where(F.col("_valid") & F.col("_title_ok"))
     fresh = cand.join(urls, "url", "left_anti").join(keys, "role_key", "left_anti")
     acc = G.two_key_accept(fresh.select("pos", "url", "role_key"), "pos", "url", "role_key")
-    flags = acc.where("accepted").select("pos", F.lit(True).alias("_added"))
+    flags = acc.where("accepted").select("pos", F.lit("added").alias("_passed"))
+    if checks is not None:
+        passed = cut_table(flags.select("pos").join(o.select("pos", "url", "ts"), "pos"))
+        known = checks.withColumn("url", T.collapse_ws("url")).join(passed.select("url").distinct(), "url", "left_semi")
+        result = latest_before(passed, known, "url", "ts", "pos", "checked_at", "check_id", "result")
+        flags = result.select("pos", F.when(F.col("result") == "expired", "skipped_expired").when(F.col("result") == "failed", "failed")
+                              .otherwise("added").alias("_passed"))
     out = o.join(flags, "pos", "left")
-    disp = (F.when(~F.col("_valid"), "invalid").when(~F.col("_title_ok"), "skipped_title")
-            .when(F.col("_added"), "added").otherwise("skipped_dup"))
+    disp = F.when(~F.col("_valid"), "invalid").when(~F.col("_title_ok"), "skipped_title").otherwise(F.coalesce("_passed", F.lit("skipped_dup")))
     return out.select("pos", "url", "company", "title", "role_key", disp.alias("disposition"))
 
 

@@ -22,7 +22,8 @@ from .registry import register
 def additions(spark, sf, name: str = "adds") -> DataFrame:
     parsed = AD.src_additions(view(spark, sf, name))
     keyed = parsed.withColumn("_k", AD.file_order_key()).withColumn("add_id", F.col("file_no"))
-    return row_number_global(keyed, ["_k", "file"], "add_order").drop("_k")
+    # Written before it is ranked: a range partitioning reads its input twice, once for the bounds.
+    return row_number_global(cut_table(keyed), ["_k", "file"], "add_order").drop("_k")
 
 
 def merge_tracker(spark, sf, name: str = "trk") -> DataFrame:

@@ -125,9 +125,15 @@ def ddp_offers_two_key(spark, sf):
     return dispositions(spark, sf).where(F.col("disposition") == "added").select("pos", "url", "role_key")
 
 
-@register("flt_disposition", ("off", "inbox_old", "trk"), _with_seen("SELECT pos, disposition FROM disp"))
+@register("flt_disposition", ("off", "inbox_old", "trk", "chk"), _with_seen("""
+SELECT d.pos, CASE WHEN d.disposition <> 'added' THEN d.disposition WHEN c.result = 'expired' THEN 'skipped_expired'
+  WHEN c.result = 'failed' THEN 'failed' ELSE 'added' END AS disposition
+FROM disp d JOIN off o USING (pos)
+ASOF LEFT JOIN (SELECT url, checked_at, arg_max(result, check_id) AS result FROM chk GROUP BY url, checked_at) c
+  ON c.url = d.url AND c.checked_at <= o.ts"""))
 def flt_disposition(spark, sf):
-    return dispositions(spark, sf).select("pos", "disposition")
+    return SC.dispositions(new_offers(spark, sf), POSITIVE, NEGATIVE, seen_urls(spark, sf), seen_keys(spark, sf),
+                           view(spark, sf, "chk")).select("pos", "disposition")
 
 
 @register("agg_scan_counters", ("off", "inbox_old", "trk"), _with_seen("""

@@ -109,6 +109,14 @@ SELECT event_id AS pos, ts, CAST(ts AS DATE) AS seen_date,
 FROM events
 """)
 
+# --- liveness checks of offer urls: before, at or after the offer was seen; 'failed' where the page did not load --
+_view("chk", ("off",), """
+SELECT pos AS check_id, url,
+  CASE CAST(pos % 5 AS INT) WHEN 0 THEN ts - INTERVAL 3 HOUR WHEN 1 THEN ts + INTERVAL 2 HOUR WHEN 2 THEN ts ELSE ts - INTERVAL 9 DAY END AS checked_at,
+  split_part('active|expired|uncertain|failed|expired|active|active', '|', CAST(pos % 7 AS INT) + 1) AS result
+FROM off WHERE url <> ''
+""")
+
 # --- rich postings (events) -------------------------------------------------
 _view("post", ("events",), """
 SELECT event_id AS pos, CAST((event_id * 31) % 3001 AS STRING) AS job_no,
