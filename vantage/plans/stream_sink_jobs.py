@@ -98,18 +98,20 @@ def _events_to_offers(raw):
 
 
 @register("stm_offer_ingest", ("off",), f"""
-SELECT DISTINCT trim(regexp_replace(url, '\\s+', ' ', 'g')) AS url FROM off
-WHERE ts >= TIMESTAMP '{SPLIT_TS}'
-  AND ((strpos(lower(title), 'engineer') > 0 OR strpos(lower(title), 'developer') > 0)
+WITH o AS (SELECT pos, trim(regexp_replace(url, '\\s+', ' ', 'g')) AS url, trim(regexp_replace(company, '\\s+', ' ', 'g')) AS company,
+  trim(regexp_replace(title, '\\s+', ' ', 'g')) AS title, ts AS event_time FROM off WHERE ts >= TIMESTAMP '{SPLIT_TS}')
+SELECT url, company, title, event_time, pos FROM o
+WHERE ((strpos(lower(title), 'engineer') > 0 OR strpos(lower(title), 'developer') > 0)
        AND NOT (strpos(lower(title), 'junior') > 0 OR strpos(lower(title), 'error') > 0))
-  AND url NOT IN (SELECT url FROM off WHERE ts < TIMESTAMP '{SPLIT_TS}')""")
+  AND url <> '' AND url NOT IN (SELECT url FROM off WHERE ts < TIMESTAMP '{SPLIT_TS}')
+QUALIFY row_number() OVER (PARTITION BY url ORDER BY pos) = 1""")
 def stm_offer_ingest(spark, sf):
     schema = view(spark, sf, "events").schema
     stream = ST.offer_stream(spark, sf, "events.parquet", schema, _events_to_offers)
     stream = stream.where(F.col("ts") >= F.lit(SPLIT_TS).cast("timestamp"))
     out = SK.scratch_dir(spark, "ingest")
-    ST.offer_ingest(stream, history(spark, sf), POSITIVE, NEGATIVE, out, out + "-ckpt")
-    return spark.read.parquet(out).select("url")
+    table = ST.offer_ingest(stream, history(spark, sf), POSITIVE, NEGATIVE, out, out + "-ckpt")
+    return ST.accepted_offers(table)
 
 
 @register("stm_queue_state", ("qst",), f"WITH {_LATEST} SELECT id, status, report_num, score, retries FROM latest")
@@ -119,7 +121,5 @@ def stm_queue_state(spark, sf):
     raw.createOrReplaceTempView("events_stream")
     events = spark.sql(VIEWS["qst"][1].replace("FROM events", "FROM events_stream"))
     out = SK.scratch_dir(spark, "qstate")
-    ST.queue_state(events, out, out + "-ckpt")
-    t = ST.latest_version(spark, out)
-    return t.select("id", "s.status", "s.report_num", "s.score", "s.retries")
-
+    table = ST.queue_state(events, out, out + "-ckpt")
+    return ST.current_states(table).select("id", "s.status", "s.report_num", "s.score", "s.retries")
