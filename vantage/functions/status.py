@@ -7,7 +7,9 @@ folded into the generated code instead of being joined.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import chain
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -187,11 +189,10 @@ def status_repair(c) -> Column:
 def status_repair_note(c) -> Column:
     """Text the repair moves into the notes (duplicate / repost markers), else null."""
     s = js_trim(strip_bold(col(c)))
-    moved = s.rlike(r"(?i)^duplicado") | s.rlike(r"(?i)^dup(?![A-Za-z0-9_])") | (
-        s.rlike(r"(?i)^repost") & ~s.rlike(r"(?i)^(cerrada$|cancelada|descartad[ao]$|rechazada?$|rechazado\s+[0-9]{4}"
-                                           r"|aplicado\s+[0-9]{4}|(condicional|hold|evaluar|verificar)$|monitor$)")
-        & ~s.rlike(r"(?i)geo.?blocker"))
-    return F.when(moved, js_trim(col(c)))
+    duplicate = s.rlike(r"(?i)^duplicado") | s.rlike(r"(?i)^dup(?![A-Za-z0-9_])")
+    *earlier, (repost, _) = REPAIR_PATTERNS
+    ruled = reduce(or_, [s.rlike(p) for p, _ in earlier])
+    return F.when(duplicate | (s.rlike(repost) & ~ruled), js_trim(col(c)))
 
 
 # Fixed values (repair rules after the duplicate test, in this order; case-insensitive).

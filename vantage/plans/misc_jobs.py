@@ -11,6 +11,7 @@ from ..functions import status as S
 from ..functions import text as T
 from ..operators import aggregates as A
 from ..operators import fuzzy as FZ
+from ..operators import versions as VS
 from ..session import cut_table
 from ..sources import reports as R
 from ..sources import tracker as TR
@@ -68,20 +69,36 @@ def join_status_alias(spark, sf):
     return apps.join(F.broadcast(states_dim(spark)), "alias", "left").select("pos", "state_id")
 
 
-@register("upsert_status", ("trk",), """
-WITH u AS (SELECT CAST(o_orderkey + 1 AS VARCHAR) AS report_num, 'Interview' AS new_status FROM orders WHERE o_orderkey % 10 = 0),
-m AS (SELECT u.report_num, u.new_status, min(t.pos) AS pos FROM u JOIN trk t
-      ON strpos(t.report, '[' || u.report_num || ']') > 0 GROUP BY ALL)
+# A status update for every order; some report numbers stand in no tracker row.
+_view("status_updates", ("orders",), """
+SELECT CAST(o_orderkey + CASE WHEN o_orderkey % 13 = 0 THEN 1000001 ELSE 1 END AS STRING) AS report_num,
+  split_part('Interview|Applied|Offer|Rejected|Evaluated', '|', CAST(o_orderkey % 5 AS INT) + 1) AS new_status FROM orders""")
+
+_STATUS_SQL = """
+m AS (SELECT u.new_status, min(t.pos) AS pos FROM status_updates u JOIN (
+        SELECT pos, regexp_extract(report, '\\[([0-9]+)\\]\\(', 1) AS report_num FROM trk) t USING (report_num)
+      GROUP BY u.report_num, u.new_status)"""
+
+
+def _status_versions(spark, sf) -> tuple[DataFrame, DataFrame]:
+    apps = cut_table(TR.src_pipe_table_mixed(TR.render_tracker(view(spark, sf, "trk")), auto_number=False))
+    return apps, VS.with_status(apps, view(spark, sf, "status_updates"))
+
+
+@register("upsert_status", ("trk", "status_updates"), f"""WITH {_STATUS_SQL.strip()}
 SELECT t.pos, coalesce(m.new_status, t.status_raw) AS status FROM trk t LEFT JOIN m ON m.pos = t.pos""")
 def upsert_status(spark, sf):
-    apps = TR.src_pipe_table_mixed(TR.render_tracker(view(spark, sf, "trk")), auto_number=False)
-    updates = view(spark, sf, "orders").where(F.col("o_orderkey") % 10 == 0).select(
-        (F.col("o_orderkey") + 1).cast("string").alias("report_num"), F.lit("Interview").alias("new_status"))
-    # The tracker line that carries ``[n]`` is found through its parsed report number (first line wins).
-    hit = apps.where(F.col("report_num").isNotNull()).join(updates, "report_num") \
-        .groupBy("report_num", "new_status").agg(F.min("pos").alias("pos"))
-    return apps.join(hit.select("pos", "new_status"), "pos", "left") \
-        .select("pos", F.coalesce("new_status", "status_raw").alias("status"))
+    """The tracker line that carries ``[n]`` is found through its parsed report number (first line wins)."""
+    return _status_versions(spark, sf)[1].select("pos", F.col("status_raw").alias("status"))
+
+
+@register("upsert_status_log", ("trk", "status_updates"), f"""WITH {_STATUS_SQL.strip()}
+SELECT t.pos, 'update' AS change, 'status_raw' AS "column", t.status_raw AS before, m.new_status AS after
+FROM trk t JOIN m ON m.pos = t.pos WHERE t.status_raw <> m.new_status""")
+def upsert_status_log(spark, sf):
+    """What the updates changed, as the difference of the tracker before and after."""
+    before, after = _status_versions(spark, sf)
+    return VS.row_diff(before, after, "pos", ["status_raw", "company", "role", "notes"])
 
 
 # Tracked companies (customer rows) as scan targets: enabled flag and provider.

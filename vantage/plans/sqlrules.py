@@ -166,3 +166,33 @@ def company_key_safe(x: str) -> str:
 def company_key_safe_spaced(x: str) -> str:
     return (f"nullif(trim(regexp_replace(regexp_replace(regexp_replace(lower({_compatible(x)}), '[()]', '', 'g'), "
             "'\\s+', ' ', 'g'), '[^\\p{L}\\p{M}\\p{N} ]', '', 'g')), '')")
+
+
+def _repair_text(x: str) -> str:
+    return f"trim(replace({x}, '**', ''))"
+
+
+def _repair_duplicate(s: str) -> str:
+    return f"regexp_matches({s}, '(?i)^duplicado') OR regexp_matches({s}, '(?i)^dup\\b')"
+
+
+def status_repair(x: str) -> str:
+    """The repair rules in their order, from the same fixed values as the operator's."""
+    from ..functions import status as S
+
+    s = _repair_text(x)
+    out = f"CASE WHEN {_repair_duplicate(s)} THEN 'Discarded'"
+    out += "".join(f" WHEN regexp_matches({s}, {q(p)}) THEN {q(label)}" for p, label in S.REPAIR_PATTERNS)
+    out += f" WHEN {s} IN ('\u2014', '-', '') THEN 'Discarded'"
+    out += "".join(f" WHEN lower({s}) = {q(c.lower())} THEN {q(c)}" for c in S.CANONICAL)
+    out += "".join(f" WHEN lower({s}) IN ({', '.join(map(q, values))}) THEN {q(label)}" for values, label in S.REPAIR_ALIASES)
+    return out + " END"
+
+
+def status_repair_note(x: str) -> str:
+    from ..functions import status as S
+
+    s = _repair_text(x)
+    *earlier, (repost, _) = S.REPAIR_PATTERNS
+    ruled = " OR ".join(f"regexp_matches({s}, {q(p)})" for p, _ in earlier)
+    return f"CASE WHEN {_repair_duplicate(s)} OR (regexp_matches({s}, {q(repost)}) AND NOT ({ruled})) THEN trim({x}) END"

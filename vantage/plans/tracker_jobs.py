@@ -16,6 +16,8 @@ from ..operators import aggregates as A
 from ..operators import cadence as C
 from ..operators import filters as F_
 from ..operators import quality as DQ
+from ..operators import sinks as SK
+from ..operators import versions as VS
 from ..operators import views as V
 from ..operators.prefix import row_number_global
 from ..sources import tracker as TR
@@ -118,33 +120,8 @@ def cls_status_strict(spark, sf):
                        S.status_strict_known("status_raw").alias("known"))
 
 
-@register("cls_status_repair", ("trk",), """
-WITH s AS (SELECT pos, status_raw, trim(replace(status_raw, '**', '')) AS s FROM trk)
-SELECT pos, status_raw,
-  CASE WHEN regexp_matches(s, '(?i)^duplicado') OR regexp_matches(s, '(?i)^dup\\b') THEN 'Discarded'
-       WHEN regexp_matches(s, '(?i)^cerrada$') THEN 'Discarded'
-       WHEN regexp_matches(s, '(?i)^cancelada') THEN 'Discarded'
-       WHEN regexp_matches(s, '(?i)^descartad[ao]$') THEN 'Discarded'
-       WHEN regexp_matches(s, '(?i)^rechazada?$') THEN 'Rejected'
-       WHEN regexp_matches(s, '(?i)^rechazado\\s+[0-9]{4}') THEN 'Rejected'
-       WHEN regexp_matches(s, '(?i)^aplicado\\s+[0-9]{4}') THEN 'Applied'
-       WHEN regexp_matches(s, '(?i)^(condicional|hold|evaluar|verificar)$') THEN 'Evaluated'
-       WHEN regexp_matches(s, '(?i)^monitor$') THEN 'SKIP'
-       WHEN regexp_matches(s, '(?i)geo.?blocker') THEN 'SKIP'
-       WHEN regexp_matches(s, '(?i)^repost') THEN 'Discarded'
-       WHEN s IN ('—', '-', '') THEN 'Discarded'
-       WHEN lower(s) = 'evaluated' THEN 'Evaluated' WHEN lower(s) = 'applied' THEN 'Applied'
-       WHEN lower(s) = 'responded' THEN 'Responded' WHEN lower(s) = 'interview' THEN 'Interview'
-       WHEN lower(s) = 'offer' THEN 'Offer' WHEN lower(s) = 'rejected' THEN 'Rejected'
-       WHEN lower(s) = 'discarded' THEN 'Discarded' WHEN lower(s) = 'skip' THEN 'SKIP'
-       WHEN lower(s) = 'evaluada' THEN 'Evaluated'
-       WHEN lower(s) IN ('aplicado', 'enviada', 'aplicada', 'applied', 'sent') THEN 'Applied'
-       WHEN lower(s) = 'respondido' THEN 'Responded' WHEN lower(s) = 'entrevista' THEN 'Interview'
-       WHEN lower(s) = 'oferta' THEN 'Offer' WHEN lower(s) IN ('cerrada', 'descartada') THEN 'Discarded'
-       WHEN lower(s) IN ('no aplicar', 'no_aplicar', 'skip') THEN 'SKIP' END AS status,
-  CASE WHEN regexp_matches(s, '(?i)^duplicado') OR regexp_matches(s, '(?i)^dup\\b') OR regexp_matches(s, '(?i)^repost')
-       THEN trim(status_raw) END AS note
-FROM s
+@register("cls_status_repair", ("trk",), f"""
+SELECT pos, status_raw, {Q.status_repair('status_raw')} AS status, {Q.status_repair_note('status_raw')} AS note FROM trk
 """)
 def cls_status_repair(spark, sf):
     apps = script_apps(spark, sf)
@@ -152,6 +129,41 @@ def cls_status_repair(spark, sf):
                        S.status_repair_note("status_raw").alias("note"))
 
 
+_REPAIR_SQL = f"""
+b AS (SELECT pos, CAST(num AS VARCHAR) AS num, date, company, role, score_raw AS score, trim(status_raw) AS status,
+  CASE WHEN pdf = 'yes' THEN '✅' ELSE '❌' END AS pdf, report, notes FROM trk),
+r AS (SELECT *, {Q.status_repair('status')} AS fixed, {Q.status_repair_note('status')} AS moved FROM b),
+a AS (SELECT pos, num, date, company, role, CASE WHEN hit THEN replace(score, '**', '') ELSE score END AS score,
+  CASE WHEN hit THEN fixed ELSE status END AS status, pdf, report,
+  CASE WHEN NOT hit OR moved IS NULL OR strpos(notes, moved) > 0 THEN notes WHEN notes = '' THEN moved ELSE moved || '. ' || notes END AS notes,
+  fixed IS NULL AS unknown FROM (SELECT *, fixed IS NOT NULL AND fixed <> status AS hit FROM r))"""
+
+
+def _versions(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """The tracker as it is and as the repair leaves it, each written as a version and read back."""
+    base = SK.scratch_dir(spark, "tracker")
+    old = SK.write_tracker_version(TR.render_tracker(view(spark, sf, "trk")), base, "1")
+    new = SK.write_tracker_version(VS.repaired(spark.read.parquet(old)), base, "2")
+    return spark.read.parquet(old), spark.read.parquet(new)
+
+
+@register("cls_status_repair_tracker", ("trk",), f"""WITH {_REPAIR_SQL.strip()}
+SELECT pos, '| ' || concat_ws(' | ', num, date, company, role, score, status, pdf, report, notes) || ' |' AS line, unknown FROM a""")
+def cls_status_repair_tracker(spark, sf):
+    """The tracker's lines after the repair, and which rows have a status that no rule knows."""
+    return _versions(spark, sf)[1]
+
+
+@register("cls_status_repair_log", ("trk",), f"""WITH {_REPAIR_SQL.strip()},
+d AS (UNPIVOT (SELECT pos, score, status, notes FROM b) ON score, status, notes INTO NAME col VALUE before),
+e AS (UNPIVOT (SELECT pos, score, status, notes FROM a) ON score, status, notes INTO NAME col VALUE after)
+SELECT pos, 'update' AS change, col AS "column", before, after FROM d JOIN e USING (pos, col) WHERE before <> after""")
+def cls_status_repair_log(spark, sf):
+    """Every cell that the repair changed, from the difference of the two versions."""
+    old, new = _versions(spark, sf)
+    return VS.row_diff(VS.cell_columns(old), VS.cell_columns(new.drop("unknown")), "pos")
+
+
 # --- text rules ---------------------------------------------------------------
 
 @register("txt_parse_score", ("trk",), f"""
