@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import cut_table
+from .contains import best_texts
 from .prefix import row_number_global
+from .skew import lookup
 
 STATE_COLS = ["status", "report_num", "score", "retries"]
 
@@ -107,6 +110,17 @@ def next_ids(items: DataFrame, order: str, existing_ids: DataFrame) -> DataFrame
         .withColumn("id", F.col("_max") + F.col("_rn")).drop("_one", "_max", "_rn")
 
 
+def report_urls(completed: DataFrame) -> DataFrame:
+    """(report_num, m_url) from completed items (report_num, qurl, first_seq), the last in file order winning.
+
+    A number of fewer than three characters is a key as it stands and padded with zeros to three.
+    """
+    num = F.col("report_num")
+    keys = F.when(F.length(num) < 3, F.array(num, F.lpad(num, 3, "0"))).otherwise(F.array(num))
+    return (completed.select(F.explode(keys).alias("report_num"), "qurl", "first_seq").groupBy("report_num")
+            .agg(F.max_by("qurl", "first_seq").alias("m_url")))
+
+
 def best_role(apps: DataFrame, cands: DataFrame, app_id: str = "pos") -> DataFrame:
     """join_best_role: per app, the candidate url of its company block with the most role words.
 
@@ -114,18 +128,13 @@ def best_role(apps: DataFrame, cands: DataFrame, app_id: str = "pos") -> DataFra
     One candidate -> it; several -> most app-role words (> 2 bytes) contained
     in the candidate role, ties and all-zero -> the earliest candidate.
     Candidates are first collapsed to distinct roles per block and applications
-    to distinct words, so the matching grows with these, not with rows.
+    to distinct word lists, which are looked up in an index of the roles' grams.
     """
-    roles = cands.groupBy("ckey", F.lower("cand_role").alias("crole")).agg(
-        F.min_by("url", "cand_pos").alias("url"), F.min("cand_pos").alias("first_pos"))
-    # Applications with one role in one company have one answer, and each distinct word of a company is
-    # looked up in its roles once; a role no word of which occurs falls back to the earliest candidate.
-    asked = apps.select("ckey", F.lower(T.js_trim("role")).alias("arole")).distinct()
-    words = asked.select("ckey", "arole", F.explode(F.split("arole", r"[ \t\n\r\f\v]+")).alias("w")).where(F.octet_length("w") > 2)
-    found = words.select("ckey", "w").distinct().join(roles, "ckey").where(F.col("crole").contains(F.col("w")))
-    hits = (words.join(found, ["ckey", "w"]).groupBy("ckey", "arole", "crole", "url", "first_pos").agg(F.count(F.lit(1)).alias("score"))
-            .groupBy("ckey", "arole").agg(F.max(F.struct("score", (-F.col("first_pos")).alias("np"), "url")).alias("b")))
-    first = roles.groupBy("ckey").agg(F.min_by("url", "first_pos").alias("first_url"))
-    best = asked.join(first, "ckey").join(hits, ["ckey", "arole"], "left")
-    return (apps.select(app_id, "ckey", F.lower(T.js_trim("role")).alias("arole")).join(best, ["ckey", "arole"])
-            .select(app_id, F.coalesce("b.url", "first_url").alias("url"), F.coalesce("b.score", F.lit(0)).alias("score")))
+    roles = cut_table(cands.where("ckey is not null and cand_role is not null").groupBy(F.col("ckey").alias("block"), F.lower("cand_role").alias("text")).agg(
+        F.min_by("url", "cand_pos").alias("value"), F.min("cand_pos").alias("place")))
+    asked = cut_table(apps.where("ckey is not null").select(app_id, F.col("ckey").alias("block"), F.split(F.lower(T.js_trim("role")), r"[ \t\n\r\f\v]+").alias("words"))
+                      .withColumn("words", F.coalesce(F.filter("words", lambda w: F.octet_length(w) > 2), F.array().cast("array<string>"))))
+    best = best_texts(asked.select("block", "words").distinct(), roles)
+    first = roles.groupBy("block").agg(F.min_by("value", "place").alias("first_url"))
+    answers = asked.select("block", "words").distinct().join(first, "block").join(best.drop("place"), ["block", "words"], "left")
+    return lookup(asked, answers, ["block", "words"]).select(app_id, F.coalesce("value", "first_url").alias("url"), F.coalesce("score", F.lit(0)).alias("score"))

@@ -234,14 +234,16 @@ hdr AS (SELECT path, CASE WHEN regexp_matches(text, '(?m)^\\*\\*URL:\\*\\*\\s*(h
 qc2 AS (SELECT id, CASE WHEN starts_with(trim(regexp_extract(notes, '.*\\| (.*)$', 1)), 'http') THEN trim(regexp_extract(notes, '.*\\| (.*)$', 1))
        WHEN starts_with(url, 'http') THEN url END AS url FROM qin),
 bmap AS (SELECT CAST(id AS VARCHAR) AS bid, url FROM qc2),
-rmap AS (SELECT report_num, arg_max(q.url, l.first_seq) AS url FROM latest l JOIN qc2 q ON q.id = l.id
-         WHERE l.status = 'completed' AND report_num <> '-' AND report_num <> '' GROUP BY report_num),
+done AS (SELECT report_num, q.url, l.first_seq FROM latest l JOIN qc2 q ON q.id = l.id
+         WHERE l.status = 'completed' AND report_num <> '-' AND report_num <> '' AND q.url IS NOT NULL),
+rmap AS (SELECT report_num, arg_max(url, first_seq) AS url FROM (SELECT * FROM done
+         UNION ALL SELECT lpad(report_num, 3, '0'), url, first_seq FROM done WHERE length(report_num) < 3) GROUP BY report_num),
 t AS (SELECT pos, nullif(regexp_extract(report, '\\[([0-9]+)\\]\\(([^)]+)\\)', 1), '') AS rnum,
   CASE WHEN regexp_extract(report, '\\[([0-9]+)\\]\\(([^)]+)\\)', 1) <> '' THEN regexp_extract(report, '\\[([0-9]+)\\]\\(([^)]+)\\)', 2) END AS rpath FROM trk),
 r13 AS (SELECT t.pos, coalesce(h.url, b.url, m.url) AS url,
   CASE WHEN h.url IS NOT NULL THEN 1 WHEN b.url IS NOT NULL THEN 2 WHEN m.url IS NOT NULL THEN 3 END AS tier
   FROM t JOIN hdr h ON h.path = t.rpath LEFT JOIN bmap b ON b.bid = h.batch_id LEFT JOIN rmap m ON m.report_num = t.rnum),
-sh AS (SELECT {_company_suffix_sql('company')} AS ckey, title AS cand_role, url, pos AS cand_pos FROM off WHERE ts < TIMESTAMP '{SPLIT_TS}' AND starts_with(url, 'http')),
+sh AS (SELECT {_company_suffix_sql('company')} AS ckey, title AS cand_role, url, pos AS cand_pos FROM off WHERE starts_with(url, 'http')),
 {_best_role_sql('apps', 'sh').strip().replace('roles AS', 'roles4 AS').replace('FROM roles', 'FROM roles4').replace('JOIN roles ', 'JOIN roles4 ').replace('roles.', 'roles4.').replace('words AS', 'words4 AS').replace('FROM words', 'FROM words4').replace('words.', 'words4.').replace('hits AS', 'hits4 AS').replace('JOIN hits', 'JOIN hits4').replace('scored AS', 'scored4 AS').replace('FROM scored', 'FROM scored4').replace('best AS', 'best4 AS')},
 {_best_role_sql('apps', 'qc').strip()}
 SELECT a.pos, coalesce(r13.url, best4.url, best.url) AS job_url,
@@ -254,8 +256,7 @@ def join_job_url(spark, sf):
     _, _, qurl = QU.notes_parts(F.col("notes"), F.col("url"))
     bmap = q.select(F.col("id").cast("string").alias("batch_id"), qurl.alias("b_url"))
     st = state(spark, sf).where((F.col("status") == "completed") & (F.col("report_num") != "-") & (F.col("report_num") != ""))
-    rmap = st.join(q.select("id", qurl.alias("qurl")), "id").groupBy("report_num").agg(
-        F.max_by("qurl", "first_seq").alias("m_url"))
+    rmap = QU.report_urls(st.join(q.select("id", qurl.alias("qurl")).where("qurl is not null"), "id"))
     t = apps.select("pos", "role", "company", "report_num", "report_path")
     r13 = (t.join(hdr, "report_path").join(bmap, "batch_id", "left")
            .join(rmap, "report_num", "left")
@@ -264,7 +265,7 @@ def join_job_url(spark, sf):
                    .when(F.col("m_url").isNotNull(), 3).alias("r_tier"))
            .where(F.col("r_url").isNotNull()))
     keyed = t.select("pos", "role", T.company_key_suffix("company").alias("ckey"))
-    hist = view(spark, sf, "off").where((F.col("ts") < F.lit(SPLIT_TS).cast("timestamp")) & F.col("url").startswith("http"))
+    hist = view(spark, sf, "off").where(F.col("url").startswith("http"))
     sh = hist.select(T.company_key_suffix("company").alias("ckey"), F.col("title").alias("cand_role"), "url",
                      F.col("pos").alias("cand_pos"))
     b4 = QU.best_role(keyed, sh).select("pos", F.col("url").alias("u4"))

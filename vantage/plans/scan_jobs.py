@@ -93,9 +93,13 @@ def _with_seen(body: str) -> str:
     return "WITH RECURSIVE " + _SEEN_SQL.strip() + "\n" + body
 
 
-@register("set_seen_union", ("off", "inbox_old", "trk"), _with_seen("SELECT url FROM seen_u"))
+@register("set_seen_union", ("off", "inbox", "trk"), r"""
+SELECT url FROM off WHERE url <> ''
+UNION SELECT unnest(regexp_extract_all(line, '- \[[ x!]\] (https?://[^ \t\n\f\r]+)', 1)) FROM inbox
+UNION SELECT unnest(regexp_extract_all(concat_ws(' | ', CAST(num AS VARCHAR), date, company, role, score_raw, status_raw, report, notes), 'https?://[^\s|)]+')) FROM trk""")
 def set_seen_union(spark, sf):
-    return seen_urls(spark, sf)
+    """All offers as history, the whole inbox and the tracker."""
+    return SC.seen_urls(offers(spark, sf).select("url"), view(spark, sf, "inbox"), tracker_lines(spark, sf))
 
 
 @register("join_seen_url", ("off", "inbox_old", "trk"), _with_seen(

@@ -51,6 +51,7 @@ SELECT o_orderkey AS pos,
   CASE WHEN o_orderkey % 3 = 0 THEN 'yes' ELSE 'no' END AS pdf,
   CASE WHEN o_orderkey % 11 = 0 THEN ''
        WHEN o_orderkey % 9 = 0 THEN concat('[', CAST(o_orderkey + 1 AS STRING), '](reports/gone-', CAST(o_orderkey + 1 AS STRING), '.md)')
+       WHEN o_orderkey < 99 THEN concat('[', lpad(CAST(o_orderkey + 1 AS STRING), 3, '0'), '](reports/', CAST(o_orderkey + 1 AS STRING), '.md)')
        ELSE concat('[', CAST(o_orderkey + 1 AS STRING), '](reports/', CAST(o_orderkey + 1 AS STRING), '.md)') END AS report,
   CASE WHEN o_orderkey % 7 = 0 THEN concat(split_part('Emailed Jane Roe at jane|contact: Max Poe @ max|see ', '|', CAST(o_orderkey % 3 AS INT) + 1), CAST(o_custkey AS STRING), '@mail.example.com') ELSE o_orderpriority END AS notes
 FROM orders
@@ -149,8 +150,9 @@ FROM events
 # --- report documents (orders) ----------------------------------------------
 _view("rep", ("orders",), """
 SELECT concat('reports/', CAST(o_orderkey + 1 AS STRING), '.md') AS path,
-  concat('# Evaluation', chr(10), '**URL:** https://jobs.example.com/r/', CAST(o_orderkey AS STRING), chr(10),
-    '**Batch ID:** ', CAST(o_orderkey % 4000 AS STRING), chr(10), chr(10),
+  concat('# Evaluation', chr(10),
+    CASE WHEN o_orderkey % 4 = 1 THEN '' ELSE concat('**URL:** https://jobs.example.com/r/', CAST(o_orderkey AS STRING), chr(10)) END,
+    CASE WHEN o_orderkey % 8 = 1 THEN '' ELSE concat('**Batch ID:** ', CAST(o_orderkey % 4000 AS STRING), chr(10)) END, chr(10),
     '| **Archetype** | ', split_part('Platform|Agentic|Solutions', '|', CAST(o_custkey % 3 AS INT) + 1), ' |', chr(10),
     '| **Remote** | ', split_part('Hybrid in office|Global anywhere|Remote LATAM|US-only|TBD', '|', CAST(o_orderkey % 5 AS INT) + 1), ' |', chr(10),
     CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE concat('| **Seniority** | ', split_part('Senior|Lead|Mid', '|', CAST(o_orderkey % 3 AS INT) + 1), ' |', chr(10),
