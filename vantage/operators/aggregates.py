@@ -127,11 +127,18 @@ def weekly_activity(apps: DataFrame, date: str = "date", last_n: int = 8) -> Dat
     return weeks.orderBy(F.col("week").desc()).limit(last_n).select("week", F.col("count"))
 
 
+def _by_status(apps: DataFrame, status: str, *columns: Column) -> DataFrame:
+    """One pass over all rows: a row of the whole (level ``all``) and one per status (level ``status``)."""
+    rolled = apps.withColumn("_s", F.coalesce(F.col(status), F.lit(""))).rollup("_s").agg(F.grouping("_s").alias("_all"), *columns)
+    return rolled.withColumn("level", F.when(F.col("_all") == 1, "all").otherwise("status")).withColumnRenamed("_s", "status").drop("_all")
+
+
 def pipeline_metrics(apps: DataFrame, status: str = "status", score: str = "score",
                      has_pdf: str = "has_pdf") -> DataFrame:
-    """agg_pipeline_metrics: totals, avg/top score, with pdf, actionable (one row)."""
+    """agg_pipeline_metrics: totals, avg/top score, with pdf, actionable, over all and by status."""
     s, sc = F.col(status), F.col(score)
-    return apps.agg(
+    return _by_status(
+        apps, status,
         F.count(F.lit(1)).alias("total"),
         F.coalesce(F.avg(F.when(sc > 0, sc)), F.lit(0.0)).alias("avg_score"),
         F.coalesce(F.max(F.when(sc > 0, sc)), F.lit(0.0)).alias("top_score"),
@@ -231,13 +238,13 @@ def analysis_meta(apps: DataFrame, date: str = "date", outcome: str = "outcome")
 
 
 def tracker_summary(apps: DataFrame, score: str = "score", has_pdf: str = "has_pdf",
-                    report_num: str = "report_num") -> DataFrame:
-    """agg_tracker_summary: total, avg score, % with pdf, % with a report link."""
+                    report_num: str = "report_num", status: str = "status") -> DataFrame:
+    """agg_tracker_summary: total, avg score, % with pdf, % with a report link, over all and by status."""
     sc = F.col(score)
-    c = apps.agg(F.count(F.lit(1)).alias("total"),
-                 F.coalesce(F.avg(F.when(sc > 0, sc)), F.lit(0.0)).alias("avg_score"),
-                 F.count_if(F.col(has_pdf)).alias("pdf_n"),
-                 F.count_if(F.col(report_num).isNotNull()).alias("report_n"))
-    return c.select("total", F.round("avg_score", 9).alias("avg_score"),
+    c = _by_status(apps, status, F.count(F.lit(1)).alias("total"),
+                   F.coalesce(F.avg(F.when(sc > 0, sc)), F.lit(0.0)).alias("avg_score"),
+                   F.count_if(F.col(has_pdf)).alias("pdf_n"),
+                   F.count_if(F.col(report_num).isNotNull()).alias("report_n"))
+    return c.select("level", "status", "total", F.round("avg_score", 9).alias("avg_score"),
                     safe_pct(F.col("pdf_n"), F.col("total")).alias("pdf_pct"),
                     safe_pct(F.col("report_n"), F.col("total")).alias("report_pct"))

@@ -288,49 +288,74 @@ def src_site_profile(spark, sf):
 
 # Listing pages with job cards (title anchor + company anchor), built from offers.
 _view("cards", ("off",), """
-SELECT pos AS page_id, 'https://www.cakeresume.com/jobs?query=x' AS url,
-  concat('<div class="card"><h2><a class="jobTitle big" href="/companies/c', CAST(pos % 40 AS STRING), '/jobs/', CAST(pos AS STRING),
-    '?ref=list">', title, '</a></h2><span>', CASE WHEN pos % 4 = 0 THEN 'Remote-first team' WHEN pos % 4 = 1 THEN '台北市信義區, hybrid'
-    WHEN pos % 4 = 2 THEN 'Office in 新竹縣竹北市' ELSE 'Location flexible' END, '</span>',
-    CASE WHEN pos % 5 = 0 THEN '' ELSE concat('<a class="companyName" href="/companies/c', CAST(pos % 40 AS STRING), '">', company, '</a>') END,
-    '</div>') AS html
-FROM off
+SELECT page_id, 'https://www.cakeresume.com/jobs?query=x' AS url,
+  concat(lead, '<div class="card"><h2><a class="jobTitle big" href="/companies/c', c, '/jobs/', CAST(page_id AS STRING),
+    '?ref=list">', title, '</a></h2><span>', CASE WHEN page_id % 4 = 0 THEN 'Remote-first team' WHEN page_id % 4 = 1 THEN '台北市信義區, hybrid'
+    WHEN page_id % 4 = 2 THEN 'Office in 新竹縣竹北市' ELSE 'Location flexible' END, '</span>',
+    CASE WHEN page_id % 5 = 0 THEN '' ELSE concat('<a class="companyName" href="/companies/c', c, '">', company, '</a>') END, '</div>',
+    CASE WHEN page_id % 3 = 0 THEN concat(repeat('<p>filler text</p>', 300), '<a class="jobTitle big" href="/companies/c', c, '/jobs/', CAST(page_id AS STRING), 'b">',
+      upper(title), '</a><a class="companyName" href="#">Second ', company, '</a>') ELSE '' END,
+    CASE WHEN page_id % 6 = 0 THEN concat(repeat('<i>more</i>', 400), '<a class="jobTitle big" href="/companies/c', c, '/jobs/', CAST(page_id AS STRING), 'b">',
+      upper(title), '</a>') ELSE '' END) AS html
+FROM (SELECT pos AS page_id, CAST(pos % 40 AS STRING) AS c, title, company, repeat('<br>', CAST(pos % 30 AS INT)) AS lead FROM off) o
 """)
 
 CARD_RE = r"(?i)<a\b([^>]*class=[\"'][^\"']*jobTitle[^\"']*[\"'][^>]*)>([\s\S]*?)</a>"
 COMPANY_RE = r"(?i)class=[\"'][^\"']*companyName[^\"']*[\"'][^>]*>([\s\S]*?)</a>"
 
 
+def card_windows(html: Column, window: int) -> Column:
+    """array<struct<attrs, inner, card>>: every title anchor with up to ``window`` characters before its start and after.
+
+    The text is split at its anchors, so an anchor's place is the length of what stands before it: equal
+    anchors have places of their own, and only the windows leave the expression, not the page.
+    """
+    anchors = F.regexp_extract_all(html, F.lit(CARD_RE), 0)
+    between = F.split(html, CARD_RE, -1)
+    ends = F.aggregate(
+        F.arrays_zip(anchors.alias("m"), F.slice(between, 1, F.greatest(F.size(anchors), F.lit(0))).alias("gap")),
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
+        lambda acc, x: F.struct((acc["at"] + F.length(x["gap"]) + F.length(x["m"])).alias("at"),
+                                F.concat(acc["starts"], F.array(acc["at"] + F.length(x["gap"]) + 1)).alias("starts")),
+        lambda acc: acc["starts"])
+
+    def card(m: Column, at: Column) -> Column:
+        start = F.greatest(at - window, F.lit(1))
+        return F.struct(F.regexp_extract(m, CARD_RE, 1).alias("attrs"), F.regexp_extract(m, CARD_RE, 2).alias("inner"),
+                        F.substring(html, start, F.least(at + window, F.length(html) + 1) - start).alias("card"))
+
+    return F.zip_with(anchors, ends, card)
+
+
 def html_cards(pages: DataFrame, window: int = 2500) -> DataFrame:
     """src_html_cards: title anchors; company from the ±``window`` characters around each anchor."""
-    h = F.col("html")
-    whole = F.regexp_extract_all(h, F.lit(CARD_RE), 0)
-    e = pages.select("page_id", "url", "html", F.posexplode(whole).alias("idx", "m"))
-    attrs = F.regexp_extract("m", CARD_RE, 1)
-    inner = F.regexp_extract("m", CARD_RE, 2)
+    e = pages.select("page_id", "url", F.posexplode(card_windows(F.col("html"), window)).alias("idx", "c"))
+    attrs, inner = F.col("c.attrs"), F.col("c.inner")
     href = F.regexp_extract(attrs, r"(?i)href=[\"']([^\"']+)[\"']", 1)
-    pos = F.instr(h, F.col("m"))  # first occurrence of the anchor text
-    start = F.greatest(pos - window, F.lit(1))
-    card = F.substring(h, start, F.least(pos + window, F.length(h) + 1) - start)
-    company = F.regexp_extract(card, COMPANY_RE, 1)
+    company = F.regexp_extract(F.col("c.card"), COMPANY_RE, 1)
     out = e.where(href.rlike(r"(?i)/companies/[^/]+/jobs/[^/?#]+")).select(
         "page_id", "idx", H.strip_tags(inner).alias("title"),
         H.absolute_url(F.col("url"), F.split(H.decode_entities(href), r"\?", 2).getItem(0)).alias("job_url"),
         F.coalesce(F.when(H.strip_tags(company) != "", H.strip_tags(company)),
                    F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), H.company_from_url(href)).otherwise(F.lit(""))).alias("company"))
-    w = Window.partitionBy("page_id", "job_url").orderBy("idx")
-    return out.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    first = out.groupBy("page_id", "job_url").agg(F.min("idx").alias("idx"))
+    return out.join(first, ["page_id", "job_url", "idx"], "left_semi")
 
 
 _STRIPPED = "trim(regexp_replace(regexp_replace({x}, '<[^>]+>', ' ', 'g'), '{ws}+', ' ', 'g'))".replace("{ws}", Q.WS_RE2)
 
 
+_ANCHOR_SQL = "(?i)<a\\b[^>]*class=[\"''][^\"'']*jobTitle[^\"'']*[\"''][^>]*>[\\s\\S]*?</a>"
+
+
 @register("src_html_cards", ("cards",), f"""
-WITH m AS (SELECT page_id, url, html, regexp_extract_all(html, {Q.q(CARD_RE)}, 0) AS ms FROM cards),
-e AS (SELECT page_id, url, html, CAST(i - 1 AS INTEGER) AS idx, ms[i] AS m, strpos(html, ms[i]) AS p FROM m, range(1, CAST(len(ms) AS BIGINT) + 1) t(i)),
+WITH m AS (SELECT page_id, url, html, regexp_extract_all(html, {Q.q(CARD_RE)}, 0) AS ms, regexp_split_to_array(html, '{_ANCHOR_SQL}') AS gaps FROM cards),
+e AS (SELECT page_id, url, html, CAST(i - 1 AS INTEGER) AS idx, ms[i] AS m,
+  1 + list_sum(list_transform(range(1, i + 1), lambda j: length(gaps[j]))) + coalesce(list_sum(list_transform(range(1, i), lambda j: length(ms[j]))), 0) AS p
+  FROM m, range(1, CAST(len(ms) AS BIGINT) + 1) t(i)),
 x AS (SELECT *, regexp_extract(regexp_extract(m, {Q.q(CARD_RE)}, 1), '(?i)href=["'']([^"'']+)["'']', 1) AS href,
   regexp_extract(m, {Q.q(CARD_RE)}, 2) AS inner_html,
-  regexp_extract(substr(html, greatest(p - 2500, 1), least(p + 2500, length(html) + 1) - greatest(p - 2500, 1)), {Q.q(COMPANY_RE)}, 1) AS chtml FROM e),
+  regexp_extract(substr(html, greatest(p - 2500, 1)::BIGINT, (least(p + 2500, length(html) + 1) - greatest(p - 2500, 1))::BIGINT), {Q.q(COMPANY_RE)}, 1) AS chtml FROM e),
 o AS (SELECT page_id, idx, {_STRIPPED.replace("{x}", "inner_html")} AS title,
   regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) || split_part(href, '?', 1) AS job_url, {_STRIPPED.replace("{x}", "chtml")} AS company
   FROM x WHERE regexp_matches(href, '(?i)/companies/[^/]+/jobs/[^/?#]+'))

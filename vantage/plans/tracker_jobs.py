@@ -315,11 +315,12 @@ def agg_score_threshold(spark, sf):
 
 @register("agg_pipeline_metrics", ("trk",), f"""
 WITH a AS (SELECT {DASH_STATUS} AS s, {Q.score_strict('score_raw')} AS score, pdf = 'yes' AS has_pdf FROM trk)
-SELECT count(*) AS total, round(coalesce(avg(score) FILTER (WHERE score > 0), 0.0), 9) AS avg_score,
+SELECT CASE WHEN grouping(s) = 1 THEN 'all' ELSE 'status' END AS level, s AS status,
+  count(*) AS total, round(coalesce(avg(score) FILTER (WHERE score > 0), 0.0), 9) AS avg_score,
   coalesce(max(score) FILTER (WHERE score > 0), 0.0) AS top_score,
   count(*) FILTER (WHERE has_pdf) AS with_pdf,
   count(*) FILTER (WHERE s NOT IN ('skip', 'rejected', 'discarded')) AS actionable
-FROM a
+FROM a GROUP BY ROLLUP (s)
 """)
 def agg_pipeline_metrics(spark, sf):
     m = A.pipeline_metrics(dashboard_apps(spark, sf))
@@ -366,12 +367,13 @@ def agg_weekly_activity(spark, sf):
 
 
 @register("agg_tracker_summary", ("trk",), f"""
-WITH a AS (SELECT {Q.score_strict('score_raw')} AS score, pdf = 'yes' AS has_pdf,
+WITH a AS (SELECT {DASH_STATUS} AS s, {Q.score_strict('score_raw')} AS score, pdf = 'yes' AS has_pdf,
   regexp_extract(report, '\\[([0-9]+)\\]\\(([^)]+)\\)', 1) <> '' AS has_report FROM trk)
-SELECT count(*) AS total, round(coalesce(avg(score) FILTER (WHERE score > 0), 0.0), 9) AS avg_score,
+SELECT CASE WHEN grouping(s) = 1 THEN 'all' ELSE 'status' END AS level, s AS status,
+  count(*) AS total, round(coalesce(avg(score) FILTER (WHERE score > 0), 0.0), 9) AS avg_score,
   CASE WHEN count(*) = 0 THEN 0.0 ELSE (count(*) FILTER (WHERE has_pdf))::DOUBLE / count(*)::DOUBLE * 100.0 END AS pdf_pct,
   CASE WHEN count(*) = 0 THEN 0.0 ELSE (count(*) FILTER (WHERE has_report))::DOUBLE / count(*)::DOUBLE * 100.0 END AS report_pct
-FROM a
+FROM a GROUP BY ROLLUP (s)
 """)
 def agg_tracker_summary(spark, sf):
     return A.tracker_summary(dashboard_apps(spark, sf))
