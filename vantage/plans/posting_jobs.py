@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import grouped_text as GT
 from ..operators import postings as P
+from ..operators import sinks as SK
 from ..operators.filters import title_predicate
 from ..operators.prefix import row_number_global
 from ..sources.bindings import AS_OF_EVENTS, view
@@ -155,11 +157,33 @@ def srt_location_groups(spark, sf):
     return out.select("pos", "location", F.col("rank").cast("long"))
 
 
-@register("snk_history_report", ("post", "off"), f"""WITH {_DEDUP_SQL}
-SELECT coalesce(nullif(p.location, ''), '其他') AS grp, count(*) AS n FROM oc JOIN post p USING (pos)
-WHERE outcome = 'added' GROUP BY 1""")
+_HISTORY_HEAD = ["| 刊登日 | 公司 | 職務 | 薪水 | 遠端 | 連結 |", "|--------|------|------|------|------|------|"]
+
+
+@register("snk_history_report", ("post", "off"), f"""WITH {_DEDUP_SQL},
+hr AS (SELECT coalesce(nullif(p.location, ''), '其他') AS grp, strftime(appear_date, '%Y-%m-%d') AS d, pos,
+  '| ' || strftime(appear_date, '%m/%d') || ' | ' || company || ' | ' || title || ' | ' || salary || ' | '
+  || CASE remote_type WHEN 1 THEN '混合遠端' WHEN 2 THEN '完全遠端' ELSE '' END || ' | [104](https://www.104.com.tw/job/' || p.job_no || ') |' AS line
+  FROM oc JOIN post p USING (pos) WHERE outcome = 'added'),
+g AS (SELECT grp, count(*) AS n FROM hr GROUP BY grp),
+o AS (SELECT grp, CASE WHEN starts_with(grp, 'North City') THEN 0 WHEN starts_with(grp, 'East Town') THEN 1 ELSE 99 END AS rank FROM g),
+l AS (SELECT 0 AS s, 0 AS rank, '' AS grp, 0 AS part, '' AS d, 0 AS pos, unnest([1, 2, 3]) AS i,
+    unnest(['# Scan History — {AS_OF_EVENTS}', '', '共 ' || (SELECT count(*) FROM hr) || ' 筆']) AS line
+  UNION ALL SELECT 1, rank, grp, 0, '', 0, unnest([1, 2, 3, 4, 5]), unnest(['', '## ' || grp || '（' || n || ' 筆）', '', {", ".join(f"'{h}'" for h in _HISTORY_HEAD)}])
+    FROM g JOIN o USING (grp)
+  UNION ALL SELECT 1, rank, grp, 1, d, pos, 0, line FROM hr JOIN o USING (grp))
+SELECT row_number() OVER (ORDER BY s, rank, grp, part, d DESC, pos, i) AS line_no, line FROM l""")
 def snk_history_report(spark, sf):
+    """The history listing by location with counts and total, written as a text and read back."""
     added = outcomes(spark, sf).where(F.col("outcome") == "added").select("pos")
-    rows = posts(spark, sf).join(added, "pos")
-    grp = F.coalesce(F.when(F.col("location") != "", F.col("location")), F.lit("其他"))
-    return rows.groupBy(grp.alias("grp")).agg(F.count(F.lit(1)).alias("n"))
+    p = posts(spark, sf).join(added, "pos")
+    cells = [F.date_format("appear_date", "MM/dd"), F.col("company"), F.col("title"), F.col("salary"), P.remote_label(F.col("remote_type")),
+             F.concat(F.lit("[104](https://www.104.com.tw/job/"), "job_no", F.lit(")"))]
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(c, F.lit("")) for c in cells]), F.lit(" |"))
+    rows = p.select(F.col("location").alias("group"), F.date_format("appear_date", "yyyy-MM-dd").alias("date"), F.col("pos").alias("tie"), line.alias("line"))
+    n = F.col("n").cast("string")
+    heading = F.array(F.lit(""), F.concat(F.lit("## "), "grp", F.lit("（"), n, F.lit(" 筆）")), F.lit(""), *map(F.lit, _HISTORY_HEAD))
+    title = F.array(F.lit(f"# Scan History — {AS_OF_EVENTS}"), F.lit(""), F.concat(F.lit("共 "), n, F.lit(" 筆")))
+    path = SK.scratch_dir(spark, "history-report")
+    GT.write_document(GT.grouped_document(rows, heading, title, PREFERRED), path)
+    return GT.read_document(spark, path)

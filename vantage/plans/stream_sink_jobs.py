@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import grouped_text as GT
 from ..operators import sinks as SK
 from ..sources.bindings import VIEWS, view
 from ..streaming import ingest as ST
@@ -33,37 +34,32 @@ def snk_history_append(spark, sf):
     return back.select("url", "company", "title", F.col("first_seen").cast("date").alias("first_seen"))
 
 
-@register("snk_inbox_grouped", ("off",), """
-WITH nw AS (SELECT url, company, title, strftime(seen_date, '%Y-%m-%d') AS date, 'North City' AS loc FROM off WHERE pos % 3 = 0
-            UNION ALL SELECT url, company, title, strftime(seen_date, '%Y-%m-%d'), 'East Town' FROM off WHERE pos % 3 = 1
-            UNION ALL SELECT url, company, title, strftime(seen_date, '%Y-%m-%d'), '' FROM off WHERE pos % 3 = 2),
-u AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY date DESC, company, title, loc) AS r FROM nw),
-g AS (SELECT url, '- [ ] ' || url || ' | ' || company || ' | ' || title || ' | ' || loc || ' | ' || date AS line,
-       coalesce(nullif(loc, ''), '其他') AS grp, date FROM u WHERE r = 1)
-SELECT grp, line, row_number() OVER (ORDER BY CASE WHEN starts_with(grp, 'North City') THEN 0 WHEN starts_with(grp, 'East Town') THEN 1 ELSE 99 END,
-  grp, date DESC, url) AS line_no FROM g""")
+@register("snk_inbox_grouped", ("off", "inbox_old"), f"""
+WITH u AS (SELECT regexp_extract(line, '^- \\[ \\] (https?://[^ \\t\\n\\f\\r]+)', 1) AS url, 0 AS src, line_no AS ord, line,
+    coalesce(string_split(line, ' | ')[4], '') AS loc, trim(coalesce(string_split(line, ' | ')[5], '')) AS date
+  FROM inbox_old WHERE regexp_matches(line, '^- \\[ \\] (https?://[^ \\t\\n\\f\\r]+)')
+  UNION ALL SELECT url, 1, pos, '- [ ] ' || concat_ws(' | ', url, company, title, loc, date), loc, date
+  FROM (SELECT *, strftime(seen_date, '%Y-%m-%d') AS date, split_part('North City|East Town|', '|', (pos % 3 + 1)::INT) AS loc FROM off
+        WHERE ts >= TIMESTAMP '{SPLIT_TS}')),
+e AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY src, ord) AS f, row_number() OVER (PARTITION BY url ORDER BY src DESC, ord DESC) AS r FROM u),
+k AS (SELECT l.line, l.date, coalesce(nullif(l.loc, ''), '其他') AS grp, f.src, f.ord FROM e l JOIN e f USING (url) WHERE l.r = 1 AND f.f = 1),
+o AS (SELECT DISTINCT grp, CASE WHEN starts_with(grp, 'North City') THEN 0 WHEN starts_with(grp, 'East Town') THEN 1 ELSE 99 END AS rank FROM k),
+x AS (SELECT 0 AS s, 0 AS rank, '' AS grp, 0 AS part, '' AS date, 0 AS src, 0 AS ord, unnest([1, 2, 3, 4, 5]) AS i,
+    unnest(['# Job Pipeline', '', '共 ' || (SELECT count(*) FROM k) || ' 筆待評估', '', '## Pending']) AS line
+  UNION ALL SELECT 1, rank, grp, 0, '', 0, 0, unnest([1, 2, 3]), unnest(['', '### ' || grp, '']) FROM o
+  UNION ALL SELECT 1, rank, grp, 1, date, src, ord, 0, line FROM k JOIN o USING (grp)
+  UNION ALL SELECT 2, 0, '', 0, '', 0, line_no, 0, line FROM inbox_old WHERE line_no >= (SELECT min(line_no) FROM inbox_old WHERE starts_with(line, '## Processed')))
+SELECT row_number() OVER (ORDER BY s, rank, grp, part, date DESC, src, ord, i) AS line_no, line FROM x""")
 def snk_inbox_grouped(spark, sf):
-    from ..operators import postings as P
-    from ..operators.prefix import row_number_global
-
-    o = view(spark, sf, "off")
+    """The inbox after new offers: pending entries by location, then the processed section, written and read back."""
+    off = view(spark, sf, "off").where(F.col("ts") >= F.lit(SPLIT_TS).cast("timestamp"))
     loc = F.when(F.col("pos") % 3 == 0, "North City").when(F.col("pos") % 3 == 1, "East Town").otherwise("")
-    nw = o.select("url", "company", "title", F.date_format("seen_date", "yyyy-MM-dd").alias("date"), loc.alias("loc"))
-    # new offers overwrite by url: one line per url (latest date, then the smallest line)
-    latest = nw.groupBy("url").agg(F.max("date").alias("date"))
-    one = nw.join(latest, ["url", "date"]).groupBy("url", "date").agg(
-        F.min(F.struct("company", "title", "loc")).alias("x"))
-    line = F.concat(F.lit("- [ ] "), "url", F.lit(" | "), "x.company", F.lit(" | "), "x.title", F.lit(" | "), "x.loc",
-                    F.lit(" | "), "date")
-    grp = F.coalesce(F.when(F.col("x.loc") != "", F.col("x.loc")), F.lit("其他"))
-    g = one.select("url", "date", line.alias("line"), grp.alias("grp"))
-    g = g.withColumn("_r", P.location_group_rank(F.col("grp"), ["North City", "East Town"]))
-    ranked = row_number_global(g, [F.col("_r"), F.col("grp"), F.col("date").desc(), F.col("url")], "line_no")
+    new = off.select("pos", "url", "company", "title", loc.alias("location"), F.date_format("seen_date", "yyyy-MM-dd").alias("date"))
+    rows, tail = GT.merged_inbox(view(spark, sf, "inbox_old"), new)
+    title = F.array(F.lit("# Job Pipeline"), F.lit(""), F.concat(F.lit("共 "), F.col("n").cast("string"), F.lit(" 筆待評估")), F.lit(""), F.lit("## Pending"))
     path = SK.scratch_dir(spark, "inbox")
-    SK.write_lines(ranked.select("line_no", F.concat_ws("\u0001", "grp", "line").alias("line")), path)
-    back = SK.read_lines(spark, path)
-    parts = F.split("line", "\u0001", 2)
-    return back.select(parts.getItem(0).alias("grp"), parts.getItem(1).alias("line"), "line_no")
+    GT.write_document(GT.grouped_document(rows, F.array(F.lit(""), F.concat(F.lit("### "), "grp"), F.lit("")), title, ["North City", "East Town"], tail), path)
+    return GT.read_document(spark, path)
 
 
 @register("snk_queue_file", ("inbox", "qst", "qin"), f"""WITH {_QUEUE_SQL}
