@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
@@ -37,9 +37,13 @@ SELECT page_id, concat('Company ', CAST(page_id % 40 AS STRING)) AS company,
       '{"job_title":{"name":"Engineer"},"average_salary":{"type":"month","amount":', CAST(40000 + page_id * 10 AS STRING), '},"data_count":', CAST(page_id % 9 AS STRING), '},',
       '{"job_title":{"name":"Analyst"},"average_salary":{"type":"year","amount":', CAST(600000 + page_id AS STRING), '},"data_count":', CAST(page_id % 5 AS STRING), '}]}}}},',
       '"experience":{"experienceById":{"', lpad(CAST(page_id AS STRING), 24, 'a'), '":{"data":{"originalCompanyName":"Company ', CAST(page_id % 40 AS STRING),
-      '","job_title":{"name":"Engineer"},"interview_time":{"year":', CAST(2019 + page_id % 6 AS STRING), ',"month":', CAST(1 + page_id % 12 AS STRING),
-      '},"interview_result":"', CASE WHEN page_id % 2 = 0 THEN 'offer' ELSE 'rejected' END, '","averageSectionRating": undefined,',
-      '"sections":[{"subtitle":"Round 1","content":"Coding"},{"subtitle":"Round 2","content":"Design"}]}}}},"flag": undefined}') END,
+      '","job_title":{"name":"', split_part('Engineer|Analyst|Designer', '|', CAST(page_id % 3 AS INT) + 1), '"},"interview_time":{"year":', CAST(2019 + page_id % 6 AS STRING), ',"month":', CAST(1 + page_id % 12 AS STRING),
+      '},"interview_result":"', CASE WHEN page_id % 2 = 0 THEN 'offer' ELSE 'rejected' END, '","region":"', split_part('North|South|', '|', CAST(page_id % 3 AS INT) + 1),
+      '","experience_in_year": ', CASE WHEN page_id % 4 = 0 THEN 'undefined' ELSE CAST(page_id % 9 AS STRING) END,
+      ',"averageSectionRating": ', CASE WHEN page_id % 3 = 0 THEN 'undefined' ELSE concat(CAST(1 + page_id % 4 AS STRING), '.5') END,
+      ',"sections":[', CASE WHEN page_id % 5 = 0 THEN '' ELSE concat('{"subtitle":"Round 1","content":"Coding ', CAST(page_id AS STRING), '"},{"subtitle":"Round 2"}') END,
+      CASE WHEN page_id % 5 = 1 THEN ',{"content":"More"}' ELSE '' END, ']}},"', lpad(CAST(page_id AS STRING), 24, 'b'),
+      '":{"data":{"sections":[{"subtitle":"Only","content":"', CAST(page_id % 7 AS STRING), '"}]}},"', lpad(CAST(page_id AS STRING), 24, 'c'), '":{"data":null}}},"flag": undefined}') END,
     ';</script>') AS html
 FROM pages
 """)
@@ -280,12 +284,15 @@ STATE_SCHEMA = Ty.StructType([
 
 
 def embedded_state(df: DataFrame) -> DataFrame:
-    """src_embedded_state: the ``window.__data`` blob parsed (``undefined`` -> null); bad JSON -> null state."""
+    """src_embedded_state: the ``window.__data`` blob parsed (``undefined`` -> null); bad JSON -> null state.
+
+    ``state`` has the fields of the fixed schema, ``data`` the whole blob as VARIANT.
+    """
     blob = F.regexp_extract("html", STATE_RE, 1)
     fixed = F.regexp_replace(blob, r":\s*undefined", ": null")
-    parsed = F.when(blob != "", F.from_json(fixed, STATE_SCHEMA, {"mode": "PERMISSIVE"}))
-    valid = F.when(blob != "", F.try_parse_json(fixed).isNotNull()).otherwise(F.lit(False))
-    return df.select("page_id", "company", F.when(valid, parsed).alias("state"))
+    read = df.select("page_id", "company", fixed.alias("_json"), F.when(blob != "", F.try_parse_json(fixed)).alias("data"))
+    state = F.when(F.col("data").isNotNull(), F.from_json("_json", STATE_SCHEMA, {"mode": "PERMISSIVE"}))
+    return read.select("page_id", "company", state.alias("state"), "data")
 
 
 def _state_sql():
@@ -304,41 +311,71 @@ def src_embedded_state(spark, sf):
                     .alias("n_experiences"))
 
 
+def experience_rows(states: DataFrame) -> DataFrame:
+    """One row per interview experience of the embedded state, read from its VARIANT; those without data give none."""
+    tvf = states.sparkSession.tvf
+    found = states.lateralJoin(tvf.variant_explode(F.variant_get(F.col("data").outer(), "$.experience.experienceById", "variant")))
+    e = found.select("page_id", "company", F.col("key").alias("exp_id"), F.try_variant_get("value", "$.data", "variant").alias("d"))
+
+    def field(path: str, kind: str) -> Column:
+        return F.try_variant_get("d", path, kind)
+
+    return e.where("d is not null and not is_variant_null(d)").select(
+        "page_id", "company", "exp_id",
+        F.coalesce(field("$.originalCompanyName", "string"), F.lit("")).alias("exp_company"),
+        F.coalesce(field("$.job_title.name", "string"), F.lit("")).alias("job_title"),
+        F.coalesce(field("$.region", "string"), F.lit("")).alias("region"), field("$.experience_in_year", "double").alias("exp_years"),
+        F.coalesce(field("$.interview_time.year", "long"), F.lit(0)).alias("year"),
+        F.coalesce(field("$.interview_time.month", "long"), F.lit(0)).alias("month"),
+        F.coalesce(field("$.interview_result", "string"), F.lit("")).alias("result"),
+        field("$.averageSectionRating", "double").alias("rating"), field("$.sections", "variant").alias("sections"))
+
+
+def experience_sections(rows: DataFrame) -> DataFrame:
+    """Every experience with its sections' texts, a row per section (number null where there are none)."""
+    found = rows.lateralJoin(rows.sparkSession.tvf.variant_explode_outer(F.col("sections").outer()))
+    text = lambda name: F.coalesce(F.try_variant_get("value", f"$.{name}", "string"), F.lit(""))
+    return found.select(*[c for c in rows.columns if c != "sections"], F.col("pos").cast("int").alias("section"),
+                        F.when(F.col("pos").isNotNull(), text("subtitle")).alias("subtitle"), F.when(F.col("pos").isNotNull(), text("content")).alias("content"))
+
+
 def experiences(spark, sf) -> DataFrame:
-    s = embedded_state(view(spark, sf, "pstate"))
-    e = s.select("page_id", "company", F.explode("state.experience.experienceById").alias("exp_id", "e"))
-    return e.select("page_id", "company", "exp_id",
-                    F.coalesce("e.data.originalCompanyName", F.lit("")).alias("exp_company"),
-                    F.coalesce("e.data.job_title.name", F.lit("")).alias("job_title"),
-                    F.coalesce("e.data.interview_time.year", F.lit(0)).alias("year"),
-                    F.coalesce("e.data.interview_time.month", F.lit(0)).alias("month"),
-                    F.coalesce("e.data.interview_result", F.lit("")).alias("result"),
-                    F.size(F.coalesce("e.data.sections", F.array())).alias("n_sections"))
+    return experience_rows(embedded_state(view(spark, sf, "pstate")))
 
 
 _EXP_SQL = f"""{_state_sql()},
 ek AS (SELECT page_id, company, unnest(json_keys(j, '$.experience.experienceById')) AS exp_id, j FROM s0 WHERE j IS NOT NULL),
-ex AS (SELECT page_id, company, exp_id,
-  coalesce(json_extract_string(j, '$.experience.experienceById."' || exp_id || '".data.originalCompanyName'), '') AS exp_company,
-  coalesce(json_extract_string(j, '$.experience.experienceById."' || exp_id || '".data.job_title.name'), '') AS job_title,
-  coalesce(CAST(json_extract(j, '$.experience.experienceById."' || exp_id || '".data.interview_time.year') AS BIGINT), 0) AS year,
-  coalesce(CAST(json_extract(j, '$.experience.experienceById."' || exp_id || '".data.interview_time.month') AS BIGINT), 0) AS month,
-  coalesce(json_extract_string(j, '$.experience.experienceById."' || exp_id || '".data.interview_result'), '') AS result,
-  CAST(coalesce(json_array_length(j, '$.experience.experienceById."' || exp_id || '".data.sections'), 0) AS INTEGER) AS n_sections FROM ek)"""
+ed AS (SELECT page_id, company, exp_id, json_extract(j, '$.experience.experienceById."' || exp_id || '".data') AS d FROM ek),
+ex AS (SELECT page_id, company, exp_id, coalesce(d->>'$.originalCompanyName', '') AS exp_company, coalesce(d->>'$.job_title.name', '') AS job_title,
+  coalesce(d->>'$.region', '') AS region, TRY_CAST(d->>'$.experience_in_year' AS DOUBLE) AS exp_years,
+  coalesce(TRY_CAST(d->>'$.interview_time.year' AS BIGINT), 0) AS year, coalesce(TRY_CAST(d->>'$.interview_time.month' AS BIGINT), 0) AS month,
+  coalesce(d->>'$.interview_result', '') AS result, TRY_CAST(d->>'$.averageSectionRating' AS DOUBLE) AS rating, d->'$.sections' AS sections
+  FROM ed WHERE d IS NOT NULL AND json_type(d) <> 'NULL')"""
+
+
+@register("src_experiences", ("pstate",), f"""WITH {_EXP_SQL},
+n AS (SELECT *, unnest(CASE WHEN coalesce(json_array_length(sections), 0) = 0 THEN [NULL] ELSE range(0, json_array_length(sections)::BIGINT) END)::INT AS section FROM ex)
+SELECT * EXCLUDE (sections), CASE WHEN section IS NOT NULL THEN coalesce(sections[section]->>'$.subtitle', '') END AS subtitle,
+  CASE WHEN section IS NOT NULL THEN coalesce(sections[section]->>'$.content', '') END AS content FROM n""")
+def src_experiences(spark, sf):
+    return experience_sections(experiences(spark, sf))
 
 
-@register("src_experiences", ("pstate",), f"WITH {_EXP_SQL} SELECT * FROM ex")
-def src_experiences(spark, sf):
-    return experiences(spark, sf)
+def recent_per_company(rows: DataFrame, since: int, limit: int) -> DataFrame:
+    """The first ``limit`` experiences of each company that are undated or not before the year ``since``."""
+    w = Window.partitionBy("company").orderBy("page_id", "exp_id")
+    recent = rows.where((F.col("year") == 0) | (F.col("year") >= since))
+    return recent.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= limit).drop("_r")
+
+
+RECENT_SINCE, RECENT_LIMIT, SALARY_LIMIT = 2022, 3, 8
 
 
 @register("win_recent_per_company", ("pstate",), f"""WITH {_EXP_SQL}
 SELECT page_id, exp_id FROM (SELECT *, row_number() OVER (PARTITION BY company ORDER BY page_id, exp_id) AS rn FROM ex
-WHERE year = 0 OR year >= 2022) WHERE rn <= 3""")
+WHERE year = 0 OR year >= {RECENT_SINCE}) WHERE rn <= {RECENT_LIMIT}""")
 def win_recent_per_company(spark, sf):
-    e = experiences(spark, sf).where((F.col("year") == 0) | (F.col("year") >= 2022))
-    w = Window.partitionBy("company").orderBy("page_id", "exp_id")
-    return e.withColumn("_r", F.row_number().over(w)).where("_r <= 3").select("page_id", "exp_id")
+    return recent_per_company(experiences(spark, sf), RECENT_SINCE, RECENT_LIMIT).select("page_id", "exp_id")
 
 
 def salaries(spark, sf) -> DataFrame:
@@ -367,11 +404,16 @@ def src_salary_stats(spark, sf):
     return salaries(spark, sf)
 
 
+def first_salaries(rows: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` salary statistics of each company."""
+    w = Window.partitionBy("company").orderBy("page_id", "idx")
+    return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= limit).drop("_r")
+
+
 @register("win_salary_top", ("pstate",), f"""WITH {_SAL_SQL}
-SELECT page_id, idx FROM (SELECT *, row_number() OVER (PARTITION BY company ORDER BY page_id, idx) AS rn FROM sal) WHERE rn <= 8""")
+SELECT page_id, idx FROM (SELECT *, row_number() OVER (PARTITION BY company ORDER BY page_id, idx) AS rn FROM sal) WHERE rn <= {SALARY_LIMIT}""")
 def win_salary_top(spark, sf):
-    w = Window.partitionBy("company").orderBy("page_id", "idx")
-    return salaries(spark, sf).withColumn("_r", F.row_number().over(w)).where("_r <= 8").select("page_id", "idx")
+    return first_salaries(salaries(spark, sf), SALARY_LIMIT).select("page_id", "idx")
 
 
 assert "crawl" in VIEWS and "pstate" in VIEWS
