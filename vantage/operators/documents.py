@@ -3,7 +3,7 @@
 Documents are split into lines with ``posexplode`` (one row per line, the
 line number kept); every check is a column predicate over lines or whole
 texts.  The deny-list scan reads each line once with an automaton of the
-patterns.
+patterns, or joins pieces of the lines with a longer table of patterns.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify as K
 from ..functions import text as T
-from ..session import share_code
+from ..session import cut_table, share_code
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -78,34 +78,73 @@ def document_structure(docs: DataFrame) -> DataFrame:
     )
 
 
-def pattern_blocks(patterns: DataFrame, block_chars: int):
-    """Lists of (pattern_id, pattern) of at most about ``block_chars`` characters, in id order."""
-    block, held = [], 0
-    for r in patterns.select("pattern_id", "pattern").where("pattern is not null").orderBy("pattern_id", "pattern").toLocalIterator():
-        block.append((r[0], r[1]))
-        held += len(r[1]) + 1
-        if held >= block_chars:
-            yield block
-            block, held = [], 0
-    if block:
-        yield block
-
-
-def denylist_scan(doc_lines: DataFrame, patterns: DataFrame, allowed: Column | None = None, block_chars: int = 1_000_000) -> DataFrame:
+def denylist_scan(doc_lines: DataFrame, patterns: DataFrame, allowed: Column | None = None, max_chars: int = 1_000_000) -> DataFrame:
     """dq_denylist_scan: (doc_id, line_no, pattern_id) for lines containing a pattern; an empty one is in every line.
 
-    One automaton finds the patterns of a block, of any length, in one pass over the lines; blocks bound
-    what is broadcast, whatever the number of patterns.  ``allowed`` marks lines that are not searched.
+    Patterns of ``max_chars`` characters in all fit one automaton, which is broadcast and passes over the
+    lines once; a longer table is joined with the lines by grams (``denylist_join``).  ``allowed`` marks
+    lines that are not searched; null lines and patterns match nothing.
     """
     rows = doc_lines if allowed is None else doc_lines.where(~F.coalesce(allowed, F.lit(False)))
-    spark, out = doc_lines.sparkSession, None
+    known = patterns.where("pattern is not null").select(F.col("pattern_id").cast("long"), "pattern")
+    if (known.agg(F.sum(F.length("pattern") + 1).alias("n")).first()["n"] or 0) > max_chars:
+        return denylist_join(rows, known)
+    spark = doc_lines.sparkSession
     share_code(spark)
-    for block in pattern_blocks(patterns, block_chars):
-        held = spark.sparkContext.broadcast(block)
-        hits = rows.select(F.col("doc_id").cast("long"), F.col("line_no").cast("int"), "line").mapInArrow(
-            _pattern_scan(held), "doc_id long, line_no int, pattern_id long")
-        out = hits if out is None else out.unionByName(hits)
-    return out if out is not None else spark.createDataFrame([], "doc_id long, line_no int, pattern_id long")
+    held = spark.sparkContext.broadcast([tuple(r) for r in known.collect()])
+    return rows.select(F.col("doc_id").cast("long"), F.col("line_no").cast("int"), "line").mapInArrow(
+        _pattern_scan(held), "doc_id long, line_no int, pattern_id long")
+
+
+#: Gram lengths: one is used for patterns of at least twice its length less one, the longest that fits.
+GRAM_SIZES = (8, 4, 2, 1)
+
+
+def pattern_anchors(patterns: DataFrame) -> DataFrame:
+    """(size, gram, pattern_id, pattern): grams of which every line that contains the pattern shows one.
+
+    A line shows its consecutive pieces of ``size`` characters.  Wherever a pattern stands, one of any
+    ``size`` consecutive offsets in it falls on the start of a piece; the offsets whose grams are rarest
+    among the patterns are taken.
+    """
+    size, q = F.lit(GRAM_SIZES[-1]), F.col("size")
+    for n in reversed(GRAM_SIZES[:-1]):
+        size = F.when(F.length("pattern") >= 2 * n - 1, n).otherwise(size)
+    p = patterns.where("pattern <> ''").withColumn("size", size).distinct()
+    runs = F.sequence(F.lit(0), F.floor((F.length("pattern") - q * 2 + 1) / q).cast("int"))
+    grams = cut_table(p.select("*", F.explode(runs).alias("run")).select("*", F.explode(F.sequence(F.lit(0), q - 1)).alias("i"))
+                      .withColumn("gram", F.substring("pattern", F.col("run") * q + F.col("i") + 1, q)))
+    often = grams.groupBy("size", "gram").agg(F.count_distinct("pattern_id").alias("patterns"))
+    rarest = (grams.join(often, ["size", "gram"]).groupBy("pattern_id", "pattern", "run").agg(F.sum("patterns").alias("w"))
+              .groupBy("pattern_id", "pattern").agg(F.min(F.struct("w", "run")).alias("b")))
+    chosen = rarest.select("pattern_id", "pattern", F.col("b.run").alias("run"))
+    return grams.join(chosen, ["pattern_id", "pattern", "run"]).select("size", "gram", "pattern_id", "pattern").distinct()
+
+
+def _pieces(line: str, size: int) -> Column:
+    """array<struct<size, gram>>: the distinct consecutive pieces of ``size`` characters."""
+    found = F.array_distinct(F.regexp_extract_all(line, F.lit(f"(?s).{{{size}}}"), F.lit(0)))
+    return F.transform(found, lambda g: F.struct(F.lit(size).alias("size"), g.alias("gram")))
+
+
+def denylist_join(doc_lines: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Lines containing a pattern, for pattern tables of any size: a join of line pieces with pattern anchors.
+
+    Pieces travel without their line, and lines with a candidate are joined back and verified, all in
+    JVM expressions.  Empty patterns, which every line contains, need no search.
+    """
+    rows = doc_lines.where("line is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("line_no").cast("int").alias("line_no"), "line")
+    anchors = cut_table(pattern_anchors(patterns))
+    sizes = [r["size"] for r in anchors.select("size").distinct().collect()]  # some of GRAM_SIZES
+    shown = [_pieces("line", q) for q in sizes]
+    everywhere = rows.join(F.broadcast(patterns.where("pattern = ''").select("pattern_id", F.lit("").alias("_all")).distinct()),
+                           F.substring("line", 1, 0) == F.col("_all")).select("doc_id", "line_no", "pattern_id")
+    if not sizes:
+        return everywhere
+    pieces = rows.select("doc_id", "line_no", F.explode(F.concat(*shown)).alias("p")).select("doc_id", "line_no", "p.size", "p.gram")
+    candidates = pieces.join(anchors, ["size", "gram"]).select("doc_id", "line_no", "pattern_id", "pattern").distinct()
+    found = rows.join(candidates, ["doc_id", "line_no"]).where(F.contains("line", "pattern")).select("doc_id", "line_no", "pattern_id").distinct()
+    return found.unionByName(everywhere)
 
 
 def _pattern_scan(held):

@@ -95,12 +95,21 @@ def dq_document_structure(spark, sf):
     return DO.document_structure(docs(spark, sf))
 
 
-@register("dq_denylist_scan", ("documents", "benchmark"), f"""WITH {_lines_sql("documents")}, {_BPAT_SQL}
-SELECT DISTINCT dl.doc_id, dl.line_no, p.pattern_id FROM dl JOIN bpat p ON strpos(dl.line, p.pattern) > 0""")
+_DENY_SQL = f"""WITH {_lines_sql("documents")}, {_BPAT_SQL}
+SELECT DISTINCT dl.doc_id, dl.line_no, p.pattern_id FROM dl JOIN bpat p ON strpos(dl.line, p.pattern) > 0"""
+
+
+@register("dq_denylist_scan", ("documents", "benchmark"), _DENY_SQL)
 def dq_denylist_scan(spark, sf):
     return DO.denylist_scan(DO.lines(view(spark, sf, "documents")), bench_patterns(spark, sf))
 
 
+@register("dq_denylist_join", ("documents", "benchmark"), _DENY_SQL)
+def dq_denylist_join(spark, sf):
+    """The same lines by the join for pattern tables of any size."""
+    return DO.denylist_join(DO.lines(view(spark, sf, "documents")), bench_patterns(spark, sf))
+
+
 @register("dq_absolute_paths", ("dmix",), f"""WITH {_lines_sql("dmix")}
 SELECT doc_id, line_no, line AS detail FROM dl
 WHERE (strpos(line, '/Users/') > 0 OR strpos(line, '/home/') > 0) AND source NOT IN ('src0')""")
