@@ -32,8 +32,9 @@ def render_state_tsv(state: DataFrame, urls: DataFrame) -> DataFrame:
     def cell(c):
         return F.coalesce(F.col(c).cast("string"), F.lit("-"))
 
+    error = F.coalesce(F.when(F.col("status") == "failed", F.concat(F.lit("exit code "), F.col("retries").cast("string"))), F.lit("-"))
     line = F.concat_ws("\t", F.col("id").cast("string"), cell("url"), cell("status"), F.lit("-"), F.lit("-"),
-                       cell("report_num"), cell("score"), F.lit("-"), cell("retries"))
+                       cell("report_num"), cell("score"), error, cell("retries"))
     header = state.sparkSession.createDataFrame(
         [(-1, "id\turl\tstatus\tstarted_at\tcompleted_at\treport_num\tscore\terror\tretries")], "pos long, line string")
     return header.unionByName(s.select(F.col("first_seq").alias("pos"), line.alias("line")))

@@ -222,6 +222,18 @@ def src_jd_markdown(spark, sf):
 
 # --- company site profile ----------------------------------------------------------------------
 
+# Pages of company sites: with and without descriptions, structured data (some of it broken) and brand names.
+_view("sites", ("pages",), """
+SELECT page_id, concat(
+  CASE WHEN page_id % 3 = 0 THEN concat('<meta property="og:description" content="We build useful things for region ', CAST(page_id AS STRING), '">') ELSE '' END,
+  CASE WHEN page_id % 4 = 1 THEN concat('<meta name="description" content="A description of company ', CAST(page_id AS STRING), ' for readers">') ELSE '' END,
+  CASE WHEN page_id % 5 = 0 THEN concat('<script type="application/ld+json">{"name":"Brand ', CAST(page_id % 17 AS STRING), '","description":"Structured text ', CAST(page_id AS STRING), '"}</script>')
+       WHEN page_id % 5 = 1 THEN '<script type="application/ld+json">{"name":"Brand only"}</script>'
+       WHEN page_id % 5 = 2 THEN '<script type="application/ld+json">{"name": broken</script>' ELSE '' END, html) AS html
+FROM pages
+""")
+
+# Fixed values (patterns of descriptions, structured data and text blocks).
 OG_RE = r"(?i)<meta[^>]+property=[\"']og:description[\"'][^>]+content=[\"']([^\"']{20,})"
 META_RE = r"(?i)<meta[^>]+name=[\"']description[\"'][^>]+content=[\"']([^\"']{20,})"
 LD_RE = r"(?i)<script type=[\"']application/ld\+json[\"']>([\s\S]*?)</script>"
@@ -270,18 +282,18 @@ def _clean_block_sql(x):
     return f"regexp_replace(regexp_replace({s}, '{Q.WS_RE2}+', ' ', 'g'), '^{Q.WS_RE2}+|{Q.WS_RE2}+$', '', 'g')"
 
 
-@register("src_site_profile", ("pages",), f"""
-WITH p AS (SELECT page_id, html, regexp_replace(regexp_replace(html, '(?i)<script[\\s\\S]*?</script>', '', 'g'), '(?i)<style[\\s\\S]*?</style>', '', 'g') AS ns FROM pages),
+@register("src_site_profile", ("sites",), f"""
+WITH p AS (SELECT page_id, html, regexp_replace(regexp_replace(html, '(?i)<script[\\s\\S]*?</script>', '', 'g'), '(?i)<style[\\s\\S]*?</style>', '', 'g') AS ns FROM sites),
 b AS (SELECT page_id, html, list_transform(regexp_extract_all(ns, {Q.q(BLOCK_RE2)}, 0),
   lambda x: {_clean_block_sql("regexp_replace(regexp_replace(x, '(?i)^<[^>]*>', ''), '(?i)</[^>]*>$', '')")}) AS bl FROM p),
 g AS (SELECT page_id, html, list_filter(bl, lambda t: length(t) > 30 AND length(t) < 400
   AND NOT regexp_matches(regexp_replace(t, '{Q.WS_RE2}', '', 'g'), '([A-Z][a-z]+){{4,}}')
   AND NOT regexp_matches(t, '(?i)copyright|cookie|privacy|all rights reserved')
-  AND len(regexp_extract_all(t, '[a-zA-Z一-龥]')) > length(t) * 0.3) AS good FROM b)
-SELECT page_id, coalesce(nullif(regexp_extract(html, {Q.q(OG_RE)}, 1), ''), nullif(regexp_extract(html, {Q.q(META_RE)}, 1), ''), '') AS intro,
-  '' AS brand, CAST(len(good) AS INTEGER) AS n_blocks, array_to_string(good, chr(10)) AS blocks FROM g""")
+  AND len(regexp_extract_all(t, '[a-zA-Z一-龥]')) > length(t) * 0.3) AS good FROM b), l AS (SELECT *, regexp_extract(html, {Q.q(LD_RE)}, 1) AS ld FROM g)
+SELECT page_id, coalesce(CASE WHEN json_valid(ld) THEN nullif(ld->>'$.description', '') END, nullif(regexp_extract(html, {Q.q(OG_RE)}, 1), ''), nullif(regexp_extract(html, {Q.q(META_RE)}, 1), ''), '') AS intro,
+  coalesce(CASE WHEN json_valid(ld) THEN ld->>'$.name' END, '') AS brand, CAST(len(good) AS INTEGER) AS n_blocks, array_to_string(good, chr(10)) AS blocks FROM l""")
 def src_site_profile(spark, sf):
-    return site_profile(view(spark, sf, "pages"))
+    return site_profile(view(spark, sf, "sites"))
 
 
 # --- job cards --------------------------------------------------------------------------------
@@ -300,6 +312,7 @@ SELECT page_id, 'https://www.cakeresume.com/jobs?query=x' AS url,
 FROM (SELECT pos AS page_id, CAST(pos % 40 AS STRING) AS c, title, company, repeat('<br>', CAST(pos % 30 AS INT)) AS lead FROM off) o
 """)
 
+# Fixed values (patterns of job cards).
 CARD_RE = r"(?i)<a\b([^>]*class=[\"'][^\"']*jobTitle[^\"']*[\"'][^>]*)>([\s\S]*?)</a>"
 COMPANY_RE = r"(?i)class=[\"'][^\"']*companyName[^\"']*[\"'][^>]*>([\s\S]*?)</a>"
 
@@ -365,6 +378,7 @@ def src_html_cards(spark, sf):
     return html_cards(view(spark, sf, "cards"))
 
 
+# Fixed values (cities and remote work in card texts).
 CITY_RE = r"(台北市|新北市|桃園市|台中市|台南市|高雄市|新竹市|新竹縣|遠端|Remote)[^，,。| ]*"
 
 

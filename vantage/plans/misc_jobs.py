@@ -24,7 +24,7 @@ from .tracker_jobs import ALIAS_STATUS, script_apps
 
 
 @register("src_followups", ("fol",), """
-SELECT CAST(app_num AS BIGINT) * 1000000 + num AS pos, num, app_num, date, '' AS company, '' AS role, channel, contact, '' AS notes FROM fol""")
+SELECT CAST(app_num AS BIGINT) * 1000000 + num AS pos, num, app_num, date, company, role, channel, contact, notes FROM fol""")
 def src_followups(spark, sf):
     return TR.src_followups(TR.render_followups(view(spark, sf, "fol")))
 
@@ -143,15 +143,22 @@ def txt_quoted_terms(spark, sf):
                     F.array_join(F.filter(all_terms, lambda x: F.length(x) > 1), "|").alias("long_terms"))
 
 
-@register("join_company_lookup", ("trk", "customer"), """
-WITH c AS (SELECT DISTINCT company FROM trk),
+# Names to look up: in the directory as they stand, by their first characters, or not at all.
+_view("asked", ("trk", "orders"), """
+SELECT DISTINCT CASE WHEN o_custkey % 5 = 0 THEN concat('Customer#', lpad(CAST(o_custkey AS STRING), 9, '0'))
+  WHEN o_custkey % 5 = 1 THEN concat(lpad(CAST(o_custkey AS STRING), 4, '0'), ' GmbH') WHEN o_custkey % 5 = 2 THEN concat('Zyx ', CAST(o_custkey AS STRING))
+  ELSE company END AS company FROM trk JOIN orders ON o_orderkey = pos""")
+
+
+@register("join_company_lookup", ("asked", "customer"), """
+WITH c AS (SELECT DISTINCT company FROM asked),
 dir AS (SELECT c_custkey AS pos, c_name AS name FROM customer),
 ex AS (SELECT c.company, min(d.pos) AS pos FROM c JOIN dir d ON d.name = c.company GROUP BY 1),
 sub AS (SELECT c.company, min(d.pos) AS pos FROM c JOIN dir d ON strpos(d.name, left(c.company, 4)) > 0 GROUP BY 1)
 SELECT c.company, coalesce(ex.pos, sub.pos) AS dir_pos, CASE WHEN ex.pos IS NOT NULL THEN 'exact' WHEN sub.pos IS NOT NULL THEN 'prefix4' END AS tier
 FROM c LEFT JOIN ex USING (company) LEFT JOIN sub USING (company)""")
 def join_company_lookup(spark, sf):
-    companies = view(spark, sf, "trk").select("company").distinct()
+    companies = view(spark, sf, "asked").select("company").distinct()
     d = view(spark, sf, "customer").select(F.col("c_custkey").alias("pos"), F.col("c_name").alias("name"))
     exact = d.groupBy("name").agg(F.min("pos").alias("ex_pos")).withColumnRenamed("name", "company")
     # Every substring of up to 4 characters of every directory name, reduced to its first entry:

@@ -233,26 +233,39 @@ def _ats_sanitize_sql(t: str) -> str:
     return t
 
 
-@register("txt_ats_normalize", ("pages",), f"""
+# Pages and documents with the typographic characters that application systems stumble over.
+_TYPOGRAPHY = [("—", 2), ("–", 3), ("“x”", 4), ("‘y’", 5), ("…", 3), ("\u200b", 2), ("\u00a0", 7)]
+
+
+def _typed(text: str, key: str) -> str:
+    return "concat(" + ", ".join([text] + [f"repeat('{c}', CAST({key} % {n} AS INT))" for c, n in _TYPOGRAPHY]) + ")"
+
+
+_view("typed_pages", ("pages",), f"""
+SELECT page_id, concat({_typed("'<p title=\"a — b\">dash'", "page_id")}, '</p><style>a…b</style>', html, {_typed("'<i>end'", "page_id")}, '</i>') AS html FROM pages""")
+_view("typed_docs", ("documents",), f"SELECT doc_id, {_typed('text', 'doc_id')} AS text FROM documents")
+
+
+@register("txt_ats_normalize", ("typed_pages",), f"""
 SELECT page_id, md5(array_to_string(list_transform({_ats_sql_segments('html')},
   lambda s: CASE WHEN starts_with(s, '<') THEN s ELSE {_ats_sanitize_sql('s')} END), '')) AS html_md5,
   length(array_to_string(list_transform({_ats_sql_segments('html')},
-  lambda s: CASE WHEN starts_with(s, '<') THEN s ELSE {_ats_sanitize_sql('s')} END), '')) AS n_chars FROM pages""")
+  lambda s: CASE WHEN starts_with(s, '<') THEN s ELSE {_ats_sanitize_sql('s')} END), '')) AS n_chars FROM typed_pages""")
 def txt_ats_normalize(spark, sf):
     out = H.ats_normalize("html")
-    return pages(spark, sf).select("page_id", F.md5(out).alias("html_md5"), F.length(out).alias("n_chars"))
+    return view(spark, sf, "typed_pages").select("page_id", F.md5(out).alias("html_md5"), F.length(out).alias("n_chars"))
 
 
 def _ats_counts_sql():
     text = f"array_to_string(list_filter({_ats_sql_segments('text')}, lambda s: NOT starts_with(s, '<')), '')"
     cols = ", ".join(f"CAST(len(regexp_extract_all(t, {Q.q(p)})) AS INTEGER) AS {n.replace('-', '_')}"
                      for n, p, _ in H.ATS_CLASSES)
-    return f"WITH d AS (SELECT doc_id, {text} AS t FROM documents) SELECT doc_id, {cols} FROM d"
+    return f"WITH d AS (SELECT doc_id, {text} AS t FROM typed_docs) SELECT doc_id, {cols} FROM d"
 
 
-@register("agg_ats_replacements", ("documents",), _ats_counts_sql())
+@register("agg_ats_replacements", ("typed_docs",), _ats_counts_sql())
 def agg_ats_replacements(spark, sf):
-    d = view(spark, sf, "documents").select("doc_id", H.ats_text_only("text").alias("t"))
+    d = view(spark, sf, "typed_docs").select("doc_id", H.ats_text_only("text").alias("t"))
     return d.select("doc_id", *[F.regexp_count("t", F.lit(p)).cast("int").alias(n.replace("-", "_"))
                                 for n, p, _ in H.ATS_CLASSES])
 

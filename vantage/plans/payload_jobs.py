@@ -28,9 +28,9 @@ FROM events
 # Rich posting payloads (one job per event).
 _view("ppay", ("events",), """
 SELECT event_id AS pos, concat('{"jobNo":', CASE WHEN event_id % 17 = 0 THEN '""' ELSE concat('"', CAST(event_id AS STRING), '"') END,
-  ',"jobName":"', event_type, ' Engineer","custName":"Company ', CAST(user_id % 40 AS STRING), '","jobAddrNoDesc":"West Town",',
+  ',"jobName":"', event_type, ' Engineer","custName":"Company ', CAST(user_id % 40 AS STRING), '","jobAddrNoDesc":"', split_part('West Town|East  Town|', '|', CAST(user_id % 3 AS INT) + 1), '",',
   '"link":{"job":', CASE WHEN event_id % 2 = 0 THEN concat('"https://www.104.com.tw/job/', CAST(event_id AS STRING), '?jobsource=s"') ELSE '""' END, '},',
-  '"pcSkills":[{"description":"Python"},{"description":""},{"description":"SQL"}],"optionEdu":[', CAST(1 + event_id % 6 AS STRING), ',9],',
+  '"pcSkills":[{"description":"', split_part('Python|Scala|', '|', CAST(event_id % 3 AS INT) + 1), '"},{"description":""},{"description":"SQL"}],"optionEdu":[', CAST(1 + event_id % 6 AS STRING), ',9],',
   '"remoteWorkType":', CAST(event_id % 3 AS STRING), ',"salaryLow":', CAST((event_id % 4) * 10000 AS STRING), ',"salaryHigh":', CAST((event_id % 3) * 20000 AS STRING),
   ',"appearDate":"2024', lpad(CAST(1 + event_id % 12 AS STRING), 2, '0'), lpad(CAST(1 + event_id % 28 AS STRING), 2, '0'), '","employeeCount":', CAST(event_id % 700 AS STRING), '}') AS json
 FROM events

@@ -32,7 +32,7 @@ def upsert_queue_state(spark, sf):
 
 
 @register("src_state_tsv", ("qst", "qin"), f"""WITH {_LATEST}
-SELECT l.id, q.url, l.status, l.report_num, l.score, CAST(NULL AS VARCHAR) AS error, l.retries FROM latest l LEFT JOIN qin q ON q.id = l.id""")
+SELECT l.id, q.url, l.status, l.report_num, l.score, CASE WHEN l.status = 'failed' THEN 'exit code ' || l.retries END AS error, l.retries FROM latest l LEFT JOIN qin q ON q.id = l.id""")
 def src_state_tsv(spark, sf):
     lines = QU.render_state_tsv(state(spark, sf), inputs(spark, sf))
     return QU.src_state_tsv(lines)

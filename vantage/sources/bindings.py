@@ -61,7 +61,8 @@ FROM orders
 _view("fol", ("lineitem",), """
 SELECT CAST(l_partkey AS INT) AS num, CAST(l_orderkey + 1 AS INT) AS app_num,
   CAST(CAST(l_shipdate AS DATE) AS STRING) AS date,
-  l_returnflag AS channel, l_linestatus AS contact
+  concat('Customer ', CAST(l_suppkey % 90 AS STRING)) AS company, split_part('Data|Platform|Growth', '|', CAST(l_linenumber % 3 AS INT) + 1) AS role,
+  l_returnflag AS channel, l_linestatus AS contact, CASE WHEN l_partkey % 4 = 0 THEN '' ELSE concat('note ', CAST(l_suppkey % 7 AS STRING)) END AS notes
 FROM lineitem
 """)
 
@@ -73,10 +74,11 @@ SELECT o_orderkey AS file_no, CAST(o_orderkey AS STRING) || '-x.tsv' AS file,
     CAST(CAST(o_orderdate AS DATE) AS STRING),
     concat('Customer ', CAST(o_custkey AS STRING)),
     concat_ws(' ', 'Principal', split_part('Data|Platform|Frontend|Backend|Security', '|', CAST(o_custkey % 5 AS INT) + 1), 'Product Developer'),
-    CASE WHEN o_orderkey % 75 = 0 THEN '4.9/5' ELSE 'Evaluada' END,
-    CASE WHEN o_orderkey % 75 = 0 THEN 'Evaluated' ELSE '4.9/5' END,
-    'no', concat('[', CAST(o_orderkey + CASE WHEN o_orderkey % 3 = 0 THEN 7 ELSE 200000 END AS STRING), '](reports/', CAST(o_orderkey + 7 AS STRING), '.md)'),
-    'batch') AS line
+    CASE WHEN o_orderkey % 75 = 0 THEN '4.9/5' ELSE split_part('Evaluada|Aplicado|Rechazado|Oferta', '|', CAST(o_custkey % 4 AS INT) + 1) END,
+    CASE WHEN o_orderkey % 75 = 0 THEN 'Evaluated' WHEN o_custkey % 3 = 0 THEN '4.9/5'
+         ELSE concat(CAST(1 + o_custkey % 4 AS STRING), '.', CAST(o_orderkey % 9 AS STRING), '/5') END,
+    split_part('no|yes', '|', CAST(o_custkey % 2 AS INT) + 1), concat('[', CAST(o_orderkey + CASE WHEN o_orderkey % 3 = 0 THEN 7 ELSE 200000 END AS STRING), '](reports/', CAST(o_orderkey + 7 AS STRING), '.md)'),
+    concat('batch ', CAST(o_orderkey % 5 AS STRING))) AS line
 FROM orders
 """)
 
@@ -134,7 +136,7 @@ FROM events
 _view("qin", ("events",), """
 SELECT event_id AS id, concat('https://jobs.example.com/job/', CAST(event_id AS STRING)) AS url,
   'events' AS source,
-  concat('Data Developer @ Customer ', CAST(user_id AS STRING), ' | 80% | https://real.example.com/', CAST(event_id AS STRING)) AS notes
+  concat(split_part('Data Developer|Platform Product Developer|資深 Frontend Growth Developer|Backend', '|', CAST(event_id % 4 AS INT) + 1), ' @ Customer ', CAST(user_id AS STRING), ' | 80% | https://real.example.com/', CAST(event_id AS STRING)) AS notes
 FROM events
 """)
 
@@ -164,7 +166,7 @@ SELECT concat('reports/', CAST(o_orderkey + 1 AS STRING), '.md') AS path,
     CASE WHEN o_orderkey % 6 = 1 THEN concat('**Arquetipo detectado** | Agente ', CAST(o_orderkey % 5 AS STRING), ' |', chr(10), '**TL;DR:** ', repeat('señal útil ', CAST(1 + o_orderkey % 15 AS INT)), chr(10), '**Comp** | 90k |', chr(10))
          WHEN o_orderkey % 6 = 2 THEN concat('**Arquetipo:** Plataforma', chr(10), '**TL;DR** | short ', CAST(o_custkey % 7 AS STRING), ' |', chr(10)) ELSE '' END, chr(10),
     '| Gap | Severity | Mitigation |', chr(10), '|-----|----------|------------|', chr(10),
-    '| needs Python and Docker | ', split_part('Medium|Nice to have|Hard', '|', CAST(o_orderkey % 3 AS INT) + 1), ' | course |', chr(10),
+    '| needs ', split_part('Python and Docker|Kubernetes and Go|React|Terraform and Python', '|', CAST(o_custkey % 4 AS INT) + 1), ' | ', split_part('Medium|Nice to have|Hard', '|', CAST(o_orderkey % 3 AS INT) + 1), ' | course |', chr(10),
     '| visa required in region | Hard | none |', chr(10)) AS text
 FROM orders
 """)
@@ -174,9 +176,12 @@ _view("pay", ("events",), """
 SELECT event_id AS pos, concat('Company ', CAST(user_id % 40 AS STRING)) AS company,
   split_part('greenhouse|ashby|lever', '|', CAST(event_id % 3 AS INT) + 1) AS ats,
   CASE CAST(event_id % 3 AS INT)
-    WHEN 0 THEN concat('{"jobs":[{"title":" ', event_type, '  Engineer","absolute_url":"https://g.example.com/', CAST(event_id AS STRING), '","location":{"name":"Oslo"}}]}')
-    WHEN 1 THEN concat('{"jobs":[{"title":"', event_type, '","jobUrl":"https://a.example.com/', CAST(event_id AS STRING), '","location":"Rome"}]}')
-    ELSE concat('[{"text":"', event_type, '","hostedUrl":"","applyUrl":"https://l.example.com/', CAST(event_id AS STRING), '","categories":{"location":"Bonn"}}]') END AS json
+    WHEN 0 THEN concat('{"jobs":[{"title":" ', event_type, '  Engineer","absolute_url":"https://g.example.com/', CAST(event_id AS STRING), '","location":{"name":"',
+      split_part('Oslo| Bergen  Sentrum|', '|', CAST(user_id % 3 AS INT) + 1), '"}}', CASE WHEN user_id % 4 = 0 THEN ',{"title":"Second","location":{}}' ELSE '' END, ']}')
+    WHEN 1 THEN concat('{"jobs":[{"title":"', event_type, '","jobUrl":"https://a.example.com/', CAST(event_id AS STRING), '","location":"',
+      split_part('Rome|Milano ', '|', CAST(user_id % 2 AS INT) + 1), '"}', CASE WHEN user_id % 4 = 1 THEN ',{"title":"Second","location":"Bari"}' ELSE '' END, ']}')
+    ELSE concat('[{"text":"', event_type, '","hostedUrl":"', CASE WHEN user_id % 2 = 0 THEN 'https://h.example.com/x' ELSE '' END, '","applyUrl":"https://l.example.com/', CAST(event_id AS STRING),
+      '","categories":{"location":"', split_part('Bonn|Köln', '|', CAST(user_id % 2 AS INT) + 1), '"}}', CASE WHEN user_id % 4 = 2 THEN ',{"text":"Second"}' ELSE '' END, ']') END AS json
 FROM events
 """)
 
@@ -186,7 +191,8 @@ def _inbox(where: str) -> str:
 SELECT 'data/pipeline.md' AS file, line_no, line FROM (
   SELECT CAST(0 AS BIGINT) AS line_no, '# Pipeline Inbox' AS line
   UNION ALL SELECT CAST(1 AS BIGINT), '## Pending'
-  UNION ALL SELECT 2 + pos, concat('- [ ] ', url, ' | ', company, ' | ', title) FROM off WHERE pos % 2 = 0{where}
+  UNION ALL SELECT 2 + pos, concat('- [ ] ', url, ' | ', company, ' | ', title,
+    CASE WHEN pos % 8 = 0 THEN concat(' | North City | ', CAST(seen_date AS STRING)) WHEN pos % 8 = 4 THEN ' | East Town' ELSE '' END) FROM off WHERE pos % 2 = 0{where}
   UNION ALL SELECT CAST(1000000000 AS BIGINT), '## Processed'
   UNION ALL SELECT 1000000001 + pos, concat('- [x] ', url, ' | ', company, ' | ', title) FROM off WHERE pos % 2 = 1{where}
 ) t

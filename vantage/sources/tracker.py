@@ -128,7 +128,7 @@ def src_followups(lines: DataFrame) -> DataFrame:
 def render_followups(fol: DataFrame) -> DataFrame:
     """Fixture follow-ups -> pipe lines; ``pos`` = (app_num, num) order."""
     cells = [F.col("num").cast("string"), F.col("app_num").cast("string"), F.col("date"),
-             F.lit(""), F.lit(""), F.col("channel"), F.col("contact"), F.lit("")]
+             F.col("company"), F.col("role"), F.col("channel"), F.col("contact"), F.col("notes")]
     return fol.select(
         (F.col("app_num").cast("long") * 1_000_000 + F.col("num")).alias("pos"),
         F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"),
