@@ -76,7 +76,7 @@ def item_words(t):
     return re.findall(r"[0-9a-z\x80-\U0010ffff]+", (t or "").lower())
 
 
-def contaminated(docs, items, percent=20, min_words=5):
+def contaminated(docs, items, percent=20, min_words=1):
     out = set()
     for d, t in docs:
         text = item_words(t)

@@ -21,8 +21,8 @@ from .store import table
 from .textbatch import ALNUM_WORDS, grams, mix, text_blocks, words
 
 ERROR_PERCENT = 20
-#: Items with fewer words say nothing about a leak and are not searched.
-MIN_WORDS = 5
+#: Items with fewer words are not searched; those of one to four words allow no edit and are searched exactly.
+MIN_WORDS = 1
 #: Words of the items that one scan of the documents searches for; it bounds what is broadcast.
 BLOCK_WORDS = 400_000
 ANCHOR = 4
