@@ -53,7 +53,20 @@ NOTICES = {
     "no rights reserved": "public-domain",
     "proprietary and confidential": "proprietary",
 }
-TAGS = ("spdx-license-identifier:", "license-expression:", "license:", "licence:")
+#: Identifiers that stand in prose without a tag; their words are a phrase, and they are its label.
+IDENTIFIERS = ("apache-2.0", "bsd-2-clause", "bsd-3-clause", "mpl-1.1", "mpl-2.0", "epl-1.0", "epl-2.0", "cc0-1.0",
+               *(f"{name}-{version}{end}" for name, versions in (("gpl", ("2.0", "3.0")), ("lgpl", ("2.0", "2.1", "3.0")), ("agpl", ("3.0",)))
+                 for version in versions for end in ("", "-only", "-or-later")))
+#: Short forms, and those of names that are words of their own.
+SHORT = {**{f"{name}{gap}{v}": f"{name}-{v[1:]}.0" for name in ("gpl", "lgpl", "agpl") for gap in ("", " ") for v in ("v2", "v3")
+            if (name, v) != ("agpl", "v2") and (name, v) != ("lgpl", "v2")},
+         "lgplv2 1": "lgpl-2.1", "lgpl v2 1": "lgpl-2.1", "mit licensed": "mit", "released under mit": "mit", "licensed under mit": "mit",
+         "under the mit": "mit", "apache licensed": "apache"}
+#: The first is a tag whatever stands behind it, the others only before known licences.
+TAGS = ("spdx-license-identifier", "license-expression", "license", "licence")
+_SEPARATOR = re.compile(r"""["']?[ \t]{0,8}[:=][ \t"']*""")
+#: A line break inside brackets, with the comment sign that begins the next line.
+_NEXT_LINE = re.compile(r"[ \t\r]*\n[ \t]*(?://+|#+|\*+|--+|;+|%+|!+)?[ \t]*")
 #: How freely a text under a licence may be used, by the start of its name: 1 free, 0 not at all.
 FREEDOM = {
     "mit": 1.0, "apache": 1.0, "bsd": 1.0, "isc": 1.0, "cc0": 1.0, "public-domain": 1.0, "unlicense": 1.0, "0bsd": 1.0, "zlib": 1.0,
@@ -108,11 +121,15 @@ def to_postfix(tokens: list[str]) -> list[str] | None:
     return out + ops[::-1]
 
 
-def expression_tokens(text: str) -> list[str]:
-    """The longest start of ``text`` (one line) that can be an expression."""
-    line = text.split("\n", 1)[0].lstrip(" \t\"'")
-    tokens, at, depth, operand = [], 0, 0, False
-    while m := _EXPRESSION_TOKEN.match(line, at):
+def expression_tokens(text: str, at: int = 0) -> list[str]:
+    """The longest part of ``text`` from ``at`` on that can be an expression: of one line, or of more inside brackets."""
+    tokens, depth, operand = [], 0, False
+    while True:
+        if depth and (gap := _NEXT_LINE.match(text, at)):
+            at = gap.end()
+        m = _EXPRESSION_TOKEN.match(text, at)
+        if not m:
+            break
         t = m[0].rstrip(".-") or m[0]
         if t.lower() in _PRECEDENCE:
             if not operand:
@@ -132,7 +149,7 @@ def expression_tokens(text: str) -> list[str]:
             operand = True
         tokens.append(t)
         at = m.end()
-        while at < len(line) and line[at] in " \t":
+        while at < len(text) and text[at] in " \t":
             at += 1
     while tokens and (tokens[-1].lower() in _PRECEDENCE or tokens[-1] == "("):
         tokens.pop()
@@ -160,9 +177,10 @@ def evaluate(postfix: list[str]) -> tuple[set[str], float | None]:
 @lru_cache(maxsize=1)
 def _automata():
     phrases = ahocorasick.Automaton()
-    for p, label in {**NOTICES, **BASE_PHRASES}.items():
+    named = {" ".join(re.split(r"[.-]", name)): name for name in IDENTIFIERS}
+    for p, label in {**SHORT, **named, **NOTICES, **BASE_PHRASES}.items():
         key = f" {p.encode().decode('latin-1')} "
-        phrases.add_word(key, (len(key), label, p in BASE_PHRASES))
+        phrases.add_word(key, (len(key), label, p in BASE_PHRASES, p in named and p not in NOTICES))
     phrases.make_automaton()
     tags = ahocorasick.Automaton()
     for t in TAGS:
@@ -177,28 +195,38 @@ def scan_text(text: str) -> tuple:
     words = text.encode().translate(_WORD_BYTES).split()
     flat = f" {b' '.join(words).decode('latin-1')} "
     base, labels, places, ratings, score = set(), set(), [], [], 0.0
-    for end, (size, label, is_base) in phrases.iter(flat):
-        labels.add(label)
+    at = word = 0
+    named: dict[int, str] = {}
+    for end, (size, label, is_base, is_name) in phrases.iter(flat):
+        if is_name:
+            # Longer identifiers end later and replace the shorter one that they begin with.
+            named[end - size] = label
+        else:
+            labels.add(label)
         score = max(score, 0.8)
         if is_base:
             base.add(label)
-            places.append(flat.count(" ", 0, end - size + 2) - 1)
+            # Ends ascend and phrases are short, so the words are counted on from the last place, or a little back.
+            start = end - size + 2
+            word += flat.count(" ", at, start) if start >= at else -flat.count(" ", start, at)
+            at = start
+            places.append(word - 1)
+    labels |= set(named.values())
     found = []
     if "license" in flat or "licence" in flat:
         # A-Z alone are folded, so that places in the text stay: other letters may change their number.
         low = text.lower() if text.isascii() else text.translate(_FOLD)
-        taken = -1
         for end, tag in tags.iter(low):
-            if end <= taken:
+            separator = _SEPARATOR.match(text, end + 1)
+            if not separator:
                 continue
-            tokens = expression_tokens(text[end + 1:])
+            tokens = expression_tokens(text, separator.end())
             postfix = to_postfix(tokens) if tokens else None
             if not postfix:
                 continue
             names, value = evaluate(postfix)
             if tag != TAGS[0] and value is None:
                 continue
-            taken = end
             found.append(" ".join(postfix))
             labels |= {x.split(" with ")[0] for x in names}
             score = 1.0 if value is not None else max(score, 0.9)
@@ -229,7 +257,8 @@ def scan_licences(docs: DataFrame) -> DataFrame:
     n_words; n_base, first_word and last_word of the places of base phrases; base_labels and labels
     (distinct, sorted, comma-joined); score in [0, 1] (0 none, 0.8 a notice, 0.9 a tag with unknown
     licences, 1 an evaluated tag); expressions (postfix, ';'-joined) and the freedom of the strictest
-    statement.  Words are runs of digits, letters and non-ASCII characters with A-Z folded.  Null or empty
+    statement.  A tag may be a quoted key, with ":" or "=" behind it; an expression goes on in the next line
+    inside brackets; identifiers and short forms in prose count as notices.  The time is linear in the text.  Words are runs of digits, letters and non-ASCII characters with A-Z folded.  Null or empty
     texts have no words, empty labels and score 0; broken expressions are no expressions; a null doc_id is
     carried along; repeated rows give repeated rows; other columns are ignored.
     """
