@@ -17,7 +17,7 @@ from vantage.llm import ngram_join as op6
 from vantage.llm import packing as op2
 from vantage.llm import toxicity as op4
 from vantage.llm.registry import query, with_code
-from vantage.llm.store import materialise, table
+from vantage.llm.store import free_name, materialise, table
 
 
 @with_code
@@ -30,9 +30,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @with_code
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that many of them hold; ``n_chars`` follows a changed text."""
-    out = op8.dedup_lines(docs, names=("__n_lines", "__n_dropped"))
+    lines, dropped = (free_name(n, docs.columns) for n in ("n_lines", "n_dropped"))
+    out = op8.dedup_lines(docs, names=(lines, dropped))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars"))
+        out = out.withColumn("n_chars", F.when(F.col(dropped) > 0, F.length("text")).otherwise(F.col("n_chars"))
                              .cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 

@@ -38,3 +38,11 @@ def shuffle_join(small: DataFrame) -> DataFrame:
 
 def crc_fold(doc_id: str = "doc_id", folds: int = 5):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds
+
+
+def free_name(wanted: str, taken) -> str:
+    """``wanted``, with underscores before it until no column in ``taken`` has the name (whatever its case)."""
+    used = {c.lower() for c in taken}
+    while wanted.lower() in used:
+        wanted = f"_{wanted}"
+    return wanted
