@@ -1,20 +1,22 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses (operator 4).
 
 A clause is read as a sequence of symbols (insult, threat, target, negation, reporting verb, quote,
-other word).  Three transducers are composed over it: negation marks insults and threats in its scope,
-reported speech marks what stands in quotes or after a reporting verb, and the pattern acceptor joins
-what is left with targets and adds the weights of the paths it accepts.  The insult lexicon holds word
-stems, since insults inflect, and their weights are log-odds learnt from labelled documents, and a logistic model over the clause weights of a
-document gives its score.  Text alone enters a score.
+other word).  Three weighted transducers are composed over it into one machine: negation marks insults and
+threats in its scope, reported speech marks what stands in quotes or after a reporting verb, and the pattern
+acceptor picks one insult or threat on each of its paths and weighs it by its marks and by the targets of the
+clause.  A clause's weight is the sum over all accepting paths.  Quotes may span clauses; they end with
+their line.  The lexicon holds stems of insults and threats, since they inflect; their weights are log-odds
+learnt from labelled documents, and a logistic model over the clause weights of a document gives its score.
+Text alone enters a score.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from dataclasses import dataclass, field
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 import ahocorasick
 import numpy as np
@@ -35,7 +37,10 @@ MIN_SHARE, MIN_DOCS = 0.02, 5
 MIN_LOG_ODDS = 1.5
 MAX_LEXICON = 400
 
-THREATS = ("kill", "hurt", "destroy", "burn", "beat", "punish", "töten", "umbringen", "schlagen", "tuer", "frapper", "matar", "golpear")
+#: Stems of threats; one that too few training documents hold has the weight THREAT_WEIGHT.
+THREATS = ("kill", "hurt", "destroy", "burn", "beat", "punish", "murder", "töte", "umbring", "umgebracht", "schlag", "tuer", "frapp", "matar",
+           "golpe")
+THREAT_WEIGHT = 1.0
 TARGETS = ("you", "your", "he", "she", "they", "them", "him", "her", "people", "du", "dich", "ihr", "sie", "euch", "tu", "te", "toi",
            "vous", "eux", "tú", "usted", "ustedes", "ellos", "él", "ella")
 NEGATIONS = ("not", "never", "no", "nobody", "isn", "aren", "don", "nicht", "kein", "keine", "nie", "pas", "jamais", "aucun", "nunca",
@@ -48,118 +53,169 @@ NEGATION_REACH = 3
 #: Shares of a weight that stay in negated and in reported speech, and the factors of a target.
 NEGATED, REPORTED, TARGETED = 0.3, 0.5, 1.3
 
+#: The logistic weights where nothing can be learnt: low scores that rise with the weights of clauses.
+UNLEARNT = np.array([-3.0, 1.0, 1.0, 0.0])
+
 _CLAUSE = re.compile(r"[^.!?;\n]+")
 _TOKEN = re.compile(r"[^\W\d_]+|[\"“”„«»]")
 
 
-class Negation:
-    """Marks insults and threats within reach of a negation."""
-
-    def __init__(self):
-        self.left = 0
-
-    def step(self, symbol: str, mark: frozenset) -> tuple[str, frozenset]:
-        if symbol == "negation":
-            self.left = NEGATION_REACH
-            return symbol, mark
-        if self.left:
-            self.left -= symbol != "quote"
-            if symbol in ("insult", "threat"):
-                return symbol, mark | {"negated"}
-        return symbol, mark
-
-
-class ReportedSpeech:
-    """Marks what stands between quotes, and what follows a reporting verb in its clause."""
-
-    def __init__(self):
-        self.quoted = self.reported = False
-
-    def step(self, symbol: str, mark: frozenset) -> tuple[str, frozenset]:
-        if symbol == "quote":
-            self.quoted = not self.quoted
-        elif symbol == "report":
-            self.reported = True
-        elif (self.quoted or self.reported) and symbol in ("insult", "threat"):
-            return symbol, mark | {"reported"}
-        return symbol, mark
+HITS = ("insult", "threat")
+PLAIN = ("target", "negation", "report", "quote", "other")
 
 
-class Pattern:
-    """Accepts insults, threats against a target, and either with a target; sums the paths' weights."""
-
-    def __init__(self):
-        self.total, self.open_threat, self.target, self.harm = 0.0, 0.0, False, 0.0
-
-    def step(self, symbol: str, mark: frozenset, weight: float) -> None:
-        share = (NEGATED if "negated" in mark else 1.0) * (REPORTED if "reported" in mark else 1.0)
-        if symbol == "insult":
-            self.harm += weight * share
-        elif symbol == "threat":
-            self.open_threat += weight * share
-        elif symbol == "target":
-            self.target = True
-
-    def accept(self) -> float:
-        threat = self.open_threat if self.target or self.harm else 0.0
-        return (self.harm + threat) * (TARGETED if self.target else 1.0)
+@dataclass
+class Transducer:
+    """A weighted finite-state transducer: arcs (state, symbol) -> [(output, weight, next state)], and final weights."""
+
+    start: tuple
+    arcs: dict = field(default_factory=lambda: defaultdict(list))
+    finals: dict = field(default_factory=dict)
+
+    def add(self, state, symbol, output, to, weight: float = 1.0) -> None:
+        self.arcs[state, symbol].append((output, weight, to))
+
+    def compose(self, other: Transducer, symbols, starts) -> Transducer:
+        """The machine that feeds this one's output to ``other``, as far as ``starts`` (pairs of states) reach by ``symbols``."""
+        out, todo, seen = Transducer(starts[0]), list(starts), set(starts)
+        while todo:
+            state = todo.pop()
+            mine, theirs = state
+            if mine in self.finals and theirs in other.finals:
+                out.finals[state] = self.finals[mine] * other.finals[theirs]
+            for symbol in symbols:
+                for middle, w, to in self.arcs.get((mine, symbol), ()):
+                    for output, v, end in other.arcs.get((theirs, middle), ()):
+                        out.add(state, symbol, output, (to, end), w * v)
+                        if (to, end) not in seen:
+                            seen.add((to, end))
+                            todo.append((to, end))
+        return out
+
+    def total(self, read, start=None) -> float:
+        """The summed weight of all accepting paths over ``read`` (symbol, weight of a pick)."""
+        mass = {self.start if start is None else start: 1.0}
+        for symbol, weight in read:
+            after: dict = {}
+            for state, m in mass.items():
+                for output, w, to in self.arcs.get((state, symbol), ()):
+                    after[to] = after.get(to, 0.0) + m * w * (weight if output == "pick" else 1.0)
+            mass = after
+        return sum(m * self.finals.get(state, 0.0) for state, m in mass.items())
+
+
+def negation_transducer() -> Transducer:
+    """States: words that the last negation still reaches.  Hits within reach get the mark n; quotes take up no reach."""
+    t = Transducer(0)
+    for left in range(NEGATION_REACH + 1):
+        t.finals[left] = 1.0
+        for symbol in (*HITS, *PLAIN):
+            to = NEGATION_REACH if symbol == "negation" else left if symbol == "quote" else max(left - 1, 0)
+            t.add(left, symbol, symbol + "-n" if left and symbol in HITS else symbol, to)
+    return t
+
+
+def speech_transducer() -> Transducer:
+    """States: (in quotes, behind a reporting verb).  Hits in either get the mark r."""
+    t = Transducer((False, False))
+    for quoted in (False, True):
+        for reported in (False, True):
+            state = quoted, reported
+            t.finals[state] = 1.0
+            for symbol in PLAIN:
+                t.add(state, symbol, symbol, (quoted != (symbol == "quote"), reported or symbol == "report"))
+            for hit in HITS:
+                for mark in ("", "-n"):
+                    t.add(state, hit + mark, hit + mark + ("-r" if quoted or reported else ""), state)
+    return t
+
+
+def pattern_acceptor() -> Transducer:
+    """States: (kind picked, target seen, insult seen).  Accepts a picked insult, and a picked threat with a target or an insult."""
+    t = Transducer((None, False, False))
+    for picked in (None, *HITS):
+        for target in (False, True):
+            for insult in (False, True):
+                state = picked, target, insult
+                if picked == "insult" or (picked == "threat" and (target or insult)):
+                    t.finals[state] = TARGETED if target else 1.0
+                for symbol in PLAIN:
+                    t.add(state, symbol, "pass", (picked, target or symbol == "target", insult))
+                for hit in HITS:
+                    for marks in ("", "-n", "-r", "-n-r"):
+                        seen = insult or hit == "insult"
+                        t.add(state, hit + marks, "pass", (picked, target, seen))
+                        if picked is None:
+                            t.add(state, hit + marks, "pick", (hit, target, seen),
+                                  (NEGATED if "-n" in marks else 1.0) * (REPORTED if "-r" in marks else 1.0))
+    return t
+
+
+@lru_cache(maxsize=1)
+def clause_machine() -> tuple[Transducer, dict[bool, tuple]]:
+    """The composition of the three, and its start states outside and inside quotes."""
+    symbols = (*HITS, *PLAIN)
+    negation, speech, pattern = negation_transducer(), speech_transducer(), pattern_acceptor()
+    inner = speech.compose(pattern, (*symbols, *(h + "-n" for h in HITS)), [((q, False), pattern.start) for q in (False, True)])
+    starts = {q: (negation.start, ((q, False), pattern.start)) for q in (False, True)}
+    return negation.compose(inner, symbols, list(starts.values())), starts
 
 
 @dataclass
 class Grammar:
-    """The lexicon transducer and the composition of the others."""
+    """The lexicon transducer; ``clause_machine`` reads its output."""
 
     insults: dict[str, float]
-    threat_weight: float = 1.0
+    threats: dict[str, float] = field(default_factory=lambda: dict.fromkeys(THREATS, THREAT_WEIGHT))
     symbols: dict[str, str] = field(init=False)
 
     def __post_init__(self):
-        self.symbols = {w: s for s, words in (("threat", THREATS), ("target", TARGETS), ("negation", NEGATIONS), ("report", REPORTS))
-                        for w in words}
+        self.symbols = {w: s for s, words in (("target", TARGETS), ("negation", NEGATIONS), ("report", REPORTS)) for w in words}
 
     @cached_property
     def automaton(self):
         a = ahocorasick.Automaton()
-        for w in (*THREATS, *self.insults):
-            a.add_word(w, (len(w), w in self.insults))
+        for w in (*self.threats, *self.insults):
+            a.add_word(w, len(w))
         a.make_automaton()
         return a
 
     def read(self, word: str) -> tuple[str, float]:
-        """The lexicon transducer: a word's symbol and weight, insults by their heaviest stem."""
-        weight = max((self.insults.get(word[:k], 0.0) for k in STEM_LENGTHS if k <= len(word)), default=0.0)
-        if weight:
-            return "insult", weight
-        symbol = "quote" if word in QUOTES else self.symbols.get(word, "other")
-        return symbol, self.threat_weight if symbol == "threat" else 0.0
-
-    def clause_weight(self, clause: str) -> float:
-        negation, speech, pattern = Negation(), ReportedSpeech(), Pattern()
-        for word in _TOKEN.findall(clause):
-            symbol, weight = self.read(word)
-            symbol, mark = negation.step(symbol, frozenset())
-            symbol, mark = speech.step(symbol, mark)
-            pattern.step(symbol, mark, weight)
-        return pattern.accept()
+        """The lexicon transducer: a word's symbol and weight, those of hits by their heaviest stem."""
+        if word in QUOTES:
+            return "quote", 0.0
+        for symbol, stems in (("insult", self.insults), ("threat", self.threats)):
+            weight = max((stems.get(word[:k], 0.0) for k in STEM_LENGTHS if k <= len(word)), default=0.0)
+            if weight:
+                return symbol, weight
+        return self.symbols.get(word, "other"), 0.0
+
+    def clause_weight(self, clause: str, quoted: bool = False) -> float:
+        """The weight of a clause in lower case that begins in quotes or not."""
+        machine, starts = clause_machine()
+        return machine.total(map(self.read, _TOKEN.findall(clause)), starts[quoted])
 
     def features(self, text: str) -> tuple[float, float, int, int]:
         """(largest clause weight, sum of them, matched clauses, characters); clauses without a hit weigh nothing."""
         low = text.lower()
-        hits = []
-        for end, (size, stem) in self.automaton.iter(low):
-            a, b = end - size, end + 1
-            if (a < 0 or not low[a].isalpha()) and (stem or b >= len(low) or not low[b].isalpha()):
-                hits.append(end)
+        hits = [end for end, size in self.automaton.iter(low) if end < size or not low[end - size].isalpha()]
         if not hits:
             return 0.0, 0.0, 0, len(text)
         top, total, n, k = 0.0, 0.0, 0, 0
+        at, quoted = 0, False
         for m in _CLAUSE.finditer(low):
             if k >= len(hits):
                 break
             if hits[k] < m.end():
                 while k < len(hits) and hits[k] < m.end():
                     k += 1
-                w = self.clause_weight(m[0])
+                # Quotes opened in the clauses since the last one with a hit; a line break ends them.
+                line = low.rfind("\n", at, m.start())
+                if line >= 0:
+                    at, quoted = line, False
+                quoted ^= sum(low.count(q, at, m.start()) for q in QUOTES) % 2 == 1
+                at = m.start()
+                w = self.clause_weight(m[0], quoted)
                 if w:
                     top, total, n = max(top, w), total + w, n + 1
         return top, total, n, len(text)
@@ -223,24 +279,33 @@ def _stem_counts(batches):
                               names=["stem", "a", "c"])
 
 
-def learn_lexicon(rows: DataFrame) -> dict[str, float]:
-    """Word stems with their log-odds for toxic documents, where these are surely high."""
+def learn_lexicon(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
+    """(insults, threats): word stems with their log-odds for toxic documents.
+
+    Insults are the stems whose log-odds are surely high.  Threats are THREATS with the lower bound of their log-odds, none
+    below 0, and with THREAT_WEIGHT where fewer than MIN_DOCS documents hold the stem.
+    """
+    threats = dict.fromkeys(THREATS, THREAT_WEIGHT)
     totals = rows.agg(F.sum("toxic").alias("p"), F.count("*").alias("n")).first()
     pos, neg = int(totals.p or 0), int(totals.n) - int(totals.p or 0)
     if not pos or not neg:
-        return {}
+        return {}, threats
+    is_threat = F.col("stem").isin(*THREATS)
     counts = rows.select("text", "toxic").mapInArrow(_stem_counts, "stem string, a long, c long").groupBy("stem").agg(
-        F.sum("a").alias("a"), F.sum("c").alias("c")).where(F.col("a") >= max(MIN_DOCS, math.ceil(MIN_SHARE * pos)))
+        F.sum("a").alias("a"), F.sum("c").alias("c")).where(is_threat | (F.col("a") >= max(MIN_DOCS, math.ceil(MIN_SHARE * pos))))
     a, b = F.col("a") + 0.5, F.col("c") - F.col("a") + 0.5
     odds = F.log(a / (pos - F.col("a") + 0.5)) - F.log(b / (neg - F.col("c") + F.col("a") + 0.5))
-    sure = counts.select("stem", "a", odds.alias("w"), (odds - 2 * F.sqrt(1 / a + 1 / b)).alias("low")).where(F.col("low") > MIN_LOG_ODDS)
+    rated = counts.select("stem", "a", "c", odds.alias("w"), (odds - 2 * F.sqrt(1 / a + 1 / b)).alias("low"))
+    for r in rated.where(is_threat & (F.col("c") >= MIN_DOCS)).collect():
+        threats[r.stem] = max(0.0, float(r.low))
+    sure = rated.where(~is_threat & (F.col("low") > MIN_LOG_ODDS))
     found = {r.stem: r for r in sure.orderBy(F.desc("low"), "stem").limit(10 * MAX_LEXICON).collect()}
     best: list[str] = []
     # The surest of a chain of stems stands for it; of equally sure ones the longest.
     for s in sorted(found, key=lambda s: (-round(found[s].low, 2), -len(s), s)):
         if len(best) < MAX_LEXICON and not any(s.startswith(t) or t.startswith(s) for t in best):
             best.append(s)
-    return {s: float(found[s].w) for s in best}
+    return {s: float(found[s].w) for s in best}, threats
 
 
 def _feature_rows(grammar):
@@ -255,12 +320,12 @@ def _feature_rows(grammar):
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> Model:
-    """The grammar and the logistic weights; without labels of both kinds every score is the same low one."""
+    """The grammar and the logistic weights; without labels of both kinds the threats of the grammar alone raise a score."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = materialise(training_rows(docs, labels, max_rows))
-    grammar = Grammar(learn_lexicon(rows))
+    grammar = Grammar(*learn_lexicon(rows))
     if not grammar.insults:
-        return Model(grammar, np.array([-3.0, 0.0, 0.0, 0.0]))
+        return Model(grammar, UNLEARNT)
     held = rows.sparkSession.sparkContext.broadcast(grammar)
     got = rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(
         _feature_rows(held), "top double, total double, n long, chars long, toxic int").toPandas()
