@@ -13,6 +13,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import ensure_checkpoint_dir
 
@@ -35,6 +36,11 @@ def append_history(df: DataFrame, path: str, date_col: str = "first_seen") -> No
     df.write.mode("append").partitionBy(date_col).parquet(path)
 
 
+def read_history(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The appended offers; ``schema`` is given, since a history without any offer has no file to take it from."""
+    return spark.read.schema(schema).parquet(path)
+
+
 def write_lines(lines: DataFrame, path: str, order_col: str = "line_no") -> None:
     """Write ordered text lines: range-partitioned and sorted inside partitions, so files concatenate in order."""
     n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))

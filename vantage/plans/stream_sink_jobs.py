@@ -30,7 +30,7 @@ def snk_history_append(spark, sf):
     added = dispositions(spark, sf).where(F.col("disposition") == "added").select("pos", "url", "company", "title")
     rows = added.join(view(spark, sf, "off").select("pos", F.col("seen_date").alias("first_seen")), "pos").drop("pos")
     SK.append_history(rows, path)
-    back = spark.read.parquet(path)
+    back = SK.read_history(spark, path, rows.schema)
     return back.select("url", "company", "title", F.col("first_seen").cast("date").alias("first_seen"))
 
 
