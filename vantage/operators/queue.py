@@ -131,10 +131,11 @@ def best_role(apps: DataFrame, cands: DataFrame, app_id: str = "pos") -> DataFra
     Candidates are first collapsed to distinct roles per block and applications
     to distinct word lists, which are looked up in an index of the roles' grams.
     """
-    roles = cut_table(cands.where("ckey is not null and cand_role is not null").groupBy(F.col("ckey").alias("block"), F.lower("cand_role").alias("text")).agg(
-        F.min_by("url", "cand_pos").alias("value"), F.min("cand_pos").alias("place")))
-    asked = cut_table(apps.where("ckey is not null").select(app_id, F.col("ckey").alias("block"), F.split(F.lower(T.js_trim("role")), r"[ \t\n\r\f\v]+").alias("words"))
-                      .withColumn("words", F.coalesce(F.filter("words", lambda w: F.octet_length(w) > 2), F.array().cast("array<string>"))))
+    # Nulls are dropped from the written tables: a filter before would work out every key a second time.
+    roles = cut_table(cands.groupBy(F.col("ckey").alias("block"), F.lower("cand_role").alias("text")).agg(
+        F.min_by("url", "cand_pos").alias("value"), F.min("cand_pos").alias("place"))).where("block is not null and text is not null")
+    asked = cut_table(apps.select(app_id, F.col("ckey").alias("block"), F.split(F.lower(T.js_trim("role")), r"[ \t\n\r\f\v]+").alias("words"))
+                      .withColumn("words", F.coalesce(F.filter("words", lambda w: F.octet_length(w) > 2), F.array().cast("array<string>")))).where("block is not null")
     best = best_texts(asked.select("block", "words").distinct(), roles)
     first = roles.groupBy("block").agg(F.min_by("value", "place").alias("first_url"))
     answers = asked.select("block", "words").distinct().join(first, "block").join(best.drop("place"), ["block", "words"], "left")
