@@ -33,8 +33,8 @@ CAPACITY = 4096
 END_ID = 2
 #: Rests of this class and above are not cut further.
 FINE_CLASS = 24
-#: Entries of the per-worker word cache; it is emptied when full.
-CACHE_WORDS = 800_000
+#: Words of a generation of the per-worker cache; two are kept, at about 300 bytes a word.
+CACHE_WORDS = 150_000
 _PIECE_FIELDS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, class int, nth long, ids binary"
 
 
@@ -49,7 +49,8 @@ class WordCache:
 
     The vocabulary's normaliser and splitter never join or look across a space or a line break, nor
     across the boundary of letters and one trailing '.' or ',', so the ids of a text are those of such
-    parts in order.  Each distinct part is tokenised once per worker while the cache holds it.  New words of
+    parts in order.  Each distinct part is tokenised once per worker while the cache holds it: a full
+    generation becomes the older one, from which words that come again are taken over.  New words of
     letters alone are tokenised many at a time, joined by spaces: each is one pre-token, and its last id is
     the only one that ends a word.
     """
@@ -58,17 +59,19 @@ class WordCache:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.ids = Tokenizer.from_file(path), {}
+        self.tokenizer, self.ids, self.older = Tokenizer.from_file(path), {}, {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         parts = [fold(t).replace("\n", " ").split(" ") for t in texts]
-        known = self.ids
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        new = list({w for p in parts for w in p}.difference(known))
+        if len(self.ids) > CACHE_WORDS:
+            self.ids, self.older = {}, self.ids
+        known, older = self.ids, self.older
+        new = {w for p in parts for w in p}.difference(known)
+        known.update({w: older[w] for w in new if w in older})
+        new = list(new.difference(known))
         if new:
             known[""] = b""
             cut = [self._trim(w) for w in new]
