@@ -33,15 +33,15 @@ CAPACITY = 4096
 END_ID = 2
 #: Rests of this class and above are not cut further.
 FINE_CLASS = 24
-#: Words of a generation of the per-worker cache; two are kept, at about 300 bytes a word.
-CACHE_WORDS = 150_000
+#: Entries of the per-worker word cache (about 300 bytes each); it is emptied when full.
+CACHE_WORDS = 800_000
 _PIECE_FIELDS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, class int, nth long, ids binary"
 
 
 @lru_cache(maxsize=2)
-def word_cache(path: str) -> WordCache:
+def word_cache(path: str, words: int, keep_older: bool) -> WordCache:
     """One cache a worker process, kept for its later tasks."""
-    return WordCache(path)
+    return WordCache(path, words, keep_older)
 
 
 class WordCache:
@@ -49,29 +49,32 @@ class WordCache:
 
     The vocabulary's normaliser and splitter never join or look across a space or a line break, nor
     across the boundary of letters and one trailing '.' or ',', so the ids of a text are those of such
-    parts in order.  Each distinct part is tokenised once per worker while the cache holds it: a full
-    generation becomes the older one, from which words that come again are taken over.  New words of
+    parts in order.  Each distinct part is tokenised once per worker while the cache holds it.  A full cache is
+    emptied, or with ``keep_older`` kept as the older one, from which words that come again are taken over.  New words of
     letters alone are tokenised many at a time, joined by spaces: each is one pre-token, and its last id is
     the only one that ends a word.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, words: int = CACHE_WORDS, keep_older: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.ids, self.older = Tokenizer.from_file(path), {}, {}
+        self.words, self.keep_older = words, keep_older
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         parts = [fold(t).replace("\n", " ").split(" ") for t in texts]
-        if len(self.ids) > CACHE_WORDS:
-            self.ids, self.older = {}, self.ids
+        if len(self.ids) > self.words:
+            self.ids, self.older = {}, self.ids if self.keep_older else {}
         known, older = self.ids, self.older
         new = {w for p in parts for w in p}.difference(known)
-        known.update({w: older[w] for w in new if w in older})
-        new = list(new.difference(known))
+        if older:
+            known.update({w: older[w] for w in new if w in older})
+            new.difference_update(known)
+        new = list(new)
         if new:
             known[""] = b""
             cut = [self._trim(w) for w in new]
@@ -134,14 +137,14 @@ def reciprocal_cuts(length: int, capacity: int = CAPACITY, fine_class: int = FIN
     return out
 
 
-def _pieces(path: str, capacity: int, fine_class: int, end_id: int, with_ids: bool):
+def _pieces(path: str, capacity: int, fine_class: int, end_id: int, with_ids: bool, words: int, keep_older: bool):
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
                         ("doc_tokens", pa.int64()), ("part", pa.int32()), ("class", pa.int32()), ("nth", pa.int64()),
                         ("ids", pa.binary())])
     end = np.array([end_id], "<u4")
 
     def run(batches):
-        part, cache, seen = TaskContext.get().partitionId(), word_cache(path), {}
+        part, cache, seen = TaskContext.get().partitionId(), word_cache(path, words, keep_older), {}
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
@@ -163,18 +166,19 @@ def _pieces(path: str, capacity: int, fine_class: int, end_id: int, with_ids: bo
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, fine_class: int = FINE_CLASS,
-                   end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+                   end_id: int = END_ID, with_ids: bool = False, cache_words: int = CACHE_WORDS, keep_older: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, class[, ids].
 
     A document is its ids and then ``end_id``; a null or empty text is ``end_id`` alone.  Every row of
     ``docs`` is packed, also with a null or repeated doc_id; other columns are ignored; an empty table
     gives an empty result.  ``sequence_id`` is a long, unique over the result but not gapless;
     ``offset`` is gapless from 0 within a sequence.  Class k holds k pieces a sequence; the shared
-    sequences of unfinished bins have class 100000.
+    sequences of unfinished bins have class 100000.  ``cache_words`` and ``keep_older`` set what a worker's
+    word cache holds, for time against memory.
     """
     spark = docs.sparkSession
     pieces = materialise(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        _pieces(tokenizer_path, capacity, fine_class, end_id, with_ids), _PIECE_FIELDS))
+        _pieces(tokenizer_path, capacity, fine_class, end_id, with_ids, cache_words, keep_older), _PIECE_FIELDS))
     counts = pieces.groupBy("class", "part").agg(F.count("*").alias("n"))
     ahead = Window.partitionBy("class").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("class")
