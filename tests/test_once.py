@@ -46,3 +46,15 @@ def test_followup_line_is_rendered_once(spark, tmp_path):
     rows = TR.src_followups(TR.render_followups(spark.read.parquet(str(tmp_path / "fol"))))
     assert mentions(rows, "concat_ws") == 1 and mentions(rows, "split(") == 1
     assert [(r.num, r.app_num, r.notes) for r in rows.collect()] == [(1, 2, "x")]
+
+
+def test_cards_are_cut_once(spark, tmp_path, monkeypatch):
+    card = "<a class='jobTitle' href='/companies/c/jobs/1'>Dev</a><a class='companyName'>Acme</a>"
+    spark.createDataFrame([(1, "https://x.example/l", card), (1, "https://x.example/l", card), (2, "https://x.example/l", "<p>none</p>"), (3, None, card), (4, "https://x.example/l", None)],
+                          "page_id long, url string, html string").write.parquet(str(tmp_path / "pages"))
+    pages = spark.read.parquet(str(tmp_path / "pages")).withColumn("html", F.concat("html", F.lit("<br>")))
+    plans = []
+    monkeypatch.setattr(extra_jobs, "cut_table", lambda df, cut=extra_jobs.cut_table: (plans.append(df), cut(df))[1])
+    rows = extra_jobs.html_cards(pages).collect()
+    assert [(r.page_id, r.title, r.company) for r in rows] == [(1, "Dev", "Acme")] * 2
+    assert mentions(plans[0], "<br>") == 1

@@ -8,6 +8,7 @@ from pyspark.sql import types as Ty
 
 from ..functions import html as H
 from ..functions import text as T
+from ..session import cut_table, once
 from ..sources.bindings import AS_OF_EVENTS, _view, view
 from . import sqlrules as Q
 from .page_jobs import _strip_html_sql
@@ -317,13 +318,13 @@ CARD_RE = r"(?i)<a\b([^>]*class=[\"'][^\"']*jobTitle[^\"']*[\"'][^>]*)>([\s\S]*?
 COMPANY_RE = r"(?i)class=[\"'][^\"']*companyName[^\"']*[\"'][^>]*>([\s\S]*?)</a>"
 
 
-def card_windows(html: Column, window: int) -> Column:
+def card_windows(html: Column, window: int, anchors: Column | None = None) -> Column:
     """array<struct<attrs, inner, card>>: every title anchor with up to ``window`` characters before its start and after.
 
     The text is split at its anchors, so an anchor's place is the length of what stands before it: equal
     anchors have places of their own, and only the windows leave the expression, not the page.
     """
-    anchors = F.regexp_extract_all(html, F.lit(CARD_RE), 0)
+    anchors = F.regexp_extract_all(html, F.lit(CARD_RE), 0) if anchors is None else anchors
     between = F.split(html, CARD_RE, -1)
     ends = F.aggregate(
         F.arrays_zip(anchors.alias("m"), F.slice(between, 1, F.greatest(F.size(anchors), F.lit(0))).alias("gap")),
@@ -342,15 +343,19 @@ def card_windows(html: Column, window: int) -> Column:
 
 def html_cards(pages: DataFrame, window: int = 2500) -> DataFrame:
     """src_html_cards: title anchors; company from the ±``window`` characters around each anchor."""
-    e = pages.select("page_id", "url", F.posexplode(card_windows(F.col("html"), window)).alias("idx", "c"))
+    whole = pages.select("page_id", "url", once(F.col("html")).alias("html"))
+    found = whole.select("page_id", "url", "html", once(F.regexp_extract_all("html", F.lit(CARD_RE), 0)).alias("anchors")).where(F.size("anchors") > 0)
+    windows = found.select("page_id", "url", once(card_windows(F.col("html"), window, F.col("anchors"))).alias("cards"))
+    e = windows.select("page_id", "url", F.posexplode("cards").alias("idx", "c"))
     attrs, inner = F.col("c.attrs"), F.col("c.inner")
     href = F.regexp_extract(attrs, r"(?i)href=[\"']([^\"']+)[\"']", 1)
     company = F.regexp_extract(F.col("c.card"), COMPANY_RE, 1)
-    out = e.where(href.rlike(r"(?i)/companies/[^/]+/jobs/[^/?#]+")).select(
+    # Written once: the first card of a url and the cards themselves are two readings.
+    out = cut_table(e.where(href.rlike(r"(?i)/companies/[^/]+/jobs/[^/?#]+")).select(
         "page_id", "idx", H.strip_tags(inner).alias("title"),
         H.absolute_url(F.col("url"), F.split(H.decode_entities(href), r"\?", 2).getItem(0)).alias("job_url"),
         F.coalesce(F.when(H.strip_tags(company) != "", H.strip_tags(company)),
-                   F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), H.company_from_url(href)).otherwise(F.lit(""))).alias("company"))
+                   F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), H.company_from_url(href)).otherwise(F.lit(""))).alias("company")))
     first = out.groupBy("page_id", "job_url").agg(F.min("idx").alias("idx"))
     return out.join(first, ["page_id", "job_url", "idx"], "left_semi")
 
