@@ -48,6 +48,12 @@ def test_followup_line_is_rendered_once(spark, tmp_path):
     assert [(r.num, r.app_num, r.notes) for r in rows.collect()] == [(1, 2, "x")]
 
 
+def test_damaged_lines_are_rendered_once(spark, trk, monkeypatch):
+    monkeypatch.setattr(tracker_jobs, "view", lambda *a: trk)
+    rows = DQ.dq_row_format(tracker_jobs._damaged_lines(spark, ""))
+    assert mentions(rows, "concat_ws") == 2  # the short and the full form
+
+
 def test_cards_are_cut_once(spark, tmp_path, monkeypatch):
     card = "<a class='jobTitle' href='/companies/c/jobs/1'>Dev</a><a class='companyName'>Acme</a>"
     spark.createDataFrame([(1, "https://x.example/l", card), (1, "https://x.example/l", card), (2, "https://x.example/l", "<p>none</p>"), (3, None, card), (4, "https://x.example/l", None)],
