@@ -54,6 +54,16 @@ def test_damaged_lines_are_rendered_once(spark, trk, monkeypatch):
     assert mentions(rows, "concat_ws") == 2  # the short and the full form
 
 
+def test_archetype_words_are_counted_once(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, "React and REACT on Vue, uir"), (2, "quick"), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    monkeypatch.setattr(doc_jobs, "docs", lambda *a: spark.read.parquet(str(tmp_path / "docs")))
+    votes = doc_jobs.cls_archetype(spark, "")
+    assert mentions(votes, "regexp_extract_all") <= 6 and mentions(votes, "lower(text") == 1
+    assert [(r.rank, r.archetype, r.votes) for r in votes.where("doc_id = 1").orderBy("rank").collect()] == [
+        (1, "Frontend Product Engineer", 3), (2, "Full-stack Web Engineer", 0)]
+    assert [r.votes for r in votes.where("doc_id = 2").collect()] == [0, 0]
+
+
 def test_cards_are_cut_once(spark, tmp_path, monkeypatch):
     card = "<a class='jobTitle' href='/companies/c/jobs/1'>Dev</a><a class='companyName'>Acme</a>"
     spark.createDataFrame([(1, "https://x.example/l", card), (1, "https://x.example/l", card), (2, "https://x.example/l", "<p>none</p>"), (3, None, card), (4, "https://x.example/l", None)],

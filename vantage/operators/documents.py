@@ -221,13 +221,16 @@ ARCHETYPES = [
 ]
 
 
-def archetype_votes(text: Column) -> Column:
-    """cls_archetype: (votes, archetype) per archetype, best first (votes desc, list order)."""
-    low = F.lower(text)
+def archetype_votes(low: Column) -> Column:
+    """cls_archetype: (votes, archetype) per archetype of a lower-case text, best first (votes desc, list order).
+
+    The words of an archetype are counted only where one of them occurs at all.
+    """
     votes = []
     for i, (name, signals) in enumerate(ARCHETYPES):
         pat = "(" + "|".join(K.jsre(r"\b" + _re_escape(s.lower()) + r"\b") for s in signals) + ")"
-        votes.append(F.struct(F.regexp_count(low, F.lit(pat)).alias("votes"), F.lit(-i).alias("neg_order"),
+        count = F.when(~T.any_contains(low, [s.lower() for s in signals]), 0).otherwise(F.regexp_count(low, F.lit(pat)))
+        votes.append(F.struct(count.alias("votes"), F.lit(-i).alias("neg_order"),
                               F.lit(name).alias("archetype")))
     return F.reverse(F.array_sort(F.array(*votes)))
 

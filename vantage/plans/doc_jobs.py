@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import documents as DO
+from ..session import once
 from ..sources.bindings import AS_OF_EVENTS, _view, view
 from . import sqlrules as Q
 from .registry import register
@@ -151,7 +152,8 @@ def _votes_sql():
 
 @register("cls_archetype", ("dmix",), _votes_sql())
 def cls_archetype(spark, sf):
-    v = docs(spark, sf).select("doc_id", DO.archetype_votes(F.col("text")).alias("v"))
+    low = docs(spark, sf).select("doc_id", once(F.lower("text")).alias("low"))
+    v = low.select("doc_id", once(DO.archetype_votes(F.col("low"))).alias("v"))
     top = v.select("doc_id", F.posexplode(F.slice("v", 1, 2)).alias("r", "x"))
     return top.select("doc_id", (F.col("r") + 1).cast("int").alias("rank"), F.col("x.archetype").alias("archetype"),
                       F.col("x.votes").cast("int").alias("votes"))
