@@ -48,6 +48,21 @@ def test_followup_line_is_rendered_once(spark, tmp_path):
     assert [(r.num, r.app_num, r.notes) for r in rows.collect()] == [(1, 2, "x")]
 
 
+def test_gap_block_is_searched_once(spark, tmp_path):
+    spark.createDataFrame([("a", REPORT), ("b", "none"), ("c", None)], "path string, text string").write.parquet(str(tmp_path / "rep"))
+    gaps = R.report_gaps(spark.read.parquet(str(tmp_path / "rep")))
+    assert mentions(gaps, "Severity") == 1
+    assert [(r.path, r.gap_idx, r.description, r.severity) for r in gaps.orderBy("gap_idx").collect()] == [("a", 0, "visa required", "hard"), ("a", 1, "Go", "nice to have")]
+
+
+def test_blocker_rules_run_once_a_gap(spark, trk, monkeypatch):
+    monkeypatch.setattr(report_jobs, "gap_rows", lambda s, d: s.createDataFrame([("visa required", "hard"), ("Go", "nice")], "description string, severity string"))
+    monkeypatch.setattr(report_jobs, "script_apps", lambda s, d, *a: trk)
+    found = report_jobs._blockers(spark, "")
+    assert mentions(found, "contains(lower(severity") <= 1 and mentions(found, "explode(array(CASE") == 1
+    assert [(r.frequency, r.percentage) for r in found.collect()] == [(1, 50)]
+
+
 def test_damaged_lines_are_rendered_once(spark, trk, monkeypatch):
     monkeypatch.setattr(tracker_jobs, "view", lambda *a: trk)
     rows = DQ.dq_row_format(tracker_jobs._damaged_lines(spark, ""))
