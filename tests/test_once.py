@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from vantage.functions import status as S
 from vantage.operators import quality as DQ
 from vantage.operators import upsert as U
-from vantage.plans import doc_jobs, extra_jobs, report_jobs, tracker_jobs
+from vantage.plans import dedup_jobs, doc_jobs, extra_jobs, merge_jobs, queue_jobs, report_jobs, tracker_jobs
 from vantage.sources import additions as AD
 from vantage.sources import reports as R
 from vantage.sources import tracker as TR
@@ -89,3 +89,14 @@ def test_cards_are_cut_once(spark, tmp_path, monkeypatch):
     rows = extra_jobs.html_cards(pages).collect()
     assert [(r.page_id, r.title, r.company) for r in rows] == [(1, "Dev", "Acme")] * 2
     assert mentions(plans[0], "<br>") == 1
+
+
+def test_report_headers_and_queue_notes_are_rendered_once(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([("a", "**URL:** https://x.example/1\n**Batch ID:** 7\n")], "path string, text string").write.parquet(str(tmp_path / "rep"))
+    head = R.report_header(spark.read.parquet(str(tmp_path / "rep")).withColumn("text", F.concat("text", F.lit("<end>"))))
+    assert mentions(head, "<end>") == 1 and [tuple(r) for r in head.collect()] == [("a", "https://x.example/1", "7")]
+    spark.createDataFrame([(1, "https://x.example/1", "Dev @ Acme Inc"), (2, "", "Dev @ Acme"), (3, "https://x.example/3", None)], "id long, url string, notes string").write.parquet(str(tmp_path / "q"))
+    monkeypatch.setattr(queue_jobs, "inputs", lambda *a: spark.read.parquet(str(tmp_path / "q")).withColumn("notes", F.concat("notes", F.lit(" | 8%"))))
+    found = queue_jobs.queue_candidates_by_company(spark, "")
+    assert mentions(found, " | 8%") == 1
+    assert [tuple(r) for r in found.collect()] == [("acme", "Dev", "https://x.example/1", 1)]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import queue as QU
 from ..operators.prefix import running
+from ..session import cut_table, once
 from ..sources import reports as R
 from ..sources.bindings import view
 from .registry import register
@@ -218,8 +219,10 @@ qc AS (SELECT {_company_suffix_sql("trim(regexp_extract(split_part(notes, ' | ',
 def queue_candidates_by_company(spark, sf) -> DataFrame:
     q = inputs(spark, sf)
     role, company, u = QU.notes_parts(F.col("notes"), F.col("url"))
-    return q.select(T.company_key_suffix(company).alias("ckey"), role.alias("cand_role"), u.alias("url"),
-                    F.col("id").alias("cand_pos")).where(F.col("cand_role").isNotNull() & F.col("url").isNotNull())
+    parts = q.select("id", "url", once(F.col("notes")).alias("notes")).select(
+        F.col("id").alias("cand_pos"), once(F.struct(role.alias("cand_role"), company.alias("company"), u.alias("url"))).alias("p"))
+    return parts.where("p.cand_role is not null and p.url is not null").select(
+        T.company_key_suffix("p.company").alias("ckey"), "p.cand_role", "p.url", "cand_pos")
 
 
 @register("join_best_role", ("trk", "qin"), f"WITH {_APPS_SQL}, {_best_role_sql('apps', 'qc').strip()} SELECT pos, url, score FROM best")
@@ -257,14 +260,15 @@ def join_job_url(spark, sf):
     bmap = q.select(F.col("id").cast("string").alias("batch_id"), qurl.alias("b_url"))
     st = state(spark, sf).where((F.col("status") == "completed") & (F.col("report_num") != "-") & (F.col("report_num") != ""))
     rmap = QU.report_urls(st.join(q.select("id", qurl.alias("qurl")).where("qurl is not null"), "id"))
-    t = apps.select("pos", "role", "company", "report_num", "report_path")
+    # Written once: both role lookups, the report join and the result read the parsed tracker.
+    t = cut_table(apps.select("pos", "role", T.company_key_suffix("company").alias("ckey"), "report_num", "report_path"))
     r13 = (t.join(hdr, "report_path").join(bmap, "batch_id", "left")
            .join(rmap, "report_num", "left")
            .select("pos", F.coalesce("url", "b_url", "m_url").alias("r_url"),
                    F.when(F.col("url").isNotNull(), 1).when(F.col("b_url").isNotNull(), 2)
                    .when(F.col("m_url").isNotNull(), 3).alias("r_tier"))
            .where(F.col("r_url").isNotNull()))
-    keyed = t.select("pos", "role", T.company_key_suffix("company").alias("ckey"))
+    keyed = t.select("pos", "role", "ckey")
     hist = view(spark, sf, "off").where(F.col("url").startswith("http"))
     sh = hist.select(T.company_key_suffix("company").alias("ckey"), F.col("title").alias("cand_role"), "url",
                      F.col("pos").alias("cand_pos"))
