@@ -100,3 +100,12 @@ def test_report_headers_and_queue_notes_are_rendered_once(spark, tmp_path, monke
     found = queue_jobs.queue_candidates_by_company(spark, "")
     assert mentions(found, " | 8%") == 1
     assert [tuple(r) for r in found.collect()] == [("acme", "Dev", "https://x.example/1", 1)]
+
+
+def test_keep_plan_joins_rows_to_leaders_once(spark, monkeypatch):
+    cut = []
+    monkeypatch.setattr(dedup_jobs, "cut_table", lambda df, make=dedup_jobs.cut_table: (cut.append(df.columns), make(df))[1])
+    rows = spark.createDataFrame([(1, "3/5", "Applied"), (2, "4/5", "Evaluated")], "pos long, score_raw string, status_raw string").withColumn("tokens", F.array(F.lit("x")))
+    plan = dedup_jobs.keep_plan(rows, spark.createDataFrame([(1, 1), (2, 1)], "pos long, leader long"))
+    assert cut == [["pos", "leader", "status_raw", "score", "rank"]]
+    assert sorted((r.pos, r.keeper, r.action, r.status) for r in plan.collect()) == [(1, 2, "remove", None), (2, 2, "keep", "Applied")]
