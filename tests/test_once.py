@@ -48,6 +48,14 @@ def test_followup_line_is_rendered_once(spark, tmp_path):
     assert [(r.num, r.app_num, r.notes) for r in rows.collect()] == [(1, 2, "x")]
 
 
+def test_additions_are_split_once_and_keep_both_layouts(spark, tmp_path):
+    lines = ["| 3 | d | Acme | Dev | 4/5 | Applied | no | r | n |", "4\td\tAcme\tDev\t4/5\tApplied\tno\tr", "0\td\tAcme\tDev\tApplied\t4/5\tno\tr", "5\tshort", " "]
+    spark.createDataFrame(list(enumerate(lines)), "file_no int, line string").withColumn("file", F.lit("f")).write.parquet(str(tmp_path / "adds"))
+    rows = AD.src_additions(spark.read.parquet(str(tmp_path / "adds")))
+    assert mentions(rows, "split(_l") == 2  # one by pipes, one by tabs
+    assert sorted((r.num, r.score_raw, r.status, r.notes) for r in rows.collect()) == [(3, "4/5", "Applied", "n"), (4, "4/5", "Applied", "")]
+
+
 def test_gap_block_is_searched_once(spark, tmp_path):
     spark.createDataFrame([("a", REPORT), ("b", "none"), ("c", None)], "path string, text string").write.parquet(str(tmp_path / "rep"))
     gaps = R.report_gaps(spark.read.parquet(str(tmp_path / "rep")))
@@ -109,3 +117,13 @@ def test_keep_plan_joins_rows_to_leaders_once(spark, monkeypatch):
     plan = dedup_jobs.keep_plan(rows, spark.createDataFrame([(1, 1), (2, 1)], "pos long, leader long"))
     assert cut == [["pos", "leader", "status_raw", "score", "rank"]]
     assert sorted((r.pos, r.keeper, r.action, r.status) for r in plan.collect()) == [(1, 2, "remove", None), (2, 2, "keep", "Applied")]
+
+
+def test_additions_rank_their_order_keys_alone(spark, tmp_path, monkeypatch):
+    ranked = []
+    monkeypatch.setattr(merge_jobs, "row_number_global", lambda df, *a, make=merge_jobs.row_number_global: (ranked.append(df.columns), make(df, *a))[1])
+    rows = [(n, f"{n}-x.tsv", f"{n}\td\tAcme\tDev\tApplied\t4/5\tno\tr") for n in (30, 4, 200)]
+    spark.createDataFrame(rows, "file_no long, file string, line string").write.parquet(str(tmp_path / "adds"))
+    monkeypatch.setattr(merge_jobs, "view", lambda *a: spark.read.parquet(str(tmp_path / "adds")))
+    got = merge_jobs.additions(spark, "").orderBy("add_order").collect()
+    assert ranked == [["_row", "_k", "file"]] and [(r.num, r.add_order) for r in got] == [(4, 1), (30, 2), (200, 3)]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import status as S
 from ..functions import text as T
+from ..session import once
 
 
 def src_additions(files: DataFrame) -> DataFrame:
@@ -16,23 +17,24 @@ def src_additions(files: DataFrame) -> DataFrame:
     layout is detected per file from what each column looks like.  Rows with a
     missing or zero entry number are dropped.
     """
-    content = T.js_trim(F.col("line"))
+    files = files.select("file_no", "file", once(T.js_trim(F.col("line"))).alias("_l")).where("_l <> ''")
+    content = F.col("_l")
     is_pipe = content.startswith("|")
     pipe_cells = F.filter(F.transform(F.split(content, r"\|", -1), T.js_trim), lambda x: x != "")
     tsv = F.split(content, "\t", -1)
-    c4, c5 = T.js_trim(F.get(tsv, 4)), T.js_trim(F.get(tsv, 5))
+    split = files.select("file_no", "file", is_pipe.alias("_pipe"), once(F.when(is_pipe, pipe_cells).otherwise(tsv)).alias("_c"))
+    cells, is_pipe = F.col("_c"), F.col("_pipe")
+    c4, c5 = T.js_trim(F.get(cells, 4)), T.js_trim(F.get(cells, 5))
     c4_score, c5_score = S.looks_like_score(c4), S.looks_like_score(c5)
     c4_status, c5_status = S.looks_like_status(c4), S.looks_like_status(c5)
     swapped = ~(c4_status & ~c4_score) & (c4_score & c5_status)
     tsv_status = F.when(swapped, c5).otherwise(c4)
     tsv_score = F.when(swapped, c4).otherwise(c5)
-    cells = F.when(is_pipe, pipe_cells).otherwise(tsv)
-    status_cell = F.when(is_pipe, F.get(pipe_cells, 5)).otherwise(tsv_status)
-    score_cell = F.when(is_pipe, F.get(pipe_cells, 4)).otherwise(tsv_score)
+    status_cell = F.when(is_pipe, F.get(cells, 5)).otherwise(tsv_status)
+    score_cell = F.when(is_pipe, F.get(cells, 4)).otherwise(tsv_score)
     num = T.parse_int_prefix(F.get(cells, 0))
-    parsed = files.where(content != "").select(
+    return split.where((F.size(cells) >= 8) & (num != 0)).select(
         "file_no", "file",
-        F.size(cells).alias("_n"),
         num.alias("num"),
         F.get(cells, 1).alias("date"),
         F.get(cells, 2).alias("company"),
@@ -43,7 +45,6 @@ def src_additions(files: DataFrame) -> DataFrame:
         F.get(cells, 7).alias("report"),
         F.coalesce(F.get(cells, 8), F.lit("")).alias("notes"),
     )
-    return parsed.where((F.col("_n") >= 8) & F.col("num").isNotNull() & (F.col("num") != 0)).drop("_n")
 
 
 def file_order_key(file_col: str = "file"):
