@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import cut_table
+from ..session import cut_table, once
 from .contains import best_texts
 from .prefix import row_number_global
 from .skew import lookup
@@ -134,8 +134,11 @@ def best_role(apps: DataFrame, cands: DataFrame, app_id: str = "pos") -> DataFra
     # Nulls are dropped from the written tables: a filter before would work out every key a second time.
     roles = cut_table(cands.groupBy(F.col("ckey").alias("block"), F.lower("cand_role").alias("text")).agg(
         F.min_by("url", "cand_pos").alias("value"), F.min("cand_pos").alias("place"))).where("block is not null and text is not null")
-    asked = cut_table(apps.select(app_id, F.col("ckey").alias("block"), F.split(F.lower(T.js_trim("role")), r"[ \t\n\r\f\v]+").alias("words"))
-                      .withColumn("words", F.coalesce(F.filter("words", lambda w: F.octet_length(w) > 2), F.array().cast("array<string>")))).where("block is not null")
+    # Applications of blocks without candidates have no answer: they leave before their roles are taken apart and looked up.
+    known = roles.select("block").distinct()
+    asked = cut_table(apps.select(app_id, "role", once(F.col("ckey")).alias("block")).join(known, "block", "left_semi")
+                      .select(app_id, "block", F.split(F.lower(T.js_trim("role")), r"[ \t\n\r\f\v]+").alias("words"))
+                      .withColumn("words", F.coalesce(F.filter("words", lambda w: F.octet_length(w) > 2), F.array().cast("array<string>"))))
     best = best_texts(asked.select("block", "words").distinct(), roles)
     first = roles.groupBy("block").agg(F.min_by("value", "place").alias("first_url"))
     answers = asked.select("block", "words").distinct().join(first, "block").join(best.drop("place"), ["block", "words"], "left")

@@ -257,9 +257,11 @@ def join_job_url(spark, sf):
     hdr = R.report_header(view(spark, sf, "rep")).withColumnRenamed("path", "report_path")
     q = inputs(spark, sf)
     _, _, qurl = QU.notes_parts(F.col("notes"), F.col("url"))
-    bmap = q.select(F.col("id").cast("string").alias("batch_id"), qurl.alias("b_url"))
+    # Written once: by their file's size the queue's urls look small enough to be sent to every task through the driver.
+    urls = cut_table(q.select("id", once(qurl).alias("qurl")))
+    bmap = urls.select(F.col("id").cast("string").alias("batch_id"), F.col("qurl").alias("b_url"))
     st = state(spark, sf).where((F.col("status") == "completed") & (F.col("report_num") != "-") & (F.col("report_num") != ""))
-    rmap = QU.report_urls(st.join(q.select("id", qurl.alias("qurl")).where("qurl is not null"), "id"))
+    rmap = QU.report_urls(st.join(urls.where("qurl is not null"), "id"))
     # Written once: both role lookups, the report join and the result read the parsed tracker.
     t = cut_table(apps.select("pos", "role", T.company_key_suffix("company").alias("ckey"), "report_num", "report_path"))
     r13 = (t.join(hdr, "report_path").join(bmap, "batch_id", "left")
